@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
         for a, b in zip([0, *cut], [*cut, batch.num_rows]):
             if b > a:
