@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, licenses, mixing
+from lamella.llm import bpe, licenses, mixing, partenum
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_near_duplicates": partenum.op6_near_duplicates,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_token_counts": bpe.op8_token_counts,
         "op10_license_scan": licenses.op10_license_scan,
