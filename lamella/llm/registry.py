@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, licenses, mixing, partenum
+from lamella.llm import bpe, licenses, mixing, partenum, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_near_duplicates": partenum.op6_near_duplicates,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
