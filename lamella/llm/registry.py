@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, licenses, media, mixing, partenum, scoring, toxicity
+from lamella.llm import bpe, gridjoin, licenses, media, mixing, partenum, scoring, toxicity, wrapper
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": scoring.op1_lm_scoring,
+        "op2_html_extraction": wrapper.op2_html_extraction,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_media_columns": media.op5_media_columns,
         "op6_near_duplicates": partenum.op6_near_duplicates,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_token_counts": bpe.op8_token_counts,
+        "op9_embedding_near_duplicates": gridjoin.op9_embedding_near_duplicates,
         "op10_license_scan": licenses.op10_license_scan,
     }
 
