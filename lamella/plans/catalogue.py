@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import retrieval
+from lamella.plans import operations, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, operations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
