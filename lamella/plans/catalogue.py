@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import operations, retrieval
+from lamella.plans import operations, retrieval, textual
 
-MODULES = (retrieval, operations)
+MODULES = (retrieval, operations, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
