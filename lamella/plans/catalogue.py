@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import operations, retrieval, textual
+from lamella.plans import extensions, lifecycle, operations, retrieval, textual
 
-MODULES = (retrieval, operations, textual)
+MODULES = (retrieval, lifecycle, operations, textual, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
