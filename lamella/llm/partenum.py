@@ -36,6 +36,8 @@ SLOTS = 1 << 20
 CHUNKS = 64
 #: Signature records in one group of the signature join, on average.
 GROUP = 400_000
+#: Slots of a parity sketch for an element: the more, the closer the differing bits come to the differing elements.
+SPARSE = 4
 #: Members of one block when an unresolved bucket is compared in blocks.
 BLOCK = 1024
 #: Candidate documents up to which their ids are broadcast to pick them from the corpus; beyond, the join is shuffled.
@@ -120,8 +122,8 @@ def signatures(s: np.ndarray, counts: np.ndarray):
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A bit for the parity of each slot, about one slot an element: sets differ in at least as many elements as bits."""
-    bits = max(256, 1 << (len(s) - 1).bit_length())
+    """A bit for the parity of each slot, SPARSE slots an element or more: sets differ in at least as many elements as bits."""
+    bits = max(256, SPARSE << (len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -294,7 +296,8 @@ def _unresolved(buckets: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFr
         k, rep, comp, n = (t.column(c).to_numpy() for c in ("k", "rep", "comp", "n"))
         bits = [np.frombuffer(b, np.uint8) for b in t.column("parity").to_pylist()]
         width = min(map(len, bits))
-        flat = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
+        wide = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
+        flat = np.bitwise_xor.reduce(wide.reshape(len(wide), SPARSE, -1), axis=1) if width >= 32 * SPARSE else wide  # narrow sketches tell most pairs apart
         found = []
         left = np.flatnonzero(k == x)
         right = np.flatnonzero(k == y)
@@ -303,6 +306,10 @@ def _unresolved(buckets: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFr
             ok = (d <= (n[right] + n[i]) * (UNION - SHARE) // (UNION + SHARE)) & (comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * UNION >= SHARE * np.maximum(n[right], n[i]))
             if x == y:
                 ok &= rep[right] > rep[i]
+            near = np.flatnonzero(ok)
+            if len(near):
+                d = np.bitwise_count(wide[right[near]] ^ wide[i]).sum(axis=1, dtype=np.int64)
+                ok[near] = d <= (n[right[near]] + n[i]) * (UNION - SHARE) // (UNION + SHARE)
             found += [(min(rep[i], r), max(rep[i], r)) for r in rep[right[ok]]]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
