@@ -1,9 +1,15 @@
-"""LM scoring: cross-entropy difference of matched target and background bigram models."""
+"""LM scoring: cross-entropy difference of matched target and background bigram models.
+
+The models are the counts of every word and word pair of the corpus, so they grow with it and stay
+distributed. Each slice of texts asks the groups of keys for the counts of its own distinct keys, each
+once, which is also how the slice's own counts get there; it is then scored with the answers.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,162 +18,153 @@ from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
 from lamella.llm.common import broadcast_if_small, py, settle, table
+from lamella.llm.partenum import M2, M3, MEMORY, _hashes, mix
 
-#: Words of the shared vocabulary, the most frequent in the corpus; all others are one unknown word.
-VOCABULARY = 1 << 16
-#: Word pairs of the shared inventory, the most frequent in the corpus; other pairs back off to single words.
-PAIRS = 1 << 20
-#: Pairs seen less often in the corpus are never in the inventory.
-PAIR_LEAST = 3
 #: Smoothing, the same for both models: pseudo-counts of a word, and of a context's back-off.
 ALPHA, MU = 0.5, 8.0
 #: Target documents up to which their ids are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
-SLICE = 16 << 20
-FLUSH = 500_000
+#: Bytes of text in one slice, and for each group of keys.
+SLICE, GROUP_BYTES = 8 << 20, 32 << 20
+#: Groups of keys at least.
+GROUPS = 256
+#: Kinds of keys: a word, a word before another one, and a pair of words.
+WORD, CONTEXT, PAIR = range(3)
+#: What stands before the first word of a text.
+START = np.uint64(1)
+ASKED = pa.schema([("slice", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("every", pa.binary()), ("goal", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("marks", pa.binary()), ("inverse", pa.binary()), ("at", pa.binary()), ("n", pa.int64()), ("t", pa.int64())])
+ASKED_DDL = "slice long, grp int, keys binary, every binary, goal binary, ids array<bigint>, lengths binary, marks binary, inverse binary, at binary, n long, t long"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, t): counts over all texts and over target ones; each task counts before the shuffle."""
-
-    def run(batches):
-        def out():
-            names = list(every)
-            for a in range(0, len(names), 50_000):
-                keys = names[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([every[k] for k in keys], pa.int64()), pa.array([goal[k] for k in keys], pa.int64())], ["word", "n", "t"])
-
-        every, goal = Counter(), Counter()
-        for part in slices(batches, "text"):
-            for text, target in zip(part.column("text").to_pylist(), part.column("target").to_pylist()):
-                own = words(text)
-                every.update(own)
-                if target:
-                    goal.update(own)
-            if len(every) > FLUSH:
-                yield from out()
-                every, goal = Counter(), Counter()
-        yield from out()
-
-    return py(docs.sparkSession, docs, run, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def pair_keys(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, previous tokens, tokens of each text); a text begins after the start mark."""
-    start, get = len(ids) + 1, ids.get
-    rows = [[get(w, 0) for w in words(t)] for t in texts]
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of words, hashes of the words before them, words of each text)."""
+    known = _hashes()
+    if len(known) > MEMORY:
+        known.clear()
+    rows = [words(t) for t in texts]
     n = np.array([len(r) for r in rows], np.int64)
-    now = np.concatenate([np.array(r, np.int64) for r in rows]) if len(rows) else np.empty(0, np.int64)
-    before = np.r_[start, now[:-1]] if len(now) else now
-    before[(np.cumsum(n) - n)[n > 0]] = start
+    now = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), np.uint64, int(n.sum()))
+    before = np.roll(now, 1)
+    before[(np.cumsum(n) - n)[n > 0]] = START
     return now, before, n
 
 
-def pair_counts(docs: DataFrame, ids) -> DataFrame:
-    """(pair, n, t) of word pairs, pre-aggregated in each slice of texts and summed by Spark."""
+def keyed(x: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit keys of hashes; the last two bits are the kind."""
+    return (mix(x ^ M3) & ~np.uint64(3)) | np.uint64(kind)
+
+
+def _asked(docs: DataFrame, groups: int) -> DataFrame:
+    """A row per slice of texts (where its tokens' counts will stand in the answers), and rows of its distinct keys and their counts, one a group."""
 
     def run(batches):
-        held = ids.value
-        width = len(held) + 2
         for part in slices(batches, "text", SLICE):
-            texts, target = part.column("text").to_pylist(), np.array(part.column("target").to_pylist(), bool)
-            now, before, n = pair_keys(texts, held)
-            known = (now > 0) & (before > 0)
-            key, inverse = np.unique((before * width + now)[known], return_inverse=True)
-            every = np.bincount(inverse, minlength=len(key))
-            goal = np.bincount(inverse, weights=np.repeat(target, n)[known], minlength=len(key)).astype(np.int64)
-            group = (key % GROUPS).astype(np.int32)
+            name, mark = uuid.uuid4().int >> 65, np.array(part.column("target").to_pylist(), bool)
+            now, before, n = tokens(part.column("text").to_pylist())
+            pair, first, inverse = np.unique(keyed(mix(before) * M2 + now, PAIR), return_index=True, return_inverse=True)
+            word, w = np.unique(keyed(now[first], WORD), return_inverse=True)
+            context, c = np.unique(keyed(before[first], CONTEXT), return_inverse=True)
+            keys = np.concatenate([pair, word, context])
+            counts = []
+            for weights in (None, np.repeat(mark, n)):
+                p = np.bincount(inverse, weights=weights, minlength=len(pair))
+                counts.append(np.concatenate([p, np.bincount(w, weights=p, minlength=len(word)), np.bincount(c, weights=p, minlength=len(context))]).astype(np.int32))
+            group = ((keys >> np.uint64(2)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group, kind="stable")
-            cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-            packed = [np.stack([key[o], every[o], goal[o]]).astype(np.int64).tobytes() for a, b in zip(cut, cut[1:]) for o in (order[a:b],)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(GROUPS), pa.int32()), pa.array(packed, pa.binary())], ["grp", "packed"])
-
-    def add(key, batches):
-        total = None
-        for b in batches:  # summed batch by batch, so a task holds the distinct pairs of its group only
-            own = [np.frombuffer(x, np.int64).reshape(3, -1) for x in b.column("packed").to_pylist()]
-            both = np.concatenate([*own, total] if total is not None else own, axis=1)
-            k, inverse = np.unique(both[0], return_inverse=True)
-            total = np.stack([k, *(np.bincount(inverse, weights=c, minlength=len(k)).astype(np.int64) for c in both[1:])])
-        keep = total[:, total[1] >= PAIR_LEAST]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], ["pair", "n", "t"])
-
-    add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return py(docs.sparkSession, docs, run, "grp int, packed binary").groupBy("grp").applyInArrow(add, "pair long, n long, t long")
-
-
-#: Groups in which pair counts are summed.
-GROUPS = 64
-
-
-class Model:
-    """Both models over one vocabulary and one inventory of pairs. Sizes are bounded by VOCABULARY and PAIRS."""
-
-    def __init__(self, ids: dict[str, int], word: np.ndarray, pairs: np.ndarray):
-        """``word``: counts by id (n, t), unknown first. ``pairs``: sorted keys with counts (n, t)."""
-        self.ids, self.width, self.pairs = ids, len(ids) + 2, pairs[0]
-        self.single, self.both, self.context = [], [], []
-        for c, p in zip(word, pairs[1:]):
-            self.single.append((c + ALPHA) / (c.sum() + ALPHA * len(c)))
-            self.both.append(p.astype(np.float64))
-            self.context.append(np.bincount(self.pairs // self.width, weights=p, minlength=self.width) + MU)
-
-    def losses(self, texts: list[str | None]) -> list[tuple[int, float, float]]:
-        """(tokens, target loss, background loss) of texts, in bits a token; 0 for texts without words."""
-        now, before, n = pair_keys(texts, self.ids)
-        key = before * self.width + now
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        hit = (self.pairs[at] == key) if len(self.pairs) else np.zeros(len(key), bool)
-        sums = []
-        edges = np.r_[0, np.cumsum(n)]
-        for single, both, context in zip(self.single, self.both, self.context):
-            seen = np.where(hit, both[at], 0.0) if len(self.pairs) else 0.0
-            bits = -np.log2((seen + MU * single[now]) / context[before])
-            total = np.r_[0.0, np.cumsum(bits)]
-            sums.append((total[edges[1:]] - total[edges[:-1]]) / np.maximum(n, 1))
-        background, target = sums
-        return list(zip(n.tolist(), target.tolist(), background.tolist()))
-
-
-def train(docs: DataFrame) -> Model:
-    """Models of documents (text, target) from counts over all of them; only the bounded inventory reaches the driver."""
-    spark = docs.sparkSession
-    counts = settle(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    ids = {r.word: i + 1 for i, r in enumerate(top)}
-    word = np.array([[every[k] - sum(r[k + 1] for r in top), *(r[k + 1] for r in top)] for k in (0, 1)], np.float64)
-    pairs = settle(pair_counts(docs, spark.sparkContext.broadcast(ids)), "pair-counts")
-    kept = pairs.orderBy(F.desc("n"), "pair").limit(PAIRS).toArrow()
-    held = np.stack([kept.column(c).to_numpy() for c in ("pair", "n", "t")]).astype(np.int64)
-    return Model(ids, word, held[:, np.argsort(held[0])])
+            place = np.empty(len(keys), np.int32)
+            place[order] = np.arange(len(keys))
+            at = place[np.stack([np.arange(len(pair)), len(pair) + w, len(pair) + len(word) + c])]
+            head = {"slice": name, "ids": part.column("doc_id").to_pylist(), "lengths": n.tobytes(), "marks": mark.tobytes(), "inverse": inverse.astype(np.int32).tobytes(), "at": at.tobytes(), "n": int(n.sum()), "t": int(n[mark].sum())}
+            yield pa.RecordBatch.from_pylist([head], schema=ASKED)
+            group, keys, every, goal = (x[order] for x in (group, keys, *counts))
+            cut = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)] if len(keys) else []
+            rows = [{"slice": name, "grp": int(group[a]), "keys": keys[a:b].tobytes(), "every": every[a:b].tobytes(), "goal": goal[a:b].tobytes()} for a, b in zip(cut, cut[1:])]
+            for a in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_pylist(rows[a : a + 1024], schema=ASKED)
+
+    return py(docs.sparkSession, docs, run, ASKED_DDL)
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """The corpus's counts of the keys each slice asked for, in the order of its question; and a row a group with its number of distinct words."""
+
+    def run(key, batches):
+        t = pa.Table.from_batches(list(batches))
+        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        both = [np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.int32) for x in t.column(c).to_pylist()]), minlength=len(own)).astype(np.int64) for c in ("every", "goal")]
+        edges = np.r_[0, np.cumsum([len(k) for k in keys])]
+        group, n = key[0].as_py(), len(keys)
+        for a in range(0, n, 256):
+            packed = [np.stack([c[inverse[edges[i] : edges[i + 1]]] for c in both]).tobytes() for i in range(a, min(a + 256, n))]
+            yield pa.RecordBatch.from_arrays([t.column("slice").slice(a, 256).combine_chunks(), pa.array([group] * len(packed), pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.int64())], ["slice", "grp", "packed", "words"])
+        distinct = int(((own & np.uint64(3)) == WORD).sum())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([group], pa.int32()), pa.nulls(1, pa.binary()), pa.array([distinct], pa.int64())], ["slice", "grp", "packed", "words"])
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return asked.where("grp is not null").select("slice", "grp", "keys", "every", "goal").groupBy("grp").applyInArrow(run, "slice long, grp int, packed binary, words long")
+
+
+def _within(text: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's key stands in its own text."""
+    _, inverse, n = np.unique(text * size + place, return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
+def losses(counts: np.ndarray, totals: tuple[int, int], vocabulary: int, n: np.ndarray, mark: np.ndarray, inverse: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Bits a token of each text of a slice under the background and the target model; a text's own counts are left out."""
+    text = np.repeat(np.arange(len(n)), n)
+    places = at[:, inverse]
+    own = [_within(text, p, counts.shape[1]) for p in places]
+    out = []
+    for total, count, mine in zip(totals, counts, (np.ones(len(n), bool), mark)):
+        less = mine[text]
+        pair, word, context = (count[p] - o * less for p, o in zip(places, own))
+        single = (word + ALPHA) / ((total - n * mine)[text] + ALPHA * (vocabulary + 1))
+        bits = -np.log2((pair + MU * single) / (context + MU))
+        out.append(np.bincount(text, weights=bits, minlength=len(n)) / np.maximum(n, 1))
+    return out
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Cross-entropy difference of whole texts (doc_id, text), given the doc_id's of target documents.
 
-    Background: all documents; target: those in ``targets``. Both bigram models share order, vocabulary,
-    pair inventory and smoothing. Returns doc_id, n_tokens, loss_target, loss_background (bits a token) and
-    score = loss_target - loss_background; the lower, the more target-like. Null and empty texts have
-    0 tokens, losses and score; rows that repeat a doc_id count and are scored each; without targets the
-    target model is uniform.
+    Background: all documents; target: those in ``targets``. Both bigram models hold every word and pair
+    of the corpus, share order, vocabulary and smoothing (a pair backs off to its word, a word to the uniform
+    distribution over the vocabulary and one unknown word), and leave the scored row's own counts out, so that
+    a target document isn't told by itself. Returns doc_id, n_tokens, loss_target, loss_background (bits a
+    token) and score = loss_target - loss_background; the lower, the more target-like. Null and
+    empty texts have 0 tokens, losses and score; rows that repeat a doc_id count and are scored each; without
+    targets the target model is uniform; an empty table gives an empty one. Words and pairs are told by
+    64-bit hashes.
     """
-    spark = docs.sparkSession
     marks = broadcast_if_small(targets.where("doc_id is not null").select(F.col("doc_id").alias("mark")).distinct(), "targets", BROADCAST_IDS)
     marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("mark"), "left").select(F.col("doc_id").cast("long"), "text", F.col("mark").isNotNull().alias("target"))
-    model = spark.sparkContext.broadcast(train(marked.select("text", "target")))
-
-    def run(batches):
-        for part in slices(batches, "text"):
-            rows = model.value.losses(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.float64()))]], ["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    out = py(spark, docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, loss_target double, loss_background double")
-    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    asked = settle(_asked(marked, max(GROUPS, size // GROUP_BYTES)), "asked")
+    answers = settle(_answers(asked), "answers")
+    none = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))
+    totals = tuple(asked.where("grp is null").agg(*none).first())
+    vocabulary = answers.where("slice is null").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    head = ["ids", "lengths", "marks", "inverse", "at"]
+
+    def run(key, batches):
+        rows = pa.Table.from_batches(list(batches)).to_pylist()
+        (own,) = [r for r in rows if r["grp"] is None]
+        found = [np.frombuffer(r["packed"], np.int64).reshape(2, -1) for r in sorted((r for r in rows if r["grp"] is not None), key=lambda r: r["grp"])]
+        n, inverse, at = (np.frombuffer(own[c], k) for c, k in (("lengths", np.int64), ("inverse", np.int32), ("at", np.int32)))
+        background, target = losses(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), totals, vocabulary, n, np.frombuffer(own["marks"], bool), inverse, at.reshape(3, -1))
+        yield pa.RecordBatch.from_arrays([pa.array(own["ids"], pa.int64()), pa.array(n), pa.array(target), pa.array(background)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    asking = asked.where("grp is null").select("slice", "grp", *head, F.lit(None).cast("binary").alias("packed"))
+    every = asking.unionByName(answers.where("slice is not null").select("slice", "grp", "packed"), allowMissingColumns=True)
+    return every.groupBy("slice").applyInArrow(run, SCORES).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -43,6 +44,25 @@ def test_lm_scoring_prefers_target_like_texts(spark):
     assert out[41].score < 0 < out[40].score and out[41].n_tokens == 27
 
 
+def test_lm_scoring_equals_brute_force(spark):
+    docs = documents(spark).select("doc_id", "text").where("doc_id is not null").collect()
+    goal = {d.doc_id for d in docs if d.doc_id % 3 == 0}
+    pairs = {d.doc_id: list(zip(["<s>", *(w := scoring.words(d.text))], w)) for d in docs}
+    vocabulary = len({b for p in pairs.values() for _, b in p})
+    for inside, column in ((set(pairs), "loss_background"), (goal, "loss_target")):
+        every = [Counter(k for i in inside for p in pairs[i] for k in (p, p[1], (p[0],))), sum(len(pairs[i]) for i in inside)]
+        out = {r.doc_id: r for r in scoring.score(documents(spark), spark.createDataFrame([(i,) for i in goal], "doc_id long")).collect()}
+        assert len(out) == len(docs)
+        for i, own in pairs.items():
+            mine = Counter(k for p in own for k in (p, p[1], (p[0],))) if i in inside else Counter()
+            n = every[1] - (len(own) if i in inside else 0)
+            loss = 0.0
+            for p in own:
+                single = (every[0][p[1]] - mine[p[1]] + scoring.ALPHA) / (n + scoring.ALPHA * (vocabulary + 1))
+                loss -= np.log2((every[0][p] - mine[p] + scoring.MU * single) / (every[0][p[0],] - mine[p[0],] + scoring.MU))
+            assert out[i].n_tokens == len(own) and abs(out[i][column] - loss / max(1, len(own))) < 1e-9
+
+
 def test_lm_scoring_of_odd_rows(spark, odd):
     out = scoring.score(odd, spark.createDataFrame([(1,), (None,)], "doc_id long")).collect()
     assert len(out) == 9 and all(np.isfinite(r.score) for r in out)
