@@ -103,10 +103,9 @@ def fit(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     half = LANDMARKS // 2
     marks = [*positive[:: max(1, len(positive) // half)][:half], *negative[:: max(1, len(negative) // half)][:half]]
-    tables = [embedding(w) for w in marks]
-    rows = letters(words)
-    k = np.stack([dot(rows, t) for t in tables], axis=1)
-    kk = np.stack([dot(letters(marks), t) for t in tables], axis=1)
+    rows, own = letters(words), letters(marks)
+    # one landmark's table at a time: all of them would fill the driver
+    k, kk = (np.stack(c, axis=1) for c in zip(*((dot(rows, t), dot(own, t)) for t in map(embedding, marks))))
     vals, vecs = np.linalg.eigh((kk + kk.T) / 2)
     keep = vals > 1e-6 * vals.max()
     white = vecs[:, keep] / np.sqrt(vals[keep])
@@ -124,7 +123,7 @@ def fit(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
             break
         inside = now
     alpha = white @ w[:-1]
-    return sum(np.float32(a) * t for a, t in zip(alpha, tables)).astype(np.float32), float(w[-1])
+    return sum(np.float32(a) * t for a, t in zip(alpha, map(embedding, marks))).astype(np.float32), float(w[-1])
 
 
 def words_of(text: str | None) -> set[str]:
