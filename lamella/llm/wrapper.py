@@ -2,7 +2,8 @@
 
 Pages become trees of block-level nodes whose leaves are runs of text. Subtrees that markup names
 as furniture (menus, forms, adverts, comments ...) are pruned. What is left is aligned, by simple tree
-matching, with pivot pages of the same host: a leaf that stands unchanged in most of them is template,
+matching, with the pivot page of its host that is built most like it. Pivots only name the slots; which text is
+template in a slot is counted over all distinct pages of the host: a slot that few texts fill on most pages is template,
 and the slots that vary are content.
 """
 
@@ -12,21 +13,24 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
 from lamella.llm.common import py, settle, table
 
-#: Pivot pages of a host, at most: the page of least hash in each of so many classes of page hashes.
+#: Pivot pages of a host, at most: one of each of its so many commonest shapes, and one with each of its so many commonest longest texts.
 PIVOTS = 4
-#: A leaf is template if at least so many pivots, and more than half of those that tell, have it in its place.
+#: A text is template if at least so many pages have it in its slot,
 AGREE = 2
-#: A pivot that shares at least this part of a page's text is a copy of the page and tells nothing about it.
+#: it stands on at least this part of the layout's pages, and such texts together fill the slot on more than half of them.
+SHARE = 0.25
+#: A page that shares at least this part of its text with a pivot is a copy of it and isn't counted.
 COPY = 0.5
 #: Bytes of pivot trees up to which they are broadcast; beyond, pages are joined to them by host.
 BROADCAST_BYTES = 32 << 20
@@ -282,26 +286,28 @@ def _table(left: list, right: list) -> np.ndarray:
     return out
 
 
-def constant(a: list, b: list, at: int, marks: np.ndarray) -> int:
-    """Mark the leaves of ``a`` (numbered from ``at`` in page order) whose aligned leaf in ``b`` has the same text; returns the next number."""
+def align(a: list, b: list, at: int, to: int, slots: np.ndarray) -> int:
+    """Write to ``slots`` which leaf of ``b`` (numbered from ``to``) each leaf of ``a`` (numbered from ``at``, in page order) is aligned with; returns the next number."""
     if not a[2]:
         if a[0] == "#text":
-            marks[at] = a[1] == b[1] and b[0] == "#text"
+            slots[at] = to if b[0] == "#text" else -1
             return at + 1
         return at
-    starts = [at]
+    starts, others = [at], [to]
     for x in a[2]:
         starts.append(starts[-1] + _runs(x))
+    for x in b[2]:
+        others.append(others[-1] + _runs(x))
     if b[2]:
         left, right = a[2], b[2]
         pre = 0
         while pre < min(len(left), len(right)) and left[pre] == right[pre]:
-            marks[starts[pre] : starts[pre + 1]] = True
+            slots[starts[pre] : starts[pre + 1]] = range(others[pre], others[pre + 1])
             pre += 1
         post = 0
         while post < min(len(left), len(right)) - pre and left[-1 - post] == right[-1 - post]:
-            k = len(left) - 1 - post
-            marks[starts[k] : starts[k + 1]] = True
+            k, m = len(left) - 1 - post, len(right) - 1 - post
+            slots[starts[k] : starts[k + 1]] = range(others[m], others[m + 1])
             post += 1
         left, right = left[pre : len(left) - post], right[pre : len(right) - post]
         if left and right:
@@ -309,7 +315,7 @@ def constant(a: list, b: list, at: int, marks: np.ndarray) -> int:
             i, j = len(left), len(right)
             while i and j:
                 if w[i - 1, j - 1] > 0 and t[i, j] == t[i - 1, j - 1] + w[i - 1, j - 1]:
-                    constant(left[i - 1], right[j - 1], starts[pre + i - 1], marks)
+                    align(left[i - 1], right[j - 1], starts[pre + i - 1], others[pre + j - 1], slots)
                     i, j = i - 1, j - 1
                 elif t[i, j] == t[i - 1, j]:
                     i -= 1
@@ -322,32 +328,65 @@ def _runs(s: list) -> int:
     return int(s[0] == "#text") + sum(map(_runs, s[2]))
 
 
-def extract(page: str | None, pivots: list[tuple[int, list]]) -> tuple[str, int]:
-    """(main text, template leaves removed) of a page, given (hash, skeleton) of pivot pages of its host."""
-    tree = content(parse(page))
-    runs = list(leaves(tree))
-    if not runs:
-        return "", 0
-    own = skeleton(tree)
-    weight = np.array([len(r.text) for r in runs])
-    told, votes = 0, np.zeros(len(runs), np.int64)
-    texts = {zlib.crc32(r.text.encode("utf-8", "replace")) for r in runs}
-    for other in pivots:
-        if other == own:
-            continue
-        marks = np.zeros(len(runs), bool)
-        if texts & _hashes(other):  # without a text in common nothing can be constant
-            constant(own, other, 0, marks)
-        if weight[marks].sum() >= COPY * weight.sum():
-            continue
-        told += 1
-        votes += marks
-    template = (votes >= AGREE) & (2 * votes > told)
-    return "\n".join(r.text for r, t in zip(runs, template) if not t), int(template.sum())
+class Shape:
+    """A page's tree for comparisons: skeleton, texts of its leaves with their hashes, leaves of each path of tags."""
+
+    __slots__ = ("skeleton", "texts", "hashes", "paths")
+
+    def __init__(self, tree: Node):
+        self.skeleton, self.texts, self.paths = skeleton(tree), [], Counter()
+        todo = [(tree, "")]
+        while todo:
+            node, path = todo.pop()
+            path += "/" + node.tag
+            if node.tag == "#text":
+                self.texts.append(node.text)
+                self.paths[path] += 1
+            todo += [(x, path) for x in reversed(node.children)]
+        self.hashes = [_hash(t) for t in self.texts]
+
+    def near(self, other: Shape) -> float:
+        """How alike two pages are built, whatever their texts: common paths of leaves."""
+        return 2 * sum((self.paths & other.paths).values()) / max(1, len(self.texts) + len(other.texts))
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def packed(tree: Node) -> list:
+    """A tree as nested lists [tag, text, children]."""
+    return [tree.tag, tree.text, [packed(x) for x in tree.children]]
+
+
+def unpacked(s: list) -> Node:
+    out = Node(s[0], s[1])
+    out.children = [unpacked(x) for x in s[2]]
+    return out
+
+
+def is_copy(own: Shape, other: Shape) -> bool:
+    """Whether a page is a copy of another."""
+    theirs = set(other.hashes)
+    return sum(len(t) for t, h in zip(own.texts, own.hashes) if h in theirs) >= COPY * sum(map(len, own.texts))
 
 
-def _hashes(s: list) -> set[int]:
-    return {s[1]} - {0} | set().union(*map(_hashes, s[2])) if s[2] else {s[1]} - {0}
+def placed(own: Shape, pivots: list[Shape]) -> tuple[int, np.ndarray]:
+    """(number of the pivot that is built most like a page, the pivot's leaf that each leaf of the page is aligned with, or -1)."""
+    k = max(range(len(pivots)), key=lambda i: (own.near(pivots[i]), -i))
+    slots = np.full(len(own.texts), -1, np.int64)
+    align(own.skeleton, pivots[k].skeleton, 0, 0, slots)
+    return k, slots
+
+
+def extract(page: str | None, pivots: list[Shape], template: frozenset | set = frozenset()) -> tuple[str, int]:
+    """(main text, template leaves removed) of a page, given the pivots of its host and its template: "pivot/slot/text hash"."""
+    own = Shape(content(parse(page)))
+    if not own.texts or not template:
+        return "\n".join(own.texts), 0
+    k, slots = placed(own, pivots)
+    kept = [t for t, h, at in zip(own.texts, own.hashes, slots.tolist()) if f"{k}/{at}/{h}" not in template]
+    return "\n".join(kept), len(own.texts) - len(kept)
 
 
 def host_of(url: str = "url"):
@@ -355,29 +394,76 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, trees): the pivot trees of each host, as JSON; a host of fewer than AGREE + 1 distinct pages needs none.
+@lru_cache(maxsize=500)
+def _pivots(trees: tuple[str, ...]) -> list[Shape]:
+    return [Shape(unpacked(json.loads(t))) for t in trees]
+
 
-    A pivot is the page of least hash in a class of page hashes, so equal pages never fill two places. Only
-    (host, class) minima are shuffled, never whole groups.
+def beside(rows: DataFrame, hosts: DataFrame, columns: tuple[str, ...]):
+    """(rows, read): ``read`` gives, in a task, each row's ``columns`` of its host, or None each.
+
+    Up to BROADCAST_BYTES of trees go to each worker once; beyond, rows are joined to them.
     """
-    hashed = pages.where("page_id is not null and html is not null").select(host_of().alias("host"), "page_id", F.xxhash64("html").alias("h"))
-    best = hashed.groupBy("host", F.pmod("h", F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct("h", "page_id")).alias("pick"))
-    picked = settle(best.select("host", "k", F.col("pick.page_id").alias("pivot"), F.col("pick.h").alias("h")), "pivots")
+    size = F.aggregate("trees", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    if hosts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return rows.join(hosts.select("host", *columns), "host", "left"), lambda part: zip(*(part.column(c).to_pylist() for c in columns))
+    held = rows.sparkSession.sparkContext.broadcast({r[0]: tuple(map(tuple, r[1:])) for r in hosts.select("host", *columns).collect()})
+    return rows, lambda part: (held.value.get(h) or (None,) * len(columns) for h in part.column("host").to_pylist())
 
-    def run(batches):
-        for part in slices(batches, "html"):
-            trees = [json.dumps(skeleton(content(parse(t)))) for t in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
 
-    whole = pages.select("page_id", "html").join(picked, (F.col("page_id") == F.col("pivot")) & (F.xxhash64("html") == F.col("h"))).dropDuplicates(["host", "k"])
-    trees = py(pages.sparkSession, whole.select("host", "html"), run, "host string, tree string")
-    return trees.groupBy("host").agg(F.array_sort(F.collect_set("tree")).alias("trees")).where(F.size("trees") >= AGREE)  # at most PIVOTS a host
+def induce(pages: DataFrame) -> DataFrame:
+    """(host, trees, template): a host's pivot trees as JSON and the "pivot/slot/hash" of its template texts; only hosts that have any.
+
+    Every page with distinct content votes once. Shuffled are trees once (by content), then counts that tasks have
+    summed up; never whole hosts.
+    """
+    spark = pages.sparkSession
 
+    def shapes(batches):
+        for part in slices(batches, "html"):
+            out = []
+            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
+                tree = content(parse(text))
+                own = Shape(tree)
+                if own.texts:
+                    out.append((host, _hash("\n".join(sorted(own.paths))), _hash(max(own.texts, key=len)), json.dumps(packed(tree))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "shape", "longest", "tree"])
+
+    given = pages.where("html is not null").select(host_of().alias("host"), "html")
+    trees = py(spark, given, shapes, "host string, shape long, longest long, tree string").withColumn("h", F.xxhash64("tree"))
+    voters = settle(trees.dropDuplicates(["host", "h"]), "voters")
+
+    def commonest(kind: str) -> DataFrame:
+        best = voters.groupBy("host", kind).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"))
+        rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), kind))
+        return best.withColumn("k", rank).where(F.col("k") <= PIVOTS).select("host", "h", F.lit(kind).alias("kind"), "k")
+
+    picked = settle(commonest("shape").unionByName(commonest("longest")), "picked").groupBy("host", "h").agg(F.min(F.struct(F.when(F.col("kind") == "shape", 0).otherwise(1).alias("kind"), "k")).alias("at"))
+    pivots = voters.select("host", "h", "tree").join(picked, ["host", "h"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "h", "tree"))).alias("p"))  # at most 2 * PIVOTS a host
+    pivots = settle(pivots.select("host", F.col("p.h").alias("ids"), F.col("p.tree").alias("trees")), "pivots")
+
+    joined, read = beside(voters.select("host", "h", "tree"), pivots, ("ids", "trees"))
+
+    def count(batches):
+        for part in slices(batches, "tree"):
+            seen = Counter()
+            own_columns = (part.column(c).to_pylist() for c in ("host", "h", "tree"))
+            for host, h, tree, (ids, trees) in zip(*own_columns, read(part)):
+                own, others = Shape(unpacked(json.loads(tree))), _pivots(tuple(trees))
+                before = others[: ids.index(h)] if h in ids else others  # of pivots that are copies of each other the first votes
+                if any(is_copy(own, x) for x in before):
+                    continue
+                k, slots = placed(own, others)
+                seen[host, k, -1, 0] += 1
+                seen.update((host, k, at, x) for at, x in zip(slots.tolist(), own.hashes) if at >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array([key[i] for key in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))] + [pa.array(list(seen.values()), pa.int64())], ["host", "pivot", "slot", "text", "n"])
 
-@lru_cache(maxsize=2_000)
-def _pivots(trees: tuple[str, ...]) -> list:
-    return [json.loads(t) for t in trees]
+    counts = settle(py(spark, joined, count, "host string, pivot int, slot int, text long, n long").groupBy("host", "pivot", "slot", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("slot") < 0, 1).otherwise(AGREE)), "counts")
+    voted = counts.where("slot < 0").select("host", "pivot", F.col("n").alias("voted"))
+    often = counts.where("slot >= 0").join(voted, ["host", "pivot"]).where(F.col("n") >= SHARE * F.col("voted"))
+    filled = often.withColumn("mass", F.sum("n").over(Window.partitionBy("host", "pivot", "slot"))).where("2 * mass > voted")
+    template = filled.groupBy("host").agg(F.collect_list(F.concat_ws("/", "pivot", "slot", "text")).alias("template"))  # at most 1 / SHARE a slot
+    return pivots.select("host", "trees").join(template, "host")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -390,13 +476,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     induced = settle(induce(pages), "wrappers")
-    total = induced.agg(F.coalesce(F.sum(F.aggregate("trees", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))), F.lit(0))).first()[0]
-    side = F.broadcast(induced) if total <= BROADCAST_BYTES else induced
-    joined = pages.withColumn("host", host_of()).join(side, "host", "left").select("page_id", "url", "html", "trees")
+    joined, read = beside(pages.withColumn("host", host_of()), induced, ("trees", "template"))
 
     def run(batches):
+        known = {}
         for part in slices(batches, "html"):
-            rows = [extract(t, _pivots(tuple(p)) if p else []) for t, p in zip(part.column("html").to_pylist(), part.column("trees").to_pylist())]
+            rows = []
+            for host, text, (trees, template) in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), read(part)):
+                if trees and host not in known:
+                    known[host] = frozenset(template)
+                rows.append(extract(text, _pivots(tuple(trees)), known[host]) if trees else extract(text, []))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
                 ["page_id", "url", "text", "n_chars", "n_template"],

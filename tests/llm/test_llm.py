@@ -99,6 +99,34 @@ def test_html_copies_are_no_template(spark):
     assert all(r.text.startswith("Same title\nThe same long") for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
 
 
+def words(*seed, n=30):
+    """Words that no other seed gives."""
+    return " ".join(hashlib.md5(repr((*seed, k)).encode()).hexdigest()[:6] for k in range(n))
+
+
+def mains(spark, bodies, host="h"):
+    rows = [(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_template_is_counted_over_all_pages(spark):
+    # two layouts, on half of the host's pages each, with their own boilerplate
+    a, b = ("<section>Boilerplate of A</section><p>%s</p>", "<blockquote>Boilerplate of B</blockquote><div><p>%s</p></div>")
+    # many hosts: four page hashes never fall well on all of them
+    for salt in range(3):
+        assert mains(spark, [(a, b)[i % 2] % words(salt, i) for i in range(20)]) == {i: words(salt, i) for i in range(20)}
+    # a passage in one place on a third of the pages is content, on any host
+    pages = [(f"http://h{h}/{i}", "<p>Head of site</p><p>%s</p><p>%s</p>" % (words(h, i), "A passage often quoted" if i % 3 == 0 else words(h, i, "x"))) for h in range(30) for i in range(12)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    out = wrapper.main_text(df).collect()
+    assert len(out) == 360 and all("Head of site" not in r.text for r in out) and sum("often quoted" in r.text for r in out) == 120
+
+
+def test_html_small_hosts_get_a_template(spark):
+    for n in (2, 3, 4):
+        assert mains(spark, [f"<div>Welcome to our site</div><p>{words(n, i)}</p>" for i in range(n)]) == {i: words(n, i) for i in range(n)}
+
+
 def test_simple_tree_matching():
     a = ["r", 0, [["x", 0, []], ["y", 0, [["z", 0, []]]]]]
     b = ["r", 0, [["y", 0, [["z", 0, []]]]]]
