@@ -30,8 +30,10 @@ PIVOTS = 4
 AGREE = 2
 #: it stands on at least this part of the layout's pages, and such texts together fill the slot on more than half of them.
 SHARE = 0.25
-#: A page that shares at least this part of its text with a pivot is a copy of it and isn't counted.
-COPY = 0.5
+#: A page is a copy of a pivot, and isn't counted, if they share at least this part of all their words,
+COPY = 0.9
+#: and at least this part of the words of those leaves that differ.
+VARIES = 0.5
 #: Bytes of pivot trees up to which they are broadcast; beyond, pages are joined to them by host.
 BROADCAST_BYTES = 32 << 20
 #: A list or cell whose text stands in links to this part is a menu, if no article or main element marks the content.
@@ -366,9 +368,28 @@ def unpacked(s: list) -> Node:
 
 
 def is_copy(own: Shape, other: Shape) -> bool:
-    """Whether a page is a copy of another."""
-    theirs = set(other.hashes)
-    return sum(len(t) for t, h in zip(own.texts, own.hashes) if h in theirs) >= COPY * sum(map(len, own.texts))
+    """Whether a page is a copy of another: nearly all words equal, and most of them in the leaves that differ too.
+
+    However long the boilerplate two pages have in common, articles of their own tell them apart.
+    """
+    mine, theirs = Counter(own.hashes), Counter(other.hashes)
+    same = mine & theirs
+    if mine == theirs:
+        return True
+
+    def rest(shape: Shape) -> tuple[int, Counter]:
+        left, shared, words = same.copy(), 0, Counter()
+        for t, h in zip(shape.texts, shape.hashes):
+            if left[h]:
+                left[h] -= 1
+                shared += len(t.split())
+            else:
+                words.update(t.split())
+        return shared, words
+
+    (shared, a), (_, b) = rest(own), rest(other)
+    common, longest = sum((a & b).values()), max(a.total(), b.total())
+    return common >= VARIES * longest and shared + common >= COPY * (shared + longest)
 
 
 def placed(own: Shape, pivots: list[Shape]) -> tuple[int, np.ndarray]:

@@ -127,6 +127,12 @@ def test_html_small_hosts_get_a_template(spark):
         assert mains(spark, [f"<div>Welcome to our site</div><p>{words(n, i)}</p>" for i in range(n)]) == {i: words(n, i) for i in range(n)}
 
 
+def test_html_long_boilerplate_is_no_copy(spark):
+    for n in (12, 50, 400):  # words of boilerplate around articles of 20
+        pages = [f"<div>{words('a', n=n)}</div><div>{words(n, i, n=20)}</div><div>{words('b', n=n)}</div>" for i in range(12)]
+        assert mains(spark, pages) == {i: words(n, i, n=20) for i in range(12)}
+
+
 def test_simple_tree_matching():
     a = ["r", 0, [["x", 0, []], ["y", 0, [["z", 0, []]]]]]
     b = ["r", 0, [["y", 0, [["z", 0, []]]]]]
