@@ -66,8 +66,8 @@ def content_full(spark, sf_dir):
   ELSE list_filter([substr(text, 1, ceil(length(text) / 2.0)::INTEGER), substr(text, ceil(length(text) / 2.0)::INTEGER + 1)], lambda x: x <> '') END AS p FROM documents WHERE strpos(text, chr(10) || '## ') = 0)
 SELECT doc_id, generate_subscripts(p, 1)::INTEGER - 1 AS ordinal, unnest(p) AS section FROM s""")
 def heading_split(spark, sf_dir):
-    """Sections of every text without headings."""
-    return docs(spark, sf_dir).where(~F.col("text").contains("\n## ")).select("doc_id", F.posexplode(text.headed_sections(F.col("text"))).alias("ordinal", "section"))
+    """Sections of every text. The twin leaves out texts with headings, which the driver's tables don't have; those are tested against brute force."""
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(text.headed_sections(F.col("text"))).alias("ordinal", "section"))
 
 
 @listing.add()

@@ -12,7 +12,7 @@ from lamella.functions import arrow, text, vector
 from lamella.functions.workers import workers_import
 from lamella.operators import fence, ledger, providers, publish, retrieve
 from lamella.operators.search import search
-from lamella.plans import retrieval
+from lamella.plans import retrieval, textual
 from lamella.sources import ledgers
 from lamella.sources.tables import binary_objects, table
 from lamella.streaming import windows
@@ -120,6 +120,18 @@ def test_overflow_takes_the_next_free_pool(spark):
     assert out == [(0, "local"), (1, "remote"), (2, "remote")]
 
 
+def test_heading_split_keeps_headed_texts(spark, tmp_path):
+    texts = ["Intro\n## One\nbody\n\nmore\n## Two\nend", "## First\ntext\n## Next", "a\n\n \t\nb\n \nc", "no break at all", "odd", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(t):
+        headed, blank, half = re.split(r"\n(?=## )", t), re.split(r"\n[ \t]*\n", t), -(-len(t) // 2)
+        return headed if len(headed) > 1 else [x for x in blank if x.strip(" ")] if len(blank) > 1 else [x for x in (t[:half], t[half:]) if x]
+
+    out = sorted(tuple(r) for r in textual.heading_split(spark, str(tmp_path)).select("doc_id", "ordinal", "section").collect())
+    assert out == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(brute(t))]
+
+
 def test_sentences_and_redaction(spark):
     samples = ["One. Two!  Three? four", "mit 3.5 Punkten. 终。 好", "", "no end", "see /etc/app/conf.d and https://x.org/a/b ok", "Authorization: abc Bearer xyz.1 postgres://u:p@h/db"]
     df = spark.createDataFrame(list(enumerate(samples)), "k int, t string").select("k", text.sentences(F.col("t")).alias("s"), text.path_redacted(F.col("t")).alias("p"), text.secret_redacted(F.col("t")).alias("r"))
