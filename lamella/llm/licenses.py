@@ -21,7 +21,8 @@ BASE = (
 FAMILIES = (
     ("agpl", "affero", r"gnu affero general public license(?: v(?:ersion)? ?[13](?: 0)?| version 3)?"),
     ("agpl", "agpl", r"agpl(?:v3| v?3(?: 0)?)?(?: only| or later)?"),
-    ("lgpl", "lesser", r"gnu (?:lesser|library) general public license(?: v(?:ersion)? ?[23](?: [01])?| version [23](?: 1)?)?"),
+    ("lgpl", "lesser", r"gnu lesser general public license(?: v(?:ersion)? ?[23](?: [01])?| version [23](?: 1)?)?"),
+    ("lgpl", "library general", r"gnu library general public license(?: v(?:ersion)? ?[23](?: [01])?| version [23](?: 1)?)?"),
     ("lgpl", "lgpl", r"lgpl(?:v[23]| v?[23](?: [01])?)?(?: only| or later)?"),
     ("gpl-3.0", "general public", r"(?:gnu )?general public license v(?:ersion)? ?3(?: 0)?"),
     ("gpl-2.0", "general public", r"(?:gnu )?general public license v(?:ersion)? ?2(?: 0)?"),
@@ -44,7 +45,8 @@ FAMILIES = (
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("mit", "mit", r"(?:mit|expat) licen[cs]e"),
+    ("mit", "mit", r"mit licen[cs]e"),
+    ("mit", "expat", r"expat licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: license)?"),

@@ -339,6 +339,36 @@ def test_licenses_base_and_suppression(spark):
     assert (out[5].n_words, out[6].n_words, out[5].score) == (0, 0, 0.0)
 
 
+def examples(pattern):
+    """Every string that a rule's regex of literals, classes, options and alternatives matches."""
+    out = [""]
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else map(chr, range(a[0], a[1] + 1)))]
+        elif name == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            more = ["", *examples(arg[2])]
+        elif name == "SUBPATTERN":
+            more = examples(arg[3])
+        else:
+            assert name == "BRANCH", name
+            more = [x for b in arg[1] for x in examples(b)]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_and_gates_pass_every_example(spark):
+    rows = [(label, keyword, x) for label, keyword, name in licenses.FAMILIES for x in examples(re._parser.parse(name))]
+    assert [r for r in rows if r[1] not in r[2]] == []
+    gated = spark.createDataFrame(rows, "label string, keyword string, text string").where(~licenses._gate(F.col("text")))
+    assert gated.collect() == []
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(0, "GNU Library General Public License"), (1, "Expat License")], "doc_id long, text string")).collect()}
+    assert "lgpl" in out[0].labels.split(",") and out[1].labels == "mit" and out[1].score == 0.5
+
+
 def test_licenses_of_odd_rows(spark, odd):
     out = licenses.scan(odd).collect()
     assert len(out) == 9 and [r.labels for r in out if r.doc_id is None] == ["mit"]
