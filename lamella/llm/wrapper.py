@@ -333,7 +333,7 @@ def _runs(s: list) -> int:
 class Shape:
     """A page's tree for comparisons: skeleton, texts of its leaves with their hashes, leaves of each path of tags."""
 
-    __slots__ = ("skeleton", "texts", "hashes", "paths")
+    __slots__ = ("skeleton", "texts", "hashes", "paths", "n_words", "words")
 
     def __init__(self, tree: Node):
         self.skeleton, self.texts, self.paths = skeleton(tree), [], Counter()
@@ -346,6 +346,8 @@ class Shape:
                 self.paths[path] += 1
             todo += [(x, path) for x in reversed(node.children)]
         self.hashes = [_hash(t) for t in self.texts]
+        every = " ".join(self.texts).split()
+        self.n_words, self.words = len(every), set(every)
 
     def near(self, other: Shape) -> float:
         """How alike two pages are built, whatever their texts: common paths of leaves."""
@@ -356,15 +358,22 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def packed(tree: Node) -> list:
-    """A tree as nested lists [tag, text, children]."""
-    return [tree.tag, tree.text, [packed(x) for x in tree.children]]
+def packed(tree: Node) -> bytes:
+    """A tree as compressed JSON of nested lists [tag, text, children]."""
 
+    def lists(node: Node) -> list:
+        return [node.tag, node.text, [lists(x) for x in node.children]]
 
-def unpacked(s: list) -> Node:
-    out = Node(s[0], s[1])
-    out.children = [unpacked(x) for x in s[2]]
-    return out
+    return zlib.compress(json.dumps(lists(tree), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(tree: bytes) -> Node:
+    def node(s: list) -> Node:
+        out = Node(s[0], s[1])
+        out.children = [node(x) for x in s[2]]
+        return out
+
+    return node(json.loads(zlib.decompress(tree).decode("utf-8", "surrogatepass")))
 
 
 def is_copy(own: Shape, other: Shape) -> bool:
@@ -372,6 +381,9 @@ def is_copy(own: Shape, other: Shape) -> bool:
 
     However long the boilerplate two pages have in common, articles of their own tell them apart.
     """
+    least = COPY * max(own.n_words, other.n_words)  # words in common are at most those of the smaller page, less those the other lacks
+    if min(own.n_words, other.n_words) < least or own.n_words - len(own.words - other.words) < least:
+        return False
     mine, theirs = Counter(own.hashes), Counter(other.hashes)
     same = mine & theirs
     if mine == theirs:
@@ -416,8 +428,8 @@ def host_of(url: str = "url"):
 
 
 @lru_cache(maxsize=500)
-def _pivots(trees: tuple[str, ...]) -> list[Shape]:
-    return [Shape(unpacked(json.loads(t))) for t in trees]
+def _pivots(trees: tuple[bytes, ...]) -> list[Shape]:
+    return [Shape(unpacked(t)) for t in trees]
 
 
 def beside(rows: DataFrame, hosts: DataFrame, columns: tuple[str, ...]):
@@ -428,12 +440,12 @@ def beside(rows: DataFrame, hosts: DataFrame, columns: tuple[str, ...]):
     size = F.aggregate("trees", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
     if hosts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > BROADCAST_BYTES:
         return rows.join(hosts.select("host", *columns), "host", "left"), lambda part: zip(*(part.column(c).to_pylist() for c in columns))
-    held = rows.sparkSession.sparkContext.broadcast({r[0]: tuple(map(tuple, r[1:])) for r in hosts.select("host", *columns).collect()})
+    held = rows.sparkSession.sparkContext.broadcast({r[0]: tuple(tuple(bytes(x) if isinstance(x, bytearray) else x for x in c) for c in r[1:]) for r in hosts.select("host", *columns).collect()})
     return rows, lambda part: (held.value.get(h) or (None,) * len(columns) for h in part.column("host").to_pylist())
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, trees, template): a host's pivot trees as JSON and the "pivot/slot/hash" of its template texts; only hosts that have any.
+    """(host, trees, template): a host's packed pivot trees and the "pivot/slot/hash" of its template texts; only hosts that have any.
 
     Every page with distinct content votes once. Shuffled are trees once (by content), then counts that tasks have
     summed up; never whole hosts.
@@ -447,11 +459,11 @@ def induce(pages: DataFrame) -> DataFrame:
                 tree = content(parse(text))
                 own = Shape(tree)
                 if own.texts:
-                    out.append((host, _hash("\n".join(sorted(own.paths))), _hash(max(own.texts, key=len)), json.dumps(packed(tree))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "shape", "longest", "tree"])
+                    out.append((host, _hash("\n".join(sorted(own.paths))), _hash(max(own.texts, key=len)), packed(tree)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "shape", "longest", "tree"])
 
     given = pages.where("html is not null").select(host_of().alias("host"), "html")
-    trees = py(spark, given, shapes, "host string, shape long, longest long, tree string").withColumn("h", F.xxhash64("tree"))
+    trees = py(spark, given, shapes, "host string, shape long, longest long, tree binary").withColumn("h", F.xxhash64("tree"))
     voters = settle(trees.dropDuplicates(["host", "h"]), "voters")
 
     def commonest(kind: str) -> DataFrame:
@@ -470,7 +482,7 @@ def induce(pages: DataFrame) -> DataFrame:
             seen = Counter()
             own_columns = (part.column(c).to_pylist() for c in ("host", "h", "tree"))
             for host, h, tree, (ids, trees) in zip(*own_columns, read(part)):
-                own, others = Shape(unpacked(json.loads(tree))), _pivots(tuple(trees))
+                own, others = Shape(unpacked(tree)), _pivots(tuple(trees))
                 before = others[: ids.index(h)] if h in ids else others  # of pivots that are copies of each other the first votes
                 if any(is_copy(own, x) for x in before):
                     continue
