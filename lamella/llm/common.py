@@ -46,7 +46,17 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.lamella_path = path
+    return held
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete what ``settle`` wrote, once no later step reads it: a lost executor is then replayed from later tables."""
+    for df in settled:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.lamella_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, tag: str, rows: int) -> DataFrame:

@@ -1,124 +1,100 @@
 """Exact n-gram Jaccard join by PartEnum signatures.
 
-The domain of shingle hashes is cut into partitions, as many as the size band asks for, and the
-content of one partition is one signature. Two sets that differ in d elements agree on all but at most
-d of a set's non-empty partitions. In one order of signatures shared by all sets (rare
-content first, from counts over all documents), each set therefore needs its first d + 1 signatures only, and
-some of them is shared (the prefix argument). Sets below ``SINGLE`` elements take every element
-as a partition. A set whose elements fill too few partitions for the argument, which is next to
-impossible, is looked up element by element instead.
+Sets are dealt to size bands that double. In a band the domain of shingle hashes is cut into
+partitions, and each partition into PARTS second-level parts. Two sets that differ in d elements differ in at
+most SPARE elements in all but d // (SPARE + 1) of the partitions, and there agree on some subset of PARTS - SPARE
+parts: the content of every such subset is a signature. A set emits its partitions in order until
+d // (SPARE + 1) + 1 of them are rich, that is, have a subset left whatever SPARE parts are taken away, so that
+a shared signature is never that of an empty subset. Of two linked sets the one that stops first has a rich
+partition in which both agree, and the other emits it too. Sets with too few rich partitions, mostly
+tiny ones, emit the first elements of their order as well and so meet each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
-from lamella.llm.common import broadcast_if_small, py, settle, table
+from lamella.llm.common import broadcast_if_small, discard, py, settle, table
 from lamella.llm.components import components
+from lamella.llm.words import M1, M2, M3, mix, narrow, rising, risen, shingle_sets, wide
 
 #: Words of a shingle; similarity as a fraction of integers (links: UNION * intersection >= SHARE * union).
 WIDTH = 5
 SHARE, UNION = 75, 100
-#: Sets below this size use single elements as signatures.
-SINGLE = 64
-#: Mean elements of a partition for the largest set of a size band; bands double in size.
-FILL = 2
-#: Slots of the table of shingle frequencies that orders signatures; it is summed over all documents and broadcast.
-SLOTS = 1 << 20
-CHUNKS = 64
+#: Second-level parts of a partition, and how many of them a signature leaves out.
+PARTS, SPARE = 4, 1
+SUBSETS = list(combinations(range(PARTS), PARTS - SPARE))
+#: Elements of a partition for the largest set of a size band.
+FILL = 6
+#: Bytes of text whose signatures are made at once.
+SLICE = 4 << 20
 #: Signature records in one group of the signature join, on average.
 GROUP = 400_000
 #: Slots of a parity sketch for an element: the more, the closer the differing bits come to the differing elements.
 SPARSE = 4
 #: Members of one block when an unresolved bucket is compared in blocks.
 BLOCK = 1024
-#: Candidate documents up to which their ids are broadcast to pick them from the corpus; beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
-MEMORY = 300_000
-M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of candidate ids up to which they are broadcast to pick documents from the corpus; beyond, the join is shuffled.
+BROADCAST_BYTES = 8 << 20
+#: Members in one row of a stored bucket.
+ROW = 1 << 16
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of WIDTH words; of its whole word sequence if that is shorter."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    known = _hashes()
-    if len(known) > MEMORY:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = min(WIDTH, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = (out ^ h[i : len(h) - n + 1 + i]) * M3
-        out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
-
-
-def most_different(size: int, other: int) -> int:
+def most_different(size, other):
     """The most elements in which linked sets of these sizes differ."""
     return (size + other) * (UNION - SHARE) // (UNION + SHARE)
 
 
-def bands(size: int):
-    """(band, partitions, signatures needed) for a set: its own band, and the next where linked larger sets reach it."""
-    largest = size * UNION // SHARE
-    band = size.bit_length()
-    while band <= largest.bit_length():
-        top = (1 << band) - 1
-        yield band, (0 if top < SINGLE else top // FILL + 1), most_different(size, min(largest, top)) + 1
-        band += 1
+def band_of(sizes: np.ndarray) -> np.ndarray:
+    return np.frexp(sizes.astype(np.float64))[1]
 
 
-def signatures(s: np.ndarray, counts: np.ndarray):
-    """(signatures of a set over its bands, whether the prefix argument holds for it)."""
-    out, covered = [], True
-    rarity = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-    value = mix(s ^ M3)
-    own = len(s).bit_length()
-    for band, parts, needed in bands(len(s)):
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures of some sets, the set of each): those of a set's own band, and of the next where linked larger sets reach it."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    largest, own = sizes * UNION // SHARE, band_of(sizes)
+    alone = most_different(sizes, largest) == 0  # linked with equal sets only
+    sigs, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    bare = np.zeros(len(sets), bool)
+    for band in range(int(own.max(initial=0)) + 2):
+        here = np.flatnonzero(~alone & (sizes > 0) & ((own == band) | (own == band - 1) & (band_of(largest) == band)))
+        if not len(here):
+            continue
+        top = (1 << band) - 1
+        parts = top // FILL + 1
+        needed = most_different(sizes[here], np.minimum(largest[here], top)) // (SPARE + 1) + 1
         salt = np.uint64(band * int(M3) & (1 << 64) - 1)
-        if parts == 0:
-            sig, rare = mix(value + salt), rarity
-        else:
-            p = (value >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(p, kind="stable")
-            p = p[order]
-            starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            sig = mix(np.add.reduceat(value[order], starts) * M1 + p[starts] * M2 + salt)
-            rare = np.minimum.reduceat(rarity[order], starts)
-        if band == own and len(sig) <= most_different(len(s), len(s)):
-            covered = False
-        if len(sig) > needed:
-            key = (rare.astype(np.uint64) << np.uint64(58)) | (sig >> np.uint64(6))
-            sig = sig[np.argpartition(key, needed - 1)[:needed]] if len(np.unique(key)) == len(key) else sig[np.lexsort((sig, rare))[:needed]]
-        out.append(sig)
-    return np.concatenate(out), covered
+        value = mix(np.concatenate([sets[i] for i in here]) ^ M3)
+        cell = np.repeat(np.arange(len(here)) * parts, sizes[here]) + ((value >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        cell = cell * PARTS + ((value >> np.uint64(9)) % np.uint64(PARTS)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell, value = cell[order], value[order]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sums = np.zeros((len(here), parts, PARTS), np.uint64)
+        sums.ravel()[cell[first]] = np.add.reduceat(value, first)
+        held = np.zeros((len(here), parts, PARTS), bool)
+        held.ravel()[cell[first]] = True
+        rich = np.cumsum(held.sum(axis=2) > SPARE, axis=1)
+        enough = rich[:, -1] >= needed
+        bare[here] |= ~enough
+        stop = np.where(enough, (rich >= needed[:, None]).argmax(axis=1) + 1, parts)
+        use = np.arange(parts)[None, :] < stop[:, None]
+        for k, subset in enumerate(SUBSETS):
+            at = np.nonzero(use & held[:, :, subset].any(axis=2))
+            sigs.append(mix(sums[:, :, subset].sum(axis=2)[at] * M1 + (at[1] * len(SUBSETS) + k).astype(np.uint64) * M2 + salt))
+            of.append(here[at[0]])
+    for i in np.flatnonzero(bare):
+        prefix = sets[i][: sizes[i] - -(-sizes[i] * SHARE // UNION) + 1]
+        sigs.append(mix(prefix ^ M2))
+        of.append(np.full(len(prefix), i))
+    return np.concatenate(sigs), np.concatenate(of)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -145,102 +121,89 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and UNION * both >= SHARE * (len(a) + len(b) - both)
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per document (size, identity and parity of its set), and rows of shingle frequencies, one for each task and chunk."""
+SIGNED = ["doc_id", "n", "f1", "f2", "parity", "grp", "size", "sigs", "ids"]
+SIGNED_KINDS = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
-    def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
-        for part in slices(batches, "text"):
-            rows = []
-            for t in part.column("text").to_pylist():
-                s = shingle_set(t)
-                np.add.at(counts, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-                rows.append((len(s), int(mix(s).sum().astype(np.int64)), int(mix(s ^ M2).sum().astype(np.int64)), parity(s) if len(s) else b""))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["doc_id", "n", "f1", "f2", "parity", "chunk", "counts"],
-            )
-        if counts.any():
-            step = SLOTS // CHUNKS
-            nulls = [pa.nulls(CHUNKS, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [*nulls, pa.array(range(CHUNKS), pa.int32()), pa.array([counts[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)], pa.binary())],
-                ["doc_id", "n", "f1", "f2", "parity", "chunk", "counts"],
-            )
-
-    return py(docs.sparkSession, docs, run, "doc_id long, n long, f1 long, f2 long, parity binary, chunk int, counts binary")
-
-
-def _frequencies(profiles: DataFrame) -> np.ndarray:
-    """Logarithms of the summed shingle frequencies; SLOTS bytes whatever the input."""
 
-    def run(key, batches):
-        total = np.zeros(SLOTS // CHUNKS, np.uint64)
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                total += np.frombuffer(x, np.uint32)
-        logs = np.ceil(np.log2(total + np.uint64(1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([logs.tobytes()], pa.binary())], ["chunk", "logs"])
-
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    rows = profiles.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(run, "chunk int, logs binary").collect()  # CHUNKS rows
-    out = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
-    for r in rows:
-        out[r.chunk] = np.frombuffer(r.logs, np.uint8)
-    return out.ravel()
+def _signed(docs: DataFrame, groups: int) -> DataFrame:
+    """A row per document (size, identity and parity of its set), and rows of signatures with their doc_ids, one for each slice and group.
 
+    Of equal sets in a slice one is signed. Groups are ranges of signatures.
+    """
 
-def _signature_groups(docs: DataFrame, counts, groups: int) -> DataFrame:
-    """Signatures as packed pairs (signature, doc_id), a row for each slice and group; sets are repeated once a slice at most."""
+    def rows(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(SIGNED, SIGNED_KINDS)], SIGNED)
 
     def run(batches):
-        held = counts.value
-        for part in slices(batches, "text", 16 << 20):
-            sigs, ids, seen = [], [], set()
-            for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                s = shingle_set(t)
-                if not len(s) or (f := (int(mix(s).sum()), int(mix(s ^ M2).sum()))) in seen:
-                    continue
-                seen.add(f)
-                x, covered = signatures(s, held)
-                sigs.append(x)
-                ids.append(np.full(len(x), i, np.int64))
-                if not covered:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([[0], [i]], np.int64).tobytes()], pa.binary())], ["grp", "packed"])
-            if not sigs:
+        for part in slices(batches, "text", SLICE):
+            sets = shingle_sets(part.column("text"), WIDTH)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            f1, f2 = np.zeros((2, len(sets)), np.uint64)
+            if full:
+                every = np.concatenate([sets[i] for i in full])
+                at = np.r_[0, np.cumsum([len(sets[i]) for i in full])][:-1]
+                f1[full], f2[full] = np.add.reduceat(mix(every), at), np.add.reduceat(mix(every ^ M2), at)
+            yield rows({
+                "doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)),
+                "parity": pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary()),
+            }, len(sets))
+            known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            chosen = list({(f1[i], f2[i], len(sets[i])): i for i in reversed(full) if known[i]}.values())
+            sig, of = signatures([sets[i] for i in chosen])
+            if not len(sig):
                 continue
-            sig, ids = np.concatenate(sigs), np.concatenate(ids)
-            g = (mix(sig ^ M1) % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(g, kind="stable")
-            g, sig, ids = g[order], sig[order].view(np.int64), ids[order]
+            order = np.argsort(sig)
+            sig, ids = sig[order], part.column("doc_id").fill_null(0).to_numpy()[np.array(chosen)[of[order]]]
+            g = ((sig >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
             cut = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
-            packed = [np.stack([sig[a:b], ids[a:b]]).tobytes() for a, b in zip(cut, cut[1:])]
+            packed = [(g[a], b - a, rising(sig[a:b]), narrow(ids[a:b])) for a, b in zip(cut, cut[1:])]
             for k in range(0, len(packed), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(g[cut[k : min(k + 256, len(packed))]], pa.int32()), pa.array(packed[k : k + 256], pa.binary())], ["grp", "packed"])
+                own = list(zip(*packed[k : k + 256]))
+                yield rows({c: pa.array(x, SIGNED_KINDS[SIGNED.index(c)]) for c, x in zip(("grp", "size", "sigs", "ids"), own)}, len(own[0]))
+
+    return py(docs.sparkSession, docs, run, "doc_id long, n long, f1 long, f2 long, parity binary, grp int, size long, sigs binary, ids binary")
 
-    return py(docs.sparkSession, docs, run, "grp int, packed binary")
 
+def _buckets(signed: DataFrame) -> DataFrame:
+    """Rows of pairs (a, b), where a is the smallest member of a signature that b has too; and rows of the members of signatures of three documents or more, each list once a group: (who, m, ids)."""
 
-def _buckets(packed: DataFrame) -> DataFrame:
-    """Members of signatures that at least two documents share: (sig, doc_id)."""
     def run(key, batches):
-        if key[0].as_py() < 0:
-            found = [np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column("packed").to_pylist()]
-            ids = np.concatenate([f[1] for f in found])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64())], ["sig", "doc_id"])
-            return
-        both = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for b in batches for x in b.column("packed").to_pylist()], axis=1)
-        order = np.argsort(both[0], kind="stable")
-        sig = both[0][order]
-        same = np.r_[False, sig[1:] == sig[:-1]]
-        keep = np.flatnonzero(same | np.r_[same[1:], False])
-        for a in range(0, len(keep), 100_000):
-            k = keep[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[k], pa.int64()), pa.array(both[1][order[k]], pa.int64())], ["sig", "doc_id"])
+        read = [(risen(s, n), wide(i, n)) for b in batches for n, s, i in zip(*(b.column(c).to_pylist() for c in ("size", "sigs", "ids")))]
+        sig = np.concatenate([s for s, _ in read])
+        ids = np.concatenate([i for _, i in read])
+        del read
+        order = np.lexsort((ids, sig))
+        sig, ids = sig[order], ids[order]
+        keep = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]  # a doc_id may be repeated
+        sig, ids = sig[keep], ids[keep]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        m = np.diff(np.r_[start, len(sig)])
+        lead = np.repeat(ids[start], m)
+        both = np.unique(np.stack([lead, ids])[:, lead != ids], axis=1)
+        for at in range(0, both.shape[1], 100_000):
+            a, b = both[:, at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), k) for k in (pa.int64(), pa.int64(), pa.binary())]], ["a", "b", "who", "m", "ids"])
+        who = np.add.reduceat(mix(ids.view(np.uint64)), start).view(np.int64)
+        many = np.flatnonzero(m > 2)
+        _, once = np.unique(np.stack([who[many], m[many]]), axis=1, return_index=True)
+        lists = [(who[k], m[k], narrow(ids[c : min(c + ROW, start[k] + m[k])]), min(ROW, start[k] + m[k] - c)) for k in many[once] for c in range(start[k], start[k] + m[k], ROW)]
+        for at in range(0, len(lists), 4096):
+            w, size, packed, n = zip(*lists[at : at + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.nulls(len(w), pa.int64()), pa.array(w, pa.int64()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], ["a", "b", "who", "m", "ids"])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return packed.groupBy("grp").applyInArrow(run, "sig long, doc_id long")
+    return signed.where("grp is not null").select("grp", "size", "sigs", "ids").groupBy("grp").applyInArrow(run, "a long, b long, who long, m long, ids binary")
+
+
+def _opened(lists: DataFrame) -> DataFrame:
+    """(who, m, doc_id) of stored buckets."""
+
+    def run(batches):
+        for b in batches:
+            for who, m, n, ids in zip(*(b.column(c).to_pylist() for c in ("who", "m", "a", "ids"))):
+                yield pa.RecordBatch.from_arrays([pa.array([who] * n, pa.int64()), pa.array([m] * n, pa.int64()), pa.array(wide(ids, n))], ["who", "m", "doc_id"])
+
+    return py(lists.sparkSession, lists, run, "who long, m long, doc_id long")
 
 
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -254,38 +217,36 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     likely = settle(py(docs.sparkSession, pairs.join(pa_, "a").join(pb_, "b").select("a", "na", "pa", "b", "nb", "pb"), sketch, "a long, b long"), "likely")
-    ids = broadcast_if_small(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", BROADCAST_IDS)
+    ids = broadcast_if_small(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", BROADCAST_BYTES // 8)
 
     def whole(batches):
-        for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "elements"])
+        for part in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), WIDTH)], pa.binary())], ["doc_id", "elements"])
 
     found = settle(py(docs.sparkSession, docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), whole, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
     sa, sb = (found.select(F.col("doc_id").alias(k), F.col("elements").alias(f"s{k}")) for k in "ab")
 
     def exact(batches):
-        for part in slices(batches, "sa"):
+        for part in slices(batches, "sa", SLICE):
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return settle(py(docs.sparkSession, likely.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb"), exact, "a long, b long"), "links")
+    links = settle(py(docs.sparkSession, likely.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb"), exact, "a long, b long"), "links")
+    discard(likely, found)
+    return links
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """A pair (a, b) for each member of a bucket but its smallest: as many pairs as members, whatever the bucket's size."""
-    lead = buckets.groupBy("sig").agg(F.min("rep").alias("a"))
-    return buckets.join(lead, "sig").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-
-
-def _unresolved(buckets: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that the stars left in different components and whose parities allow a link.
+def _unresolved(lists: DataFrame, of: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members that the first links left in different components and whose parities allow a link.
 
     Buckets with the same members count once; a bucket of many members is compared in blocks.
     """
-    labelled = buckets.join(parts, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp"))
-    per = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    per = per.where("lo < hi and m > 2").groupBy("who", "m").agg(F.min("sig").alias("sig"))
-    opened = labelled.join(per, "sig").join(sets.select("rep", "n", "parity"), "rep")
+    members = _opened(lists).join(of, "doc_id").select("who", "m", "rep").distinct()
+    labelled = members.join(parts, F.col("rep") == F.col("node"), "left").select("who", "m", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = settle(labelled, "bucket-members")
+    per = labelled.groupBy("who", "m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"))
+    per = per.where("lo < hi and own > 2").groupBy("same", "own").agg(F.min(F.struct("who", "m")).alias("b")).select("b.who", "b.m", "own")
+    opened = labelled.join(per, ["who", "m"]).join(sets.select("rep", "n", "parity"), "rep").withColumn("sig", F.xxhash64("who", "m")).withColumn("m", F.col("own"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = opened.withColumn("k", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("sig", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "rep", "comp", "n", "parity")
@@ -296,8 +257,8 @@ def _unresolved(buckets: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFr
         k, rep, comp, n = (t.column(c).to_numpy() for c in ("k", "rep", "comp", "n"))
         bits = [np.frombuffer(b, np.uint8) for b in t.column("parity").to_pylist()]
         width = min(map(len, bits))
-        wide = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
-        flat = np.bitwise_xor.reduce(wide.reshape(len(wide), SPARSE, -1), axis=1) if width >= 32 * SPARSE else wide  # narrow sketches tell most pairs apart
+        whole = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
+        flat = np.bitwise_xor.reduce(whole.reshape(len(whole), SPARSE, -1), axis=1) if width >= 32 * SPARSE else whole  # narrow sketches tell most pairs apart
         found = []
         left = np.flatnonzero(k == x)
         right = np.flatnonzero(k == y)
@@ -308,27 +269,15 @@ def _unresolved(buckets: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFr
                 ok &= rep[right] > rep[i]
             near = np.flatnonzero(ok)
             if len(near):
-                d = np.bitwise_count(wide[right[near]] ^ wide[i]).sum(axis=1, dtype=np.int64)
+                d = np.bitwise_count(whole[right[near]] ^ whole[i]).sum(axis=1, dtype=np.int64)
                 ok[near] = d <= (n[right[near]] + n[i]) * (UNION - SHARE) // (UNION + SHARE)
             found += [(min(rep[i], r), max(rep[i], r)) for r in rep[right[ok]]]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return settle(dealt.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long").distinct(), "unresolved")
-
-
-def _lookup(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pairs of the documents ``ids`` and all documents that share an element with them."""
-
-    def run(batches):
-        for part in slices(batches, "text", 1 << 20):
-            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-            if sum(map(len, sets)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets]), pa.int64())], ["e", "doc_id"])
-
-    every = py(docs.sparkSession, docs, run, "e long, doc_id long")
-    asked = every.join(ids.distinct(), "doc_id", "left_semi").select("e", F.col("doc_id").alias("q"))
-    return every.join(asked, "e").where("doc_id <> q").select(F.least("doc_id", "q").alias("a"), F.greatest("doc_id", "q").alias("b")).distinct()
+    found = settle(dealt.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long").distinct(), "unresolved")
+    discard(labelled)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -340,31 +289,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeat a doc_id are one document, each row of which is returned; rows with a null doc_id are returned
     unlinked with a null component. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    profiles = settle(_profiles(docs), "profiles")
-    rows = profiles.where("chunk is null").select("doc_id", "n", "f1", "f2", "parity")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    signed = settle(_signed(docs, max(1, size // (6 * GROUP))), "signed")
+    rows = settle(signed.where("grp is null").select("doc_id", "n", "f1", "f2", "parity"), "profiles")
+    found = settle(_buckets(signed), "buckets")
+    discard(signed)
     identity = ["n", "f1", "f2"]
     sets = settle(rows.where("n > 0 and doc_id is not null").groupBy(*identity, "parity").agg(F.min("doc_id").alias("rep")), "distinct")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = spark.sparkContext.broadcast(_frequencies(profiles))
-    members = settle(_buckets(_signature_groups(known, counts, max(1, total // (2 * GROUP)))), "members")
     # equal sets are one member
-    of = rows.where("n > 0").join(sets.select(*identity, "rep"), identity).select("doc_id", "rep").distinct()
-    buckets = settle(members.where("sig is not null").join(of, "doc_id").select("sig", "rep").distinct(), "buckets")
-    pairs = _stars(buckets)
-    lonely = members.where("sig is null").select("doc_id")
-    if not lonely.isEmpty():
-        found = _lookup(known, lonely)
-        found = found.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-        pairs = pairs.unionByName(found.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).distinct()
+    of = settle(rows.where("n > 0 and doc_id is not null").join(sets.select(*identity, "rep"), identity).select("doc_id", "rep").distinct(), "members")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    pairs = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     # a document of several texts joins their sets
     several = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("lead")), "doc_id").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     parts = components(_verify(known, sets, pairs).unionByName(several))
-    rest = _unresolved(buckets, sets, parts)
+    lists = found.where("who is not null").groupBy("who", "m", "ids").agg(F.first("a").alias("a"))
+    rest = _unresolved(lists, of, sets, parts)
     if not rest.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(known, sets, rest)))
+    discard(found)
     labelled = sets.join(parts, F.col("rep") == F.col("node"), "left").select(*identity, F.coalesce("component", "rep").alias("component"))
     return rows.join(labelled, identity, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

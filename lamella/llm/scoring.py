@@ -1,15 +1,16 @@
 """LM scoring: cross-entropy difference of matched target and background bigram models.
 
 The models are the counts of every word and word pair of the corpus, so they grow with it and stay
-distributed. Each slice of texts asks the groups of keys for the counts of its own distinct keys, each
-once, which is also how the slice's own counts get there; it is then scored with the answers.
+distributed. Each slice of texts is stored as indices into its own dictionary. It asks the groups of keys for the
+counts of its own distinct keys, each once, which is also how the slice's own counts get there, and is then
+scored with the answers. Keys are made anew from the stored slice wherever they are needed, so none are stored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,116 +19,129 @@ from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
 from lamella.llm.common import broadcast_if_small, py, settle, table
-from lamella.llm.partenum import M2, M3, MEMORY, _hashes, mix
+from lamella.llm.words import M2, M3, hashed_words, mix, narrow, rising, risen, wide
 
 #: Smoothing, the same for both models: pseudo-counts of a word, and of a context's back-off.
 ALPHA, MU = 0.5, 8.0
-#: Target documents up to which their ids are broadcast; beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Bytes of target ids up to which they are broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 8 << 20
 #: Bytes of text in one slice, and for each group of keys.
-SLICE, GROUP_BYTES = 8 << 20, 32 << 20
+SLICE, GROUP_BYTES = 16 << 20, 32 << 20
 #: Groups of keys at least.
-GROUPS = 256
-#: Kinds of keys: a word, a word before another one, and a pair of words.
-WORD, CONTEXT, PAIR = range(3)
+GROUPS = 16
+#: Kinds of keys: a pair of words, and a word (counted by itself and as the context of another one).
+PAIR, WORD = range(2)
 #: What stands before the first word of a text.
 START = np.uint64(1)
-ASKED = pa.schema([("slice", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("every", pa.binary()), ("goal", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("marks", pa.binary()), ("inverse", pa.binary()), ("at", pa.binary()), ("n", pa.int64()), ("t", pa.int64())])
-ASKED_DDL = "slice long, grp int, keys binary, every binary, goal binary, ids array<bigint>, lengths binary, marks binary, inverse binary, at binary, n long, t long"
+HEAD = "slice long, ids array<bigint>, lengths binary, marks binary, dictionary binary, words long, tokens binary, n long, t long"
 SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def words(text: str | None) -> list[bytes]:
+    """Words are what ASCII white space separates, with A-Z lower-cased."""
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of words, hashes of the words before them, words of each text)."""
-    known = _hashes()
-    if len(known) > MEMORY:
-        known.clear()
-    rows = [words(t) for t in texts]
-    n = np.array([len(r) for r in rows], np.int64)
-    now = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), np.uint64, int(n.sum()))
-    before = np.roll(now, 1)
-    before[(np.cumsum(n) - n)[n > 0]] = START
-    return now, before, n
-
-
-def keyed(x: np.ndarray, kind: int) -> np.ndarray:
-    """64-bit keys of hashes; the last two bits are the kind."""
-    return (mix(x ^ M3) & ~np.uint64(3)) | np.uint64(kind)
-
-
-def _asked(docs: DataFrame, groups: int) -> DataFrame:
-    """A row per slice of texts (where its tokens' counts will stand in the answers), and rows of its distinct keys and their counts, one a group."""
+def _slices(docs: DataFrame) -> DataFrame:
+    """A row per slice of texts: ids, words and target marks of its texts, its dictionary, and its tokens as places in that."""
 
     def run(batches):
         for part in slices(batches, "text", SLICE):
-            name, mark = uuid.uuid4().int >> 65, np.array(part.column("target").to_pylist(), bool)
-            now, before, n = tokens(part.column("text").to_pylist())
-            pair, first, inverse = np.unique(keyed(mix(before) * M2 + now, PAIR), return_index=True, return_inverse=True)
-            word, w = np.unique(keyed(now[first], WORD), return_inverse=True)
-            context, c = np.unique(keyed(before[first], CONTEXT), return_inverse=True)
-            keys = np.concatenate([pair, word, context])
-            counts = []
-            for weights in (None, np.repeat(mark, n)):
-                p = np.bincount(inverse, weights=weights, minlength=len(pair))
-                counts.append(np.concatenate([p, np.bincount(w, weights=p, minlength=len(word)), np.bincount(c, weights=p, minlength=len(context))]).astype(np.int32))
-            group = ((keys >> np.uint64(2)) % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(group, kind="stable")
-            place = np.empty(len(keys), np.int32)
-            place[order] = np.arange(len(keys))
-            at = place[np.stack([np.arange(len(pair)), len(pair) + w, len(pair) + len(word) + c])]
-            head = {"slice": name, "ids": part.column("doc_id").to_pylist(), "lengths": n.tobytes(), "marks": mark.tobytes(), "inverse": inverse.astype(np.int32).tobytes(), "at": at.tobytes(), "n": int(n.sum()), "t": int(n[mark].sum())}
-            yield pa.RecordBatch.from_pylist([head], schema=ASKED)
-            group, keys, every, goal = (x[order] for x in (group, keys, *counts))
-            cut = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)] if len(keys) else []
-            rows = [{"slice": name, "grp": int(group[a]), "keys": keys[a:b].tobytes(), "every": every[a:b].tobytes(), "goal": goal[a:b].tobytes()} for a, b in zip(cut, cut[1:])]
-            for a in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_pylist(rows[a : a + 1024], schema=ASKED)
-
-    return py(docs.sparkSession, docs, run, ASKED_DDL)
-
-
-def _answers(asked: DataFrame) -> DataFrame:
+            mark = part.column("target").to_numpy(zero_copy_only=False)
+            h, n = hashed_words(part.column("text"))
+            dictionary, tokens = np.unique(np.r_[START, h], return_inverse=True)
+            row = [uuid.uuid4().int >> 65, part.column("doc_id").to_pylist(), narrow(n), mark.tobytes(), rising(dictionary), len(dictionary), narrow(tokens[1:].astype(np.uint32)), int(n.sum()), int(n[mark].sum())]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["slice", "ids", "lengths", "marks", "dictionary", "words", "tokens", "n", "t"])
+
+    return py(docs.sparkSession, docs, run, HEAD)
+
+
+class _Slice:
+    """A stored slice: lengths and marks of its texts, places of its tokens and of the words before them, its distinct keys in order."""
+
+    def __init__(self, row: dict):
+        self.ids, self.n, self.mark = row["ids"], wide(row["lengths"], len(row["ids"])), np.frombuffer(row["marks"], bool)
+        dictionary = risen(row["dictionary"], row["words"])
+        now = wide(row["tokens"], row["n"], np.uint32).astype(np.int64)
+        before = np.roll(now, 1)
+        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = np.searchsorted(dictionary, START)
+        pairs, pair = np.unique(before * len(dictionary) + now, return_inverse=True)
+        keys = [mix(mix(dictionary[pairs // len(dictionary)]) * M2 + dictionary[pairs % len(dictionary)] ^ M3), mix(dictionary ^ M3)]
+        self.keys, places = [], []
+        for k in keys:
+            order = np.argsort(k)
+            place = np.empty(len(k), np.int64)
+            place[order] = np.arange(len(k))
+            self.keys.append(k[order])
+            places.append(place)
+        self.places = (places[PAIR][pair], places[WORD][now], places[WORD][before])
+
+    def counts(self) -> list[np.ndarray]:
+        """Of pairs: (in all texts, in targets); of words: the same, and the same as contexts."""
+        marked = np.repeat(self.mark, self.n)
+        tally = lambda place, kind: [np.bincount(place[w], minlength=len(self.keys[kind])).astype(np.uint32) for w in (slice(None), marked)]
+        pair, now, before = self.places
+        return [np.stack(tally(pair, PAIR)), np.stack(tally(now, WORD) + tally(before, WORD))]
+
+
+def _cuts(keys: np.ndarray, groups: int):
+    """(group, begin, end): groups are ranges of keys."""
+    g = ((keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    cut = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else []
+    return [(int(g[a]), int(a), int(b)) for a, b in zip(cut, cut[1:])]
+
+
+def _answers(held: DataFrame, groups: int) -> DataFrame:
     """The corpus's counts of the keys each slice asked for, in the order of its question; and a row a group with its number of distinct words."""
 
-    def run(key, batches):
-        t = pa.Table.from_batches(list(batches))
-        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        both = [np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.int32) for x in t.column(c).to_pylist()]), minlength=len(own)).astype(np.int64) for c in ("every", "goal")]
-        edges = np.r_[0, np.cumsum([len(k) for k in keys])]
-        group, n = key[0].as_py(), len(keys)
-        for a in range(0, n, 256):
-            packed = [np.stack([c[inverse[edges[i] : edges[i + 1]]] for c in both]).tobytes() for i in range(a, min(a + 256, n))]
-            yield pa.RecordBatch.from_arrays([t.column("slice").slice(a, 256).combine_chunks(), pa.array([group] * len(packed), pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.int64())], ["slice", "grp", "packed", "words"])
-        distinct = int(((own & np.uint64(3)) == WORD).sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([group], pa.int32()), pa.nulls(1, pa.binary()), pa.array([distinct], pa.int64())], ["slice", "grp", "packed", "words"])
-
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return asked.where("grp is not null").select("slice", "grp", "keys", "every", "goal").groupBy("grp").applyInArrow(run, "slice long, grp int, packed binary, words long")
+    def ask(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                own = _Slice(row)
+                for kind, counts in enumerate(own.counts()):
+                    rows = [(row["slice"], g, kind, z - a, rising(own.keys[kind][a:z]), narrow(counts[:, a:z].ravel())) for g, a, z in _cuts(own.keys[kind], groups)]
+                    for at in range(0, len(rows), 1024):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1024]), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "grp", "kind", "size", "keys", "counts"])
 
-
-def _within(text: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    def answer(key, batches):
+        t = pa.Table.from_batches(list(batches))
+        (group, kind), sizes = (k.as_py() for k in key), t.column("size").to_pylist()
+        own, inverse = np.unique(np.concatenate([risen(x, n) for x, n in zip(t.column("keys").to_pylist(), sizes)]), return_inverse=True)
+        columns = 2 if kind == PAIR else 4
+        given = [wide(x, columns * n, np.uint32).reshape(columns, n) for x, n in zip(t.column("counts").to_pylist(), sizes)]
+        sums = [np.bincount(inverse, weights=np.concatenate([g[i] for g in given]), minlength=len(own)).astype(np.int64) for i in range(columns)]
+        del given
+        edges = np.r_[0, np.cumsum(sizes)]
+        for a in range(0, len(sizes), 256):
+            packed = [narrow(np.stack([c[inverse[edges[i] : edges[i + 1]]] for c in sums]).ravel()) for i in range(a, min(a + 256, len(sizes)))]
+            k = len(packed)
+            yield pa.RecordBatch.from_arrays([t.column("slice").slice(a, k).combine_chunks(), pa.array([group] * k, pa.int32()), pa.array([kind] * k, pa.int32()), pa.array(sizes[a : a + k], pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64())], ["slice", "grp", "kind", "size", "packed", "words"])
+        distinct = len(own) - int(np.isin(mix(START ^ M3), own)) if kind == WORD else 0
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())] + [pa.array([distinct], pa.int64())], ["slice", "grp", "kind", "size", "packed", "words"])
+
+    answer.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    asked = py(held.sparkSession, held, ask, "slice long, grp int, kind int, size long, keys binary, counts binary")
+    return asked.groupBy("grp", "kind").applyInArrow(answer, "slice long, grp int, kind int, size long, packed binary, words long")
+
+
+def _within(text: np.ndarray, place: np.ndarray) -> np.ndarray:
     """How often each token's key stands in its own text."""
-    _, inverse, n = np.unique(text * size + place, return_inverse=True, return_counts=True)
+    _, inverse, n = np.unique(text * (int(place.max(initial=0)) + 1) + place, return_inverse=True, return_counts=True)
     return n[inverse]
 
 
-def losses(counts: np.ndarray, totals: tuple[int, int], vocabulary: int, n: np.ndarray, mark: np.ndarray, inverse: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def losses(own: _Slice, pairs: np.ndarray, single_words: np.ndarray, totals: tuple[int, int], vocabulary: int) -> list[np.ndarray]:
     """Bits a token of each text of a slice under the background and the target model; a text's own counts are left out."""
-    text = np.repeat(np.arange(len(n)), n)
-    places = at[:, inverse]
-    own = [_within(text, p, counts.shape[1]) for p in places]
+    text = np.repeat(np.arange(len(own.n)), own.n)
+    inside = [_within(text, p) for p in own.places]
     out = []
-    for total, count, mine in zip(totals, counts, (np.ones(len(n), bool), mark)):
-        less = mine[text]
-        pair, word, context = (count[p] - o * less for p, o in zip(places, own))
-        single = (word + ALPHA) / ((total - n * mine)[text] + ALPHA * (vocabulary + 1))
+    for i, mine in enumerate((np.ones(len(own.n), bool), own.mark)):
+        found = (pairs[i], single_words[i], single_words[2 + i])
+        pair, word, context = (count[p] - o * mine[text] for count, p, o in zip(found, own.places, inside))
+        single = (word + ALPHA) / ((totals[i] - own.n * mine)[text] + ALPHA * (vocabulary + 1))
         bits = -np.log2((pair + MU * single) / (context + MU))
-        out.append(np.bincount(text, weights=bits, minlength=len(n)) / np.maximum(n, 1))
+        out.append(np.bincount(text, weights=bits, minlength=len(own.n)) / np.maximum(own.n, 1))
     return out
 
 
@@ -143,27 +157,27 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     targets the target model is uniform; an empty table gives an empty one. Words and pairs are told by
     64-bit hashes.
     """
-    marks = broadcast_if_small(targets.where("doc_id is not null").select(F.col("doc_id").alias("mark")).distinct(), "targets", BROADCAST_IDS)
-    marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("mark"), "left").select(F.col("doc_id").cast("long"), "text", F.col("mark").isNotNull().alias("target"))
+    marks = broadcast_if_small(targets.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("mark")).distinct(), "targets", BROADCAST_BYTES // 8)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, F.col("doc_id") == F.col("mark"), "left").select("doc_id", "text", F.col("mark").isNotNull().alias("target"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    asked = settle(_asked(marked, max(GROUPS, size // GROUP_BYTES)), "asked")
-    answers = settle(_answers(asked), "answers")
-    none = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))
-    totals = tuple(asked.where("grp is null").agg(*none).first())
-    vocabulary = answers.where("slice is null").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    head = ["ids", "lengths", "marks", "inverse", "at"]
+    held = settle(_slices(marked), "slices")
+    answers = settle(_answers(held, max(GROUPS, size // GROUP_BYTES)), "answers")
+    totals = tuple(held.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "nt"]).first())
+    vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
     def run(key, batches):
         rows = pa.Table.from_batches(list(batches)).to_pylist()
-        (own,) = [r for r in rows if r["grp"] is None]
-        found = [np.frombuffer(r["packed"], np.int64).reshape(2, -1) for r in sorted((r for r in rows if r["grp"] is not None), key=lambda r: r["grp"])]
-        n, inverse, at = (np.frombuffer(own[c], k) for c, k in (("lengths", np.int64), ("inverse", np.int32), ("at", np.int32)))
-        background, target = losses(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), totals, vocabulary, n, np.frombuffer(own["marks"], bool), inverse, at.reshape(3, -1))
-        yield pa.RecordBatch.from_arrays([pa.array(own["ids"], pa.int64()), pa.array(n), pa.array(target), pa.array(background)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
+        (head,) = [r for r in rows if r["kind"] is None]
+        own = _Slice(head)
+        found = []
+        for kind, columns in ((PAIR, 2), (WORD, 4)):
+            parts = [wide(r["packed"], columns * r["size"]).reshape(columns, -1) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["grp"])]
+            found.append(np.concatenate([np.zeros((columns, 0), np.int64), *parts], axis=1))
+        background, target = losses(own, *found, totals, vocabulary)
+        yield pa.RecordBatch.from_arrays([pa.array(own.ids, pa.int64()), pa.array(own.n), pa.array(target), pa.array(background)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    asking = asked.where("grp is null").select("slice", "grp", *head, F.lit(None).cast("binary").alias("packed"))
-    every = asking.unionByName(answers.where("slice is not null").select("slice", "grp", "packed"), allowMissingColumns=True)
+    every = held.unionByName(answers.where("slice is not null").drop("words"), allowMissingColumns=True)
     return every.groupBy("slice").applyInArrow(run, SCORES).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
