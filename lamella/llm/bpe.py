@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -16,32 +18,81 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import py, table
+from lamella.llm.common import memory, py, settle, table
+from lamella.llm.words import narrow, wide
 
 #: Words above so many pieces are merged with a heap over linked pieces; the result is the same.
 SHORT = 128
 #: Words that a worker remembers between documents; when full the memory starts anew, results don't depend on it.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Bytes of text handled at once inside a task.
 SLICE = 4 << 20
+#: Bytes of text whose distinct pre-tokens ask for their pieces together, and for each group of pre-tokens.
+ASKING, GROUP_BYTES = 16 << 20, 32 << 20
 NONE = 1 << 60
+#: Code points from here up to PRIVATE are unassigned.
+UNASSIGNED, PRIVATE = 0x40000, 0xE0000
 
 #: How byte-level vocabularies spell bytes, and the patterns that split text before merging.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White space of the splitting patterns (Unicode's White_Space property, without U+001C to U+001F).
-SPACE = r"\t-\r \x85\xA0  -     　"
-
-
 def spelled_bytes() -> dict[str, int]:
     """Character to byte: printable bytes stand for themselves, the others for U+0100 and up in order."""
     rest = [b for b in range(256) if b not in set(PLAIN_BYTES)]
     return {chr(b): b for b in PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _pattern(text: str):
-    return regex.compile(text.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", rf"[{SPACE}]+(?![^{SPACE}])").replace(r"|\s+", rf"|[{SPACE}]+"))
+def _assigned() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, UNASSIGNED), *range(PRIVATE, 0x110000)]))
+
+
+@lru_cache(maxsize=1)
+def unicode_classes() -> dict[str, str]:
+    r"""What the tokenizer files' own library takes for \p{L}, \p{N} and \s, as ranges of a character class.
+
+    Unicode tables differ between libraries and versions, so the classes are asked for rather than written down.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    every, out = _assigned(), {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        at, ranges = 0, []
+        left = pre_tokenizers.Split(Regex(f"{name}+"), "removed").pre_tokenize_str(every)
+        for a, b in [x[1] for x in left] + [(len(every), len(every))]:
+            if a > at:
+                k = at
+                for k0, k1 in ((0, 0xD800), (0xD800, len(every))):  # surrogates lie between
+                    lo, hi = max(k, k0), min(a, k1)
+                    if lo < hi:
+                        ranges.append(f"\\U{ord(every[lo]):08x}-\\U{ord(every[hi - 1]):08x}")
+            at = b
+        out[name] = "".join(ranges)
+    return out
+
+
+@lru_cache(maxsize=4)
+def exact_pattern(text: str) -> str:
+    """A splitting pattern with its classes spelled out."""
+    c = unicode_classes()
+    space, letter, digit = c[r"\s"], c[r"\p{L}"], c[r"\p{N}"]
+    text = text.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\s+(?!\S)", f"[{space}]+(?![^{space}])").replace(r"|\s+", f"|[{space}]+")
+    return text.replace(r"[\p{L}]", f"[{letter}]").replace(r"[\p{N}]", f"[{digit}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
+
+
+@lru_cache(maxsize=1)
+def lower_cases() -> dict[int, str]:
+    """How the library lower-cases single characters, wherever it changes them."""
+    from tokenizers import normalizers
+
+    low = normalizers.Lowercase()
+    return {ord(c): x for c in _assigned() if not c.isascii() or c.isupper() if (x := low.normalize_str(c)) != c}
+
+
+def odd_cases(table: dict[int, str]) -> str:
+    """The characters that Python lower-cases otherwise, alone or at the end of a word, as a pattern."""
+    odd = [c for c in _assigned() if table.get(ord(c), c) != c.lower()]
+    return "[" + "".join(map(regex.escape, {*odd, "Σ"})) + "]"
 
 
 class Vocabulary:
@@ -130,13 +181,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def _memory(path: str, kind: str) -> dict:
-    return {}
-
-
-@lru_cache(maxsize=4)
-def _splitter(pattern: str):
-    return _pattern(pattern)
+def compiled(pattern: str):
+    return regex.compile(pattern)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -184,8 +230,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     bounded by a slice of texts and the worker's word memory.
     """
 
+    pattern = exact_pattern(BYTE_PATTERN)
+
     def run(batches):
-        vocab, known, split = vocabulary(path), _memory(path, "ids"), _splitter(BYTE_PATTERN).findall
+        vocab, known, split = vocabulary(path), memory(("ids", path)), compiled(pattern).findall
         for part in slices(batches, "text"):
             ids = [encode_text(t or "", vocab, known, split) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -196,44 +244,121 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return py(docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def count_text(text: str, vocab: Vocabulary, known: dict, split) -> int:
-    """Tokens of a whole text: the frequencies of its distinct pre-tokens, joined to their piece counts."""
-    total = 0
-    for stretch, special in vocab.spans(text):
-        if special is not None:
-            total += 1
-            continue
-        if not stretch.isascii():
-            stretch = unicodedata.normalize("NFC", stretch).replace("Σ", "σ")
-        frequency = Counter(split(stretch.lower()))
-        for w, n in frequency.items():
-            pieces = known.get(w)
-            if pieces is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                pieces = known[w] = len(vocab.merge(w.encode()))
-            total += n * pieces
-    return total
+class Normal:
+    """Text as the word-level vocabulary reads it: composed, then lower-cased character by character."""
 
+    def __init__(self, table: dict[int, str], odd: str):
+        self.table, self.odd = table, compiled(odd)
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """Tokens of whole texts (doc_id, text) without materialising ids.
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return text.translate(self.table) if self.odd.search(text) else text.lower()
+
+
+def frequencies(text: str, vocab: Vocabulary, normal: Normal, split) -> tuple[Counter, int]:
+    """(how often each pre-token stands in a whole text, special strings in it)."""
+    count, special = Counter(), 0
+    for stretch, own in vocab.spans(text):
+        if own is not None:
+            special += 1
+        else:
+            count.update(split(normal(stretch)))
+    return count, special
+
+
+HEAD = "slice long, ids array<bigint>, n_bytes binary, special binary, distinct binary, places binary, counts binary, size long, tokens array<string>"
 
-    A task keeps one table of pieces per distinct pre-token; a document's pre-token frequencies are
-    joined to it and summed. The join stays inside the task, as pairs of document and pre-token
-    outweigh the texts. Returns doc_id, n_bytes, n_tokens and over_limit. Null and empty
-    texts have 0 bytes and tokens; rows that repeat a doc_id each give a row.
-    """
+
+def _counted(docs: DataFrame, path: str) -> DataFrame:
+    """A row per slice of texts: its distinct pre-tokens, and for each text places in them and frequencies."""
+    pattern, lower = exact_pattern(WORD_PATTERN), lower_cases()
+    odd = odd_cases(lower)
 
     def run(batches):
-        vocab, known, split = vocabulary(path), _memory(path, "count"), _splitter(WORD_PATTERN).findall
-        for part in slices(batches, "text"):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            n = [count_text(t, vocab, known, split) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        vocab, normal, split = vocabulary(path), Normal(lower, odd), compiled(pattern).findall
+        for part in slices(batches, "text", ASKING):
+            known: dict[str, int] = {}
+            places, counts, distinct, special, n_bytes = [], [], [], [], []
+            for t in part.column("text"):
+                t = t.as_py() or ""
+                own, k = frequencies(t, vocab, normal, split)
+                places.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.uint32, len(own)))
+                counts.append(np.fromiter(own.values(), np.uint32, len(own)))
+                distinct.append(len(own))
+                special.append(k)
+                n_bytes.append(len(t.encode()))
+            row = [uuid.uuid4().int >> 65, part.column("doc_id").to_pylist(), *[narrow(np.array(x, np.int64)) for x in (n_bytes, special, distinct)], narrow(np.concatenate(places)), narrow(np.concatenate(counts)), sum(distinct), list(known)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["slice", "ids", "n_bytes", "special", "distinct", "places", "counts", "size", "tokens"])
+
+    return py(docs.sparkSession, docs, run, HEAD)
+
+
+def _pieces(held: DataFrame, path: str, groups: int) -> DataFrame:
+    """(slice, grp, size, at, pieces): the pieces of each slice's pre-tokens. A group holds all slices' pre-tokens of one hash range and merges each distinct one once."""
+
+    def ask(batches):
+        for b in batches:
+            for name, tokens in zip(b.column("slice").to_pylist(), b.column("tokens")):
+                values = tokens.values
+                g = np.fromiter((zlib.crc32(w.encode()) % groups for w in values.to_pylist()), np.int64, len(values))
+                order = np.argsort(g, kind="stable")
+                cut = [*np.flatnonzero(np.r_[True, np.diff(g[order]) > 0]), len(g)] if len(g) else []
+                for a, z in zip(cut, cut[1:]):
+                    own = order[a:z]
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(g[own[0]])], pa.int32()), pa.array([narrow(own)], pa.binary()), pa.array([values.take(pa.array(own)).to_pylist()], pa.list_(pa.string()))], ["slice", "grp", "at", "tokens"])
+
+    def count(key, batches):
+        vocab = vocabulary(path)
+        t = pa.Table.from_batches(list(batches))
+        sizes = pc.list_value_length(t.column("tokens")).to_pylist()
+        every = pc.list_flatten(t.column("tokens")).combine_chunks().dictionary_encode()
+        if isinstance(every, pa.ChunkedArray):
+            every = every.unify_dictionaries().combine_chunks()
+        pieces = np.array([len(vocab.merge(w.encode())) for w in every.dictionary.to_pylist()], np.uint32)[every.indices.to_numpy()]
+        at = 0
+        for i, n in enumerate(sizes):
+            yield pa.RecordBatch.from_arrays([t.column("slice").slice(i, 1).combine_chunks(), pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), t.column("at").slice(i, 1).combine_chunks(), pa.array([narrow(pieces[at : at + n])], pa.binary())], ["slice", "grp", "size", "at", "pieces"])
+            at += n
+
+    count.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    asked = py(held.sparkSession, held.select("slice", "tokens"), ask, "slice long, grp int, at binary, tokens array<string>")
+    return asked.groupBy("grp").applyInArrow(count, "slice long, grp int, size long, at binary, pieces binary")
+
 
-    counted = py(docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """Tokens of whole texts (doc_id, text) without materialising ids.
+
+    Pieces are counted once per distinct pre-token of the corpus, joined to the pre-token frequencies of
+    documents, and summed. As pairs of document and pre-token outweigh the texts, a slice of
+    texts asks once for each of its distinct pre-tokens and is joined to the answers as a whole.
+    Returns doc_id, n_bytes, n_tokens and over_limit. Null and empty texts have 0 bytes and tokens; rows
+    that repeat a doc_id, tied or not, each give a row; an empty table gives an empty one.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = settle(_counted(docs, path), "pre-tokens")
+    answers = _pieces(held, path, max(1, size // GROUP_BYTES))
+
+    def total(key, batches):
+        rows = pa.Table.from_batches(list(batches)).to_pylist()
+        (own,) = [r for r in rows if r["grp"] is None]
+        found = [r for r in rows if r["grp"] is not None]
+        pieces = np.zeros(sum(r["n"] for r in found), np.int64)
+        for r in found:
+            pieces[wide(r["at"], r["n"])] = wide(r["pieces"], r["n"], np.uint32)
+        n = len(own["ids"])
+        n_bytes, special, distinct = (wide(own[c], n) for c in ("n_bytes", "special", "distinct"))
+        parts = pieces[wide(own["places"], own["size"], np.uint32)] * wide(own["counts"], own["size"], np.uint32)
+        sums = np.r_[0, np.cumsum(parts)]
+        edges = np.r_[0, np.cumsum(distinct)]
+        yield pa.RecordBatch.from_arrays([pa.array(own["ids"], pa.int64()), pa.array(n_bytes), pa.array(special + sums[edges[1:]] - sums[edges[:-1]])], ["doc_id", "n_bytes", "n_tokens"])
+
+    total.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    every = held.drop("tokens").unionByName(answers.withColumnRenamed("size", "n"), allowMissingColumns=True)
+    return every.groupBy("slice").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def public_path(name: str) -> str:

@@ -80,3 +80,13 @@ def py(spark: SparkSession, df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with the package importable on the workers."""
     workers_import(spark)
     return df.mapInArrow(function, schema)
+
+
+_HELD: list = [None, {}]
+
+
+def memory(key: object) -> dict:
+    """What this worker remembers between tasks under ``key``; another key empties it, so that stages don't add up."""
+    if _HELD[0] != key:
+        _HELD[:] = [key, {}]
+    return _HELD[1]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
-from lamella.llm.common import py, settle, table
+from lamella.llm.common import memory, py, settle, table
 
 #: Labelled documents that are learned from, at most: those with the smallest hashes of doc_id.
 TRAIN_DOCUMENTS = 20_000
@@ -180,18 +180,13 @@ def held_out(column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(HOLD_OUT)) == 0
 
 
-@lru_cache(maxsize=2)
-def _memory(model: str) -> dict:
-    return {}
-
-
 def _margins(docs: DataFrame, weights, bias: float) -> DataFrame:
     """Each row of ``docs`` with the margin of its ``text``'s worst word."""
     model = uuid.uuid4().hex
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        known = _memory(model)
+        known = memory(model)
         for part in slices(batches, "text"):
             yield part.append_column("margin", pa.array(worst(part.column("text").to_pylist(), held.value, bias, known), pa.float64()))
 
