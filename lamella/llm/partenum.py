@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ SPARSE = 4
 BLOCK = 1024
 #: Bytes of candidate ids up to which they are broadcast to pick documents from the corpus; beyond, the join is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Members of buckets in one group of comparisons, on average.
+MEMBERS = 100_000
 #: Members in one row of a stored bucket.
 ROW = 1 << 16
 
@@ -121,47 +124,49 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and UNION * both >= SHARE * (len(a) + len(b) - both)
 
 
-SIGNED = ["doc_id", "n", "f1", "f2", "parity", "grp", "size", "sigs", "ids"]
-SIGNED_KINDS = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+def _profiles(docs: DataFrame) -> DataFrame:
+    """A row per document: size, identity and parity of its set."""
 
+    def run(batches):
+        for part in slices(batches, "text", SLICE):
+            sets = shingle_sets(part.column("text"), WIDTH)
+            f1, f2 = identities(sets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "n", "f1", "f2", "parity"])
 
-def _signed(docs: DataFrame, groups: int) -> DataFrame:
-    """A row per document (size, identity and parity of its set), and rows of signatures with their doc_ids, one for each slice and group.
+    return py(docs.sparkSession, docs, run, "doc_id long, n long, f1 long, f2 long, parity binary")
 
-    Of equal sets in a slice one is signed. Groups are ranges of signatures.
-    """
 
-    def rows(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(SIGNED, SIGNED_KINDS)], SIGNED)
+def identities(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit numbers a set that only equal sets share."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        every = np.concatenate([sets[i] for i in full])
+        at = np.r_[0, np.cumsum([len(sets[i]) for i in full])][:-1]
+        out[0, full], out[1, full] = np.add.reduceat(mix(every), at), np.add.reduceat(mix(every ^ M2), at)
+    return out
+
+
+def _signed(docs: DataFrame, groups: int) -> DataFrame:
+    """Signatures with the doc_ids of their sets, a row for each slice and group; of equal sets in a slice one is signed. Groups are ranges of signatures."""
 
     def run(batches):
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), WIDTH)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            f1, f2 = np.zeros((2, len(sets)), np.uint64)
-            if full:
-                every = np.concatenate([sets[i] for i in full])
-                at = np.r_[0, np.cumsum([len(sets[i]) for i in full])][:-1]
-                f1[full], f2[full] = np.add.reduceat(mix(every), at), np.add.reduceat(mix(every ^ M2), at)
-            yield rows({
-                "doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)),
-                "parity": pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary()),
-            }, len(sets))
-            known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            chosen = list({(f1[i], f2[i], len(sets[i])): i for i in reversed(full) if known[i]}.values())
+            f1, f2 = identities(sets)
+            chosen = list({(f1[i], f2[i], len(s)): i for i, s in enumerate(sets) if len(s)}.values())
             sig, of = signatures([sets[i] for i in chosen])
             if not len(sig):
                 continue
             order = np.argsort(sig)
-            sig, ids = sig[order], part.column("doc_id").fill_null(0).to_numpy()[np.array(chosen)[of[order]]]
+            sig, ids = sig[order], part.column("doc_id").to_numpy()[np.array(chosen)[of[order]]]
             g = ((sig >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
             cut = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
             packed = [(g[a], b - a, rising(sig[a:b]), narrow(ids[a:b])) for a, b in zip(cut, cut[1:])]
             for k in range(0, len(packed), 256):
-                own = list(zip(*packed[k : k + 256]))
-                yield rows({c: pa.array(x, SIGNED_KINDS[SIGNED.index(c)]) for c, x in zip(("grp", "size", "sigs", "ids"), own)}, len(own[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed[k : k + 256]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["grp", "size", "sigs", "ids"])
 
-    return py(docs.sparkSession, docs, run, "doc_id long, n long, f1 long, f2 long, parity binary, grp int, size long, sigs binary, ids binary")
+    return py(docs.sparkSession, docs, run, "grp int, size long, sigs binary, ids binary")
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.nulls(len(w), pa.int64()), pa.array(w, pa.int64()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], ["a", "b", "who", "m", "ids"])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return signed.where("grp is not null").select("grp", "size", "sigs", "ids").groupBy("grp").applyInArrow(run, "a long, b long, who long, m long, ids binary")
+    return signed.groupBy("grp").applyInArrow(run, "a long, b long, who long, m long, ids binary")
 
 
 def _opened(lists: DataFrame) -> DataFrame:
@@ -236,47 +241,68 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A sketch at a smaller width; differing bits of it still differ in an element."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+
+def near_in_bucket(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i among ``left`` and j among ``right``, of different components whose sizes and parities allow a link."""
+    width = min(map(len, bits))
+    whole = np.stack([b if len(b) == width else folded(b, width) for b in bits])
+    narrow_width = max(32, width // SPARSE)  # narrow sketches tell most pairs apart
+    flat = np.bitwise_xor.reduce(whole.reshape(len(whole), -1, narrow_width), axis=1).view(np.uint64)
+    out = []
+    for a in range(0, len(left), 32):
+        i = left[a : a + 32]
+        most = most_different(n[i][:, None], n[right][None, :])
+        ok = (comp[i][:, None] != comp[right][None, :]) & (np.minimum(n[i][:, None], n[right][None, :]) * UNION >= SHARE * np.maximum(n[i][:, None], n[right][None, :]))
+        ok &= np.bitwise_count(flat[i][:, None, :] ^ flat[right][None, :, :]).sum(axis=2, dtype=np.int64) <= most
+        x, y = np.nonzero(ok)
+        if len(x):
+            keep = np.bitwise_count(whole[i[x]] ^ whole[right[y]]).sum(axis=1, dtype=np.int64) <= most[x, y]
+            out.append((i[x[keep]], right[y[keep]]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
 def _unresolved(lists: DataFrame, of: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of a bucket's members that the first links left in different components and whose parities allow a link.
 
-    Buckets with the same members count once; a bucket of many members is compared in blocks.
+    Buckets with the same members count once; a bucket of many members is compared in blocks. Comparisons
+    are dealt to groups, and a group gets the sketch of each of its members once, however many buckets it is in.
     """
-    members = _opened(lists).join(of, "doc_id").select("who", "m", "rep").distinct()
-    labelled = members.join(parts, F.col("rep") == F.col("node"), "left").select("who", "m", "rep", F.coalesce("component", "rep").alias("comp"))
-    labelled = settle(labelled, "bucket-members")
-    per = labelled.groupBy("who", "m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"))
-    per = per.where("lo < hi and own > 2").groupBy("same", "own").agg(F.min(F.struct("who", "m")).alias("b")).select("b.who", "b.m", "own")
-    opened = labelled.join(per, ["who", "m"]).join(sets.select("rep", "n", "parity"), "rep").withColumn("sig", F.xxhash64("who", "m")).withColumn("m", F.col("own"))
+    members = _opened(lists).join(of, "doc_id").join(parts, F.col("rep") == F.col("node"), "left")
+    labelled = settle(members.select("who", "m", "rep", F.coalesce("component", "rep").alias("comp")), "bucket-members")
+    open_ = labelled.groupBy("who", "m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("who", "m")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = opened.withColumn("k", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("sig", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), "k", "rep", "comp", "n", "parity")
+    dealt = labelled.join(open_, ["who", "m"]).withColumn("k", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(F.xxhash64("who", "m", F.least("k", "j"), F.greatest("k", "j")).alias("unit"), (F.col("k") <= F.col("j")).alias("first"), (F.col("k") >= F.col("j")).alias("second"), "rep", "comp")
+    compared = settle(dealt, "compared")
+    groups = max(1, compared.count() // MEMBERS)
+    dealt = compared.withColumn("grp", F.pmod("unit", F.lit(groups)).cast("int"))
+    sketches = dealt.select("grp", "rep").distinct().join(sets.select("rep", "n", "parity"), "rep")
 
     def run(key, batches):
         t = pa.Table.from_batches(list(batches))
-        x, y = key[1].as_py(), key[2].as_py()
-        k, rep, comp, n = (t.column(c).to_numpy() for c in ("k", "rep", "comp", "n"))
-        bits = [np.frombuffer(b, np.uint8) for b in t.column("parity").to_pylist()]
-        width = min(map(len, bits))
-        whole = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
-        flat = np.bitwise_xor.reduce(whole.reshape(len(whole), SPARSE, -1), axis=1) if width >= 32 * SPARSE else whole  # narrow sketches tell most pairs apart
-        found = []
-        left = np.flatnonzero(k == x)
-        right = np.flatnonzero(k == y)
-        for i in left:
-            d = np.bitwise_count(flat[right] ^ flat[i]).sum(axis=1, dtype=np.int64)
-            ok = (d <= (n[right] + n[i]) * (UNION - SHARE) // (UNION + SHARE)) & (comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * UNION >= SHARE * np.maximum(n[right], n[i]))
-            if x == y:
-                ok &= rep[right] > rep[i]
-            near = np.flatnonzero(ok)
-            if len(near):
-                d = np.bitwise_count(whole[right[near]] ^ whole[i]).sum(axis=1, dtype=np.int64)
-                ok[near] = d <= (n[right[near]] + n[i]) * (UNION - SHARE) // (UNION + SHARE)
-            found += [(min(rep[i], r), max(rep[i], r)) for r in rep[right[ok]]]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+        given = t.filter(pc.is_valid(t.column("parity")))
+        at = {r: i for i, r in enumerate(given.column("rep").to_pylist())}
+        sizes, bits = given.column("n").to_numpy(), [np.frombuffer(b, np.uint8) for b in given.column("parity").to_pylist()]
+        t = t.filter(pc.is_null(t.column("parity"))).sort_by("unit")
+        unit, rep, comp, first, second = (t.column(c).to_numpy() for c in ("unit", "rep", "comp", "first", "second"))
+        cut = [*np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]
+        found = [np.empty((2, 0), np.int64)]
+        for a, z in zip(cut, cut[1:]):
+            own, where = np.unique(rep[a:z], return_index=True)
+            place = [at[r] for r in own.tolist()]
+            i, j = near_in_bucket(own, comp[a:z][where], sizes[place], [bits[k] for k in place], np.flatnonzero(first[a:z][where]), np.flatnonzero(second[a:z][where]))
+            found.append(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]))
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    found = settle(dealt.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long").distinct(), "unresolved")
-    discard(labelled)
+    every = dealt.unionByName(sketches, allowMissingColumns=True)
+    found = settle(every.groupBy("grp").applyInArrow(run, "a long, b long").distinct(), "unresolved")
+    discard(labelled, compared)
     return found
 
 
@@ -292,10 +318,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    signed = settle(_signed(docs, max(1, size // (6 * GROUP))), "signed")
-    rows = settle(signed.where("grp is null").select("doc_id", "n", "f1", "f2", "parity"), "profiles")
-    found = settle(_buckets(signed), "buckets")
-    discard(signed)
+    rows = settle(_profiles(docs), "profiles")
+    found = settle(_buckets(_signed(known, max(1, size // (3 * GROUP)))), "buckets")
     identity = ["n", "f1", "f2"]
     sets = settle(rows.where("n > 0 and doc_id is not null").groupBy(*identity, "parity").agg(F.min("doc_id").alias("rep")), "distinct")
     # equal sets are one member

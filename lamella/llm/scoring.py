@@ -26,7 +26,7 @@ ALPHA, MU = 0.5, 8.0
 #: Bytes of target ids up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_BYTES = 8 << 20
 #: Bytes of text in one slice, and for each group of keys.
-SLICE, GROUP_BYTES = 16 << 20, 32 << 20
+SLICE, GROUP_BYTES = 8 << 20, 16 << 20
 #: Groups of keys at least.
 GROUPS = 16
 #: Kinds of keys: a pair of words, and a word (counted by itself and as the context of another one).

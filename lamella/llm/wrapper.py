@@ -1,10 +1,11 @@
 """HTML extraction by wrapper induction.
 
-Pages become trees of block-level nodes whose leaves are runs of text. Subtrees that markup names
-as furniture (menus, forms, adverts, comments ...) are pruned. What is left is aligned, by simple tree
-matching, with the pivot page of its host that is built most like it. Pivots only name the slots; which text is
-template in a slot is counted over all distinct pages of the host: a slot that few texts fill on most pages is template,
-and the slots that vary are content.
+Pages become trees of block-level nodes whose leaves are runs of text. Whole trees are aligned, by simple tree
+matching, with the pivot page of their host that is built most like them. Pivots only name the slots; what a slot holds is
+counted over all distinct pages of the host: texts that stand again and again in a slot that few texts fill are template,
+a slot whose leaves nearly all stand in furniture (menus, forms, adverts, comments ...) is template whatever its
+texts, and the slots that vary are content. Where alignment doesn't settle it (no slot, or a host of few pages), a
+leaf's own markup does.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
-from lamella.llm.common import py, settle, table
+from lamella.llm.common import discard, py, settle, table
 
 #: Pivot pages of a host, at most: one of each of its so many commonest shapes, and one with each of its so many commonest longest texts.
 PIVOTS = 4
@@ -30,6 +31,14 @@ PIVOTS = 4
 AGREE = 2
 #: it stands on at least this part of the layout's pages, and such texts together fill the slot on more than half of them.
 SHARE = 0.25
+#: Spaces in a text that may be template by itself: shorter ones recur in articles too.
+SHORT = 2
+#: Counts of a slot that aren't those of a text: all its leaves, and those whose own markup is furniture's.
+ALL, OUT = -2, -3
+#: A slot is furniture if at least so many pages fill it, and at least this part of its leaves is marked as such.
+FILLED, MARKED = 3, 0.9
+#: Levels of a tree; what is nested deeper becomes part of the last one, as in browsers.
+DEPTH = 160
 #: A page is a copy of a pivot, and isn't counted, if they share at least this part of all their words,
 COPY = 0.9
 #: and at least this part of the words of those leaves that differ.
@@ -42,16 +51,19 @@ LINKED = 0.6
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr nobr blink".split())
-FURNITURE = frozenset("head nav aside footer header form button select dialog menu noscript svg math canvas object audio video applet map datalist fieldset".split())
+FURNITURE = frozenset("head nav aside footer header form button select dialog menu noscript svg math canvas object audio video applet map datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag closes if it is open, and the elements at which the search for it ends.
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPE = frozenset("ul ol dl table menu select body html article main div section nav".split())
-#: Parts of class and id names, and roles, that name furniture; and of them those of reader comments.
+#: What class and id names call furniture, words that may stand beside these in such a name, and roles.
 CUES = frozenset(
-    "nav navbar navigation topnav subnav menu submenu breadcrumb breadcrumbs crumbs header masthead topbar banner footer foot colophon sidebar aside rail ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion pagination pager paging widget widgets toolbar search searchform copyright legal disclaimer skip skiplink hidden form tagcloud paywall survey poll".split()
+    "nav navbar navigation topnav subnav menu submenu breadcrumb breadcrumbs crumbs header masthead topbar banner footer foot colophon sidebar aside rail ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promoted cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations trending popular comment comments commentlist disqus reply replies respond discussion pagination pager paging widget widgets toolbar search searchform copyright legal disclaimer skip skiplink hidden form tagcloud paywall survey poll".split()
 )
+BESIDE = frozenset("js site page main top bottom left right global primary secondary mobile desktop sticky fixed box block bar area section container wrapper wrap inner outer list item items link links button buttons icon icons unit slot zone panel content text body row col column group post article user reader the my new all us up in x xs sm md lg xl a b c d h v w".split())
+#: Names that tell furniture only outside of an article: inside, they may name what it is about.
+LOOSE = frozenset("legal copyright disclaimer notice notices alert alerts header footer foot banner search popular related recommended trending poll survey register form skip promoted discussion overlay rail".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert status note".split())
 
@@ -68,8 +80,23 @@ class Node:
         self.tag, self.text, self.children, self.cue, self.linked = tag, text, [], cue, linked
 
 
-@lru_cache(maxsize=20_000)
+def named(value: str) -> set[str]:
+    """Furniture that a class or id names: a name counts if all its parts are cues, words that stand beside them, or numbers."""
+    found = set()
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        own = CUES.intersection(parts)
+        if own and all(x in CUES or x in BESIDE for x in parts):
+            found |= own
+    return found
+
+
 def cues(attributes: str) -> frozenset:
+    return _cues(attributes) if len(attributes) < 500 else _cues.__wrapped__(attributes)
+
+
+@lru_cache(maxsize=20_000)
+def _cues(attributes: str) -> frozenset:
     """What class, id, role and style of an element say about it: names of furniture."""
     found = set()
     if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
@@ -79,7 +106,7 @@ def cues(attributes: str) -> frozenset:
         if name == "role":
             found |= ROLES.intersection(value.lower().split()) | ({"main"} if "main" in value.lower().split() else set())
         elif name in ("class", "id"):
-            found |= CUES.intersection(x.lower() for x in _PARTS.findall(value))
+            found |= named(value)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value.lower() == "true":
             found.add("hidden")
     return frozenset(found)
@@ -89,13 +116,14 @@ def parse(source: str | None) -> Node:
     """The tree of a page: block-level nodes, with runs of decoded text as leaves.
 
     Inline elements are part of the run they stand in (those with furniture's names are left out), end tags that match
-    nothing are ignored, and what is open at the end is closed there.
+    nothing are ignored, and what is open at the end is closed there. Each byte is looked at a bounded number of times.
     """
     source = source or ""
     root = Node("#root")
     stack, run = [root], []
     link, linked, skip, skipped = 0, 0, "", 0
-    at = 0
+    deep: Counter = Counter()  # open elements beyond DEPTH, which have no node
+    at, last = 0, source.rfind(">")
 
     def flush():
         nonlocal linked
@@ -116,7 +144,7 @@ def parse(source: str | None) -> Node:
             if stack[k].tag in stop:
                 return
 
-    while m := _TOKEN.search(source, at):
+    while at <= last and (m := _TOKEN.search(source, at)):
         if m.start() > at and not skip:
             run.append(piece := source[at : m.start()])
             if link:
@@ -140,7 +168,11 @@ def parse(source: str | None) -> Node:
             elif tag == "p" and not any(n.tag == "p" for n in stack):
                 flush()
             elif tag not in INLINE and tag not in VOID:
-                close((tag,))
+                if deep[tag]:
+                    deep[tag] -= 1
+                    flush()
+                else:
+                    close((tag,))
             continue
         if tag in RAW:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -173,12 +205,15 @@ def parse(source: str | None) -> Node:
                 close(SAME[tag], SCOPE)
             flush()
             link = 0
+            if len(stack) > DEPTH:
+                deep[tag] += 1
+                continue
             node = Node(tag, cue=cues(attributes) if attributes else frozenset())
             stack[-1].children.append(node)
             if not attributes.endswith("/") or tag not in ("svg", "path", "use", "object"):
                 stack.append(node)
-    if at < len(source) and not skip:
-        run.append(source[at:] if not re.match(r"<[a-zA-Z/!?]", source[at:]) else "")
+    if at < len(source) and not skip:  # a tag that never ends is dropped
+        run.append(re.split(r"<[a-zA-Z/!?]", source[at:], maxsplit=1)[0])
     flush()
     return root
 
@@ -201,7 +236,7 @@ def content(root: Node) -> Node:
         if node.tag == "#text":
             return node
         inside = inside or node.tag in ("article", "main") or "main" in node.cue
-        drop = node.tag in FURNITURE or bool(node.cue - {"main"})
+        drop = node.tag in FURNITURE or bool(node.cue - {"main"} - (LOOSE if inside else frozenset()))
         if node.tag in ("html", "body", "#root") or "main" in node.cue or node.tag == "main":
             drop = "hidden" in node.cue and node.tag != "body"
         elif node.tag == "article":
@@ -261,7 +296,7 @@ def match(a: list, b: list) -> float:
         return 0.0
     if not a[2] or not b[2]:
         return 2.0 if a[1] and a[1] == b[1] else 1.0
-    return 1.0 + _table(a[2], b[2])[-1, -1]
+    return 1.0 + float(_table(_weights(a[2], b[2]))[-1, -1])
 
 
 def _weights(left: list, right: list) -> np.ndarray:
@@ -280,10 +315,9 @@ def _weights(left: list, right: list) -> np.ndarray:
     return w
 
 
-def _table(left: list, right: list) -> np.ndarray:
-    w = _weights(left, right)
-    out = np.zeros((len(left) + 1, len(right) + 1))
-    for i in range(len(left)):
+def _table(w: np.ndarray) -> np.ndarray:
+    out = np.zeros((w.shape[0] + 1, w.shape[1] + 1))
+    for i in range(len(w)):
         out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + w[i]))
     return out
 
@@ -313,7 +347,8 @@ def align(a: list, b: list, at: int, to: int, slots: np.ndarray) -> int:
             post += 1
         left, right = left[pre : len(left) - post], right[pre : len(right) - post]
         if left and right:
-            t, w = _table(left, right), _weights(left, right)
+            w = _weights(left, right)
+            t = _table(w)
             i, j = len(left), len(right)
             while i and j:
                 if w[i - 1, j - 1] > 0 and t[i, j] == t[i - 1, j - 1] + w[i - 1, j - 1]:
@@ -331,23 +366,34 @@ def _runs(s: list) -> int:
 
 
 class Shape:
-    """A page's tree for comparisons: skeleton, texts of its leaves with their hashes, leaves of each path of tags."""
+    """A page's tree for comparisons: skeleton, texts of its leaves with their hashes, which of them their own markup lets stand, leaves of each path of tags."""
 
-    __slots__ = ("skeleton", "texts", "hashes", "paths", "n_words", "words")
+    __slots__ = ("skeleton", "texts", "hashes", "stands", "paths", "_words")
 
-    def __init__(self, tree: Node):
-        self.skeleton, self.texts, self.paths = skeleton(tree), [], Counter()
-        todo = [(tree, "")]
+    def __init__(self, tree: Node, stands: list[bool] | None = None):
+        self.skeleton, self.texts, self.paths, self._words = skeleton(tree), [], Counter(), None
+        todo, own = [(tree, "")], set()
+        if stands is None:
+            own = {id(x) for x in leaves(content(tree))}
+        self.stands = stands if stands is not None else []
         while todo:
             node, path = todo.pop()
             path += "/" + node.tag
             if node.tag == "#text":
                 self.texts.append(node.text)
+                if stands is None:
+                    self.stands.append(id(node) in own)
                 self.paths[path] += 1
             todo += [(x, path) for x in reversed(node.children)]
         self.hashes = [_hash(t) for t in self.texts]
-        every = " ".join(self.texts).split()
-        self.n_words, self.words = len(every), set(every)
+
+    @property
+    def words(self) -> tuple[int, set[str]]:
+        """(words of the page, distinct ones)."""
+        if self._words is None:
+            every = " ".join(self.texts).split()
+            self._words = len(every), set(every)
+        return self._words
 
     def near(self, other: Shape) -> float:
         """How alike two pages are built, whatever their texts: common paths of leaves."""
@@ -358,22 +404,25 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def packed(tree: Node) -> bytes:
-    """A tree as compressed JSON of nested lists [tag, text, children]."""
+def packed(tree: Node, stands: list[bool]) -> bytes:
+    """A tree as compressed JSON: nested lists [tag, text, children], and which leaves stand."""
 
     def lists(node: Node) -> list:
         return [node.tag, node.text, [lists(x) for x in node.children]]
 
-    return zlib.compress(json.dumps(lists(tree), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+    raw = json.dumps([lists(tree), [int(x) for x in stands]], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(tree: bytes) -> Node:
+def unpacked(data: bytes) -> Shape:
     def node(s: list) -> Node:
         out = Node(s[0], s[1])
         out.children = [node(x) for x in s[2]]
         return out
 
-    return node(json.loads(zlib.decompress(tree).decode("utf-8", "surrogatepass")))
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    tree, stands = json.loads(raw.decode("utf-8", "surrogatepass"))
+    return Shape(node(tree), [bool(x) for x in stands])
 
 
 def is_copy(own: Shape, other: Shape) -> bool:
@@ -381,8 +430,9 @@ def is_copy(own: Shape, other: Shape) -> bool:
 
     However long the boilerplate two pages have in common, articles of their own tell them apart.
     """
-    least = COPY * max(own.n_words, other.n_words)  # words in common are at most those of the smaller page, less those the other lacks
-    if min(own.n_words, other.n_words) < least or own.n_words - len(own.words - other.words) < least:
+    (n, mine), (m, theirs) = own.words, other.words
+    least = COPY * max(n, m)  # words in common are at most those of the smaller page, less those the other lacks
+    if min(n, m) < least or n - len(mine - theirs) < least:
         return False
     mine, theirs = Counter(own.hashes), Counter(other.hashes)
     same = mine & theirs
@@ -413,13 +463,13 @@ def placed(own: Shape, pivots: list[Shape]) -> tuple[int, np.ndarray]:
 
 
 def extract(page: str | None, pivots: list[Shape], template: frozenset | set = frozenset()) -> tuple[str, int]:
-    """(main text, template leaves removed) of a page, given the pivots of its host and its template: "pivot/slot/text hash"."""
-    own = Shape(content(parse(page)))
-    if not own.texts or not template:
-        return "\n".join(own.texts), 0
-    k, slots = placed(own, pivots)
-    kept = [t for t, h, at in zip(own.texts, own.hashes, slots.tolist()) if f"{k}/{at}/{h}" not in template]
-    return "\n".join(kept), len(own.texts) - len(kept)
+    """(main text, template leaves removed) of a page, given the pivots of its host and its template: "pivot/slot/text hash", or "pivot/slot" for all texts."""
+    own = Shape(parse(page))
+    gone = [False] * len(own.texts)
+    if own.texts and template:
+        k, slots = placed(own, pivots)
+        gone = [f"{k}/{at}" in template or f"{k}/{at}/{h}" in template for h, at in zip(own.hashes, slots.tolist())]
+    return "\n".join(t for t, g, s in zip(own.texts, gone, own.stands) if s and not g), sum(gone)
 
 
 def host_of(url: str = "url"):
@@ -429,7 +479,7 @@ def host_of(url: str = "url"):
 
 @lru_cache(maxsize=500)
 def _pivots(trees: tuple[bytes, ...]) -> list[Shape]:
-    return [Shape(unpacked(t)) for t in trees]
+    return [unpacked(t) for t in trees]
 
 
 def beside(rows: DataFrame, hosts: DataFrame, columns: tuple[str, ...]):
@@ -456,10 +506,10 @@ def induce(pages: DataFrame) -> DataFrame:
         for part in slices(batches, "html"):
             out = []
             for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                tree = content(parse(text))
+                tree = parse(text)
                 own = Shape(tree)
                 if own.texts:
-                    out.append((host, _hash("\n".join(sorted(own.paths))), _hash(max(own.texts, key=len)), packed(tree)))
+                    out.append((host, _hash("\n".join(sorted(own.paths))), _hash(max(own.texts, key=len)), packed(tree, own.stands)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "shape", "longest", "tree"])
 
     given = pages.where("html is not null").select(host_of().alias("host"), "html")
@@ -482,27 +532,33 @@ def induce(pages: DataFrame) -> DataFrame:
             seen = Counter()
             own_columns = (part.column(c).to_pylist() for c in ("host", "h", "tree"))
             for host, h, tree, (ids, trees) in zip(*own_columns, read(part)):
-                own, others = Shape(unpacked(tree)), _pivots(tuple(trees))
+                own, others = unpacked(tree), _pivots(tuple(trees))
                 before = others[: ids.index(h)] if h in ids else others  # of pivots that are copies of each other the first votes
                 if any(is_copy(own, x) for x in before):
                     continue
                 k, slots = placed(own, others)
                 seen[host, k, -1, 0] += 1
-                seen.update((host, k, at, x) for at, x in zip(slots.tolist(), own.hashes) if at >= 0)
+                at = slots.tolist()
+                seen.update((host, k, i, x) for i, x, t in zip(at, own.hashes, own.texts) if i >= 0 and t.count(" ") >= SHORT)
+                seen.update((host, k, i, ALL) for i in at if i >= 0)
+                seen.update((host, k, i, OUT) for i, stands in zip(at, own.stands) if i >= 0 and not stands)
             yield pa.RecordBatch.from_arrays([pa.array([key[i] for key in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))] + [pa.array(list(seen.values()), pa.int64())], ["host", "pivot", "slot", "text", "n"])
 
     counts = settle(py(spark, joined, count, "host string, pivot int, slot int, text long, n long").groupBy("host", "pivot", "slot", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("slot") < 0, 1).otherwise(AGREE)), "counts")
     voted = counts.where("slot < 0").select("host", "pivot", F.col("n").alias("voted"))
-    often = counts.where("slot >= 0").join(voted, ["host", "pivot"]).where(F.col("n") >= SHARE * F.col("voted"))
-    filled = often.withColumn("mass", F.sum("n").over(Window.partitionBy("host", "pivot", "slot"))).where("2 * mass > voted")
-    template = filled.groupBy("host").agg(F.collect_list(F.concat_ws("/", "pivot", "slot", "text")).alias("template"))  # at most 1 / SHARE a slot
+    often = counts.where("slot >= 0 and text >= 0").join(voted, ["host", "pivot"]).where(F.col("n") >= SHARE * F.col("voted"))
+    filled = often.withColumn("mass", F.sum("n").over(Window.partitionBy("host", "pivot", "slot"))).where("2 * mass > voted")  # at most 1 / SHARE texts a slot
+    constant = filled.select("host", F.concat_ws("/", "pivot", "slot", "text").alias("t"))
+    every = counts.where(F.col("text") == ALL).where(F.col("n") >= FILLED).select("host", "pivot", "slot", F.col("n").alias("every"))
+    out = counts.where(F.col("text") == OUT).join(every, ["host", "pivot", "slot"]).where(F.col("n") >= MARKED * F.col("every"))
+    template = constant.unionByName(out.select("host", F.concat_ws("/", "pivot", "slot").alias("t"))).groupBy("host").agg(F.collect_list("t").alias("template"))  # bounded by the slots of a host's pivots
     return pivots.select("host", "trees").join(template, "host")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Main text of pages (page_id, url, html).
 
-    Returns page_id, url, text, n_chars (code points) and n_template (leaves removed as the host's template).
+    Returns page_id, url, text, n_chars (code points) and n_template (leaves removed as the host's template, whatever their markup).
     Null and empty html give an empty text; a null or odd URL belongs to the host ""; rows that repeat a
     page_id are extracted each; an empty table gives an empty one. Nothing is cut from long pages.
     """
