@@ -88,7 +88,7 @@ def test_html_template_of_a_host(spark):
     assert len(out) == len(rows)
     for r in out:
         if r.page_id is not None and r.page_id < 30:
-            assert r.text == MAIN.format(i=r.page_id, t="").replace("\ntwo\n", "\n") and r.n_template == 2 and r.n_chars == len(r.text)
+            assert r.text == MAIN.format(i=r.page_id, t="") and r.n_template > 5 and r.n_chars == len(r.text)
     assert {(r.page_id, r.text) for r in out if r.page_id in (99, 100)} == {(99, ""), (100, "")}
     assert [r.text for r in out if r.page_id is None] == ["a<"]
     assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
