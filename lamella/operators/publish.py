@@ -1,10 +1,11 @@
-"""Index generations: published as immutable folders, proven by re-reading, and named by a small pointer file."""
+"""Index generations: published as immutable folders, proven by re-reading, and named by numbered pointer files."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators.ledger import set_digest
@@ -14,12 +15,33 @@ def member(vec: str = "vec_id", digest: str = "content_digest"):
     return F.concat_ws(":", F.col(vec).cast("string"), F.col(digest))
 
 
-def withdrawn_older(records: DataFrame, pointers: DataFrame) -> DataFrame:
-    """Generations behind the active pointer, each once: what retirement acts on."""
-    older = records.select("item", "namespace", "generation").distinct().join(pointers.select("item", "namespace", "active_generation"), ["item", "namespace"])
+#: Minutes after a pointer moved for which what it left stays.
+GRACE = 60
+
+
+def withdrawn_older(records: DataFrame, pointers: DataFrame, *columns: str) -> DataFrame:
+    """Generations behind the active pointer, each once, with ``columns`` of the pointer: what retirement acts on."""
+    older = records.select("item", "namespace", "generation").distinct().join(pointers.select("item", "namespace", "active_generation", *columns), ["item", "namespace"])
     return older.where("generation < active_generation")
 
 
+def retirement(older: DataFrame, held: Column, minutes: Column) -> DataFrame:
+    """Whether a generation left behind is deferred (its item is held), waiting (within the grace) or due."""
+    return older.withColumn("state", F.when(held, "deferred").when(minutes < GRACE, "waiting").otherwise("due"))
+
+
+def gate(generations: DataFrame, members: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(artifact, n_members, n_valid, admitted): a generation is admitted if it and every one of its named members is fully valid."""
+    m = members.where(F.col("member").isin(*names)).groupBy("artifact").agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("disposition") == "full_valid").alias("n_valid"), F.count_distinct("member").alias("kinds"))
+    g = generations.groupBy("artifact").agg(F.bool_and(F.col("validation") == "full_valid").alias("own")).join(m, "artifact", "left").na.fill(0)
+    return g.select("artifact", "n_members", "n_valid", ((F.col("kinds") == len(names)) & (F.col("n_members") == F.col("n_valid")) & F.col("own")).alias("admitted"))
+
+
+def copied(facets: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Facets under the new ids of a mapping (vec_id, new_vec); facets of other records aren't copied."""
+    return facets.join(mapping, "vec_id")
+
+
 def cloned(records: DataFrame, generation: str = "generation") -> DataFrame:
     """The same vectors as the next generation's records."""
     return records.withColumn(generation, F.col(generation) + 1)
@@ -32,38 +54,38 @@ def _file(spark: SparkSession, path: str):
 
 
 def read_pointer(spark: SparkSession, root: str) -> dict | None:
-    """The pointer of a published index, or None before the first publication."""
-    fs, path, _ = _file(spark, f"{root}/pointer.json")
-    if not fs.exists(path):
+    """The newest pointer of a published index, or None before the first publication."""
+    fs, folder, jvm = _file(spark, f"{root}/pointers")
+    if not fs.exists(folder):
         return None
-    return json.loads(spark.read.text(f"{root}/pointer.json", wholetext=True).first()[0])
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("pointer-"))
+    return json.loads(spark.read.text(f"{root}/pointers/{names[-1]}", wholetext=True).first()[0]) if names else None
 
 
 def publish(records: DataFrame, root: str, expected_revision: int) -> dict:
-    """Write records (vec_id, content_digest, ...) as the next generation and move the pointer to it.
+    """Write records (vec_id, content_digest, ...) to a folder of their own and put a pointer to it beside the older ones.
 
-    The folder is written first and proven by reading it again (count and set digest); the pointer moves by a
-    rename, and only if it still has ``expected_revision`` (0: none yet). A crash before that leaves
-    a folder that no pointer names. One driver publishes at a time; several writers aren't arbitrated.
+    The folder is written first and proven by reading it again (count and set digest). Pointers are numbered
+    files, the highest of which counts; one is written aside and renamed into place, which fails if
+    its number is taken, so nothing is ever overwritten or deleted: a crash leaves at most a folder and a file that no
+    reader sees. ``expected_revision`` is that of the pointer to succeed (0: none yet).
     """
     spark = records.sparkSession
     now = read_pointer(spark, root)
     if (now["revision"] if now else 0) != expected_revision:
         raise ValueError("the pointer has moved")
-    generation = (now["generation"] if now else 0) + 1
-    path = f"{root}/generation={generation}"
-    records.write.mode("overwrite").parquet(path)
-    found = proof(spark.read.parquet(path)).first()
-    pointer = {"revision": expected_revision + 1, "generation": generation, "members": found["members"], "digest": found["digest"]}
-    fs, target, jvm = _file(spark, f"{root}/pointer.json")
-    _, staged, _ = _file(spark, f"{root}/pointer-{generation}.tmp")
-    out = fs.create(staged, True)
+    revision = expected_revision + 1
+    folder = f"generation={revision}-{uuid.uuid4().hex}"
+    records.write.parquet(f"{root}/{folder}")
+    found = proof(spark.read.parquet(f"{root}/{folder}")).first()
+    pointer = {"revision": revision, "generation": revision, "folder": folder, "members": found["members"], "digest": found["digest"]}
+    fs, target, jvm = _file(spark, f"{root}/pointers/pointer-{revision:012d}")
+    _, staged, _ = _file(spark, f"{root}/pointers/.{folder}")
+    out = fs.create(staged, False)
     out.write(bytearray(json.dumps(pointer).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError("the pointer could not be moved")
+    if fs.exists(target) or not fs.rename(staged, target):
+        raise ValueError("the pointer has moved")
     return pointer
 
 
@@ -78,4 +100,4 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     pointer = read_pointer(spark, root)
     if pointer is None:
         raise ValueError("nothing is published")
-    return spark.read.parquet(f"{root}/generation={pointer['generation']}")
+    return spark.read.parquet(f"{root}/{pointer['folder']}")

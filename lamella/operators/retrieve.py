@@ -50,25 +50,28 @@ def tier(granularity: Column) -> Column:
 
 def deduped(hits: DataFrame) -> DataFrame:
     """The best hit of each unit in a query: score down, resolved first, id up."""
-    resolved = F.col("trace").isin("not_needed", "resolved").cast("int")
+    resolved = (F.col("trace") == "resolved").cast("int")
     w = Window.partitionBy("query_id", "item", "generation", "unit").orderBy(F.desc("score"), resolved.desc(), "vec_id")
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def rerank(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None, k: int = RETURN_K) -> DataFrame:
+def rerank(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None, k: int = RETURN_K, requested: bool | None = None) -> DataFrame:
     """The first k of each query, by ``scorer``'s column rerank_score if given, and the status of the step.
 
-    A query with fewer than two hits, or with a hit without text, is skipped and keeps its order.
+    A query with fewer than two hits, or with a hit without text, is skipped; one whose scorer is missing though
+    ``requested``, or gives a score that isn't finite, failed. Both keep their order.
     """
     q = Window.partitionBy("query_id")
-    if scorer is None:
-        out = hits.withColumn("rerank_status", F.lit("not_requested")).withColumn("_s", F.col("score"))
+    few = F.count(F.lit(1)).over(q) <= 1
+    requested = scorer is not None if requested is None else requested
+    if not requested or scorer is None:
+        status = F.when(few, "skipped").otherwise("failed") if requested else F.lit("not_requested")
+        out = hits.withColumn("rerank_status", status).withColumn("_s", F.col("score"))
     else:
-        held = scorer(hits)
-        able = (F.count(F.lit(1)).over(q) > 1) & (F.count_if(F.col("text").isNull()).over(q) == 0)
-        broken = F.count_if(F.col("rerank_score").isNull()).over(q) > 0
-        status = F.when(~able, "skipped").when(broken, "failed").otherwise("applied")
-        out = held.withColumn("rerank_status", status).withColumn("_s", F.when(F.col("rerank_status") == "applied", F.col("rerank_score")).otherwise(F.col("score")))
+        bare = F.count_if(F.col("text").isNull()).over(q) > 0
+        finite = F.coalesce(~F.isnan("rerank_score") & (F.abs("rerank_score") < float("inf")), F.lit(False))
+        status = F.when(few | bare, "skipped").when(F.count_if(~finite).over(q) > 0, "failed").otherwise("applied")
+        out = scorer(hits).withColumn("rerank_status", status).withColumn("_s", F.when(F.col("rerank_status") == "applied", F.col("rerank_score")).otherwise(F.col("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("_s"), "vec_id")
     return out.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).drop("_s")
 
@@ -94,10 +97,13 @@ def inflate(hits: DataFrame, units: DataFrame, roots: int = ROOTS, chars: int =
 
 
 def segments(hits: DataFrame, most: int = PACK_HITS) -> DataFrame:
-    """The texts to pack, in order: of the first ``most`` hits with text, each followed by its root, a root once a query."""
-    usable = hits.where(F.col("text").isNotNull() & (F.length("text") > 0))
-    usable = usable.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("n") <= most)
-    once = F.row_number().over(Window.partitionBy("query_id", "item", "generation", F.col("root_text").isNotNull()).orderBy("position"))
+    """The texts to pack, in order: of the first ``most`` hits with text, each followed by its root.
+
+    A root is packed once a query, and not at all after a hit that is that root itself.
+    """
+    usable = hits.where(F.col("text").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("n") <= most)
+    rooted = (F.col("granularity") == 0) | F.col("root_text").isNotNull()
+    once = F.row_number().over(Window.partitionBy("query_id", "item", "generation", rooted).orderBy("position"))
     usable = usable.withColumn("_once", once)
     both = F.array(
         F.struct(F.lit(0).alias("part"), F.col("text").alias("body")),
@@ -107,16 +113,22 @@ def segments(hits: DataFrame, most: int = PACK_HITS) -> DataFrame:
 
 
 def pack(hits: DataFrame, most: int = PACK_HITS, chars: int = PACK_CHARS) -> DataFrame:
-    """(query_id, context, n_segments, n_chars, truncated): segments clipped by a running budget and joined by a blank line."""
+    """(query_id, context, n_hits, n_segments, n_chars, truncated): segments clipped by a running budget and joined by a blank line.
+
+    ``truncated`` says that a text was clipped or that a hit was left out: for want of text, beyond ``most``, or beyond the budget.
+    """
     w = Window.partitionBy("query_id").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, -1)
     s = segments(hits, most).withColumn("before", F.coalesce(F.sum(F.length("body")).over(w), F.lit(0)))
     s = s.withColumn("kept", F.greatest(F.lit(0), F.least(F.length("body").cast("long"), chars - F.col("before"))))
-    return s.groupBy("query_id").agg(
+    packed = s.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept") > 0, F.struct("n", "part", F.expr("substring(body, 1, int(kept))").alias("t"))))), lambda x: x["t"]), JOINER).alias("context"),
+        F.count_if((F.col("part") == 0) & (F.col("before") < chars)).alias("n_hits"),
         F.count_if(F.col("kept") > 0).alias("n_segments"),
         F.sum("kept").alias("n_chars"),
-        (F.sum("kept") < F.sum(F.length("body"))).alias("truncated"),
+        (F.sum("kept") < F.sum(F.length("body"))).alias("clipped"),
     )
+    every = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("every")).join(packed, "query_id", "left").na.fill(0, ["n_hits", "n_segments", "n_chars"])
+    return every.select("query_id", F.coalesce("context", F.lit("")).alias("context"), "n_hits", "n_segments", "n_chars", (F.coalesce("clipped", F.lit(False)) | (F.col("n_hits") < F.col("every"))).alias("truncated"))
 
 
 def empty_reason() -> Column:

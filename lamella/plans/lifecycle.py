@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import ledger, publish
+from lamella.operators import fence, ledger, publish
 from lamella.plans.base import Listing
 from lamella.sources import ledgers
 from lamella.sources.tables import table
@@ -42,12 +42,13 @@ def retired_generations(spark, sf_dir):
     return publish.withdrawn_older(ledgers.records(spark, sf_dir), ledgers.pointers(spark, sf_dir)).select("item", "namespace", "generation", "active_generation")
 
 
-@listing.add(f"""WITH {CTE}, old AS (SELECT DISTINCT r.item, r.namespace, r.generation FROM records r JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace AND r.generation < p.active_generation)
-SELECT item, namespace, generation, CASE WHEN item % 4 = 0 THEN 'deferred' WHEN item % 3 = 0 THEN 'waiting' ELSE 'due' END AS state FROM old""")
+@listing.add(f"""WITH {CTE}, old AS (SELECT DISTINCT r.item, r.namespace, r.generation, p.minutes FROM records r JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace AND r.generation < p.active_generation)
+SELECT item, namespace, generation, CASE WHEN item IN (SELECT item FROM items WHERE lifecycle <> 'active' OR item_deleted_at IS NOT NULL) THEN 'deferred' WHEN minutes < 60 THEN 'waiting' ELSE 'due' END AS state FROM old""")
 def retirement_due(spark, sf_dir):
-    """Retired generations by whether their grace is over or they are held."""
-    old = publish.withdrawn_older(ledgers.records(spark, sf_dir), ledgers.pointers(spark, sf_dir))
-    return old.select("item", "namespace", "generation", F.when(F.col("item") % 4 == 0, "deferred").when(F.col("item") % 3 == 0, "waiting").otherwise("due").alias("state"))
+    """Retired generations: deferred while their item isn't active, waiting while the pointer moved within the grace of an hour, else due."""
+    old = publish.withdrawn_older(ledgers.records(spark, sf_dir), ledgers.pointers(spark, sf_dir), "minutes")
+    held = ledgers.items(spark, sf_dir).where("lifecycle <> 'active' or item_deleted_at is not null").select("item", F.lit(True).alias("held"))
+    return publish.retirement(old.join(held, "item", "left"), F.coalesce("held", F.lit(False)), F.col("minutes")).select("item", "namespace", "generation", "state")
 
 
 @listing.add(f"""WITH {CTE}, t AS (SELECT r.item, r.namespace, r.generation, count(*) AS planned, count(*) FILTER (WHERE state = 'indexed') AS affected FROM records r JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace
@@ -55,7 +56,7 @@ WHERE r.generation < p.active_generation GROUP BY ALL) SELECT *, planned = affec
 def purge_plan(spark, sf_dir):
     """Records a purge plans to delete against those it would affect."""
     r, p = ledgers.records(spark, sf_dir), ledgers.pointers(spark, sf_dir)
-    t = r.join(p, ["item", "namespace"]).where("generation < active_generation").groupBy("item", "namespace", "generation")
+    t = r.join(p.select("item", "namespace", "active_generation"), ["item", "namespace"]).where("generation < active_generation").groupBy("item", "namespace", "generation")
     return t.agg(F.count(F.lit(1)).alias("planned"), F.count_if(F.col("state") == "indexed").alias("affected")).withColumn("exact", F.col("planned") == F.col("affected"))
 
 
@@ -63,22 +64,47 @@ def purge_plan(spark, sf_dir):
 JOIN items i ON r.item = i.item WHERE p.pointer_state = 'active' AND r.state = 'indexed' AND i.lifecycle = 'active'""")
 def rebuild_plan(spark, sf_dir):
     """The records of the next generation, cloned from active ones."""
-    r = ledgers.records(spark, sf_dir).where("state = 'indexed'").join(ledgers.pointers(spark, sf_dir).where("pointer_state = 'active'"), ["item", "namespace"]).where("generation = active_generation")
+    r = ledgers.records(spark, sf_dir).where("state = 'indexed'").join(ledgers.pointers(spark, sf_dir).where("pointer_state = 'active'").select("item", "namespace", "active_generation"), ["item", "namespace"]).where("generation = active_generation")
     live = r.join(ledgers.items(spark, sf_dir).where("lifecycle = 'active'").select("item"), "item", "left_semi")
     return publish.cloned(live).select("vec_id", "item", "namespace", "generation", "channel", "unit")
 
 
-@listing.add(f"""WITH {CTE} SELECT p.item, p.namespace, p.active_generation, p.pointer_state, i.source_kind FROM pointers p LEFT JOIN items i ON p.item = i.item""")
+@listing.add(f"""WITH {CTE} SELECT p.item, p.namespace, p.active_generation, p.pointer_state, s.source_kind FROM pointers p LEFT JOIN items i ON p.item = i.item LEFT JOIN sources s ON i.team = s.team AND i.source = s.source""")
 def pointer_listing(spark, sf_dir):
     """Pointers with the items they belong to, if known."""
-    return ledgers.pointers(spark, sf_dir).join(ledgers.items(spark, sf_dir).select("item", "source_kind"), "item", "left").select("item", "namespace", "active_generation", "pointer_state", "source_kind")
+    known = ledgers.items(spark, sf_dir).join(ledgers.sources(spark), ["team", "source"], "left").select("item", "source_kind")
+    return ledgers.pointers(spark, sf_dir).join(known, "item", "left").select("item", "namespace", "active_generation", "pointer_state", "source_kind")
 
 
-@listing.add(f"""WITH {CTE}, m AS (SELECT item, namespace, generation, count(*) FILTER (WHERE state = 'indexed') AS full_n, count(*) AS n FROM records GROUP BY ALL) SELECT *, full_n = n AS admitted FROM m""")
+@listing.add(f"""WITH {CTE} SELECT g.artifact, count(m.member) AS n_members, count(*) FILTER (WHERE m.disposition = 'full_valid') AS n_valid,
+  count(DISTINCT m.member) = {len(ledgers.MEMBERS)} AND bool_and(coalesce(m.disposition = 'full_valid', false)) AND bool_and(g.validation = 'full_valid') AS admitted
+FROM generations g LEFT JOIN members m USING (artifact) GROUP BY g.artifact""")
 def generation_gate(spark, sf_dir):
-    """Generations of which every member is valid."""
-    m = ledgers.records(spark, sf_dir).groupBy("item", "namespace", "generation").agg(F.count_if(F.col("state") == "indexed").alias("full_n"), F.count(F.lit(1)).alias("n"))
-    return m.withColumn("admitted", F.col("full_n") == F.col("n"))
+    """Generations whose own verdict and all six members are fully valid."""
+    return publish.gate(ledgers.generations(spark, sf_dir), ledgers.members(spark, sf_dir), ledgers.MEMBERS)
+
+
+@listing.add(f"WITH {CTE} SELECT p.item, p.namespace, g.artifact, g.handle, g.validation FROM pointers p JOIN generations g ON p.team = g.team AND p.artifact = g.artifact WHERE p.pointer_state = 'active'")
+def current_generations(spark, sf_dir):
+    """The generation that each active pointer serves."""
+    p = ledgers.pointers(spark, sf_dir).where("pointer_state = 'active'").select("team", "artifact", "item", "namespace")
+    return p.join(ledgers.generations(spark, sf_dir).select("team", "artifact", "handle", "validation"), ["team", "artifact"]).select("item", "namespace", "artifact", "handle", "validation")
+
+
+@listing.add(f"WITH {CTE} SELECT r.vec_id, r.vec_id + 1000000000 AS new_vec, r.channel, r.unit FROM records r JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace AND r.generation = p.active_generation WHERE r.state = 'indexed'")
+def facet_copy(spark, sf_dir):
+    """Facets of active records under the ids that a rebuild gives them."""
+    r = ledgers.records(spark, sf_dir).where("state = 'indexed'").join(ledgers.pointers(spark, sf_dir).select("item", "namespace", "active_generation"), ["item", "namespace"]).where("generation = active_generation")
+    mapping = r.select("vec_id", (F.col("vec_id") + 1_000_000_000).alias("new_vec"))
+    facets = ledgers.records(spark, sf_dir).select("vec_id", "channel", "unit")
+    return publish.copied(facets, mapping).select("vec_id", "new_vec", "channel", "unit")
+
+
+@listing.add(f"WITH {CTE} SELECT DISTINCT f.proof, f.expected_count, f.actual_count, f.matched_count FROM proofs f WHERE NOT (f.expected_count = f.actual_count AND f.actual_count = f.matched_count)")
+def inconsistent_proofs(spark, sf_dir):
+    """Proofs whose three counts don't agree."""
+    p = ledgers.proofs(spark, sf_dir)
+    return p.where(~fence.counts_consistent(F.col("expected_count"), F.col("actual_count"), F.col("matched_count"))).select("proof", "expected_count", "actual_count", "matched_count").distinct()
 
 
 OBJECTS = "objects AS (SELECT doc_id AS object_id, sha256(text) AS digest, strlen(text) AS size_bytes, doc_id % 5 AS team FROM documents)"

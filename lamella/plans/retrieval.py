@@ -32,28 +32,38 @@ embedded AS (
   FROM grid g LEFT JOIN buckets b ON g.doc_id = b.doc_id AND i = bucket LEFT JOIN norms n ON g.doc_id = n.doc_id GROUP BY g.doc_id
 )
 """
+MODEL = ("model", "model_key", "model_version", "adapter", "dimension")
+SAME = " AND ".join(f"c.{c} = f.{c}" for c in ("team", "item", "revision", "namespace", "artifact", "artifact_type", *MODEL, "generation"))
 FENCE = ledgers.CTE + """,
-actual AS (SELECT item, namespace, generation, count(*) AS actual_count FROM records WHERE state = 'indexed' GROUP BY ALL),
 fence AS (
-  SELECT r.vec_id, r.item, r.namespace, r.generation, r.unit, r.granularity, r.channel, i.source_kind, n.metric, r.embedding
-  FROM records r JOIN namespaces n USING (namespace) JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace
-  JOIN proofs f ON r.item = f.item AND r.namespace = f.namespace AND r.generation = f.generation
-  LEFT JOIN actual a ON r.item = a.item AND r.namespace = a.namespace AND r.generation = a.generation
-  JOIN items i ON r.item = i.item
+  SELECT r.vec_id, r.team, r.item, r.namespace, r.generation, r.unit, r.granularity, r.channel, s.source_kind, n.metric, f.proof, g.handle, r.embedding
+  FROM records r JOIN namespaces n ON r.namespace = n.namespace JOIN pointers p ON r.team = p.team AND r.item = p.item AND r.namespace = p.namespace
+  JOIN proofs f ON f.proof = p.last_proof JOIN items i ON r.team = i.team AND r.item = i.item
+  LEFT JOIN sources s ON i.team = s.team AND i.source = s.source JOIN generations g ON r.team = g.team AND r.artifact = g.artifact
   WHERE {conditions}
 )
 """
 CONDITIONS = {
-    "state": "r.state = 'indexed'",
-    "dimension": "len(r.embedding) = n.dimension",
-    "generation": "r.generation = p.active_generation",
-    "pointer": "p.pointer_state = 'active'",
-    "count": "f.expected_count = coalesce(a.actual_count, 0)",
-    "lifecycle": "i.lifecycle = 'active'",
-    "revision": "coalesce(i.serving_revision = r.revision, false)",
+    "record_deleted": "r.deleted_at IS NULL", "record_state": "r.state = 'indexed'", "namespace_status": "n.status = 'active'", "namespace_deleted": "n.ns_deleted_at IS NULL",
+    **{f"namespace_{c}": f"r.{c} = n.ns_{c}" for c in MODEL},
+    "pointer_state": "p.pointer_state = 'active'", "pointer_generation": "p.active_generation = r.generation", "pointer_artifact": "p.artifact = r.artifact", "pointer_proof": "p.last_proof IS NOT NULL",
+    "proof_type": "f.proof_type = 'publication'", "proof_version": "f.proof_version = 'v1'",
+    **{f"proof_{c}": f"f.{c} = r.{c}" for c in ("team", "item", "revision", "namespace", "artifact", "artifact_type", "model_key", "adapter", "dimension", "generation", "model_version")},
+    "expected_count": "f.expected_count = f.actual_count", "matched_count": "f.actual_count = f.matched_count",
+    "complete_set": f"f.actual_count = (SELECT count(*) FROM records c WHERE {SAME} AND c.deleted_at IS NULL AND c.state = 'indexed')",
+    "generation_type": "g.artifact_type = r.artifact_type", "generation_validation": "g.validation = 'full_valid'",
+    "item_lifecycle": "i.lifecycle = 'active'", "item_deleted": "i.item_deleted_at IS NULL", "item_serving": "i.serving_revision IS NOT NULL", "item_revision": "i.serving_revision = r.revision",
 }
+#: A proof of other coordinates also has another complete set, so both guard; the variants without one leave out the other too.
+BOTH = {f"proof_{c}" for c in ("team", "item", "revision", "namespace", "artifact", "artifact_type", "model_key", "model_version", "adapter", "dimension", "generation")}
+
+
+def without(name: str) -> tuple[str, ...]:
+    return (name, "complete_set") if name in BOTH else ("item_serving", "item_revision") if name == "item_serving" else (name,)
+
+
 FENCE_ALL = FENCE.format(conditions=" AND ".join(CONDITIONS.values()))
-SHOWN = ("vec_id", "item", "namespace", "generation", "unit", "granularity", "channel", "source_kind", "metric")
+SHOWN = ("vec_id", "team", "item", "namespace", "generation", "unit", "granularity", "channel", "source_kind", "metric", "proof", "handle")
 DOT = "list_dot_product(q.v, r.v)"
 SCORE = {
     "cosine": f"CASE WHEN list_dot_product(q.v, q.v) > 0 AND list_dot_product(r.v, r.v) > 0 THEN {DOT} / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))) ELSE 0 END",
@@ -62,8 +72,9 @@ SCORE = {
 }
 
 
-def built_fence(spark: SparkSession, sf_dir: str, skip: str = "") -> DataFrame:
-    return fences.serving_fence(ledgers.records(spark, sf_dir), ledgers.namespaces(spark), ledgers.pointers(spark, sf_dir), ledgers.proofs(spark, sf_dir), ledgers.items(spark, sf_dir), skip)
+def built_fence(spark: SparkSession, sf_dir: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    own = (ledgers.records(spark, sf_dir), ledgers.namespaces(spark), ledgers.pointers(spark, sf_dir), ledgers.proofs(spark, sf_dir), ledgers.items(spark, sf_dir), ledgers.sources(spark), ledgers.generations(spark, sf_dir))
+    return fences.serving_fence(*own, skip=skip)
 
 
 @listing.add(f"WITH {BUCKETS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM buckets")
@@ -130,20 +141,20 @@ def serving_fence(spark, sf_dir):
 
 def _tampered(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return built_fence(spark, sf_dir, name).select(*SHOWN)
+        return built_fence(spark, sf_dir, without(name)).select(*SHOWN)
 
     run.__doc__ = f"The fence without its {name} condition."
     return run
 
 
 for _name in CONDITIONS:
-    listing.add(f"WITH {FENCE.format(conditions=' AND '.join(v for k, v in CONDITIONS.items() if k != _name))} SELECT {', '.join(SHOWN)} FROM fence", f"fence_tamper_{_name}")(_tampered(_name))
+    listing.add(f"WITH {FENCE.format(conditions=' AND '.join(v for k, v in CONDITIONS.items() if k not in without(_name)))} SELECT {', '.join(SHOWN)} FROM fence", f"fence_tamper_{_name}")(_tampered(_name))
 
 
 @listing.add(f"""WITH {ledgers.CTE}
-SELECT r.vec_id, r.item, r.namespace, r.generation FROM records r JOIN namespaces USING (namespace)
+SELECT r.vec_id, r.item, r.namespace, r.generation FROM records r JOIN namespaces n ON r.namespace = n.namespace AND n.status = 'active'
 JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace AND r.generation = p.active_generation AND p.pointer_state = 'active'
-JOIN proofs f ON r.item = f.item AND r.namespace = f.namespace AND r.generation = f.generation WHERE r.state = 'indexed'""")
+WHERE r.state = 'indexed' AND r.deleted_at IS NULL AND EXISTS (SELECT 1 FROM proofs f WHERE r.item = f.item AND r.namespace = f.namespace AND r.generation = f.generation)""")
 def active_vectors(spark, sf_dir):
     """The weaker view of active vectors."""
     out = fences.active_vectors(ledgers.records(spark, sf_dir), ledgers.namespaces(spark), ledgers.pointers(spark, sf_dir), ledgers.proofs(spark, sf_dir))
@@ -162,9 +173,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(r.where("vec_id % 7 = 0").select("vec_id", "item", "revision"))
 
 
-@listing.add(f"""WITH {ledgers.CTE}, {CANDIDATES}
-SELECT DISTINCT c.vec_id, c.item, c.revision FROM candidates c JOIN records r ON c.vec_id = r.vec_id AND c.item = r.item AND c.revision = r.revision
-JOIN items i ON r.item = i.item AND r.revision = i.serving_revision WHERE r.state = 'indexed' AND i.lifecycle = 'active'""")
+ELIGIBLE = """SELECT DISTINCT c.vec_id, c.item, c.revision FROM candidates c JOIN records r ON c.vec_id = r.vec_id AND c.item = r.item AND c.revision = r.revision
+JOIN items i ON r.team = i.team AND r.item = i.item AND r.revision = i.serving_revision WHERE i.lifecycle = 'active' AND i.item_deleted_at IS NULL"""
+
+
+@listing.add(f"WITH {ledgers.CTE}, {CANDIDATES} {ELIGIBLE}")
+def fallback_eligible(spark, sf_dir):
+    """Candidate triples that their items alone confirm."""
+    return fences.fallback_eligible(candidates(spark, sf_dir), ledgers.records(spark, sf_dir), ledgers.items(spark, sf_dir))
+
+
+@listing.add(f"WITH {ledgers.CTE}, {CANDIDATES} {ELIGIBLE} AND r.state = 'indexed' AND r.deleted_at IS NULL")
 def eligible_candidates(spark, sf_dir):
     """Candidate triples that an indexed record and an active item confirm."""
     return fences.eligible(candidates(spark, sf_dir), ledgers.records(spark, sf_dir), ledgers.items(spark, sf_dir))
@@ -220,7 +239,7 @@ traced AS (
   FROM recalled r LEFT JOIN units u USING (item, generation, unit) LEFT JOIN originals o USING (item, generation, unit)
 ),
 kept AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, generation, unit ORDER BY score DESC, trace IN ('not_needed', 'resolved') DESC, vec_id) AS _n FROM traced) WHERE _n = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, generation, unit ORDER BY score DESC, trace = 'resolved' DESC, vec_id) AS _n FROM traced) WHERE _n = 1
 ),
 placed AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS position FROM kept) WHERE position <= {retrieve.RETURN_K}
@@ -237,9 +256,9 @@ inflated1 AS (
 ),
 inflated AS (SELECT * EXCLUDE (body), CASE WHEN inflation IN ('attached', 'truncated') THEN substr(body, 1, {retrieve.ROOT_CHARS}) END AS root_text FROM inflated1),
 usable AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM inflated WHERE length(text) > 0) WHERE n <= {retrieve.PACK_HITS}
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM inflated WHERE text IS NOT NULL) WHERE n <= {retrieve.PACK_HITS}
 ),
-once AS (SELECT *, row_number() OVER (PARTITION BY query_id, item, generation, root_text IS NOT NULL ORDER BY position) AS o FROM usable),
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, item, generation, granularity = 0 OR root_text IS NOT NULL ORDER BY position) AS o FROM usable),
 segments AS (
   SELECT query_id, n, 0 AS part, text AS body FROM once UNION ALL SELECT query_id, n, 1, root_text FROM once WHERE o = 1 AND root_text IS NOT NULL
 ),
@@ -247,10 +266,14 @@ budget AS (
   SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY query_id ORDER BY n, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM segments
 ),
 clipped AS (SELECT *, greatest(0, least(length(body), {retrieve.PACK_CHARS} - before))::BIGINT AS kept FROM budget),
-packed AS (
+packed0 AS (
   SELECT query_id, coalesce(string_agg(substr(body, 1, kept), chr(10) || chr(10) ORDER BY n, part) FILTER (WHERE kept > 0), '') AS context,
-    count(*) FILTER (WHERE kept > 0) AS n_segments, sum(kept)::BIGINT AS n_chars, sum(kept) < sum(length(body)) AS truncated
+    count(*) FILTER (WHERE part = 0 AND before < {retrieve.PACK_CHARS}) AS n_hits, count(*) FILTER (WHERE kept > 0) AS n_segments, sum(kept)::BIGINT AS n_chars, sum(kept) < sum(length(body)) AS clipped
   FROM clipped GROUP BY query_id
+),
+packed AS (
+  SELECT query_id, coalesce(context, '') AS context, coalesce(n_hits, 0) AS n_hits, coalesce(n_segments, 0) AS n_segments, coalesce(n_chars, 0) AS n_chars, coalesce(clipped, false) OR coalesce(n_hits, 0) < every AS truncated
+  FROM (SELECT query_id, count(*) AS every FROM inflated GROUP BY query_id) LEFT JOIN packed0 USING (query_id)
 )
 """
 
@@ -284,18 +307,18 @@ def inflate_roots(spark, sf_dir):
 
 @listing.add(f"""WITH {ASKED},
 again AS (SELECT query_id, vec_id, score, text, CASE WHEN count(*) OVER (PARTITION BY query_id) < 2 OR count(*) FILTER (WHERE text IS NULL) OVER (PARTITION BY query_id) > 0 THEN 'skipped' ELSE 'applied' END AS rerank_status FROM kept),
-sorted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rerank_status = 'applied' THEN 1.0 / length(text) ELSE score END DESC, vec_id)::INTEGER AS position FROM again)
+sorted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rerank_status = 'applied' THEN 1.0 / (1 + length(text)) ELSE score END DESC, vec_id)::INTEGER AS position FROM again)
 SELECT query_id, vec_id, rerank_status, position FROM sorted WHERE position <= {retrieve.RETURN_K}""")
 def rerank_hits(spark, sf_dir):
     """Hits reranked by a stand-in scorer that prefers short texts."""
-    out = retrieve.rerank(kept_hits(spark, sf_dir), lambda df: df.withColumn("rerank_score", 1.0 / F.length("text")))
+    out = retrieve.rerank(kept_hits(spark, sf_dir), lambda df: df.withColumn("rerank_score", 1.0 / (1 + F.length("text"))))
     return out.select("query_id", "vec_id", "rerank_status", "position")
 
 
-@listing.add(f"WITH {ASKED} SELECT query_id, sha256(context) AS context_digest, n_segments, n_chars, truncated FROM packed")
+@listing.add(f"WITH {ASKED} SELECT query_id, sha256(context) AS context_digest, n_hits, n_segments, n_chars, truncated FROM packed")
 def pack_context(spark, sf_dir):
     """Contexts by digest and size."""
-    return retrieve.pack(inflated_hits(spark, sf_dir)).select("query_id", F.sha2("context", 256).alias("context_digest"), "n_segments", "n_chars", "truncated")
+    return retrieve.pack(inflated_hits(spark, sf_dir)).select("query_id", F.sha2("context", 256).alias("context_digest"), "n_hits", "n_segments", "n_chars", "truncated")
 
 
 def _disposed(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:

@@ -1,101 +1,133 @@
 """Ledger tables derived from the driver's tables, as DataFrames and as the same CTEs for DuckDB.
 
-Items stand for documents, vector records for embeddings; pointers and proofs follow from the
-records. ``TAMPER`` names the conditions of the serving fence that tests break one by one.
+Items stand for documents, vector records for embeddings: eight records an item, so items grow with the
+table and an item stays small. An item's number ``d`` names the one field in which it deviates, so
+that each condition of the serving fence has items that it alone keeps out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lamella.functions.text import truncated_summary
 from lamella.sources.tables import table
 
 KINDS = ("inline", "web", "document", "api")
-METRICS = ((0, "cosine"), (1, "l2"), (2, "inner_product"))
+METRICS = ("cosine", "l2", "inner_product")
 DIMENSION = 64
+#: Members that a generation must have, all of them fully valid.
+MEMBERS = ("clean", "structure", "projection", "construction", "index", "proof")
+#: Letters of a block below the root.
+BLOCK = 600
+
+
+def _if(d: int, odd: str, usual: str) -> str:
+    return f"CASE WHEN d = {d} THEN {odd} ELSE {usual} END"
+
+
+def _list(columns: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" if k != v else k for k, v in columns.items())
+
+
+BASE = "SELECT vec_id, CAST(floor(vec_id / 8) AS BIGINT) AS item, CAST(floor(vec_id / 4) AS BIGINT) % 2 + 1 AS generation, vec_id % 4 AS slot, embedding FROM embeddings"
+RECORD = {
+    "vec_id": "vec_id", "item": "item", "d": "d", "team": "1 + item % 2", "generation": "generation", "deleted_at": "CASE WHEN d = 0 AND slot = 3 THEN 1 END",
+    "namespace": "CASE WHEN d = 2 THEN 10 WHEN d = 3 THEN 11 ELSE item % 3 END", "state": "CASE WHEN vec_id % 13 = 0 THEN 'withdrawn' ELSE 'indexed' END",
+    "model": _if(4, "'n'", "'m'"), "model_key": _if(5, "'l'", "'k'"), "model_version": _if(6, "'2'", "'1'"), "adapter": _if(7, "'remote'", "'local'"), "dimension": _if(8, "32", str(DIMENSION)),
+    "artifact": "item * 10 + generation", "artifact_type": "'index'", "channel": "CASE WHEN slot <= 1 THEN 'summary' ELSE 'original' END",
+    "unit": "CASE slot WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END", "granularity": "CASE slot WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END", "revision": "item * 10 + 1",
+}
+POINTER = {
+    "item": "item", "team": "team", "namespace": "namespace", "active_generation": "g + " + _if(10, "1", "0"), "pointer_state": _if(9, "'withdrawn'", "'active'"),
+    "artifact": "item * 10 + " + _if(11, "9", "g"), "last_proof": "CASE WHEN d = 12 THEN NULL WHEN d = 13 THEN -1 ELSE item * 10 + g END", "minutes": "(item * 37) % 180", "d": "d",
+}
+PROOF = {
+    "proof": "item * 10 + generation", "proof_type": _if(14, "'other'", "'publication'"), "proof_version": _if(15, "'v0'", "'v1'"), "team": "team + " + _if(16, "1", "0"),
+    "item": "item + " + _if(17, "1", "0"), "revision": "item * 10 + " + _if(18, "2", "1"), "namespace": "namespace + " + _if(19, "1", "0"), "artifact": "item * 10 + generation + " + _if(20, "5", "0"),
+    "artifact_type": _if(21, "'other'", "'index'"), "model": "model", "model_key": _if(22, "'x'", "model_key"), "model_version": _if(23, "'x'", "model_version"), "adapter": _if(24, "'x'", "adapter"),
+    "dimension": "dimension + " + _if(25, "1", "0"), "generation": "generation + " + _if(26, "1", "0"), "expected_count": "n + CASE WHEN d IN (27, 29) THEN 1 ELSE 0 END",
+    "actual_count": "n + " + _if(29, "1", "0"), "matched_count": "n + CASE WHEN d IN (28, 29) THEN 1 ELSE 0 END",
+}
+GENERATION = {
+    "artifact": "item * 10 + generation", "team": "team", "item": "item", "generation": "generation", "artifact_type": _if(30, "'draft'", "'index'"),
+    "validation": _if(31, "'partial'", "'full_valid'"), "handle": "concat('generation-', item * 10 + generation)", "d": "d",
+}
+ITEM = {
+    "item": "item", "team": "1 + item % 2", "source": "CASE WHEN d <> 37 THEN item % 4 END", "lifecycle": "CASE WHEN d = 32 THEN 'deactivated' WHEN d = 36 THEN 'deleted' ELSE 'active' END",
+    "item_deleted_at": "CASE WHEN d = 33 THEN 1 END", "serving_revision": "CASE WHEN d = 34 THEN NULL WHEN d = 35 THEN item * 10 + 2 ELSE item * 10 + 1 END",
+}
+NAMESPACE_ROWS = [(k, m, "deleted" if k == 10 else "active", 1 if k == 11 else None) for k, m in [*enumerate(METRICS), (10, METRICS[0]), (11, METRICS[0])]]
+NAMESPACE = f"namespace long, metric string, status string, ns_deleted_at int"
+
+
+def _rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id")
-    life = F.when(F.col("doc_id") % 17 == 0, "deleted").when(F.col("doc_id") % 11 == 0, "deactivated").otherwise("active")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    out = docs.select(F.col("doc_id").alias("item"), kind.alias("source_kind"), life.alias("lifecycle"))
-    return out.withColumn("serving_revision", F.when(F.col("lifecycle") == "active", F.col("item") * 10 + 1))
+    docs = table(spark, sf_dir, "documents", "doc_id").selectExpr("doc_id AS item", "(doc_id * 7) % 64 AS d")
+    return _rows(docs, ITEM)
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, s, k) for t in (1, 2) for s, k in enumerate(KINDS)], "team long, source long, source_kind string")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    unit = F.expr("vec_id div 200")
-    return v.select(
-        "vec_id",
-        (F.col("vec_id") % 50).alias("item"),
-        (F.expr("vec_id div 50") % 2 + 1).alias("generation"),
-        F.when(F.expr("vec_id div 100") % 2 == 0, "summary").otherwise("original").alias("channel"),
-        unit.alias("unit"),
-        F.least(unit, F.lit(2).cast("long")).alias("granularity"),
-        (F.col("vec_id") % 50 % 3).alias("namespace"),
-        F.when(F.col("vec_id") % 13 == 0, "withdrawn").otherwise("indexed").alias("state"),
-        (F.col("vec_id") % 50 * 10 + 1).alias("revision"),
-        "embedding",
-    )
+    base = table(spark, sf_dir, "embeddings", "vec_id", "embedding").selectExpr("vec_id", "CAST(floor(vec_id / 8) AS BIGINT) AS item", "CAST(floor(vec_id / 4) AS BIGINT) % 2 + 1 AS generation", "vec_id % 4 AS slot", "embedding")
+    return _rows(base.selectExpr("*", "(item * 7) % 64 AS d"), RECORD | {"embedding": "embedding"})
 
 
 def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).groupBy("item", "namespace").agg(F.max("generation").alias("active_generation"))
-    return r.withColumn("pointer_state", F.when(F.col("item") % 9 == 0, "withdrawn").otherwise("active"))
+    return _rows(records(spark, sf_dir).groupBy("item", "team", "namespace").agg({"generation": "max", "d": "min"}).selectExpr("item", "team", "namespace", "`max(generation)` AS g", "`min(d)` AS d"), POINTER)
+
+
+GROUPED = ("item", "team", "namespace", "generation", "model", "model_key", "model_version", "adapter", "dimension", "d")
 
 
 def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).groupBy("item", "namespace", "generation")
-    return r.agg((F.count_if(F.col("state") == "indexed") + F.when(F.col("item") % 7 == 0, 1).otherwise(0)).cast("long").alias("expected_count"))
+    counted = records(spark, sf_dir).selectExpr(*GROUPED, "CASE WHEN state = 'indexed' AND deleted_at IS NULL THEN 1 ELSE 0 END AS counts").groupBy(*GROUPED).agg({"counts": "sum"})
+    return _rows(counted.withColumnRenamed("sum(counts)", "n"), PROOF)
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(records(spark, sf_dir).select("item", "team", "generation", "d").distinct(), GENERATION)
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact, member, disposition): what each generation is made of."""
+    every = generations(spark, sf_dir).selectExpr("artifact", "d", f"explode(array({', '.join(map(repr, MEMBERS))})) AS member")
+    return every.where("NOT (d = 39 AND member = 'proof')").selectExpr("artifact", "member", "CASE WHEN d = 38 AND member = 'projection' THEN 'partial' ELSE 'full_valid' END AS disposition")
 
 
 def namespaces(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, m, DIMENSION) for k, m in METRICS], "namespace long, metric string, dimension int")
+    base = spark.createDataFrame(NAMESPACE_ROWS, NAMESPACE)
+    return base.selectExpr("*", "'m' AS ns_model", "'k' AS ns_model_key", "'1' AS ns_model_version", "'local' AS ns_adapter", f"{DIMENSION} AS ns_dimension")
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored bodies of units: (item, generation, unit, granularity, summary, original). Every third unit lacks its original."""
+    """Stored bodies of units: (item, generation, unit, granularity, summary, original). The root holds the whole text, other units a block; every third unit lacks its original."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     keys = records(spark, sf_dir).select("item", "generation", "unit", "granularity").distinct()
-    body = keys.join(docs, F.col("item") == F.col("doc_id"))
-    return body.select(
-        "item", "generation", "unit", "granularity",
-        F.concat(F.lit("unit "), F.col("unit"), F.lit(": "), truncated_summary(F.col("text"))).alias("summary"),
-        F.when((F.col("item") + F.col("unit")) % 3 != 2, F.col("text")).alias("original"),
+    return keys.join(docs, keys["item"] == docs["doc_id"]).selectExpr(
+        "item", "generation", "unit", "granularity", f"concat('unit ', unit, ': ', substr(text, 1 + {BLOCK} * (unit - 1) * least(unit, 1), 400)) AS summary",
+        f"CASE WHEN (item + unit) % 3 <> 2 THEN CASE WHEN unit = 0 THEN text ELSE substr(text, 1 + {BLOCK} * (unit - 1), {BLOCK}) END END AS original",
     )
 
 
 CTE = f"""
-items AS (
-  SELECT doc_id AS item, CASE doc_id % 4 WHEN 0 THEN 'inline' WHEN 1 THEN 'web' WHEN 2 THEN 'document' ELSE 'api' END AS source_kind,
-    CASE WHEN doc_id % 17 = 0 THEN 'deleted' WHEN doc_id % 11 = 0 THEN 'deactivated' ELSE 'active' END AS lifecycle,
-    CASE WHEN doc_id % 17 <> 0 AND doc_id % 11 <> 0 THEN doc_id * 10 + 1 END AS serving_revision
-  FROM documents
-),
-records AS (
-  SELECT vec_id, vec_id % 50 AS item, 1 + (vec_id // 50) % 2 AS generation,
-    CASE WHEN (vec_id // 100) % 2 = 0 THEN 'summary' ELSE 'original' END AS channel,
-    vec_id // 200 AS unit, least(vec_id // 200, 2) AS granularity, vec_id % 50 % 3 AS namespace,
-    CASE WHEN vec_id % 13 = 0 THEN 'withdrawn' ELSE 'indexed' END AS state, vec_id % 50 * 10 + 1 AS revision, embedding
-  FROM embeddings
-),
-pointers AS (
-  SELECT item, namespace, max(generation) AS active_generation, CASE WHEN item % 9 = 0 THEN 'withdrawn' ELSE 'active' END AS pointer_state
-  FROM records GROUP BY item, namespace
-),
-proofs AS (
-  SELECT item, namespace, generation, (count(*) FILTER (WHERE state = 'indexed') + CASE WHEN item % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS expected_count
-  FROM records GROUP BY item, namespace, generation
-),
-namespaces AS (
-  SELECT * FROM (VALUES {", ".join(f"({k}, '{m}', {DIMENSION})" for k, m in METRICS)}) t(namespace, metric, dimension)
-),
+items AS (SELECT {_list(ITEM)} FROM (SELECT doc_id AS item, (doc_id * 7) % 64 AS d FROM documents)),
+sources AS (SELECT * FROM (VALUES {", ".join(f"({t}, {s}, '{k}')" for t in (1, 2) for s, k in enumerate(KINDS))}) t(team, source, source_kind)),
+records AS (SELECT {_list(RECORD)}, embedding FROM (SELECT *, (item * 7) % 64 AS d FROM ({BASE}))),
+pointers AS (SELECT {_list(POINTER)} FROM (SELECT item, team, namespace, max(generation) AS g, min(d) AS d FROM records GROUP BY item, team, namespace)),
+proofs AS (SELECT {_list(PROOF)} FROM (SELECT {", ".join(GROUPED)}, (count(*) FILTER (WHERE state = 'indexed' AND deleted_at IS NULL))::BIGINT AS n FROM records GROUP BY ALL)),
+generations AS (SELECT {_list(GENERATION)} FROM (SELECT DISTINCT item, team, generation, d FROM records)),
+members AS (SELECT artifact, member, CASE WHEN d = 38 AND member = 'projection' THEN 'partial' ELSE 'full_valid' END AS disposition
+  FROM generations, (SELECT unnest([{", ".join(map(repr, MEMBERS))}]) AS member) WHERE NOT (d = 39 AND member = 'proof')),
+namespaces AS (SELECT *, 'm' AS ns_model, 'k' AS ns_model_key, '1' AS ns_model_version, 'local' AS ns_adapter, {DIMENSION} AS ns_dimension
+  FROM (VALUES {", ".join(f"({k}, '{m}', '{s}', {'NULL' if x is None else x})" for k, m, s, x in NAMESPACE_ROWS)}) t(namespace, metric, status, ns_deleted_at)),
 units AS (
-  SELECT k.*, 'unit ' || unit || ': ' || CASE WHEN length(text) <= 480 THEN text ELSE rtrim(substr(text, 1, 479)) || '…' END AS summary,
-    CASE WHEN (item + unit) % 3 <> 2 THEN text END AS original
+  SELECT k.*, concat('unit ', unit, ': ', substr(text, 1 + {BLOCK} * (unit - 1) * least(unit, 1), 400)) AS summary,
+    CASE WHEN (item + unit) % 3 <> 2 THEN CASE WHEN unit = 0 THEN text ELSE substr(text, 1 + {BLOCK} * (unit - 1), {BLOCK}) END END AS original
   FROM (SELECT DISTINCT item, generation, unit, granularity FROM records) k JOIN documents ON item = doc_id
 )
 """
