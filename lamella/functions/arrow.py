@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
-#: Elements whose content is dropped by the two HTML cleaners, elements that end a line, and attributes that stay.
-DROPPED = frozenset(("script", "style", "template", "noscript", "svg", "canvas"))
-UNSAFE = DROPPED | frozenset(("iframe", "object", "embed", "form", "input", "button", "link"))
-LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: Elements whose content the text reader and the sanitiser drop, elements that end a line, void elements, attributes that stay.
+DROPPED = frozenset("script style template noscript svg canvas".split())
+UNSAFE = frozenset("script style svg noscript iframe object embed nav footer header aside form template".split())
+LINES = frozenset("address article aside blockquote br div dl dt dd figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-KEPT = frozenset(("href", "title", "alt", "lang", "dir", "colspan", "rowspan", "cite"))
+KEPT = frozenset("href src alt title colspan rowspan lang datetime".split())
 BLANKS = re.compile(r"[^\S\n]+")
 
 
@@ -32,85 +35,86 @@ def plain(text: str) -> str:
 
 
 class _Reader(HTMLParser):
-    """Counts dropped elements; ``depth`` is how many of them are open."""
+    """Counts what is dropped; ``depth`` is how many dropped elements are open. A dropped element that closes itself opens nothing."""
 
     def __init__(self, dropped: frozenset):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.depth, self.removed, self.out = dropped, 0, {}, []
+        self.dropped, self.depth, self.removed, self.bare, self.out = dropped, 0, Counter(), Counter(), []
 
-    def enter(self, tag: str) -> bool:
-        if tag in self.dropped:
-            self.removed[tag] = self.removed.get(tag, 0) + 1
-            self.depth += tag not in VOID  # a void element opens nothing
-            return False
-        return not self.depth
+    def opened(self, tag: str, attrs: list) -> str | None:
+        """What an opening tag that isn't dropped leaves in the output."""
 
-    def leave(self, tag: str) -> bool:
-        if tag in self.dropped:
-            self.depth = max(0, self.depth - (tag not in VOID))
-            return False
-        return not self.depth
+    def closed(self, tag: str) -> str | None:
+        """The same for an end tag."""
 
+    def say(self, piece: str | None) -> None:
+        if piece and not self.depth:
+            self.out.append(piece)
 
-class _Text(_Reader):
     def handle_starttag(self, tag, attrs):
-        if self.enter(tag) and tag in LINES:
-            self.out.append("\n")
+        if tag in self.dropped:
+            self.removed[tag] += 1
+            self.depth += 1
+        elif not self.depth:
+            self.say(self.opened(tag, attrs))
 
     def handle_endtag(self, tag):
-        if self.leave(tag) and tag in LINES:
-            self.out.append("\n")
+        if tag in self.dropped:
+            self.depth = max(0, self.depth - 1)
+        else:
+            self.say(self.closed(tag))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
+        self.say(data)
 
 
-class _Safe(_Reader):
-    def handle_starttag(self, tag, attrs):
-        if self.enter(tag):
-            kept = "".join(f' {k}="{html.escape(v or "", quote=True)}"' for k, v in attrs if k in KEPT and not re.match(r"\s*(?:javascript|data|vbscript):", v or "", re.I))
-            self.out.append(f"<{tag}{kept}>")
+class _Text(_Reader):
+    def opened(self, tag, attrs):
+        return "\n" if tag in LINES else None
 
-    def handle_endtag(self, tag):
-        if self.leave(tag) and tag not in VOID:
-            self.out.append(f"</{tag}>")
+    def closed(self, tag):
+        return "\n" if tag in LINES else None
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+
+class _Safe(_Reader):
+    def opened(self, tag, attrs):
+        self.bare.update(k for k, _ in attrs if k not in KEPT)
+        kept = "".join(f" {k}" if v is None else f' {k}="{html.escape(v, quote=True)}"' for k, v in attrs if k in KEPT)
+        return f"<{tag}{kept}>"
+
+    def closed(self, tag):
+        return None if tag in VOID else f"</{tag}>"
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(html.escape(data, quote=False))
+        self.say(html.escape(data, quote=False))
+
+
+def _read(reader: _Reader, source: str) -> tuple[str, dict, dict]:
+    reader.feed(source)
+    reader.close()
+    return "".join(reader.out), dict(reader.removed), dict(reader.bare)
 
 
-def read_text(source: str) -> tuple[str, dict]:
-    r = _Text(DROPPED)
-    r.feed(source)
-    r.close()
-    return plain("".join(r.out)), r.removed
+def read_text(source: str) -> tuple[str, dict, dict]:
+    text, removed, bare = _read(_Text(DROPPED), source)
+    return plain(text), removed, bare
 
 
-def sanitised(source: str) -> tuple[str, dict]:
-    r = _Safe(UNSAFE)
-    r.feed(source)
-    r.close()
-    return "".join(r.out), r.removed
+def sanitised(source: str) -> tuple[str, dict, dict]:
+    return _read(_Safe(UNSAFE), source)
 
 
-CLEANED = StructType([StructField("text", StringType()), StructField("removed", MapType(StringType(), IntegerType()))])
+COUNTS = MapType(StringType(), IntegerType())
+CLEANED = StructType([StructField("text", StringType()), StructField("removed", COUNTS), StructField("bare", COUNTS)])
 
 
 def _pairs(values: pd.Series, f) -> pd.DataFrame:
-    rows = [(None, None) if v is None else f(v) for v in values]
-    return pd.DataFrame({"text": [r[0] for r in rows], "removed": [r[1] for r in rows]})
+    rows = [(None, None, None) if v is None else f(v) for v in values]
+    return pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate(("text", "removed", "bare"))})
 
 
 @F.pandas_udf(StringType())
@@ -118,6 +122,12 @@ def canonical_text(text: pd.Series) -> pd.Series:
     return text.map(canonical, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def plain_text(text: pd.Series) -> pd.Series:
+    """Canonical text with single spaces and at most one blank line."""
+    return text.map(plain, na_action="ignore")
+
+
 @F.pandas_udf(CLEANED)
 def html_text(source: pd.Series) -> pd.DataFrame:
     """Readable text and how many elements of each kind were dropped."""
@@ -126,7 +136,7 @@ def html_text(source: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(CLEANED)
 def html_sanitised(source: pd.Series) -> pd.DataFrame:
-    """Markup without unsafe elements and attributes."""
+    """Markup without unsafe elements and attributes, and how many of each were dropped."""
     return _pairs(source, sanitised)
 
 
@@ -135,27 +145,40 @@ def web_clean(source: pd.Series) -> pd.DataFrame:
     """Sanitised, then read; an empty result is null, so that it can be set aside."""
 
     def both(v: str):
-        safe, removed = sanitised(v)
-        return read_text(safe)[0] or None, removed
+        safe, removed, bare = sanitised(v)
+        return read_text(safe)[0] or None, removed, bare
 
     return _pairs(source, both)
 
 
-_SHOWN = re.compile(rb"(\[(?:[^\[\]()\\]|\((?:\\.|[^\\()])*\))*\]|\((?:\\.|[^\\()])*\))\s*(Tj|TJ|')", re.S)
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
-_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+#: Strings shown singly, arrays of strings, and strings in these.
+_SINGLE = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|')")
+_ARRAY = re.compile(rb"\[(.*?)\]\s*TJ", re.S)
+_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)")
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.|\Z)", re.S)
 _PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 
 
 def pdf_literals(raw: bytes) -> str | None:
-    """Text of the literal strings that a PDF shows, a line each; null if it isn't a PDF."""
+    """Canonical text of the literal strings that a PDF shows, a line each: those shown singly, then those in arrays.
+
+    Null if it isn't a PDF, shows no text, or the strings together aren't Unicode.
+    """
     if not raw.startswith(b"%PDF-"):
         return None
-    lines = []
-    for m in _SHOWN.finditer(raw):
-        data = b"".join(_ESCAPE.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1].isdigit() else _PLAIN.get(e[1], e[1]), s) for s in _STRING.findall(m[1]))
-        lines.append(data[2:].decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("utf-8", "replace"))
-    return "\n".join(x for x in lines if x)
+    strings = [_STRING.match(x)[0] for x in (m[0] for m in _SINGLE.finditer(raw))]
+    strings += [x for m in _ARRAY.finditer(raw) for x in _STRING.findall(m[1])]
+    unescaped = [_ESCAPE.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1][:1] in b"01234567" and e[1] else _PLAIN.get(e[1], e[1]), x[1:-1]) for x in strings]
+    joined = b"\n".join(x for x in unescaped if x)
+    try:
+        return canonical(joined.decode("utf-16" if joined[:2] in (b"\xfe\xff", b"\xff\xfe") else "utf-8")) or None
+    except UnicodeDecodeError:
+        return None
+
+
+def pdf_pages(raw: bytes) -> int:
+    """Page objects that a PDF names."""
+    return len(re.findall(rb"/Type\s*/Page\b", raw))
 
 
 @F.pandas_udf(StringType())
@@ -163,6 +186,37 @@ def pdf_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else pdf_literals(bytes(b)))
 
 
+def url_form(url: str) -> str:
+    """A URL without user info, fragment and default port, its scheme and host in lower case and the host in ASCII; one that can't be read stays as it is."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        return url
+    place = ""
+    if host:
+        host = host.rstrip(".")
+        try:
+            host = host.encode("idna").decode("ascii")
+        except UnicodeError:
+            pass
+        place = f"[{host.lower()}]" if ":" in host else host.lower()
+        if port is not None and port != {"https": 443, "http": 80}.get(parts.scheme.lower()):
+            place += f":{port}"
+    return urlunsplit((parts.scheme.lower(), place, parts.path or "/", parts.query, ""))
+
+
+@F.pandas_udf(StringType())
+def url_identity(url: pd.Series) -> pd.Series:
+    """Digest of a URL's normal form."""
+    return url.map(lambda u: hashlib.sha256(url_form(u).encode("utf-8", "surrogatepass")).hexdigest(), na_action="ignore")
+
+
+@F.pandas_udf(IntegerType())
+def pdf_page_count(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else pdf_pages(bytes(b)))
+
+
 def canonical_json_of(text: str) -> str | None:
     """JSON with sorted keys and no spaces; null if it can't be read, repeats a key or holds NaN."""
 

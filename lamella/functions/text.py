@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 SUMMARY = 480
 #: White space but for the line feed.
 BLANK = r"[\t\x0B\f\r \x1C-\x1F\x85\xA0]+"
-#: What stands for redacted parts.
-PATH_MARK, SECRET_MARK = "[path]", "[redacted]"
-#: An absolute path of two parts or more that isn't inside a URL or word.
-PATH = r"(^|[^\w:/.])(/(?:[\w.@+-]+/)+[\w.@+-]*)"
-#: In order: connection URLs, signed URLs, secret headers, bearer values, absolute paths.
+#: What stands for a path in shown texts; keys whose values are secret; and, in order, connection URLs, signed URLs, secret headers, bearer values and absolute paths, with their marks.
+PATH_MARK, SECRET_MARK = "[redacted-path]", "[REDACTED]"
+PATH = r"(?U)(?<![:/\w])/(?:[\w.-]+/)*[\w.-]+"
+SECRET_KEY = r"(?i)(authorization|x[-_]?\w*[-_]?internal[-_]?token|token|password|passphrase|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential|cookie|signature|signed|connection|dsn)"
 SECRETS = (
-    (r"\b[a-z][a-z0-9+]*://[^\s/@:]+:[^\s/@]+@[^\s]+", SECRET_MARK),
-    (r"https?://[^\s]*[?&](?:X-Amz-Signature|Signature|sig|token)=[^\s]+", SECRET_MARK),
-    (r"(?i)\b(authorization|x-api-key|api[_-]?key|password|secret)(\s*[:=]\s*)[^\s,;]+", "$1$2" + SECRET_MARK),
-    (r"(?i)\bbearer\s+[a-z0-9._~+/=-]+", "bearer " + SECRET_MARK),
-    (PATH, "$1" + PATH_MARK),
+    (r"(?i)\b(?:postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqp|file)://[^\s'\"<>]+", "[REDACTED_CONNECTION]"),
+    (r"(?i)https?://[^\s'\"<>]*[?&](?:x-amz-[^=]+|signature|token|access[_-]?key|credential)=[^\s'\"<>]*", "[REDACTED_URL]"),
+    (r"(?i)\b(?:authorization|x[-_]?\w*[-_]?internal[-_]?token|api[_-]?key|access[_-]?key|token|password)\s*[:=]\s*(?:bearer\s+)?[^\s,;]+", SECRET_MARK),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", f"Bearer {SECRET_MARK}"),
+    (r"(?<![:A-Za-z0-9_])/(?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+", "[REDACTED_PATH]"),
 )
+#: How a unit id names its layer by number.
+LAYER = (r"(?i)(?:^|[._:/-])g(?:ranularity)?[=_:-]?([012])(?:$|[._:/-])", r"(?i)^(?:granularity[=_:-]?)?([012])(?:[._:/-]|$)")
 #: A sentence: the shortest stretch up to a closing mark before white space or the end, or the rest.
 SENTENCE = r"(?s)\S.*?(?:[.!?。！？](?=\s|$)|$)"
 
@@ -37,7 +38,7 @@ def plain_clean(text: Column) -> Column:
 
 
 def path_redacted(text: Column) -> Column:
-    return F.regexp_replace(text, PATH, "$1" + PATH_MARK)
+    return F.regexp_replace(text, PATH, PATH_MARK)
 
 
 def secret_redacted(text: Column) -> Column:
@@ -46,6 +47,11 @@ def secret_redacted(text: Column) -> Column:
     return text
 
 
+def secret_map(values: Column) -> Column:
+    """A map without secrets: whole values under telling keys, and what looks like one in the others."""
+    return F.transform_values(values, lambda k, v: F.when(F.regexp_like(k, F.lit(SECRET_KEY)), F.lit(SECRET_MARK)).otherwise(secret_redacted(v)))
+
+
 def unsafe(text: Column) -> Column:
     """Holds an absolute path, a signed URL or a secret-like key."""
     out = F.lit(False)
@@ -82,9 +88,9 @@ def without_header(text: Column, header: Column) -> Column:
 
 def granularity_of(unit_id: Column) -> Column:
     """Layer of a unit id: by its own number, else by telling words, else 1."""
-    number = F.regexp_extract(unit_id, r"(?:^|[:_-])g([0-2])(?:[:_-]|$)", 1)
+    number = F.coalesce(*[F.nullif(F.regexp_extract(unit_id, p, 1), F.lit("")) for p in LAYER])
     low = F.lower(unit_id)
-    return F.when(number != "", number.cast("int")).when(F.regexp_like(low, F.lit("root|document|full")), 0).when(F.regexp_like(low, F.lit("leaf|sentence|paragraph|fragment")), 2).otherwise(1).cast("int")
+    return F.when(number.isNotNull(), number.cast("int")).when(F.regexp_like(low, F.lit("root|document|full")), 0).when(F.regexp_like(low, F.lit("leaf|sentence|paragraph|fragment")), 2).otherwise(1).cast("int")
 
 
 def sentences(text: Column) -> Column:
@@ -119,15 +125,6 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"text":'), json_text(text), F.lit("}")), 256)
 
 
-def url_identity(url: Column) -> Column:
-    """Digest of a URL with lower-case scheme and host, without default port, user info and fragment; null if it isn't one."""
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:\d+)?([^#]*)"
-    part = lambda i: F.regexp_extract(url, pattern, i)
-    scheme, port = F.lower(part(1)), part(3)
-    port = F.when(((scheme == "https") & (port == ":443")) | ((scheme == "http") & (port == ":80")), "").otherwise(port)
-    return F.when(scheme != "", F.sha2(F.concat(scheme, F.lit("://"), F.lower(part(2)), port, part(4)), 256))
-
-
 def media_type(content: Column) -> Column:
     """Type of raw bytes by their first ones: PDF, images, JSON, HTML, text, else unknown."""
     head = F.substring(content, 1, 16)

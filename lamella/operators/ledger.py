@@ -6,9 +6,12 @@ import base64
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.workers import workers_import
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``; Spark keeps one row a key and task before the shuffle."""
@@ -60,8 +63,14 @@ def appended_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 
 def set_digest(df: DataFrame, keys: list[str], member: Column, name: str = "digest") -> DataFrame:
-    """Digest of each key's members in their own order, whatever the order of rows."""
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(member)), "\n"), 256).alias(name), F.count(F.lit(1)).alias("members"))
+    """Digest of each key's members, whatever the order of rows: the digest of the digests of their buckets.
+
+    A member's bucket is the first digit pair of its own digest, so that no task gathers all members of a key.
+    """
+    rows = df.select(*keys, member.alias("_m")).withColumn("_b", F.substring(F.sha2("_m", 256), 1, 2))
+    buckets = rows.groupBy(*keys, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_m")), "\n"), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: F.concat_ws(":", x["_b"], x["_d"])), "\n")
+    return buckets.groupBy(*keys).agg(F.sha2(whole, 256).alias(name), F.sum("_n").alias("members"))
 
 
 def exact_cover(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,19 +81,29 @@ def exact_cover(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Data
     return both.where("n_expected <> n_actual").withColumn("state", state)
 
 
-def pool_choice(priority: Column, local_queued: Column, ni_queued: Column, local_free: Column, quota: Column, over_budget: Column) -> Column:
-    """Pool of a waiting row: over budget none, urgent work locally while it is free, else the shorter queue with quota."""
-    return (
-        F.when(over_budget, F.lit(None).cast("string")).when((priority <= 1) & local_free, "local")
-        .when(quota & ((ni_queued < local_queued) | ~local_free), "remote").when(local_free, "local").otherwise(F.lit(None).cast("string"))
-    )
+#: Most waiting rows of the pools that choose by their queues.
+LOCAL_CAP, REMOTE_CAP = 6, 4
+
+
+def pool_choice(kind: Column, priority: Column, channel: Column, local_queued: Column, remote_queued: Column, local_free: Column, quota: Column, over_budget: Column) -> Column:
+    """Pool of a row (local-inference, non-interactive, embed), or null: it waits or has none.
+
+    An explicit channel is taken or waited for. Urgent and high work goes to the remote pool only, low work to the local
+    one only; normal work goes to the local pool and overflows to the remote one, at once if over budget.
+    """
+    local = F.when(local_free & (local_queued < LOCAL_CAP), "local-inference")
+    remote = F.when(quota & (remote_queued < REMOTE_CAP), "non-interactive")
+    lane = F.when(priority.isin("urgent", "high"), remote).when(priority == "normal", F.when(over_budget, remote).otherwise(F.coalesce(local, remote))).when(priority == "low", local)
+    named = F.when(channel == "local-inference", local).when(channel == "non-interactive", remote)
+    return F.when(kind == "embed", "embed").when(kind == "generate", F.when(channel.isNotNull(), named).otherwise(lane))
 
 
 def admitted(waiting: DataFrame, free: dict[str, int], order: list[str]) -> DataFrame:
     """The first rows of each pool's queue that its free slots admit."""
     slots = F.coalesce(*[F.when(F.col("pool") == p, n) for p, n in free.items()], F.lit(0))
     w = Window.partitionBy("pool").orderBy(*order)
-    return waiting.withColumn("place", F.row_number().over(w)).where(F.col("place") <= slots)
+    # the literal bound lets every task keep that many rows a pool before the shuffle
+    return waiting.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(free.values(), default=0)).where(F.col("place") <= slots)
 
 
 def terminal_outcome(status: Column) -> Column:
@@ -101,9 +120,12 @@ def transitions(rows: DataFrame, legal: list[tuple[str, str]], old: str, new: st
 def admission_overflow(waiting: DataFrame, slots: list[tuple[str, int]]) -> DataFrame:
     """Sequential admission of one team's queue over several pools: each row (team, key, priority, pool) takes its own pool's slot, else the first free one.
 
-    A fold over each team's sorted array, so state is one counter a pool; a team's queue is bounded by its own queue caps.
+    While any slot is free every row takes one, so the first rows up to the number of all slots decide; each task keeps
+    that many a team before the shuffle, and the fold over them has one counter a pool.
     """
     names = [p for p, _ in slots]
+    w = Window.partitionBy("team").orderBy("priority", "key", "pool")
+    waiting = waiting.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sum(n for _, n in slots)).drop("_n")
     state = F.struct(*[F.lit(n).alias(p) for p, n in slots], F.array().cast("array<struct<key:bigint,pool:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -119,17 +141,28 @@ def admission_overflow(waiting: DataFrame, slots: list[tuple[str, int]]) -> Data
 def budget_batches(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """Batch numbers within each group such that sizes add up to at most ``budget``; a larger row is a batch alone.
 
-    A running sum that starts anew is a fold over the group's sorted sizes; texts themselves stay out of it.
+    A running sum that starts anew, over rows in order within a partition: a group's rows stream through
+    one task with two counters of state, and are never gathered. Rows of one order are taken by size.
     """
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<k:bigint,batch:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["batch"] < 0) | (acc["used"] + x["s"] > budget)
-        batch = acc["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), F.when(new, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), batch.alias("batch")))).alias("out"))
-
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("k"), F.col(size).cast("long").alias("s")))).alias("q"))
-    return rows.select(group, F.explode(F.aggregate("q", start, step)["out"]).alias("e")).select(group, F.col("e.k").alias(order), "e.batch")
+    workers_import(df.sparkSession)
+    rows = df.select(F.col(group), F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("_size")).repartition(group).sortWithinPartitions(group, order, "_size")
+    kind = rows.schema[group].dataType.simpleString()
+
+    def number(batches):
+        now, batch, used = object(), -1, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if g != now:
+                    now, batch, used = g, 0, n
+                elif used + n > budget:
+                    batch, used = batch + 1, n
+                else:
+                    used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [group, order, "batch"])
+
+    return rows.mapInArrow(number, f"`{group}` {kind}, `{order}` long, batch int")
 
 
 def current_versions(versions: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,8 +15,9 @@ queries, oracle_sql = listing.queries, listing.oracle_sql
 CTE = ledgers.CTE
 
 
-@listing.add(f"""WITH {CTE} SELECT item, namespace, generation, sha256(string_agg(m, chr(10) ORDER BY m)) AS digest, count(*) AS members
-FROM (SELECT *, vec_id || ':' || unit || ':' || channel AS m FROM records WHERE state = 'indexed') GROUP BY item, namespace, generation""")
+@listing.add(f"""WITH {CTE}, m AS (SELECT item, namespace, generation, vec_id || ':' || unit || ':' || channel AS m FROM records WHERE state = 'indexed'),
+b AS (SELECT item, namespace, generation, substr(sha256(m), 1, 2) AS b, sha256(string_agg(m, chr(10) ORDER BY m)) AS d, count(*) AS n FROM m GROUP BY ALL)
+SELECT item, namespace, generation, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS members FROM b GROUP BY item, namespace, generation""")
 def publication_set_digest(spark, sf_dir):
     """Digest of each publication's members, whatever their order."""
     r = ledgers.records(spark, sf_dir).where("state = 'indexed'")

@@ -56,12 +56,20 @@ def pool_occupancy(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in POOLS], "pool string").join(counts, "pool", "left").na.fill(0)
 
 
-@listing.add(f"""WITH {PROCESSES}
-SELECT process, CASE WHEN value > 80 THEN NULL WHEN priority <= 1 AND k % 2 = 0 THEN 'local' WHEN value > 5 AND (k % 11 < k % 7 OR k % 2 <> 0) THEN 'remote' WHEN k % 2 = 0 THEN 'local' END AS choice FROM processes""")
+LANES = ("urgent", "high", "normal", "low")
+
+
+@listing.add(f"""WITH {PROCESSES}, c AS (SELECT process, CASE k % 4 WHEN 0 THEN 'urgent' WHEN 1 THEN 'high' WHEN 2 THEN 'normal' ELSE 'low' END AS lane, CASE process % 7 WHEN 0 THEN 'embed' WHEN 1 THEN 'unpooled' ELSE 'generate' END AS kind,
+  CASE process % 11 WHEN 0 THEN 'local-inference' WHEN 1 THEN 'non-interactive' WHEN 2 THEN 'other' END AS channel, CASE WHEN process % 3 > 0 AND k % 8 < 6 THEN 'local-inference' END AS l, CASE WHEN process % 5 > 0 AND k % 6 < 4 THEN 'non-interactive' END AS r, value > 80 AS rich FROM processes)
+SELECT process, CASE WHEN kind = 'embed' THEN 'embed' WHEN kind = 'unpooled' THEN NULL WHEN channel = 'local-inference' THEN l WHEN channel = 'non-interactive' THEN r WHEN channel IS NOT NULL THEN NULL
+  WHEN lane IN ('urgent', 'high') THEN r WHEN lane = 'low' THEN l WHEN rich THEN r ELSE coalesce(l, r) END AS choice FROM c""")
 def pool_choice(spark, sf_dir):
-    """Pool of each process by priority, queues, quota and budget."""
-    k = F.col("k")
-    return processes(spark, sf_dir).select("process", ledger.pool_choice(F.col("priority"), k % 7, k % 11, k % 2 == 0, F.col("value") > 5, F.col("value") > 80).alias("choice"))
+    """Pool of each process by kind, lane, channel, queues, quota and budget."""
+    k, i = F.col("k"), F.col("process")
+    lane = F.element_at(F.array(*map(F.lit, LANES)), (k % 4 + 1).cast("int"))
+    kind = F.when(i % 7 == 0, "embed").when(i % 7 == 1, "unpooled").otherwise("generate")
+    channel = F.when(i % 11 == 0, "local-inference").when(i % 11 == 1, "non-interactive").when(i % 11 == 2, "other")
+    return processes(spark, sf_dir).select("process", ledger.pool_choice(kind, lane, channel, k % 8, k % 6, i % 3 > 0, i % 5 > 0, F.col("value") > 80).alias("choice"))
 
 
 @listing.add(f"""WITH {PROCESSES}, q AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY priority NULLS LAST, available_at, process) AS n FROM processes WHERE status = 'ready' AND available_at <= {NOW})

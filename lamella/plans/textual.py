@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import arrow, text
 from lamella.functions.workers import workers_import
-from lamella.operators import ledger, providers
+from lamella.operators import dispatch, ledger, providers
 from lamella.plans.base import Listing
 from lamella.sources.tables import table
 
@@ -27,7 +27,7 @@ def plain_clean(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.plain_clean(F.col("text")).alias("clean"))
 
 
-@listing.add(r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_:/.])(/(?:[A-Za-z0-9_.@+-]+/)+[A-Za-z0-9_.@+-]*)', '\1[path]', 'g') AS safe FROM documents")
+@listing.add(r"SELECT doc_id, regexp_replace(text, '(^|[^:/\p{L}\p{N}\p{M}_])/(?:[\p{L}\p{N}\p{M}_.-]+/)*[\p{L}\p{N}\p{M}_.-]+', '\1[redacted-path]', 'g') AS safe FROM documents")
 def path_redact(spark, sf_dir):
     """Texts without absolute paths."""
     return docs(spark, sf_dir).select("doc_id", text.path_redacted(F.col("text")).alias("safe"))
@@ -39,14 +39,40 @@ def secret_redact(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.secret_redacted(F.col("text")).alias("safe"), text.unsafe(F.col("text")).alias("unsafe"))
 
 
-@listing.add(r"""WITH u AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'g0:b' || doc_id WHEN 1 THEN 'root-' || doc_id WHEN 2 THEN 'g2:b0001' WHEN 3 THEN 'paragraph/' || doc_id WHEN 4 THEN 'sec-' || doc_id ELSE 'struct:g1:b3' END AS unit_id FROM documents)
-SELECT doc_id, CASE WHEN regexp_extract(unit_id, '(?:^|[:_-])g([0-2])(?:[:_-]|$)', 1) <> '' THEN regexp_extract(unit_id, '(?:^|[:_-])g([0-2])(?:[:_-]|$)', 1)::INTEGER
-  WHEN regexp_matches(lower(unit_id), 'root|document|full') THEN 0 WHEN regexp_matches(lower(unit_id), 'leaf|sentence|paragraph|fragment') THEN 2 ELSE 1 END AS granularity FROM u""")
+UNITS = ("'g0:b' || doc_id", "'Root-' || doc_id", "'G2.b0001'", "'paragraph/' || doc_id", "'sec-' || doc_id", "'struct:granularity=1/b3'", "(doc_id % 3) || '_b' || doc_id", "'granularity-2:' || doc_id", "'g3:leaf'", "doc_id || '.root'")
+UNIT = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {u}" for i, u in enumerate(UNITS)) + " END"
+
+
+@listing.add(rf"""WITH u AS (SELECT doc_id, lower({UNIT}) AS unit_id FROM documents),
+n AS (SELECT *, coalesce(nullif(regexp_extract(unit_id, '(?:^|[._:/-])g(?:ranularity)?[=_:-]?([012])(?:$|[._:/-])', 1), ''), nullif(regexp_extract(unit_id, '^(?:granularity[=_:-]?)?([012])(?:[._:/-]|$)', 1), '')) AS number FROM u)
+SELECT doc_id, CASE WHEN number IS NOT NULL THEN number::INTEGER WHEN regexp_matches(unit_id, 'root|document|full') THEN 0 WHEN regexp_matches(unit_id, 'leaf|sentence|paragraph|fragment') THEN 2 ELSE 1 END AS granularity FROM n""")
 def granularity_infer(spark, sf_dir):
-    """Layers of unit ids."""
-    i = F.col("doc_id")
-    unit = F.when(i % 6 == 0, F.concat(F.lit("g0:b"), i)).when(i % 6 == 1, F.concat(F.lit("root-"), i)).when(i % 6 == 2, "g2:b0001").when(i % 6 == 3, F.concat(F.lit("paragraph/"), i)).when(i % 6 == 4, F.concat(F.lit("sec-"), i)).otherwise("struct:g1:b3")
-    return docs(spark, sf_dir).select("doc_id", text.granularity_of(unit).alias("granularity"))
+    """Layers of unit ids in several spellings."""
+    return docs(spark, sf_dir).select("doc_id", text.granularity_of(F.expr(UNIT)).alias("granularity"))
+
+
+@listing.add(r"""SELECT doc_id, '/stub ' || substr(sha256(text), 1, 16) || ' ' || substr(trim(regexp_extract(text, '([^\n]*[^\s][^\n]*)', 1), ' '), 1, 200) AS summary FROM documents""")
+def stub_summary(spark, sf_dir):
+    """Placeholder summaries: a mark, the text's digest, its first line that isn't blank."""
+    return docs(spark, sf_dir).select("doc_id", text.stub_summary(F.col("text"), "/stub ").alias("summary"))
+
+
+@listing.add("SELECT doc_id, CASE WHEN starts_with(text, source || ': ') THEN substr(text, length(source) + 3) ELSE text END AS body FROM (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN source || ': ' || text ELSE text END AS text FROM documents)")
+def without_header(spark, sf_dir):
+    """Texts without the header that stands before some of them."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    header = F.concat("source", F.lit(": "))
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(header, "text")).otherwise(F.col("text"))
+    return d.select("doc_id", text.without_header(given, header).alias("body"))
+
+
+@listing.add("""SELECT doc_id, 'bearer=Bearer [REDACTED];lang=' || lang || ';note=see [REDACTED_PATH];password=[REDACTED]' AS safe FROM documents""")
+def secret_map(spark, sf_dir):
+    """Maps without secrets, by key or by what the value looks like."""
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    m = F.create_map(F.lit("password"), "source", F.lit("lang"), "lang", F.lit("note"), F.concat(F.lit("see /srv/"), F.col("doc_id").cast("string")), F.lit("bearer"), F.concat(F.lit("bearer abc."), F.col("doc_id").cast("string")))
+    pairs = F.array_sort(F.map_entries(text.secret_map(m)))
+    return d.select("doc_id", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("safe"))
 
 
 @listing.add("SELECT doc_id, CASE WHEN length(text) <= 480 THEN text ELSE rtrim(substr(text, 1, 479)) || '…' END AS summary FROM documents")
@@ -107,10 +133,10 @@ def ordinal_check(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("n") == F.col("turn")).alias("contiguous"))
 
 
-@listing.add(f"WITH {SENTENCES} SELECT doc_id, ordinal, line FROM spans WHERE ordinal % 2 = 1")
+@listing.add(f"WITH {SENTENCES} SELECT doc_id, ordinal, line FROM spans")
 def byte_slice(spark, sf_dir):
-    """Every second line, cut from the text by its byte span."""
-    cut = spans(spark, sf_dir).select("doc_id", "ordinal", "start_byte", (F.col("start_byte") + F.octet_length("line")).alias("end_byte")).where("ordinal % 2 = 1")
+    """Every line, cut from the text by its byte span."""
+    cut = spans(spark, sf_dir).select("doc_id", "ordinal", "start_byte", (F.col("start_byte") + F.octet_length("line")).alias("end_byte"))
     return cut.join(docs(spark, sf_dir), "doc_id").select("doc_id", "ordinal", text.byte_slice(F.col("text"), F.col("start_byte").cast("int"), F.col("end_byte").cast("int")).alias("line"))
 
 
@@ -161,11 +187,18 @@ def text_digest(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.text_digest(F.col("text")).alias("digest"))
 
 
-@listing.add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:\d+)?([^#]*)', ['s', 'h', 'p', 'r']) AS u FROM pages)
-SELECT page_id, CASE WHEN u.s <> '' THEN sha256(lower(u.s) || '://' || lower(u.h) || CASE WHEN (lower(u.s) = 'https' AND u.p = ':443') OR (lower(u.s) = 'http' AND u.p = ':80') THEN '' ELSE coalesce(u.p, '') END || u.r) END AS identity FROM p""")
+URLS = "SELECT page_id * 3 AS id, url FROM pages UNION ALL SELECT page_id * 3 + 1, 'HTTPS://user:pw@Host.Example.:443' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/A?b#c' END FROM pages UNION ALL SELECT page_id * 3 + 2, 'not a url ' || page_id FROM pages"
+
+
+@listing.add(rf"""WITH u AS ({URLS}), p AS (SELECT id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+?)\.?(:\d+)?(/[^?#]*)?(\?[^#]*)?(#.*)?$', ['s', 'h', 'p', 'r', 'q', 'f']) AS u FROM u)
+SELECT id, sha256(CASE WHEN u.s = '' THEN url ELSE lower(u.s) || '://' || lower(u.h) || CASE WHEN (lower(u.s) = 'https' AND u.p = ':443') OR (lower(u.s) = 'http' AND u.p = ':80') THEN '' ELSE coalesce(u.p, '') END
+  || CASE WHEN coalesce(u.r, '') = '' THEN '/' ELSE u.r END || CASE WHEN coalesce(u.q, '') = '?' THEN '' ELSE coalesce(u.q, '') END END) AS identity FROM p""")
 def url_identity(spark, sf_dir):
-    """Digests of normalised URLs."""
-    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", text.url_identity(F.col("url")).alias("identity"))
+    """Digests of normalised URLs: those of all pages, odd spellings, and what isn't a URL."""
+    p = pages(spark, sf_dir, "url")
+    i, odd = F.col("page_id") * 3, F.concat(F.lit("HTTPS://user:pw@Host.Example.:443"), F.when(F.col("page_id") % 2 == 0, "").otherwise("/A?b#c"))
+    every = p.select(i.alias("id"), "url").unionByName(p.select((i + 1).alias("id"), odd.alias("url"))).unionByName(p.select((i + 2).alias("id"), F.concat(F.lit("not a url "), F.col("page_id").cast("string")).alias("url")))
+    return every.select("id", arrow.url_identity("url").alias("identity"))
 
 
 @listing.add("SELECT 'text/plain' AS declared, 'text/plain' AS detected, true AS verified, count(*) AS n FROM documents WHERE text <> '' UNION ALL SELECT 'text/html', 'text/html', true, count(*) FROM pages UNION ALL SELECT 'application/json', 'application/json', true, count(*) FROM events")
@@ -176,9 +209,9 @@ def representation_sniff(spark, sf_dir):
     return every.withColumn("detected", text.media_type(F.col("content"))).withColumn("verified", text.media_verified(F.col("declared"), F.col("detected"))).groupBy("declared", "detected", "verified").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, column: str = "html") -> DataFrame:
     workers_import(spark)
-    return table(spark, sf_dir, "pages", "page_id", "html")
+    return table(spark, sf_dir, "pages", "page_id", column)
 
 
 @listing.add()
@@ -192,7 +225,7 @@ def html_text(spark, sf_dir):
 def html_sanitise(spark, sf_dir):
     """Safe markup of every page."""
     c = pages(spark, sf_dir).withColumn("c", arrow.html_sanitised("html"))
-    return c.select("page_id", F.col("c.text").alias("html"), F.to_json("c.removed").alias("removed"))
+    return c.select("page_id", F.col("c.text").alias("html"), F.to_json("c.removed").alias("removed"), F.to_json("c.bare").alias("bare"))
 
 
 @listing.add()
@@ -208,12 +241,13 @@ def nfc_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", arrow.canonical_text("text").alias("canonical"))
 
 
-@listing.add(r"SELECT doc_id, regexp_replace(text, '[()\\]', '', 'g') AS text FROM documents WHERE text <> '' AND regexp_replace(text, '[()\\]', '', 'g') <> ''")
+@listing.add(r"""SELECT doc_id, nfc_normalize(replace(replace(CASE WHEN doc_id % 2 = 1 THEN 'first' || chr(10) ELSE '' END || text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text, (1 + doc_id % 3)::INTEGER AS pages FROM documents WHERE text <> ''""")
 def pdf_text(spark, sf_dir):
-    """Text layers of PDFs made of every document (parentheses and backslashes left out)."""
-    body = F.regexp_replace("text", r"[()\\]", "")
-    made = docs(spark, sf_dir).where("text <> ''").select("doc_id", F.encode(F.concat(F.lit("%PDF-1.4\nBT ("), body, F.lit(") Tj ET")), "UTF-8").alias("raw"))
-    return made.select("doc_id", arrow.pdf_text("raw").alias("text")).where("text <> ''")
+    """Text layers and page counts of PDFs made of every document, some as single strings, some as arrays; empty ones have no layer."""
+    body = F.regexp_replace("text", r"([()\\])", r"\\$1")
+    shown = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("("), body, F.lit(") Tj"))).otherwise(F.concat(F.lit("[("), F.replace(body, F.lit("]"), F.lit("\\135")), F.lit(")] TJ (first) '")))
+    made = docs(spark, sf_dir).select("doc_id", F.encode(F.concat(F.lit("%PDF-1.4\n"), F.repeat(F.lit("<< /Type /Page >>\n"), (F.col("doc_id") % 3 + 1).cast("int")), F.lit("<< /Type /Pages >> BT "), shown, F.lit(" ET")), "UTF-8").alias("raw"))
+    return made.select("doc_id", arrow.pdf_text("raw").alias("text"), arrow.pdf_page_count("raw").alias("pages")).where("text is not null and text <> 'first'")
 
 
 @listing.add(f"WITH {SENTENCES}, k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal)::INTEGER - 1 AS ordinal FROM lines WHERE line <> '') SELECT doc_id, count(*) AS n, sum(strlen(line))::BIGINT AS bytes FROM k GROUP BY doc_id")
@@ -239,32 +273,91 @@ def embed_batches(spark, sf_dir):
 
 
 def envelopes(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
-    """Documents as provider envelopes."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    """Documents as provider envelopes: of none, one or two records."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     i = F.concat(F.lit(" K"), F.col("doc_id").cast("string"))
+    n, mod = F.col("doc_id"), lambda k: F.col("doc_id") % k
     if provider == "tax":
-        one = F.struct(i.alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.when(F.col("doc_id") % 5 == 0, "全文失效").alias("xxgk_aging"))
-        body = F.to_json(F.struct(F.struct(one.alias("searchTotal")).alias("searchResultAll")))
+        one = F.struct(i.alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("label"), F.lit("发布").alias("pubName"), F.when(mod(5) == 0, "全文失效").when(mod(5) < 4, "全文有效").alias("xxgk_aging"))
+        list_ = F.to_json(F.struct(F.struct(F.array(one, one.withField("id", F.concat(i, F.lit("b")))).alias("searchTotal")).alias("searchResultAll")))
+        body = F.when(mod(7) == 0, F.lit('{"searchResultAll":{}}')).when(mod(7) == 1, list_).otherwise(F.to_json(F.struct(F.struct(one.alias("searchTotal")).alias("searchResultAll"))))
     elif provider == "agency":
-        body = F.to_json(F.array(F.struct(i.alias("id"), F.col("source").alias("headline"), F.col("text").alias("description"), F.when(F.col("doc_id") % 3 == 0, "live").otherwise("sold").alias("status"))))
+        one = F.struct(n.alias("id"), F.col("source").alias("headline"), F.col("text").alias("description"), F.when(mod(3) == 0, "live").otherwise("sold").alias("status"), F.col("lang").alias("saleMode"), F.when(mod(2) == 0, 3.0).alias("bedrooms"), F.when(mod(2) == 0, F.array(F.lit("house"))).alias("propertyTypes"))
+        body = F.to_json(F.array(one))
     else:
-        one = F.struct(i.alias("listingId"), F.col("source").alias("title"), F.col("text").alias("description"), F.when(F.col("doc_id") % 4 == 0, "sold").alias("status"))
+        one = F.struct(i.alias("listingId"), F.col("source").alias("title"), F.col("text").alias("description"), F.struct(F.when(mod(4) == 0, "Sold").alias("type")).alias("status"), F.lit("house").alias("propertyType"), F.when(mod(9) == 0, "withdrawn").otherwise("buy").alias("channel"))
         body = F.to_json(F.struct(F.array(F.struct(F.array(one).alias("results"))).alias("tieredResults")))
     return d.select(F.col("doc_id").alias("envelope_id"), body.alias("payload"))
 
 
-ACTIVE = {"tax": "doc_id % 5 <> 0", "agency": "doc_id % 3 = 0", "listing": "doc_id % 4 <> 0"}
+#: Per provider: rows of the envelopes, key, whether active, facets and tags, in SQL.
+MEMBERS = {
+    "tax": ("(SELECT *, 0 AS ordinal FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT *, 1 FROM documents WHERE doc_id % 7 = 1)", "'k' || doc_id || CASE WHEN ordinal = 1 THEN 'b' ELSE '' END", "doc_id % 5 BETWEEN 1 AND 3",
+        "'realm=tax_china;type=' || lang || ';channel=unknown;source_name=chinatax.gov.cn'", "'发布单位: 发布' || CASE WHEN doc_id % 5 = 0 THEN '|文件时效: 全文失效' WHEN doc_id % 5 < 4 THEN '|文件时效: 全文有效' ELSE '' END"),
+    "agency": ("(SELECT *, 0 AS ordinal FROM documents)", "doc_id::VARCHAR", "true",
+        "'realm=realestate_on_market;type=' || lang || ';channel=' || CASE WHEN doc_id % 2 = 0 THEN 'house' ELSE 'Unknown' END || ';source_name=Domain Generic Agency (0)'", "CASE WHEN doc_id % 2 = 0 THEN '3.0 bedrooms|house' ELSE '' END"),
+    "listing": ("(SELECT *, 0 AS ordinal FROM documents)", "'k' || doc_id", "doc_id % 4 <> 0 AND doc_id % 9 <> 0", "'realm=realestate;type=listing;channel=' || CASE WHEN doc_id % 9 = 0 THEN 'withdrawn' ELSE 'buy' END || ';source_name=Unknown Agency'", "'Property Type: house'"),
+}
 
 
 def _provider(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat = providers.mapped(providers.members(envelopes(spark, sf_dir, name), name), name)
-        return flat.select("envelope_id", "ordinal", "key", "title", "is_active", "content_digest")
+        return flat.select("envelope_id", "ordinal", "key", "title", "is_active", "facets", F.array_join("tags", "|").alias("tags"), F.sha2("clean_text", 256).alias("clean_digest"))
 
     run.__doc__ = f"Members of {name} envelopes."
     return run
 
 
-for _name, _active in ACTIVE.items():
-    _body = r"trim(text, ' ')"
-    listing.add(f"SELECT doc_id AS envelope_id, 0 AS ordinal, 'k' || doc_id AS key, source AS title, {_active} AS is_active, sha256(CASE WHEN {_body} <> '' THEN source || chr(10) || {_body} ELSE source END) AS content_digest FROM documents", f"provider_map_{_name}")(_provider(_name))
+for _name, (_rows, _key, _active, _facets, _tags) in MEMBERS.items():
+    _body = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+    listing.add(f"SELECT doc_id AS envelope_id, ordinal, {_key} AS key, source AS title, {_active} AS is_active, {_facets} AS facets, {_tags} AS tags, sha256(CASE WHEN {_body} <> '' THEN source || chr(10) || chr(10) || {_body} ELSE source END) AS clean_digest FROM {_rows}", f"provider_map_{_name}")(_provider(_name))
+
+
+@listing.add("SELECT doc_id AS envelope_id, 'k' || doc_id % 10 AS key, count(*) AS n FROM (SELECT doc_id % 50 AS doc_id, doc_id % 4 AS k FROM documents) GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    """Keys that stand more than once in an envelope."""
+    d = table(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") % 50).alias("envelope_id"))
+    return providers.repeated_keys(d.withColumn("key", F.concat(F.lit("k"), F.col("envelope_id") % 10)))
+
+
+REPLY = "CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || '{\"id\": ' || doc_id || '}' || chr(10) || '```' WHEN 1 THEN 'Here: {\"id\":' || doc_id || '} done' WHEN 2 THEN 'nothing' ELSE '{\"id\":1} {\"id\":2}' END"
+
+
+@listing.add("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{\"id\": ' || doc_id || '}' END AS object FROM documents")
+def fenced_json(spark, sf_dir):
+    """The one JSON object of replies with and without code fences."""
+    workers_import(spark)
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", arrow.fenced_json(F.expr(REPLY)).alias("object"))
+
+
+DECODED = """CASE media WHEN 'application/json' THEN '{"a":' || doc_id || ',"b":"x"}' WHEN 'image/png' THEN '' WHEN 'application/zip' THEN NULL ELSE nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END"""
+MEDIA = "CASE doc_id % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/json' WHEN 3 THEN 'image/png' ELSE 'application/zip' END"
+
+
+@listing.add(f"SELECT doc_id, media, {DECODED} AS decoded, CASE WHEN media = 'application/zip' THEN 'unsupported' ELSE 'decoded' END AS state FROM (SELECT *, {MEDIA} AS media FROM documents)")
+def decode_dispatch(spark, sf_dir):
+    """Representations decoded by their media type."""
+    raw = F.when(F.col("media") == "application/json", F.concat(F.lit('{"b": "x", "a": '), F.col("doc_id"), F.lit("}"))).otherwise(F.col("text"))
+    d = docs(spark, sf_dir).withColumn("media", F.expr(MEDIA)).withColumn("raw", F.encode(raw, "UTF-8"))
+    return dispatch.decoded(d).select("doc_id", "media", "decoded", "state")
+
+
+CAPABILITY = "CASE doc_id % 7 WHEN 0 THEN 'clean.map.registered_api' WHEN 1 THEN 'clean.extract.pdf_text' WHEN 2 THEN 'clean.ocr.local' WHEN 3 THEN 'clean.extract.web' WHEN 4 THEN 'clean.deterministic' WHEN 5 THEN 'clean.extract.pdf_llm' ELSE 'clean.other' END"
+CLEAN_MEDIA = "CASE doc_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' ELSE 'image/png' END"
+
+
+@listing.add(f"""SELECT doc_id, CASE WHEN capability = 'clean.other' THEN 'unsupported' WHEN capability = 'clean.map.registered_api' THEN 'api' WHEN capability IN ('clean.extract.pdf_text', 'clean.extract.pdf_llm') OR media = 'application/pdf' THEN 'pdf'
+  WHEN capability = 'clean.ocr.local' OR media = 'image/png' THEN 'doc' WHEN capability = 'clean.extract.web' OR source_kind = 'http_resource' THEN 'web' ELSE 'doc' END AS channel FROM (SELECT doc_id, {CAPABILITY} AS capability, {CLEAN_MEDIA} AS media, CASE WHEN doc_id % 2 = 0 THEN 'http_resource' ELSE 'inline' END AS source_kind FROM documents)""")
+def clean_dispatch(spark, sf_dir):
+    """The channel that cleans each representation: PDF and image win over how it was fetched."""
+    d = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.expr(CAPABILITY).alias("capability"), F.expr(CLEAN_MEDIA).alias("media"), F.when(F.col("doc_id") % 2 == 0, "http_resource").otherwise("inline").alias("source_kind"))
+    return d.select("doc_id", dispatch.clean_channel(F.col("capability"), F.col("media"), F.col("source_kind")).alias("channel"))
+
+
+@listing.add()
+def document_clean(spark, sf_dir):
+    """Pages and texts cleaned deterministically by media type; tested against fixed cases."""
+    texts = docs(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.when(F.col("doc_id") % 9 == 0, "image/png").otherwise("text/plain").alias("media"))
+    html = pages(spark, sf_dir).select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"), F.lit("text/html").alias("media"))
+    return dispatch.cleaned(texts.unionByName(html)).select("id", "clean", "state")
