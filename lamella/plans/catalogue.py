@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import extensions, lifecycle, operations, retrieval, textual
+from lamella.plans import construction, extensions, lifecycle, operations, retrieval, textual, workflow
 
-MODULES = (retrieval, lifecycle, operations, textual, extensions)
+MODULES = (retrieval, lifecycle, operations, workflow, textual, construction, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -321,13 +321,6 @@ def status_transitions(spark, sf_dir):
     return ledger.transitions(steps, LEGAL, "old", "new").groupBy("old", "new", "legal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@listing.add(f"""WITH {PROCESSES} SELECT process, CASE WHEN status IN ('succeeded', 'failed') AND k % 2 = 0 THEN 'replay' WHEN status IN ('succeeded', 'failed') THEN 'conflict' ELSE 'accept' END AS verdict FROM processes""")
-def outcome_acceptance(spark, sf_dir):
-    """Outcomes that repeat, contradict or end a process."""
-    ended = F.col("status").isin("succeeded", "failed")
-    return processes(spark, sf_dir).select("process", F.when(ended & (F.col("k") % 2 == 0), "replay").when(ended, "conflict").otherwise("accept").alias("verdict"))
-
-
 @listing.add("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O', o_orderdate, o_orderkey)::INTEGER AS step FROM orders")
 def cancellation_order(spark, sf_dir):
     """Children before the root, in the order in which a cancellation reaches them."""

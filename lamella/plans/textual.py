@@ -159,16 +159,6 @@ def granularity_histogram(spark, sf_dir):
     return blocks(spark, sf_dir).groupBy("doc_id").agg(F.count_if(g == 0).alias("g0"), F.count_if(g == 2).alias("g2"), F.bool_or(g == 0).alias("has_g0"), F.array_join(F.array_sort(F.collect_set(g.cast("string"))), ",").alias("layers"))
 
 
-@listing.add(f"""WITH {BLOCKS}, c AS (SELECT doc_id, granularity, block_id, 'original' AS channel, body FROM blocks WHERE granularity <> 0 UNION ALL
-SELECT doc_id, granularity, block_id, 'summary', CASE WHEN length(body) <= 480 THEN body ELSE rtrim(substr(body, 1, 479)) || '…' END FROM blocks)
-SELECT doc_id, granularity, block_id, channel, length(body)::INTEGER AS chars, sha256(body) AS digest FROM c WHERE trim(body) <> ''""")
-def vectorization_plan(spark, sf_dir):
-    """The (unit, channel) pairs to embed: all that aren't blank, but for root originals."""
-    pair = F.array(F.struct(F.lit("original").alias("channel"), F.when(F.col("granularity") != 0, F.col("body")).alias("t")), F.struct(F.lit("summary").alias("channel"), text.truncated_summary(F.col("body")).alias("t")))
-    c = blocks(spark, sf_dir).select("doc_id", "granularity", "block_id", F.explode(pair).alias("p")).select("doc_id", "granularity", "block_id", "p.channel", "p.t").where("t is not null and trim(t) <> ''")
-    return c.select("doc_id", "granularity", "block_id", "channel", F.length("t").alias("chars"), F.sha2("t", 256).alias("digest"))
-
-
 @listing.add(f"""WITH {BLOCKS}, s AS (SELECT doc_id, granularity, block_id FROM blocks WHERE (doc_id + block_id) % 9 <> 0 UNION ALL SELECT doc_id, 1, 0 FROM documents WHERE doc_id % 50 = 0)
 SELECT coalesce(b.doc_id, s.doc_id) AS doc_id, count(*) FILTER (WHERE s.doc_id IS NULL) AS missing, count(*) FILTER (WHERE b.doc_id IS NULL) AS extra
 FROM blocks b FULL JOIN s ON b.doc_id = s.doc_id AND b.granularity = s.granularity AND b.block_id = s.block_id GROUP BY 1""")
