@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 import uuid
 import zlib
@@ -80,6 +81,37 @@ def exact_pattern(text: str) -> str:
     return text.replace(r"[\p{L}]", f"[{letter}]").replace(r"[\p{N}]", f"[{digit}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
 
 
+@lru_cache(maxsize=1)
+def odd_characters() -> str:
+    """The characters that this process's regular expressions class otherwise than the library does."""
+    every = _assigned()
+    theirs, mine = {}, {}
+    for name, ranges in unicode_classes().items():
+        theirs[name] = {chr(c) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", ranges) for c in range(int(a, 16), int(b, 16) + 1)}
+        mine[name] = {c for m in regex.finditer(f"{name}+", every) for c in m[0]}
+    return "".join(sorted(set().union(*(theirs[n] ^ mine[n] for n in theirs))))
+
+
+class Splitter:
+    """Pre-tokens of a text: by the plain pattern, or, for a text with odd characters, by the one whose classes are spelled out."""
+
+    def __init__(self, pattern: str, exact: str, odd: str):
+        self.plain, self.exact, self.odd = compiled(pattern).findall, compiled(exact).findall, frozenset(odd)
+
+    def __call__(self, text: str) -> list[str]:
+        return self.plain(text) if text.isascii() or self.odd.isdisjoint(text) else self.exact(text)
+
+
+@lru_cache(maxsize=4)
+def splitter(pattern: str, exact: str, odd: str) -> Splitter:
+    return Splitter(pattern, exact, odd)
+
+
+def splitting(pattern: str) -> tuple[str, str, str]:
+    """What tasks need to split by ``pattern`` as the library does; small constants made on the driver."""
+    return pattern, exact_pattern(pattern), odd_characters()
+
+
 @lru_cache(maxsize=1)
 def lower_cases() -> dict[int, str]:
     """How the library lower-cases single characters, wherever it changes them."""
@@ -230,10 +262,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     bounded by a slice of texts and the worker's word memory.
     """
 
-    pattern = exact_pattern(BYTE_PATTERN)
+    how = splitting(BYTE_PATTERN)
 
     def run(batches):
-        vocab, known, split = vocabulary(path), memory(("ids", path)), compiled(pattern).findall
+        vocab, known, split = vocabulary(path), memory(("ids", path)), splitter(*how)
         for part in slices(batches, "text"):
             ids = [encode_text(t or "", vocab, known, split) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -273,11 +305,11 @@ HEAD = "slice long, ids array<bigint>, n_bytes binary, special binary, distinct
 
 def _counted(docs: DataFrame, path: str) -> DataFrame:
     """A row per slice of texts: its distinct pre-tokens, and for each text places in them and frequencies."""
-    pattern, lower = exact_pattern(WORD_PATTERN), lower_cases()
+    how, lower = splitting(WORD_PATTERN), lower_cases()
     odd = odd_cases(lower)
 
     def run(batches):
-        vocab, normal, split = vocabulary(path), Normal(lower, odd), compiled(pattern).findall
+        vocab, normal, split = vocabulary(path), Normal(lower, odd), splitter(*how)
         for part in slices(batches, "text", ASKING):
             known: dict[str, int] = {}
             places, counts, distinct, special, n_bytes = [], [], [], [], []

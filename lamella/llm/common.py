@@ -69,9 +69,20 @@ def broadcast_if_small(df: DataFrame, tag: str, rows: int) -> DataFrame:
     return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
 
 
+#: Rows of an Arrow batch between the JVM and a worker, at most: whole texts are large.
+BATCH_ROWS = 4_000
+#: Workers return freed memory to the system, and compute on the one core that Spark gives their task.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from the repository beside the driver."""
+    """Let Python workers import this package from the repository beside the driver, and keep them small."""
     env = spark.sparkContext.environment
+    for k, v in LEAN.items():
+        env.setdefault(k, v)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH")) if x)
 

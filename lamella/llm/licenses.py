@@ -73,6 +73,109 @@ FAMILIES = (
     ("public-domain", "public domain", r"public domain"),
 )
 
+#: Written rules for notices, headers, tags, URLs and clauses that don't name their license as a family does: label, keyword, regex over words, weight.
+NOTICES = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 1.0),
+    ("mit", "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement", 0.6),
+    ("mit", "above copyright", r"the above copyright notice and this permission notice shall be included in all copies", 0.9),
+    ("mit", "opensource", r"(?:www )?opensource org licenses mit(?: license)?(?: php)?", 1.0),
+    ("mit", "license mit", r"license mit", 0.6),
+    ("x11", "consortium", r"permission to use copy modify and distribute this software .{0,40}x consortium", 0.8),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("isc", "opensource", r"(?:www )?opensource org licenses isc(?: license)?(?: txt)?", 1.0),
+    ("0bsd", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0.7),
+    ("0bsd", "0bsd", r"0bsd", 0.8),
+    ("bsd-3-clause", "neither the name", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote", 1.0),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", 1.0),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice", 0.8),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 0.8),
+    ("bsd-3-clause", "opensource", r"(?:www )?opensource org licenses bsd 3 clause", 1.0),
+    ("bsd-2-clause", "opensource", r"(?:www )?opensource org licenses bsd 2 clause", 1.0),
+    ("bsd-3-clause", "bsd 3", r"bsd 3 clause(?: clear)?(?: attribution)?", 0.6),
+    ("apache-2.0", "apache org", r"(?:www )?apache org licenses license 2 0(?: txt| html)?", 1.0),
+    ("apache-2.0", "apache license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance", 1.0),
+    ("apache-2.0", "apache software", r"licensed to the apache software foundation asf under one or more contributor license agreements", 1.0),
+    ("apache-2.0", "apache 2", r"apache 2(?: 0)?(?: license)?", 0.6),
+    ("apache-1.1", "apache org", r"this product includes software developed by the apache software foundation (?:http )?(?:www )?apache org", 0.8),
+    ("gpl", "gnu org", r"(?:www )?gnu org licenses gpl(?: \d \d)?(?: html| txt)?", 0.9),
+    ("gpl", "gnu org", r"(?:www )?gnu org (?:copyleft|philosophy) (?:gpl|free sw)(?: html)?", 0.8),
+    ("lgpl", "gnu org", r"(?:www )?gnu org licenses lgpl(?: \d \d)?(?: html| txt)?", 1.0),
+    ("agpl", "gnu org", r"(?:www )?gnu org licenses agpl(?: \d \d)?(?: html| txt)?", 1.0),
+    ("gfdl", "gnu org", r"(?:www )?gnu org licenses fdl(?: \d \d)?(?: html| txt)?", 1.0),
+    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("gpl", "gnu general", r"you should have received a copy of the gnu general public license", 0.9),
+    ("lgpl", "gnu lesser", r"you should have received a copy of the gnu lesser general public license", 1.0),
+    ("agpl", "gnu affero", r"you should have received a copy of the gnu affero general public license", 1.0),
+    ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 1.0),
+    ("gpl-2.0", "either version 2", r"either version 2 of the license or (?:at your option )?any later version", 0.8),
+    ("gpl-3.0", "either version 3", r"either version 3 of the license or (?:at your option )?any later version", 0.8),
+    ("gpl-2.0", "gpl 2", r"gpl 2 0 (?:only|or later)", 0.9),
+    ("gpl-3.0", "gpl 3", r"gpl 3 0 (?:only|or later)", 0.9),
+    ("gpl", "classpath", r"classpath exception(?: 2 0)?", 0.8),
+    ("gpl", "runtime library", r"gcc runtime library exception", 0.8),
+    ("gpl", "copyleft", r"copyleft licen[cs]e", 0.5),
+    ("mpl-2.0", "mozilla org", r"(?:www )?mozilla org mpl 2 0", 1.0),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-1.1", "mozilla org", r"(?:www )?mozilla org mpl mpl 1 1(?: html)?", 1.0),
+    ("epl-2.0", "eclipse org", r"(?:www )?eclipse org legal epl 2 0(?: html)?", 1.0),
+    ("epl", "eclipse org", r"(?:www )?eclipse org legal epl v10(?: html)?", 1.0),
+    ("edl", "eclipse org", r"(?:www )?eclipse org org documents edl v10(?: html| php)?", 1.0),
+    ("edl", "eclipse distribution", r"eclipse distribution license(?: v)?(?: 1 0)?", 0.9),
+    ("cddl", "cddl", r"cddl(?: v)?(?: 1 [01])?", 0.7),
+    ("cpl", "common public", r"common public license(?: version)?(?: 1 0)?", 0.9),
+    ("bsl-1.0", "boost org", r"(?:www )?boost org license 1 0 txt", 1.0),
+    ("bsl-1.1", "business source", r"business source license(?: 1 1)?", 0.9),
+    ("zlib", "as is without", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.9),
+    ("zlib", "origin of this", r"the origin of this software must not be misrepresented", 0.9),
+    ("libpng", "libpng", r"libpng licen[cs]e(?: version 2)?", 0.8),
+    ("unlicense", "unlicense", r"(?:www )?unlicense org", 1.0),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
+    ("cc0-1.0", "creativecommons org", r"creativecommons org publicdomain zero 1 0", 1.0),
+    ("cc0-1.0", "copyright and related", r"waived all copyright and related or neighboring rights", 0.9),
+    ("cc-by", "creativecommons org", r"creativecommons org licenses by [1-4] [05]", 1.0),
+    ("cc-by-sa", "creativecommons org", r"creativecommons org licenses by sa [1-4] [05]", 1.0),
+    ("cc-by-nc", "creativecommons org", r"creativecommons org licenses by nc [1-4] [05]", 1.0),
+    ("cc-by-nd", "creativecommons org", r"creativecommons org licenses by nd [1-4] [05]", 1.0),
+    ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licenses by nc sa [1-4] [05]", 1.0),
+    ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licenses by nc nd [1-4] [05]", 1.0),
+    ("cc-pd-mark", "creativecommons org", r"creativecommons org publicdomain mark 1 0", 1.0),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to public license", 1.0),
+    ("wtfpl", "wtfpl", r"(?:www )?wtfpl net", 1.0),
+    ("ofl-1.1", "scripts sil", r"scripts sil org ofl", 1.0),
+    ("artistic", "perlfoundation", r"(?:www )?perlfoundation org artistic license 2 0", 1.0),
+    ("artistic", "same terms as perl", r"under the same terms as perl(?: itself)?", 0.9),
+    ("eupl", "eupl", r"eupl(?: v)?(?: ?1 [012])?", 0.8),
+    ("osl-3.0", "open software license", r"open software license(?: version)?(?: 3 0)?", 0.9),
+    ("afl-3.0", "academic free", r"academic free license(?: version)?(?: 3 0)?", 0.9),
+    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e", 0.9),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e", 0.9),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e", 0.9),
+    ("postgresql", "postgresql licen", r"postgresql licen[cs]e", 0.9),
+    ("php", "php license", r"php license(?: version)?(?: 3 01?)?", 0.9),
+    ("ruby", "ruby licen", r"ruby licen[cs]e", 0.8),
+    ("vim", "vim licen", r"vim licen[cs]e", 0.8),
+    ("openssl", "openssl licen", r"openssl licen[cs]e", 0.9),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 0.9),
+    ("sspl-1.0", "server side public", r"server side public license(?: version)?(?: 1)?", 0.9),
+    ("elastic-2.0", "elastic licen", r"elastic licen[cs]e(?: 2 0)?", 0.9),
+    ("polyform", "polyform", r"polyform (?:noncommercial|shield|strict|small business) license(?: 1 0 0)?", 0.9),
+    ("json", "good not evil", r"the software shall be used for good not evil", 1.0),
+    ("beerware", "beer ware", r"(?:the )?beer ware license(?: revision 42)?", 0.9),
+    ("mulan", "mulan", r"mulan (?:permissive software license|psl)(?: v ?2| 2 0)?", 0.9),
+    ("llama", "llama", r"llama (?:\d(?: \d)? )?community license(?: agreement)?", 0.9),
+    ("openrail", "responsible ai", r"(?:open )?responsible ai licen[cs]es?", 0.8),
+    ("odbl", "opendatacommons", r"opendatacommons org licenses odbl(?: 1 0)?", 1.0),
+    ("odc-by", "opendatacommons", r"opendatacommons org licenses by(?: 1 0)?", 1.0),
+    ("odc-by", "open data commons attribution", r"open data commons attribution license(?: v)?(?: 1 0)?", 0.9),
+    ("pddl", "opendatacommons", r"opendatacommons org licenses pddl(?: 1 0)?", 1.0),
+    ("ogl-uk", "open government", r"open government licen[cs]e(?: v)?(?: ?[123] 0)?", 0.9),
+    ("etalab", "etalab", r"licen[cs]e ouverte etalab(?: 2 0)?", 0.9),
+    ("proprietary", "all rights reserved", r"all rights reserved", 0.3),
+    ("proprietary", "confidential and proprietary", r"confidential and proprietary(?: information)?", 0.5),
+    ("non-commercial", "non commercial use", r"(?:for )?non commercial use only", 0.5),
+)
+
 #: Kinds of rule from most to least telling: prefix before a family's name, weight.
 KINDS = (
     (r"spdx license identifier ", 1.0),
@@ -86,16 +189,20 @@ KINDS = (
 def signature_rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, regex, weight), a lower priority number first.
 
-    Kinds come before families, so a grant outranks a mention, and among families the written order counts.
+    Written notices come first. Kinds come before families, so a grant outranks a mention, and among each the written order counts.
     """
-    return [(i, label, keyword, prefix + name, weight) for i, ((prefix, weight), (label, keyword, name)) in enumerate(product(KINDS, FAMILIES))]
+    named = [(label, keyword, prefix + name, weight) for (prefix, weight), (label, keyword, name) in product(KINDS, FAMILIES)]
+    return [(i, *rule) for i, rule in enumerate([*NOTICES, *named])]
 
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One of these bytes' strings is in every lower-cased text in which a rule or base phrase matches; "cc" is checked further.
-GATES = ("licen", "gpl", "wtfpl", "creative", "attribution", "bsd", "openrail", "domain")
+GATES = (
+    "licen", "gpl", "wtfpl", "creative", "attribution", "bsd", "openrail", "domain", "hereby", "merchantability", "copyright", "permission", "neither", "advertising", "redistribution", "apache",
+    "classpath", "runtime", "mozilla", "eclipse", "cddl", "warranty", "misrepresented", "scripts", "perl", "eupl", "openssl", "evil", "reserved", "confidential", "commercial",
+)
 
 
 def _spaces(c: Column) -> Column:

@@ -24,6 +24,8 @@ SHARD_BYTES = 256 << 20
 LEVEL = 4
 #: Digests that a task remembers to store equal payloads once a shard, and results remembered while reading.
 MEMORY = 200_000
+#: Bytes of stored images that a reading task takes, on average.
+READ_BYTES = 32 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes up to the end of the image header: all that metadata columns need.
 HEADER = 8 + 8 + 13
@@ -172,37 +174,45 @@ def with_sizes(index: DataFrame) -> DataFrame:
     return py(index.sparkSession, index, run, f"{names}, width int, height int")
 
 
+NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
 def read_back(index: DataFrame) -> DataFrame:
-    """Read the stored images of ``index`` (doc_id, n_bytes, shard, offset, length) and describe image and payload."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Read the stored images of ``index`` (digest, shard, offset, length, ...) and describe image and payload beside its columns."""
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        read, known = _reader(), {}
+        read = _reader()
         for b in batches:
             out = []
             for key in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist()):
-                if key not in known:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    image = read(*key)
-                    payload = from_image(image)
-                    known[key] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload))
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "n_bytes", "width", "height")], *[pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]], ["doc_id", "n_bytes", "width", "height", *names])
+                image = read(*key)
+                payload = from_image(image)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]], [*b.schema.names, *NAMES])
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    return py(index.sparkSession, index, run, f"{names}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
 
-    return py(index.sparkSession, index, run, "doc_id long, n_bytes long, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def addresses(index: DataFrame) -> DataFrame:
+    """One place for each digest, whichever shards hold it, dealt to tasks by the bytes of the images and in the order in which they lie."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    at = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
+    return at.repartitionByRange(max(1, size // READ_BYTES), "shard", "offset")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store texts as images in tar shards of the shared folder and read them back.
+    """Store texts as images in tar shards of the shared folder, and read each distinct payload back by ranges.
 
-    Null and empty texts are one row of zeros; equal texts get equal values; rows that repeat a doc_id are
-    stored and returned each; an empty table gives an empty one.
+    Returns for each row doc_id, n_bytes, digest, shard, offset, length, width, height and what ``read_back`` tells. Null and
+    empty texts are one row of zeros; equal payloads are stored once a shard and addressed by one place,
+    so equal texts get equal values; rows that repeat a doc_id are stored and returned each; an empty table gives an empty one.
     """
     folder = shared_path(docs.sparkSession, "media")
     index = settle(store(docs, folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"), "media-index")
-    return read_back(with_sizes(index))
+    described = settle(read_back(with_sizes(addresses(index))), "media-columns")
+    return index.select("doc_id", "n_bytes", "digest").join(described, "digest")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

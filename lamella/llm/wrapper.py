@@ -304,7 +304,7 @@ def _weights(left: list, right: list) -> np.ndarray:
     w = np.zeros((len(left), len(right)))
     tag = {t: i for i, t in enumerate({x[0] for x in left} | {x[0] for x in right})}
     ta, tb = (np.array([tag[x[0]] for x in c]) for c in (left, right))
-    flat = [np.array([x[1] if not x[2] else x[2][0][1] if len(x[2]) == 1 and not x[2][0][2] else -1 for x in c], np.int64) for c in (left, right)]
+    flat = [np.array([x[1] if not x[2] else x[2][0][1] if len(x[2]) == 1 and x[2][0][0] == "#text" else -1 for x in c], np.int64) for c in (left, right)]
     deep = [np.array([0 if not x[2] else 1 if f >= 0 else 2 for x, f in zip(c, fs)]) for c, fs in zip((left, right), flat)]
     same = ta[:, None] == tb[None, :]
     equal = (flat[0][:, None] == flat[1][None, :]) & (flat[0] > 0)[:, None]

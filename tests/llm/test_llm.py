@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import struct
+import tarfile
 import zlib
 from collections import Counter
 
@@ -133,6 +135,56 @@ def test_html_long_boilerplate_is_no_copy(spark):
         assert mains(spark, pages) == {i: words(n, i, n=20) for i in range(12)}
 
 
+def test_html_deep_and_unclosed_pages():
+    import time
+
+    deep = "<div>" * 100_000 + "core" + "</div>" * 100_000 + "<p>after</p>"
+    assert wrapper.extract(deep, [])[0] == "core\nafter"
+    for odd in ("<a " * 300_000, "<p>text</p>" + "<b" * 300_000, "<" * 500_000, "<!--" * 200_000, "<p>x" * 100_000, "<a \"'>" * 100_000):
+        began = time.time()
+        wrapper.extract(odd, [])
+        assert time.time() - began < 20, odd[:10]
+
+
+def test_html_names_inside_articles_stay(spark):
+    page = "<article><div class='promotion-of-staff'>Promoted people</div><section class='legal'>The law</section><fieldset>A field</fieldset><div class='ad-slot'>Buy</div><div class='comments-list'>Reader</div></article>"
+    assert wrapper.extract(page, [])[0] == "Promoted people\nThe law\nA field"
+
+
+def test_html_slots_decide_where_markup_is_silent(spark):
+    # one page's advert lost its class: the slot tells
+    pages = [f"<div class='ad'>{words('ad', i, n=5)}</div><article><p>{words('art', i)}</p></article>" for i in range(12)]
+    pages[5] = pages[5].replace(" class='ad'", "")
+    rows = [(i, f"http://h/{i}", p, "x") for i, p in enumerate(pages)]
+    out = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert all(r.text == words("art", r.page_id) and r.n_template == 1 for r in out)
+
+
+def match_by_hand(a, b):
+    """The greatest matching of two trees by trying every order-keeping assignment of children."""
+    if a[0] != b[0]:
+        return 0
+    if not a[2] or not b[2]:
+        return 2 if a[1] and a[1] == b[1] else 1
+
+    def best(x, y):
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + match_by_hand(x[0], y[0])) if x and y else 0
+
+    return 1 + best(a[2], b[2])
+
+
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []
+        return ["abc"[rng.integers(0, 3)], 0 if kids else int(rng.integers(0, 3)), kids]
+
+    for _ in range(300):
+        a, b = ["r", 0, [tree(2) for _ in range(3)]], ["r", 0, [tree(2) for _ in range(3)]]
+        assert wrapper.match(a, b) == match_by_hand(a, b)
+
+
 def test_simple_tree_matching():
     a = ["r", 0, [["x", 0, []], ["y", 0, [["z", 0, []]]]]]
     b = ["r", 0, [["y", 0, [["z", 0, []]]]]]
@@ -151,6 +203,42 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in out.items())
 
 
+def kernel_by_hand(a, b):
+    """Sum over shared subsequences of three letters of the decayed widths of their windows, over the words' norms."""
+
+    def features(word):
+        row, out = [toxicity.START, *[k for c in word if (k := toxicity._classes()[c])]], Counter()
+        norm = 0.0
+        for i in range(len(row)):
+            for j in range(i + 1, min(i + toxicity.WINDOW - 1, len(row))):
+                for k in range(j + 1, min(i + toxicity.WINDOW, len(row))):
+                    w = toxicity.DECAY ** (k - i - 2)
+                    out[row[i], row[j], row[k]] += w
+                    norm += w * w
+        return out, norm**0.5
+
+    (x, n), (y, m) = features(a), features(b)
+    return sum(v * y[k] for k, v in x.items()) / n / m
+
+
+def test_kernel_equals_a_direct_sum():
+    for a, b in (("idiot", "idi0t"), ("idiot", "i-d-i-o-t"), ("worthless", "worthlesss"), ("abc", "xyz"), ("moron", "mormon"), ("straße", "strasse")):
+        assert abs(toxicity.dot(toxicity.letters([a]), toxicity.embedding(b))[0] - kernel_by_hand(a, b)) < 1e-5
+
+
+def test_toxicity_of_odd_rows_with_a_fitted_machine(spark, odd):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aeiourstnl"), rng.integers(3, 8)))
+    rows = [(100 + i, " ".join([word() for _ in range(30)] + (["zzkrumpf" if i % 3 else "zzkr-umpf"] if i % 2 else []))) for i in range(120)]
+    docs = odd.select("doc_id", "text", "score", "held_out").unionByName(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(0.0), "held_out": F.lit("x")}))
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in rows] + [(1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is not None
+    out = toxicity.classify(docs, labels).collect()
+    assert len(out) == 9 + len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None and r.doc_id >= 100)
+    assert len({r.score for r in out if r.doc_id == 1}) == 1 and not any(r.predicted for r in out if r.doc_id in (3, 4, 5))
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.classify(odd, labels)
@@ -185,14 +273,40 @@ def test_mixing_of_odd_rows(spark, odd):
 
 # 5 media columns
 
-def test_media_round_trip(spark, odd):
-    out = media.op5_media_columns(spark, SF).collect()
-    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+def check_media(docs, out):
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    payload = lambda t: (raw := (t or "").encode()) + bytes(-len(raw) % 64 or (0 if raw else 64))
+    want = sorted((repr(i), len((t or "").encode()), len(p := payload(t)), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
+    assert sorted((repr(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
+    by_digest = {hashlib.sha256(payload(t)).hexdigest(): payload(t) for _, t in texts}
     for r in out:
-        raw = texts[r.doc_id].encode()
-        p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    assert media.from_image(media.to_image(media.padded(None)[1])) == bytes(64)
+        p = by_digest[r.digest]
+        x = np.frombuffer(p, np.uint8).astype(float)
+        with tarfile.open(r.shard.removeprefix("file://")) as tar:
+            member = tar.getmember(f"{r.digest}.png")
+            image = tar.extractfile(member).read()
+        assert (member.offset_data, member.size) == (r.offset, r.length) and (len(image), hashlib.sha256(image).hexdigest()) == (r.media_bytes, r.media_sha256)
+        assert (r.width, r.height) == (64, len(p) // 64) == struct.unpack(">II", image[16:24])
+        # a decoder of its own: the chunks' checksums, the scan lines
+        at, data = 8, b""
+        while at < len(image):
+            n, kind = struct.unpack(">I4s", image[at : at + 8])
+            assert zlib.crc32(image[at + 4 : at + 8 + n]) == struct.unpack(">I", image[at + 8 + n : at + 12 + n])[0]
+            data += image[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += n + 12
+        lines = zlib.decompress(data)
+        assert b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == p
+        mean, deviation, _ = r.feature.split("-")
+        assert abs(int(mean) - x.mean() * 100) < 1 and abs(int(deviation) - x.std() * 100) < 1
+    for values in ({(r.feature, r.media_sha256, r.shard, r.offset) for r in out if r.digest == d} for d in by_digest):
+        assert len(values) == 1
+
+
+def test_media_round_trip(spark, odd):
+    check_media(documents(spark).select("doc_id", "text").limit(60), media.media_columns(documents(spark).select("doc_id", "text").limit(60)).collect())
+    check_media(odd, media.media_columns(odd).collect())
+    assert media.media_columns(odd.limit(0)).count() == 0
+    assert media.op5_media_columns(spark, SF).count() == documents(spark).count()
 
 
 # 6 n-gram Jaccard join
@@ -279,6 +393,23 @@ def test_token_counts_equal_the_library(spark, odd):
         assert sorted(map(repr, local(bpe.token_counts(docs, bpe.public_path("word_bpe_49k.json")), "doc_id", "n_bytes", "n_tokens", "over_limit"))) == sorted(map(repr, want))
 
 
+def test_every_code_point_splits_as_in_the_library():
+    word, byte = (tokenizer(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    vw, vb = (bpe.vocabulary(bpe.public_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    lower = bpe.lower_cases()
+    normal, split = bpe.Normal(lower, bpe.odd_cases(lower)), bpe.splitter(*bpe.splitting(bpe.WORD_PATTERN))
+    bytes_ = bpe.splitter(*bpe.splitting(bpe.BYTE_PATTERN))
+    for a in [*range(0, 0xD800, 64), *range(0xE000, 0x34000, 64), *range(0xE0000, 0xE0200, 64)]:
+        text = " ".join(f"ab{chr(c)}c1{chr(c)} d{chr(c)}{chr(c)}" for c in range(a, min(a + 64, 0x110000)))
+        count, special = bpe.frequencies(text, vw, normal, split)
+        assert special + sum(n * len(vw.merge(w.encode())) for w, n in count.items()) == len(word.encode(text, add_special_tokens=False).ids), hex(a)
+        assert np.frombuffer(bpe.encode_text(text, vb, {}, bytes_), "<u4").tolist() == byte.encode(text, add_special_tokens=False).ids, hex(a)
+
+
+def test_encoding_of_an_empty_table(spark, odd):
+    assert bpe.digests(odd.limit(0)).count() == 0 and bpe.token_counts(odd.limit(0), bpe.public_path("word_bpe_49k.json")).count() == 0
+
+
 def test_long_words_merge_alike():
     v = bpe.vocabulary(bpe.public_path("byte_bpe_50k.json"))
     word = ("abcabdxyz" * 60).encode()
@@ -362,6 +493,9 @@ def examples(pattern):
 
 def test_license_keywords_and_gates_pass_every_example(spark):
     rows = [(label, keyword, x) for label, keyword, name in licenses.FAMILIES for x in examples(re._parser.parse(name))]
+    written = [(label, keyword, re.sub(r"\.\{\d+,\d+\}", "mit", name).replace(r"\d", "1")) for label, keyword, name, _ in licenses.NOTICES]
+    rows += [(label, keyword, x) for label, keyword, name in written for x in examples(re._parser.parse(name))]
+    assert len(licenses.signature_rules()) > 300 and len({r[3] for r in licenses.signature_rules()}) == len(licenses.signature_rules())
     assert [r for r in rows if r[1] not in r[2]] == []
     gated = spark.createDataFrame(rows, "label string, keyword string, text string").where(~licenses._gate(F.col("text")))
     assert gated.collect() == []
@@ -369,6 +503,36 @@ def test_license_keywords_and_gates_pass_every_example(spark):
     assert "lgpl" in out[0].labels.split(",") and out[1].labels == "mit" and out[1].score == 0.5
 
 
+def scan_by_hand(text):
+    """Base places and standing detections of one text, by Python's regexes over its words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    base = [(i, label) for phrase, label in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    joined, found = " ".join(words), []
+    for rule, label, keyword, pattern, weight in licenses.signature_rules():
+        if keyword not in joined:
+            continue
+        for i in range(len(words)):
+            if m := re.match(f"(?:{pattern})(?= |$)", " ".join(words[i:])):
+                found.append((i, -(i + len(m[0].split())), rule, label, weight))
+    labels, reach, score = {label for _, label in base}, -1, 0.5 if base else 0.0
+    for start, end, _, label, weight in sorted(found):
+        if -end > reach:
+            reach, score = -end, max(score, weight)
+            labels.add(label)
+    places = [i for i, _ in base]
+    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score
+
+
+def test_licenses_equal_brute_force(spark, odd):
+    texts = [r.text for r in documents(spark).select("text").collect()] + [r.text for r in odd.collect() if r.text != LONG]
+    texts += ["x " + name.replace(r"(?:", "").replace(")?", "").replace(")", "") + " y" for _, _, name, _ in licenses.NOTICES]
+    texts += ["Licensed under the Apache License, Version 2.0 and released under the MIT license; see gnu.org/licenses/gpl-3.0.html", "GNU Lesser General Public License v2.1 or later; GPL-2.0-only; cc by cc by-nc 4.0"]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        r = out[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == scan_by_hand(t), t
+
+
 def test_licenses_of_odd_rows(spark, odd):
     out = licenses.scan(odd).collect()
     assert len(out) == 9 and [r.labels for r in out if r.doc_id is None] == ["mit"]
