@@ -14,13 +14,19 @@ from lamella.operators.retrieve import top_k
 
 #: Queries and records of a block.
 QUERY_BLOCK, RECORD_BLOCK = 1024, 4096
+#: Parts into which a namespace's record blocks are dealt, at most; query blocks are repeated for each.
+SALTS = 64
+
+
+def _blocks(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """(namespace, blocks): how many blocks a namespace's vectors fill."""
+    return df.where(F.col(vector).isNotNull()).groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("blocks"))
 
 
 def _packed(df: DataFrame, key: str, vector: str, size: int, tag: str) -> DataFrame:
-    """(namespace, ids, vectors) in blocks of about ``size`` rows, dealt by hash so that no namespace is one group."""
+    """(namespace, block, ids, vectors) in blocks of about ``size`` rows, dealt by hash so that no namespace is one group."""
     rows = df.where(F.col(vector).isNotNull()).select("namespace", F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    blocks = rows.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("blocks"))
-    dealt = rows.join(blocks, "namespace").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = rows.join(_blocks(df, vector, size), "namespace").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
 
     def pack(key, batches: Iterator[pa.RecordBatch]):
         t = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -31,10 +37,10 @@ def _packed(df: DataFrame, key: str, vector: str, size: int, tag: str) -> DataFr
         ids = t.column("id").to_numpy()
         for d, rows in by_size.items():
             held = np.array([vectors[i] for i in rows], np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([d], pa.int32()), pa.array([ids[rows].astype("<i8").tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())], ["namespace", "d", f"{tag}_ids", f"{tag}_vectors"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], pa.int64()) for k in key], pa.array([d], pa.int32()), pa.array([ids[rows].astype("<i8").tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())], ["namespace", f"{tag}_block", "d", f"{tag}_ids", f"{tag}_vectors"])
 
     pack.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return dealt.select("namespace", "block", "id", "v").groupBy("namespace", "block").applyInArrow(pack, f"namespace long, d int, {tag}_ids binary, {tag}_vectors binary")
+    return dealt.select("namespace", "block", "id", "v").groupBy("namespace", "block").applyInArrow(pack, f"namespace long, {tag}_block long, d int, {tag}_ids binary, {tag}_vectors binary")
 
 
 def scores(metric: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -70,6 +76,11 @@ def search(queries: DataFrame, records: DataFrame, namespaces: DataFrame, k: int
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
 
     workers_import(queries.sparkSession)
-    pairs = _packed(queries, "query_id", "query_embedding", QUERY_BLOCK, "q").join(_packed(records, "vec_id", "embedding", RECORD_BLOCK, "r"), ["namespace", "d"]).join(namespaces.select("namespace", "metric"), "namespace")
+    # the metric joins the small query blocks; a namespace's record blocks are spread over salts, so that none is one task's work
+    salts = _blocks(records, "embedding", RECORD_BLOCK).select("namespace", F.least("blocks", F.lit(SALTS)).alias("salts"))
+    asked = _packed(queries, "query_id", "query_embedding", QUERY_BLOCK, "q").join(namespaces.select("namespace", "metric"), "namespace").join(salts, "namespace")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts", "q_block")
+    held = _packed(records, "vec_id", "embedding", RECORD_BLOCK, "r").join(salts, "namespace").withColumn("salt", F.pmod("r_block", "salts")).drop("salts", "r_block")
+    pairs = asked.join(held, ["namespace", "d", "salt"])
     found = pairs.select("metric", "d", "q_ids", "q_vectors", "r_ids", "r_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
     return top_k(found.withColumn("score", F.round("score", 6)), k, threshold)
