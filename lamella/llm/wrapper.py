@@ -37,6 +37,8 @@ SHORT = 2
 ALL, OUT = -2, -3
 #: A slot is furniture if at least so many pages fill it, and at least this part of its leaves is marked as such.
 FILLED, MARKED = 3, 0.9
+#: Pairs of children up to which plain lists are faster than arrays.
+FEW = 400
 #: Levels of a tree; what is nested deeper becomes part of the last one, as in browsers.
 DEPTH = 160
 #: A page is a copy of a pivot, and isn't counted, if they share at least this part of all their words,
@@ -282,25 +284,31 @@ def content(root: Node) -> Node:
 
 
 def skeleton(root: Node) -> list:
-    """A tree as nested lists [tag, hash of text or 0, children]."""
-    return [root.tag, zlib.crc32(root.text.encode("utf-8", "replace")) if root.text else 0, [skeleton(x) for x in root.children]]
+    """A tree as nested lists [tag, hash of text or 0, children, runs of text]."""
+    below = [skeleton(x) for x in root.children]
+    return [root.tag, _hash(root.text) if root.text else 0, below, int(root.tag == "#text") + sum(x[3] for x in below)]
 
 
-def size(s: list) -> int:
-    return 1 + sum(map(size, s[2]))
-
-
-def match(a: list, b: list) -> float:
-    """The greatest matching of two trees: simple tree matching, where equal texts count twice."""
+def match(a: list, b: list, known: dict | None = None) -> float:
+    """The greatest matching of two trees: simple tree matching, where equal texts count twice. ``known`` remembers pairs of subtrees."""
     if a[0] != b[0]:
         return 0.0
-    if not a[2] or not b[2]:
+    left, right = a[2], b[2]
+    if not left or not right:
         return 2.0 if a[1] and a[1] == b[1] else 1.0
-    return 1.0 + float(_table(_weights(a[2], b[2]))[-1, -1])
-
-
-def _weights(left: list, right: list) -> np.ndarray:
-    """Matchings of all pairs of children; those without children are compared all at once."""
+    known = {} if known is None else known
+    if len(left) == 1 and len(right) == 1:
+        return 1.0 + match(left[0], right[0], known)
+    key = id(a), id(b)
+    if key not in known:
+        known[key] = 1.0 + float(_table(_weights(left, right, known))[-1][-1])
+    return known[key]
+
+
+def _weights(left: list, right: list, known: dict):
+    """Matchings of all pairs of children; of many, those without children are compared all at once."""
+    if len(left) * len(right) <= FEW:
+        return [[match(x, y, known) if x[0] == y[0] else 0.0 for y in right] for x in left]
     w = np.zeros((len(left), len(right)))
     tag = {t: i for i, t in enumerate({x[0] for x in left} | {x[0] for x in right})}
     ta, tb = (np.array([tag[x[0]] for x in c]) for c in (left, right))
@@ -311,18 +319,27 @@ def _weights(left: list, right: list) -> np.ndarray:
     both = np.minimum(deep[0][:, None], deep[1][None, :])
     w[same] = (1.0 + both + (equal & (deep[0][:, None] == deep[1][None, :])))[same]  # a run alone in its element is one level deeper
     for i, j in zip(*np.nonzero(same & (np.maximum(deep[0][:, None], deep[1][None, :]) == 2))):
-        w[i, j] = match(left[i], right[j])
+        w[i, j] = match(left[i], right[j], known)
     return w
 
 
-def _table(w: np.ndarray) -> np.ndarray:
+def _table(w) -> list | np.ndarray:
+    """Best sums of matchings of the first i and the first j children."""
+    if isinstance(w, list):
+        out = [[0.0] * (len(w[0]) + 1)]
+        for own in w:
+            above, row = out[-1], [0.0]
+            for j, x in enumerate(own):
+                row.append(max(above[j + 1], row[j], above[j] + x))
+            out.append(row)
+        return out
     out = np.zeros((w.shape[0] + 1, w.shape[1] + 1))
     for i in range(len(w)):
         out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + w[i]))
     return out
 
 
-def align(a: list, b: list, at: int, to: int, slots: np.ndarray) -> int:
+def align(a: list, b: list, at: int, to: int, slots: list[int], known: dict) -> int:
     """Write to ``slots`` which leaf of ``b`` (numbered from ``to``) each leaf of ``a`` (numbered from ``at``, in page order) is aligned with; returns the next number."""
     if not a[2]:
         if a[0] == "#text":
@@ -331,9 +348,9 @@ def align(a: list, b: list, at: int, to: int, slots: np.ndarray) -> int:
         return at
     starts, others = [at], [to]
     for x in a[2]:
-        starts.append(starts[-1] + _runs(x))
+        starts.append(starts[-1] + x[3])
     for x in b[2]:
-        others.append(others[-1] + _runs(x))
+        others.append(others[-1] + x[3])
     if b[2]:
         left, right = a[2], b[2]
         pre = 0
@@ -347,24 +364,20 @@ def align(a: list, b: list, at: int, to: int, slots: np.ndarray) -> int:
             post += 1
         left, right = left[pre : len(left) - post], right[pre : len(right) - post]
         if left and right:
-            w = _weights(left, right)
+            w = _weights(left, right, known)
             t = _table(w)
             i, j = len(left), len(right)
             while i and j:
-                if w[i - 1, j - 1] > 0 and t[i, j] == t[i - 1, j - 1] + w[i - 1, j - 1]:
-                    align(left[i - 1], right[j - 1], starts[pre + i - 1], others[pre + j - 1], slots)
+                if w[i - 1][j - 1] > 0 and t[i][j] == t[i - 1][j - 1] + w[i - 1][j - 1]:
+                    align(left[i - 1], right[j - 1], starts[pre + i - 1], others[pre + j - 1], slots, known)
                     i, j = i - 1, j - 1
-                elif t[i, j] == t[i - 1, j]:
+                elif t[i][j] == t[i - 1][j]:
                     i -= 1
                 else:
                     j -= 1
     return starts[-1]
 
 
-def _runs(s: list) -> int:
-    return int(s[0] == "#text") + sum(map(_runs, s[2]))
-
-
 class Shape:
     """A page's tree for comparisons: skeleton, texts of its leaves with their hashes, which of them their own markup lets stand, leaves of each path of tags."""
 
@@ -391,27 +404,40 @@ class Shape:
     def words(self) -> tuple[int, set[str]]:
         """(words of the page, distinct ones)."""
         if self._words is None:
-            every = " ".join(self.texts).split()
+            every = " ".join(t for t, stands in zip(self.texts, self.stands) if stands).split()
             self._words = len(every), set(every)
         return self._words
 
     def near(self, other: Shape) -> float:
         """How alike two pages are built, whatever their texts: common paths of leaves."""
-        return 2 * sum((self.paths & other.paths).values()) / max(1, len(self.texts) + len(other.texts))
+        return 2 * sum(min(n, other.paths[p]) for p, n in self.paths.items() if p in other.paths) / max(1, len(self.texts) + len(other.texts))
+
+
+#: Stands before the hash of a text that isn't kept.
+HASHED = "\0crc:"
 
 
 def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace"))
+    return int(text[len(HASHED) : -1]) if text.startswith(HASHED) else zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def telling(text: str) -> bool:
+    """Whether a text may be template by itself."""
+    return text[-1] == "+" if text.startswith(HASHED) else text.count(" ") >= SHORT
 
 
 def packed(tree: Node, stands: list[bool]) -> bytes:
-    """A tree as compressed JSON: nested lists [tag, text, children], and which leaves stand."""
+    """A tree as compressed JSON: nested lists [tag, text, children], and which leaves stand. Of leaves that don't, only the hash is kept."""
+    left = iter(stands)
 
     def lists(node: Node) -> list:
-        return [node.tag, node.text, [lists(x) for x in node.children]]
+        text = node.text
+        if node.tag == "#text" and not next(left):
+            text = f"{HASHED}{_hash(text)}{'+' if telling(text) else '-'}"
+        return [node.tag, text, [lists(x) for x in node.children]]
 
     raw = json.dumps([lists(tree), [int(x) for x in stands]], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes) -> Shape:
@@ -434,14 +460,16 @@ def is_copy(own: Shape, other: Shape) -> bool:
     least = COPY * max(n, m)  # words in common are at most those of the smaller page, less those the other lacks
     if min(n, m) < least or n - len(mine - theirs) < least:
         return False
-    mine, theirs = Counter(own.hashes), Counter(other.hashes)
+    mine, theirs = (Counter(h for h, stands in zip(x.hashes, x.stands) if stands) for x in (own, other))
     same = mine & theirs
     if mine == theirs:
         return True
 
     def rest(shape: Shape) -> tuple[int, Counter]:
         left, shared, words = same.copy(), 0, Counter()
-        for t, h in zip(shape.texts, shape.hashes):
+        for t, h, stands in zip(shape.texts, shape.hashes, shape.stands):
+            if not stands:
+                continue
             if left[h]:
                 left[h] -= 1
                 shared += len(t.split())
@@ -454,11 +482,11 @@ def is_copy(own: Shape, other: Shape) -> bool:
     return common >= VARIES * longest and shared + common >= COPY * (shared + longest)
 
 
-def placed(own: Shape, pivots: list[Shape]) -> tuple[int, np.ndarray]:
+def placed(own: Shape, pivots: list[Shape]) -> tuple[int, list[int]]:
     """(number of the pivot that is built most like a page, the pivot's leaf that each leaf of the page is aligned with, or -1)."""
     k = max(range(len(pivots)), key=lambda i: (own.near(pivots[i]), -i))
-    slots = np.full(len(own.texts), -1, np.int64)
-    align(own.skeleton, pivots[k].skeleton, 0, 0, slots)
+    slots = [-1] * len(own.texts)
+    align(own.skeleton, pivots[k].skeleton, 0, 0, slots, {})
     return k, slots
 
 
@@ -468,7 +496,7 @@ def extract(page: str | None, pivots: list[Shape], template: frozenset | set = f
     gone = [False] * len(own.texts)
     if own.texts and template:
         k, slots = placed(own, pivots)
-        gone = [f"{k}/{at}" in template or f"{k}/{at}/{h}" in template for h, at in zip(own.hashes, slots.tolist())]
+        gone = [f"{k}/{at}" in template or f"{k}/{at}/{h}" in template for h, at in zip(own.hashes, slots)]
     return "\n".join(t for t, g, s in zip(own.texts, gone, own.stands) if s and not g), sum(gone)
 
 
@@ -538,8 +566,8 @@ def induce(pages: DataFrame) -> DataFrame:
                     continue
                 k, slots = placed(own, others)
                 seen[host, k, -1, 0] += 1
-                at = slots.tolist()
-                seen.update((host, k, i, x) for i, x, t in zip(at, own.hashes, own.texts) if i >= 0 and t.count(" ") >= SHORT)
+                at = slots
+                seen.update((host, k, i, x) for i, x, t in zip(at, own.hashes, own.texts) if i >= 0 and telling(t))
                 seen.update((host, k, i, ALL) for i in at if i >= 0)
                 seen.update((host, k, i, OUT) for i, stands in zip(at, own.stands) if i >= 0 and not stands)
             yield pa.RecordBatch.from_arrays([pa.array([key[i] for key in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))] + [pa.array(list(seen.values()), pa.int64())], ["host", "pivot", "slot", "text", "n"])
