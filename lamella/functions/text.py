@@ -125,22 +125,24 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"text":'), json_text(text), F.lit("}")), 256)
 
 
+#: First bytes of binary kinds in hex, and elements that tell HTML.
+MAGIC = (("255044462D", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"))
+HTML_HINT = r"(?i)<\s*(?:!doctype|html|head|body|article|main|div|p|h[1-6]|table|ul|ol|section)\b"
+
+
 def media_type(content: Column) -> Column:
-    """Type of raw bytes by their first ones: PDF, images, JSON, HTML, text, else unknown."""
-    head = F.substring(content, 1, 16)
-    as_hex = F.hex(head)
-    decoded = F.coalesce(F.try_validate_utf8(content.cast("string")), F.lit(""))
-    start = F.lower(F.regexp_replace(F.substring(decoded, 1, 256), r"^[\s\uFEFF]+", ""))
-    return (
-        F.when(as_hex.startswith("255044462D"), "application/pdf").when(as_hex.startswith("89504E470D0A1A0A"), "image/png").when(as_hex.startswith("FFD8FF"), "image/jpeg")
-        .when(as_hex.startswith("47494638"), "image/gif").when(as_hex.startswith("52494646") & (F.substring(as_hex, 17, 8) == "57454250"), "image/webp")
-        .when(F.regexp_like(start, F.lit(r"^[{\[]")) & F.try_parse_json(decoded).isNotNull(), "application/json")
-        .when(F.regexp_like(start, F.lit(r"^<(?:!doctype html|html|head|body)")), "text/html")
-        .when((F.length(content) > 0) & (decoded != ""), "text/plain").otherwise("application/octet-stream")
-    )
+    """Type of raw bytes: PDF and images by their first bytes, then JSON that parses, HTML by its elements, other UTF-8 as text, else unknown."""
+    head = F.hex(F.substring(content, 1, 16))
+    decoded = F.regexp_replace(F.try_validate_utf8(content.cast("string")), r"^\uFEFF", "")
+    stripped = F.regexp_replace(decoded, r"(?U)^\s+", "")
+    out = F.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    for magic, kind in MAGIC:
+        out = out.when(F.startswith(head, F.lit(magic)), kind)
+    out = out.when(decoded.isNull(), "application/octet-stream").when(F.regexp_like(stripped, F.lit(r"^[{\[]")) & F.try_parse_json(decoded).isNotNull(), "application/json")
+    return out.when(F.regexp_like(stripped, F.lit(HTML_HINT)), "text/html").otherwise("text/plain")
 
 
 def media_verified(declared: Column, detected: Column) -> Column:
-    """False where a declared PDF or image isn't one, or undeclared ones show up."""
-    strict = lambda t: F.regexp_like(t, F.lit("^(?:application/pdf|image/)"))
-    return ~((strict(declared) | strict(detected)) & (declared != detected))
+    """False where a declared PDF or image isn't one, or an undeclared one shows up."""
+    strict = lambda t: F.regexp_like(F.coalesce(t, F.lit("")), F.lit("^(?:application/pdf|image/)"))
+    return ~((strict(declared) | strict(detected)) & ~declared.eqNullSafe(detected))

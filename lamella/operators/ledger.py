@@ -57,6 +57,23 @@ def orphans(objects: DataFrame, references: DataFrame, on: str) -> DataFrame:
     return objects.join(references.select(on).distinct(), on, "left_anti")
 
 
+def unbound(owners: DataFrame, *ties: DataFrame, on: str) -> DataFrame:
+    """Owners that none of several ledgers ties down."""
+    for t in ties:
+        owners = orphans(owners, t, on)
+    return owners
+
+
+#: Seconds of the first back-off, and retries after which none follows.
+BACK_OFF, RETRIES = 5, 3
+
+
+def retries(failed: DataFrame, now: Column) -> DataFrame:
+    """Failed rows (created_at, retries) with ``ceiling_s``, which doubles, ``due_at`` by it, and ``class``: exhausted, due or waiting. A jitter below the ceiling is the caller's."""
+    out = failed.withColumn("ceiling_s", BACK_OFF * F.pow(F.lit(2.0), F.col("retries"))).withColumn("due_at", F.col("created_at") + F.make_dt_interval(secs=F.col("ceiling_s").cast("decimal(18,6)")))
+    return out.withColumn("class", F.when(F.col("retries") >= RETRIES, "exhausted").when(F.col("due_at") <= now, "due").otherwise("waiting"))
+
+
 def appended_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` to append so that every key stands once: insert-or-ignore."""
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
@@ -185,3 +202,19 @@ def metric_lines(samples: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Text exposition of counters (name, label, value): sums of samples the catalogue knows, one line each."""
     kept = samples.join(catalogue.select("name").distinct(), "name", "left_semi").groupBy("name", "label").agg(F.sum("value").alias("value"))
     return kept.select(F.concat("name", F.lit('{label="'), "label", F.lit('"} '), F.col("value").cast("string")).alias("line"))
+
+
+def frozen_config(defaults: dict[str, str], layers: list[dict[str, Column]], caps: dict[str, int]) -> Column:
+    """One configuration as ``key=value`` by key: each later layer's values stand above those before it where they aren't null, and caps bound numbers from whatever layer.
+
+    Layers may only name keys that the defaults have.
+    """
+    if unknown := {k for layer in layers for k in layer} - set(defaults):
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    parts = []
+    for key in sorted(defaults):
+        value = F.coalesce(*[layer[key] for layer in reversed(layers) if key in layer], F.lit(defaults[key]))
+        if key in caps:
+            value = F.least(value.cast("long"), F.lit(caps[key]).cast("long")).cast("string")
+        parts.append(F.concat(F.lit(f"{key}="), value))
+    return F.concat_ws(";", *parts)

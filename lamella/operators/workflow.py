@@ -29,6 +29,14 @@ def open_gates(gates: DataFrame, targets: DataFrame) -> DataFrame:
     return latest(held, ["team", "task"], [F.desc("opened_at"), F.desc("gate")]).join(targets, ["team", "gate"], "left").join(counts, ["team", "task"])
 
 
+def gate_states(gates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(gate, state): cancelled, else the first decision on the gate's current revision, else stale if all decisions were on others, else open."""
+    first = decisions.groupBy("gate", "revision").agg(F.min_by("decision", F.struct("decided_at", "id")).alias("_decision"))
+    any_ = decisions.select("gate").distinct().withColumn("_any", F.lit(True))
+    out = gates.join(first, ["gate", "revision"], "left").join(any_, "gate", "left")
+    return out.select("gate", F.when(F.col("cancelled"), "cancelled").when(F.col("_decision").isNotNull(), F.col("_decision")).when(F.col("_any"), "stale").otherwise("open").alias("state"))
+
+
 def restart_listing(restarts: DataFrame, tasks: DataFrame) -> DataFrame:
     """Restarts with the state of the task they made, if it is still there."""
     return restarts.join(tasks.select("team", F.col("task").alias("restart_task"), F.col("status").alias("target_status"), F.col("generation").alias("target_generation")), ["team", "restart_task"], "left")

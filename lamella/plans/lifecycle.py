@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import fence, ledger, publish
+from lamella.operators import fence, ledger, publish, workflow
 from lamella.plans.base import Listing
 from lamella.sources import ledgers
 from lamella.sources.tables import table
@@ -184,13 +184,19 @@ def lifecycle_transition(spark, sf_dir):
     return asked.join(spark.createDataFrame(moves, "lifecycle string, action string, next string"), ["lifecycle", "action"], "left").select("lifecycle", "action", "next", "n")
 
 
-@listing.add("""WITH c AS (SELECT doc_id, 'recall_k=' || CASE WHEN doc_id % 3 = 0 THEN least(doc_id % 200, 100) ELSE 20 END || ';return_k=' || CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 10 END AS config FROM documents) SELECT doc_id, config, sha256(config) AS digest FROM c""")
+@listing.add("""WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+c AS (SELECT d.doc_id, 'mode=' || CASE WHEN source IS NULL THEN 'exact' ELSE lang END || ';recall_k=' || least(coalesce(CASE WHEN n_chars % 3 = 0 THEN n_chars END, CASE WHEN quality = 1 THEN 40 END, 20), 100) || ';return_k=' || least(coalesce(CASE WHEN quality = 0 THEN 5 END, 10), 50) AS config FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id)
+SELECT doc_id, config, sha256(config) AS digest FROM c""")
 def config_layers(spark, sf_dir):
-    """Defaults, runtime settings and capped overrides compiled into one frozen digest."""
-    i = F.col("doc_id")
-    over = F.when(i % 3 == 0, F.least(i % 200, F.lit(100).cast("long")))
-    config = F.concat(F.lit("recall_k="), F.coalesce(over, F.lit(20).cast("long")).cast("string"), F.lit(";return_k="), F.when(i % 2 == 0, 5).otherwise(10).cast("string"))
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", config.alias("config"), F.sha2(config, 256).alias("digest"))
+    """Defaults under runtime settings (by label) under a request's overrides, capped, and frozen into one digest."""
+    q = table(spark, sf_dir, "labels", "doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars").join(q, "doc_id", "left")
+    value = lambda c: c.cast("string")
+    defaults = {"recall_k": "20", "return_k": "10", "mode": "exact"}
+    runtime = {"recall_k": F.when(F.col("quality") == 1, F.lit("40")), "return_k": F.when(F.col("quality") == 0, F.lit("5")), "mode": F.when(F.col("source").isNotNull(), F.col("lang"))}
+    request = {"recall_k": F.when(F.col("n_chars") % 3 == 0, value(F.col("n_chars")))}
+    frozen = ledger.frozen_config(defaults, [runtime, request], {"recall_k": 100, "return_k": 50})
+    return d.select("doc_id", frozen.alias("config"), F.sha2(frozen, 256).alias("digest"))
 
 
 @listing.add("SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'rejected' WHEN n_chars > 5000 THEN 'human_review' ELSE 'auto' END AS admission FROM documents")
@@ -209,8 +215,12 @@ def idempotent_create(spark, sf_dir):
     return r.join(f, ["team", "key"]).select("o_orderkey", F.when(F.col("o_orderkey") == F.col("first_key"), "created").when(F.col("fingerprint") == F.col("held"), "replay").otherwise("conflict").alias("verdict"))
 
 
-@listing.add("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'stale' WHEN o_orderkey % 7 = 0 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'open' END AS state FROM orders""")
+@listing.add("""WITH g AS (SELECT o_orderkey AS gate, o_orderkey % 3 AS revision, o_orderstatus = 'P' AS cancelled FROM orders),
+d AS (SELECT l_orderkey AS gate, l_linenumber % 3 AS revision, CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision, l_shipdate AS decided_at, l_linenumber AS id FROM lineitem),
+f AS (SELECT gate, revision, arg_min(decision, (decided_at, id)) AS decision FROM d GROUP BY gate, revision), s AS (SELECT gate, count(*) AS n FROM d GROUP BY gate)
+SELECT g.gate, CASE WHEN cancelled THEN 'cancelled' WHEN f.decision IS NOT NULL THEN f.decision WHEN s.n IS NOT NULL THEN 'stale' ELSE 'open' END AS state FROM g LEFT JOIN f ON g.gate = f.gate AND g.revision = f.revision LEFT JOIN s ON g.gate = s.gate""")
 def gate_decisions(spark, sf_dir):
-    """Gates by their decision: a stale revision never counts, and a cancellation wins."""
-    i = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select("o_orderkey", F.when(i % 5 == 0, "stale").when(i % 7 == 0, "cancelled").when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "rejected").otherwise("open").alias("state"))
+    """Gates by the first decision on their current revision: one on another revision is stale, and a cancellation wins."""
+    gates = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").selectExpr("o_orderkey AS gate", "o_orderkey % 3 AS revision", "o_orderstatus = 'P' AS cancelled")
+    decisions = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate").selectExpr("l_orderkey AS gate", "l_linenumber % 3 AS revision", "CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision", "l_shipdate AS decided_at", "l_linenumber AS id")
+    return workflow.gate_states(gates, decisions)

@@ -243,30 +243,29 @@ def lease_expired(spark, sf_dir):
     return p.select("process", F.when(F.col("k") % 3 == 0, "fail").otherwise("recover").alias("action"))
 
 
-@listing.add(f"WITH {PROCESSES} SELECT process, k % 4 AS retries, 5 * pow(2, k % 4)::DOUBLE AS ceiling_s, CASE WHEN k % 4 >= 3 THEN 'exhausted' ELSE 'retry' END AS class FROM processes WHERE status = 'failed'")
+@listing.add(f"""WITH {PROCESSES}, r AS (SELECT process, k % 4 AS retries, 5 * pow(2, k % 4)::DOUBLE AS ceiling_s, created_at + to_seconds((5 * pow(2, k % 4))::BIGINT) AS due_at FROM processes WHERE status = 'failed')
+SELECT process, retries, ceiling_s, due_at, CASE WHEN retries >= 3 THEN 'exhausted' WHEN due_at <= {NOW} - INTERVAL 1 DAY THEN 'due' ELSE 'waiting' END AS class FROM r""")
 def retry_due(spark, sf_dir):
-    """Failed processes with the ceiling under which their retry is jittered."""
-    p = processes(spark, sf_dir).where("status = 'failed'").withColumn("retries", F.col("k") % 4)
-    return p.select("process", "retries", (5 * F.pow(F.lit(2.0), F.col("retries"))).alias("ceiling_s"), F.when(F.col("retries") >= 3, "exhausted").otherwise("retry").alias("class"))
+    """Failed processes with the ceiling of their back-off, when they are due by it, and whether they are, a day before the last event."""
+    p = timed(processes(spark, sf_dir).where("status = 'failed'"), spark, sf_dir)
+    return ledger.retries(p.withColumn("retries", F.col("k") % 4), F.col("now") - F.expr("interval 1 day")).select("process", "retries", "ceiling_s", "due_at", "class")
 
 
 @listing.add(f"""WITH {PROCESSES}, teams AS (SELECT DISTINCT team FROM processes)
-SELECT team FROM teams t WHERE NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND status = 'running' AND priority = 0)
-AND NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND status = 'waiting' AND k > 97) AND NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND status = 'failed' AND value > 95)""")
+SELECT team FROM teams t WHERE NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND status = 'running' AND created_at > {NOW} - INTERVAL 3 DAY)
+AND NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND available_at > {NOW}) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = t.team AND o_orderstatus = 'P')""")
 def cleanup_eligible(spark, sf_dir):
-    """Teams without an active process, a live lease or a pending message."""
-    p = processes(spark, sf_dir)
-    out = p.select("team").distinct()
-    for condition in ("status = 'running' and priority = 0", "status = 'waiting' and k > 97", "status = 'failed' and value > 95"):
-        out = out.join(p.where(condition).select("team").distinct(), "team", "left_anti")
-    return out
+    """Teams without a recent active process, a live lease or a pending message."""
+    p = timed(processes(spark, sf_dir), spark, sf_dir)
+    messages = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("team"))
+    return ledger.unbound(p.select("team").distinct(), p.where("status = 'running' and created_at > now - interval 3 days"), p.where("available_at > now"), messages, on="team")
 
 
-@listing.add(f"""WITH {PROCESSES} SELECT process, team FROM processes r WHERE status = 'ready' AND k < 20 AND NOT EXISTS (SELECT 1 FROM processes a WHERE a.team = r.team AND a.status = 'running' AND a.k = r.k)""")
+@listing.add(f"""WITH {PROCESSES} SELECT process, team FROM processes r WHERE status = 'ready' AND NOT EXISTS (SELECT 1 FROM processes a WHERE a.team = r.team AND a.status = 'running' AND a.k = r.k)""")
 def stalled(spark, sf_dir):
     """Ready work that no running process of its team attends to."""
     p = processes(spark, sf_dir)
-    return p.where("status = 'ready' and k < 20").join(p.where("status = 'running'").select("team", "k").distinct(), ["team", "k"], "left_anti").select("process", "team")
+    return p.where("status = 'ready'").join(p.where("status = 'running'").select("team", "k").distinct(), ["team", "k"], "left_anti").select("process", "team")
 
 
 @listing.add("SELECT user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
