@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ LEADING = 8
 SPREAD = 256
 #: Vectors of a block, children of an interval, and vectors of the parts that are compared outright.
 BLOCK, FAN, PART = 2048, 32, 256
+#: Bytes of vectors that one tile of block pairs holds, and blocks of a side of it, at most.
+TILE_BYTES, TILE = 16 << 20, 8
 CELLS = [f"c{i}" for i in range(LEADING)]
 LOW, HIGH = [f"lo{i}" for i in range(LEADING)], [f"hi{i}" for i in range(LEADING)]
 
@@ -224,22 +227,29 @@ def join_blocks(ids: tuple[np.ndarray, np.ndarray], ns: tuple[np.ndarray, np.nda
 
 
 def _links(blocks: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
-    """(rep, links, least) of every near pair of blocks: as many rows as vectors with links, not as pairs of them."""
+    """(rep, links, least) of every near pair of blocks: as many rows as vectors with links, not as pairs of them.
 
-    def run(batches):
-        for part in batches:
-            for row in range(part.num_rows):
-                get = lambda c: part.column(c)[row].as_py()
-                d = get("dim")
-                ids, ns = (tuple(np.frombuffer(get(f"{c}_{s}"), "<i8") for s in "ab") for c in ("ids", "ns"))
-                vectors = tuple(unit(np.frombuffer(get(f"vectors_{s}"), kind).reshape(-1, d)) for s in "ab")
-                places = tuple(np.frombuffer(get(f"places_{s}"), np.float64).reshape(-1, LEADING) for s in "ab")
-                out = join_blocks(ids, ns, vectors, places, get("a") == get("b"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "least"])
-
-    held = [blocks.select(F.col("block").alias(s), "dim", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "vectors", "places")]) for s in "ab"]
-    rows = pairs.join(held[0], ["a", "dim"]).join(held[1], ["b", "dim"])
-    return settle(py(blocks.sparkSession, rows, run, "rep long, links long, least long"), "block-links")
+    Pairs are dealt in tiles of neighbouring blocks, and a block is sent once to each tile, not to each pair.
+    """
+    side = F.greatest(F.lit(1), F.least(F.lit(TILE), (F.lit(TILE_BYTES) / (2 * BLOCK * int(kind[-1]) * F.col("dim"))).cast("int")))
+    tiled = pairs.withColumns({"ta": F.col("a") - F.pmod("a", side), "tb": F.col("b") - F.pmod("b", side)})
+    needed = tiled.select("ta", "tb", "dim", F.explode(F.array("a", "b")).alias("block")).distinct()
+    content = needed.join(blocks.select("block", "dim", "ids", "ns", "vectors", "places"), ["block", "dim"])
+    every = tiled.select("ta", "tb", "dim", "a", "b").unionByName(content, allowMissingColumns=True)
+
+    def run(key, batches):
+        t = pa.Table.from_batches(list(batches))
+        held = {}
+        for row in t.filter(pc.is_valid(t.column("block"))).select(["block", "ids", "ns", "vectors", "places"]).to_pylist():
+            d = key[2].as_py()
+            held[row["block"]] = (np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ns"], "<i8"), unit(np.frombuffer(row["vectors"], kind).reshape(-1, d)), np.frombuffer(row["places"], np.float64).reshape(-1, LEADING))
+        asked = t.filter(pc.is_valid(t.column("a")))
+        for a, b in sorted(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist())):
+            out = join_blocks(*zip(held[a], held[b]), a == b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "least"])
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return settle(every.groupBy("ta", "tb", "dim").applyInArrow(run, "rep long, links long, least long"), "block-links")
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:

@@ -451,6 +451,14 @@ def test_grid_join_equals_brute_force(spark):
         gridjoin.BLOCK, gridjoin.PART, gridjoin.FAN = block, part, fan
 
 
+def test_grid_join_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (1, [1.0, 0.0])]
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in gridjoin.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    # vector 1 stands for two directions, which its id joins into one component
+    assert [(v, c, k) for v, _, c, k in out] == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+    assert {v: n for v, n, _, _ in out if v > 1} == {2: 2, 3: 1, 4: 0}
+
+
 def test_grid_join_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0], 1, 1), (2, [0.0, 0.0], 1, 1), (3, None, 1, 1), (4, [], 1, 1), (5, [1.0, None], 1, 1), (6, [float("nan"), 1.0], 1, 1), (7, [float("inf"), 1.0], 1, 1), (8, [2.0, 0.01], None, None), (9, [1.0, 0.0, 0.0], 1, 1), (None, [1.0, 0.0], 1, 1)]
     check_vectors(spark, rows)
