@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.text import json_text
 from lamella.functions.workers import workers_import
 
 
@@ -90,6 +91,15 @@ def set_digest(df: DataFrame, keys: list[str], member: Column, name: str = "dige
     return buckets.groupBy(*keys).agg(F.sha2(whole, 256).alias(name), F.sum("_n").alias("members"))
 
 
+def integrity_digest(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str = "digest") -> DataFrame:
+    """Digest of each key's rows in ``order``, each a JSON list of its columns: numbers plain, texts quoted, nulls as null. Groups are those of one generation."""
+    kinds = dict(df.dtypes)
+    cell = lambda c: F.coalesce(json_text(F.col(c)) if kinds[c] == "string" else F.col(c).cast("string"), F.lit("null"))
+    row = F.concat(F.lit("["), F.concat_ws(",", *map(cell, columns)), F.lit("]"))
+    held = df.select(*keys, F.struct(*order, row.alias("_row")).alias("_x")).groupBy(*keys).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
+    return held.select(*keys, F.sha2(F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["_row"]), ","), F.lit("]")), 256).alias(name), F.size("_l").alias("members"))
+
+
 def exact_cover(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Keys expected once and found otherwise: missing, unexpected or repeated."""
     e, a = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for d, n in ((expected, "n_expected"), (actual, "n_actual")))

@@ -24,6 +24,13 @@ def publication_set_digest(spark, sf_dir):
     return ledger.set_digest(r, ["item", "namespace", "generation"], F.concat_ws(":", F.col("vec_id").cast("string"), F.col("unit").cast("string"), "channel"))
 
 
+@listing.add(f"""WITH {CTE} SELECT item, generation, sha256('[' || string_agg('[' || vec_id || ',' || item || ',' || revision || ',' || namespace || ',' || artifact || ',"' || artifact_type || '","' || channel || '",' || unit || ',' || coalesce(deleted_at::VARCHAR, 'null') || ']', ',' ORDER BY unit, channel, vec_id) || ']') AS digest, count(*)::INTEGER AS members
+FROM records GROUP BY item, generation""")
+def rebuild_integrity(spark, sf_dir):
+    """Digest of each generation's records in their order, nine fields each."""
+    return ledger.integrity_digest(ledgers.records(spark, sf_dir), ["item", "generation"], ["unit", "channel", "vec_id"], ["vec_id", "item", "revision", "namespace", "artifact", "artifact_type", "channel", "unit", "deleted_at"])
+
+
 @listing.add("SELECT l_orderkey, sha256(string_agg(l_linenumber || '=' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey)) AS root_digest FROM lineitem GROUP BY l_orderkey")
 def member_root_digest(spark, sf_dir):
     """Digest of each execution's members in their order."""

@@ -151,6 +151,19 @@ for _name in CONDITIONS:
     listing.add(f"WITH {FENCE.format(conditions=' AND '.join(v for k, v in CONDITIONS.items() if k not in without(_name)))} SELECT {', '.join(SHOWN)} FROM fence", f"fence_tamper_{_name}")(_tampered(_name))
 
 
+@listing.add(f"WITH {FENCE_ALL} SELECT {', '.join(SHOWN)} FROM fence WHERE source_kind IN ('web', 'api') AND channel = 'summary'")
+def fence_filtered(spark, sf_dir):
+    """The fence under closed filters: two source kinds and one channel."""
+    return fences.filtered(built_fence(spark, sf_dir), source_kind=["web", "api"], channel="summary", item=None).select(*SHOWN)
+
+
+@listing.add(f"WITH {FENCE_ALL} SELECT {', '.join(SHOWN)} FROM fence WHERE team = 1")
+def fence_of_team(spark, sf_dir):
+    """One team's fence, which fails rather than cut beyond its scan limit."""
+    own = (ledgers.records(spark, sf_dir), ledgers.namespaces(spark), ledgers.pointers(spark, sf_dir), ledgers.proofs(spark, sf_dir), ledgers.items(spark, sf_dir), ledgers.sources(spark), ledgers.generations(spark, sf_dir))
+    return fences.within(10_000_000, fences.serving_fence(*own, team=1).select(*SHOWN))
+
+
 @listing.add(f"""WITH {ledgers.CTE}
 SELECT r.vec_id, r.item, r.namespace, r.generation FROM records r JOIN namespaces n ON r.namespace = n.namespace AND n.status = 'active'
 JOIN pointers p ON r.item = p.item AND r.namespace = p.namespace AND r.generation = p.active_generation AND p.pointer_state = 'active'

@@ -56,7 +56,7 @@ ITEM = {
     "item_deleted_at": "CASE WHEN d = 33 THEN 1 END", "serving_revision": "CASE WHEN d = 34 THEN NULL WHEN d = 35 THEN item * 10 + 2 ELSE item * 10 + 1 END",
 }
 NAMESPACE_ROWS = [(k, m, "deleted" if k == 10 else "active", 1 if k == 11 else None) for k, m in [*enumerate(METRICS), (10, METRICS[0]), (11, METRICS[0])]]
-NAMESPACE = f"namespace long, metric string, status string, ns_deleted_at int"
+NAMESPACE = "namespace long, metric string, status string, ns_deleted_at int"
 
 
 def _rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:

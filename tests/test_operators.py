@@ -13,7 +13,7 @@ from lamella.functions.workers import workers_import
 from lamella.operators import construct, dispatch, fence, ledger, providers, publish, retrieve, workflow
 from lamella.operators.search import search
 from lamella.plans import retrieval, textual
-from lamella.sources import ledgers
+from lamella.sources import ledgers, objects
 from lamella.sources.tables import binary_objects, table
 from lamella.streaming import windows
 
@@ -340,3 +340,23 @@ def test_times_and_ids(spark):
     assert [r[0] for r in counts.select(workflow.layer_counts_valid(F.col("m"))).collect()] == [True, False, False, False, False]
     with pytest.raises(ValueError):
         workflow.handler_for(df, "t", {"A": "h"})
+
+
+def test_objects_are_stored_once_under_their_digest(spark, tmp_path):
+    folder = f"file://{tmp_path}/objects"
+    df = spark.createDataFrame([(i, f"text {i % 3}".encode() if i < 9 else None) for i in range(10)], "key long, content binary").repartition(4)
+    for _ in range(2):
+        out = objects.stored_objects(df, folder).collect()
+    assert len({r.digest for r in out if r.key < 9}) == 3 and [r.digest for r in out if r.key == 9] == [None]
+    held = objects.read_objects(spark, folder).collect()
+    assert len(held) == 3 and all(r.verified for r in held)
+
+
+def test_schema_steps_apply_once_and_in_order(spark, tmp_path):
+    root, seen = f"file://{tmp_path}", []
+    steps = [(n, f"step {n}", lambda s, r, n=n: seen.append(n)) for n in (1, 2)]
+    assert objects.migrated(spark, root, steps[:1]) == [1] and objects.migrated(spark, root, steps) == [2] and objects.migrated(spark, root, steps) == [] and seen == [1, 2]
+    with pytest.raises(ValueError):
+        objects.migrated(spark, root, [(1, "other", None), steps[1]])
+    with pytest.raises(ValueError):
+        objects.migrated(spark, root, steps[1:])
