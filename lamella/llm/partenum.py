@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import slices
-from lamella.llm.common import broadcast_if_small, discard, py, settle, table
+from lamella.llm.common import broadcast_if_small, discard, memory, py, settle, table
 from lamella.llm.components import components
 from lamella.llm.words import M1, M2, M3, mix, narrow, rising, risen, shingle_sets, wide
 
@@ -35,7 +35,7 @@ SUBSETS = list(combinations(range(PARTS), PARTS - SPARE))
 #: Elements of a partition for the largest set of a size band.
 FILL = 6
 #: Bytes of text whose signatures are made at once.
-SLICE = 4 << 20
+SLICE = 3 << 20
 #: Signature records in one group of the signature join, on average.
 GROUP = 400_000
 #: Slots of a parity sketch for an element: the more, the closer the differing bits come to the differing elements.
@@ -128,6 +128,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     """A row per document: size, identity and parity of its set."""
 
     def run(batches):
+        memory("shingles")  # what earlier stages remembered in this worker goes
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), WIDTH)
             f1, f2 = identities(sets)
@@ -151,6 +152,7 @@ def _signed(docs: DataFrame, groups: int) -> DataFrame:
     """Signatures with the doc_ids of their sets, a row for each slice and group; of equal sets in a slice one is signed. Groups are ranges of signatures."""
 
     def run(batches):
+        memory("shingles")
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), WIDTH)
             f1, f2 = identities(sets)
