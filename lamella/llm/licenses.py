@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -198,11 +199,30 @@ def signature_rules() -> list[tuple[int, str, str, str, float]]:
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One of these bytes' strings is in every lower-cased text in which a rule or base phrase matches; "cc" is checked further.
-GATES = (
-    "licen", "gpl", "wtfpl", "creative", "attribution", "bsd", "openrail", "domain", "hereby", "merchantability", "copyright", "permission", "neither", "advertising", "redistribution", "apache",
-    "classpath", "runtime", "mozilla", "eclipse", "cddl", "warranty", "misrepresented", "scripts", "perl", "eupl", "openssl", "evil", "reserved", "confidential", "commercial",
-)
+
+
+def _pieces(keyword: str, pattern: str) -> set[str]:
+    """Strings without a space that every text holds in which a rule matches: of its keyword, and of its regex's fixed words."""
+    fixed = pattern
+    while (less := re.sub(r"\((?:\?:)?[^()]*\)\?", "#", fixed)) != fixed:
+        fixed = less
+    fixed = re.sub(r"\[[^\]]*\]\??|\.\{\d+,\d+\}|\\.\??|.\?", "#", fixed)
+    return {x for part in (keyword, *([] if re.search(r"[|()]", fixed) else fixed.split("#"))) for x in part.split()}
+
+
+def _cover(wanted: list[set[str]]) -> tuple[str, ...]:
+    """Few pieces of which each set holds one, or one that contains one: the piece that serves most open sets first, short ones last."""
+    open_, out = [s for s in wanted if s], []
+    while open_:
+        serves = {p: sum(any(p in x for x in s) for s in open_) for p in set().union(*open_)}
+        best = min(serves, key=lambda p: (len(p) <= 3, -serves[p], p))
+        out.append(best)
+        open_ = [s for s in open_ if not any(best in x for x in s)]
+    return tuple(out)
+
+
+#: One of these strings is in every lower-cased text in which a rule or base phrase matches; derived from the rules themselves. "cc" is checked further.
+GATES = _cover([_pieces(k, x) for rows in (FAMILIES, NOTICES) for _, k, x, *_ in rows if not k.startswith("cc")] + [set(p.split()) for p, _ in BASE if not p.startswith("cc")])
 
 
 def _spaces(c: Column) -> Column:
