@@ -49,8 +49,8 @@ def gains(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: int =
 
     At most ``buckets`` rows, whatever the corpus: this bounds the broadcast that follows.
     """
-    own = _buckets(docs, order, buckets).withColumnRenamed("n", "s")
-    goal = _buckets(target, order, buckets).select(F.col("bucket").alias("b"), F.col("n").alias("t"))
+    own = settle(_buckets(docs, order, buckets).withColumnRenamed("n", "s"), "buckets")  # counted once, summed and joined below
+    goal = settle(_buckets(target, order, buckets).select(F.col("bucket").alias("b"), F.col("n").alias("t")), "buckets")
     sums = own.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("big_s")), goal.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("big_t"))
     both = own.join(goal, own["bucket"] == goal["b"], "left").crossJoin(F.broadcast(sums[0])).crossJoin(F.broadcast(sums[1]))  # sums are one row each
     up = (F.coalesce("t", F.lit(0)) + 1).cast("double") * (F.col("big_s") + buckets).cast("double")
