@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
+from lamella.functions.text import SECRET_KEY, SECRET_MARK, SECRETS
+
 #: Elements whose content the text reader and the sanitiser drop, elements that end a line, void elements, attributes that stay.
 DROPPED = frozenset("script style template noscript svg canvas".split())
 UNSAFE = frozenset("script style svg noscript iframe object embed nav footer header aside form template".split())
@@ -236,6 +238,62 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(canonical_json_of, na_action="ignore")
 
 
+def strings_in(value) -> list[str]:
+    """Every text in lists and maps of any depth, keys left out."""
+    out, open_ = [], [value]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, dict):
+            open_.extend(x.values())
+        elif isinstance(x, list):
+            open_.extend(x)
+    return out
+
+
+def _strings(text: str | None) -> list[str] | None:
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return strings_in(value) if isinstance(value, list) else None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def json_strings(text: pd.Series) -> pd.Series:
+    """The texts in a JSON list of any depth; null for what can't be read or isn't a list."""
+    return text.map(_strings)
+
+
+KEY, PATTERNS = re.compile(SECRET_KEY), [(re.compile(p), m) for p, m in SECRETS]
+
+
+def redacted(value):
+    """A JSON value without secrets: all below a telling key, and what looks like one in any text, at every depth."""
+    if isinstance(value, dict):
+        return {k: SECRET_MARK if KEY.search(k) else redacted(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted(v) for v in value]
+    if isinstance(value, str):
+        for pattern, mark in PATTERNS:
+            value = pattern.sub(mark, value)
+    return value
+
+
+def _redacted(text: str) -> str | None:
+    try:
+        return json.dumps(redacted(json.loads(text)), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def redacted_json(text: pd.Series) -> pd.Series:
+    """JSON without secrets, key order kept; null for what can't be read, so that nothing unread is shown."""
+    return text.map(_redacted, na_action="ignore")
+
+
 def stable_digest(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 

@@ -45,7 +45,7 @@ def serving_fence(records: DataFrame, namespaces: DataFrame, pointers: DataFrame
     A record meets its namespace, its item's pointer, the proof that the pointer names, its item, the item's source (if
     any) and its generation artifact, and stays if all ``conditions`` hold; ``team`` keeps one team's. ``skip``
     leaves conditions out, for tests that each counts. All sides are plain equi-joins: Spark broadcasts what is
-    below its threshold and shuffles, with skew handling, what isn't; vectors are carried, so narrow ledgers are joined to them.
+    below its threshold and shuffles, with skew handling, what isn't. The fence is narrow: vectors are joined to what it holds.
     """
     if team is not None:
         records = records.where(F.col("team") == team)
@@ -63,7 +63,7 @@ def serving_fence(records: DataFrame, namespaces: DataFrame, pointers: DataFrame
     for name, condition in conditions().items():
         if name not in skip:
             joined = joined.where(condition)
-    return joined.select("vec_id", "team", "item", "namespace", "generation", "unit", "granularity", "channel", "source_kind", "metric", F.col("last_proof").alias("proof"), "handle", "embedding")
+    return joined.select("vec_id", "team", "item", "namespace", "generation", "unit", "granularity", "channel", "source_kind", "metric", F.col("last_proof").alias("proof"), "handle")
 
 
 def active_vectors(records: DataFrame, namespaces: DataFrame, pointers: DataFrame, proofs: DataFrame) -> DataFrame:

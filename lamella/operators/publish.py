@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions.arrow import json_strings
+from lamella.functions.workers import workers_import
 from lamella.operators.ledger import set_digest
+from lamella.sources.versions import put_if_absent
 
 
 def member(vec: str = "vec_id", digest: str = "content_digest"):
@@ -37,6 +40,23 @@ def gate(generations: DataFrame, members: DataFrame, names: tuple[str, ...]) ->
     return g.select("artifact", "n_members", "n_valid", ((F.col("kinds") == len(names)) & (F.col("n_members") == F.col("n_valid")) & F.col("own")).alias("admitted"))
 
 
+def holds(objects: DataFrame, intents: DataFrame) -> DataFrame:
+    """Objects (object_id, digest, team) with ``state`` by a team's open intents (team, target, snapshot, refs): team_blocked, held or free.
+
+    ``refs`` is a JSON list; an object is held if any text in it, at any depth but as a key, or the target or snapshot names it in one of
+    six spellings. A list that can't be read, or isn't a list, may name anything, and so blocks its team. Names and objects meet in one join.
+    """
+    workers_import(objects.sparkSession)
+    read = intents.select("team", "target", "snapshot", json_strings("refs").alias("s"))
+    blocked = read.where(F.col("s").isNull()).select("team", F.lit(True).alias("_blocked")).distinct()
+    names = read.select("team", F.explode(F.concat(F.coalesce("s", F.array().cast("array<string>")), F.array("target", "snapshot"))).alias("name")).where("name is not null").distinct()
+    id_, digest = F.col("object_id").cast("string"), F.col("digest")
+    spellings = F.array(id_, digest, F.concat(F.lit("handle/"), digest), F.concat(F.lit("stored_object:"), id_), F.concat(F.lit("object:"), id_), F.concat(F.lit("sha256:"), digest))
+    found = objects.select("object_id", "team", F.explode(spellings).alias("name")).join(names, ["team", "name"], "left_semi").select("object_id").distinct().withColumn("_held", F.lit(True))
+    state = F.when(F.col("_blocked"), "team_blocked").when(F.col("_held"), "held").otherwise("free")
+    return objects.join(found, "object_id", "left").join(blocked, "team", "left").withColumn("state", state).drop("_held", "_blocked")
+
+
 def copied(facets: DataFrame, mapping: DataFrame) -> DataFrame:
     """Facets under the new ids of a mapping (vec_id, new_vec); facets of other records aren't copied."""
     return facets.join(mapping, "vec_id")
@@ -79,12 +99,9 @@ def publish(records: DataFrame, root: str, expected_revision: int) -> dict:
     records.write.parquet(f"{root}/{folder}")
     found = proof(spark.read.parquet(f"{root}/{folder}")).first()
     pointer = {"revision": revision, "generation": revision, "folder": folder, "members": found["members"], "digest": found["digest"]}
-    fs, target, jvm = _file(spark, f"{root}/pointers/pointer-{revision:012d}")
-    _, staged, _ = _file(spark, f"{root}/pointers/.{folder}")
-    out = fs.create(staged, False)
-    out.write(bytearray(json.dumps(pointer).encode()))
-    out.close()
-    if fs.exists(target) or not fs.rename(staged, target):
+    fs, pointers, _ = _file(spark, f"{root}/pointers")
+    fs.mkdirs(pointers)
+    if not put_if_absent(spark, f"{root}/pointers/pointer-{revision:012d}", json.dumps(pointer)):
         raise ValueError("the pointer has moved")
     return pointer
 

@@ -28,7 +28,7 @@ def top_k(hits: DataFrame, k: int = RECALL_K, threshold: float | None = 0.0, by:
 
 def delegated(fence: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores given by another scorer (query_id, vec_id, score); ids it leaves out aren't hits."""
-    return fence.drop("embedding").join(scores, "vec_id")
+    return fence.join(scores, "vec_id")
 
 
 def traceback(hits: DataFrame, units: DataFrame, records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.operators.folds import numbered
 from lamella.operators.ledger import latest
 
 #: Error codes after which a step is tried again.
@@ -204,11 +205,18 @@ def rfc3339(value: Column) -> Column:
     return F.when(zoned, F.date_format(F.convert_timezone(F.expr("current_timezone()"), F.lit("UTC"), F.try_to_timestamp(value).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
-def uuid7(df: DataFrame, millis: Column, name: str = "uuid") -> DataFrame:
-    """Time-ordered identifiers: 48 bits of milliseconds, version, 12 bits that count rows of a millisecond within its key's order, variant, and 62 random bits from the row's digest."""
-    seed = F.sha2(F.to_json(F.struct(*df.columns)), 256)
-    hexed = F.concat(F.lpad(F.lower(F.hex(millis)), 12, "0"), F.lit("7"), F.substring(seed, 1, 3), F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(seed, 4, 1), 16, 10).cast("int") % 4 + 1)), F.substring(seed, 5, 15))
-    return df.withColumn(name, F.regexp_replace(hexed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+def uuid7(df: DataFrame, millis: str, *order: str, name: str = "uuid") -> DataFrame:
+    """Time-ordered identifiers: 48 bits of milliseconds, version, 30 bits that count the rows of a millisecond in ``order`` around the variant, and 44 random bits from the row's digest.
+
+    Identifiers ascend strictly with (millis, order), up to a thousand million rows of one millisecond; the count goes on across
+    partitions, so that a millisecond of any number of rows is no task of its own.
+    """
+    rows = numbered(df, millis, *order, name="_n").withColumn("_seed", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    digits = lambda c, width: F.lpad(F.lower(F.hex(c)), width, "0")
+    n = F.col("_n")
+    variant = F.get(F.array(*map(F.lit, "89ab")), F.shiftright(n, 16).bitwiseAND(3).cast("int"))
+    hexed = F.concat(digits(F.col(millis), 12), F.lit("7"), digits(F.shiftright(n, 18).bitwiseAND(0xFFF), 3), variant, digits(n.bitwiseAND(0xFFFF), 4), F.substring("_seed", 1, 11))
+    return rows.withColumn(name, F.regexp_replace(hexed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).drop("_n", "_seed")
 
 
 def pattern_checks(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import fence, ledger, publish, workflow
+from lamella.functions.text import json_text
+from lamella.operators import cutover, fence, folds, ledger, publish, workflow
 from lamella.plans.base import Listing
 from lamella.sources import ledgers
 from lamella.sources.tables import table
@@ -15,20 +16,31 @@ queries, oracle_sql = listing.queries, listing.oracle_sql
 CTE = ledgers.CTE
 
 
-@listing.add(f"""WITH {CTE}, m AS (SELECT item, namespace, generation, vec_id || ':' || unit || ':' || channel AS m FROM records WHERE state = 'indexed'),
-b AS (SELECT item, namespace, generation, substr(sha256(m), 1, 2) AS b, sha256(string_agg(m, chr(10) ORDER BY m)) AS d, count(*) AS n FROM m GROUP BY ALL)
-SELECT item, namespace, generation, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS members FROM b GROUP BY item, namespace, generation""")
+CONTENT = "concat_ws(':', item, unit, channel)"
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the digests of their content and of their vector, which every fourth lacks."""
+    return ledgers.records(spark, sf_dir).withColumn("content_digest", F.sha2(F.expr(CONTENT), 256)).withColumn("embedding_digest", F.when(F.col("vec_id") % 4 != 3, F.sha2(F.col("vec_id").cast("string"), 256)))
+
+
+PAIRS = """'[' || string_agg('["' || vec_id || '","' || sha256(""" + CONTENT + """) || '"]', ',' ORDER BY vec_id::VARCHAR) || ']'"""
+
+
+@listing.add(f"WITH {CTE} SELECT item, namespace, generation, sha256({PAIRS}) AS digest, count(*) AS members FROM records WHERE state = 'indexed' GROUP BY item, namespace, generation")
 def publication_set_digest(spark, sf_dir):
-    """Digest of each publication's members, whatever their order."""
-    r = ledgers.records(spark, sf_dir).where("state = 'indexed'")
-    return ledger.set_digest(r, ["item", "namespace", "generation"], F.concat_ws(":", F.col("vec_id").cast("string"), F.col("unit").cast("string"), "channel"))
+    """Digest of each publication's members, whatever their order: of the canonical JSON of the sorted pairs of id and content digest."""
+    return cutover.proven(contents(spark, sf_dir).where("state = 'indexed'"))
 
 
-@listing.add(f"""WITH {CTE} SELECT item, generation, sha256('[' || string_agg('[' || vec_id || ',' || item || ',' || revision || ',' || namespace || ',' || artifact || ',"' || artifact_type || '","' || channel || '",' || unit || ',' || coalesce(deleted_at::VARCHAR, 'null') || ']', ',' ORDER BY unit, channel, vec_id) || ']') AS digest, count(*)::INTEGER AS members
+@listing.add(f"""WITH {CTE} SELECT item, generation, sha256('[' || string_agg('["' || vec_id || '","' || sha256({CONTENT}) || '","' || CASE WHEN vec_id % 4 <> 3 THEN sha256(vec_id::VARCHAR) ELSE '' END || '","' || unit || '","' || channel || '","' || model_key || '","' || model_version || '","' || adapter || '",' || dimension || ']', ',' ORDER BY unit::VARCHAR, channel, vec_id::VARCHAR) || ']') AS digest, count(*) AS members
 FROM records GROUP BY item, generation""")
 def rebuild_integrity(spark, sf_dir):
-    """Digest of each generation's records in their order, nine fields each."""
-    return ledger.integrity_digest(ledgers.records(spark, sf_dir), ["item", "generation"], ["unit", "channel", "vec_id"], ["vec_id", "item", "revision", "namespace", "artifact", "artifact_type", "channel", "unit", "deleted_at"])
+    """Digest of each generation's records in their order, nine fields each: id, content and vector digest, unit, channel, model key and version, adapter and dimension."""
+    text = lambda c: json_text(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    fields = [text(c) for c in ("vec_id", "content_digest", "embedding_digest", "unit", "channel", "model_key", "model_version", "adapter")]
+    row = F.concat(F.lit("["), F.concat_ws(",", *fields, F.col("dimension").cast("string")), F.lit("]"))
+    return folds.ordered_digest(contents(spark, sf_dir), ["item", "generation"], [F.col("unit").cast("string"), F.col("channel"), F.col("vec_id").cast("string")], row)
 
 
 @listing.add("SELECT l_orderkey, sha256(string_agg(l_linenumber || '=' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey)) AS root_digest FROM lineitem GROUP BY l_orderkey")
@@ -118,8 +130,8 @@ def inconsistent_proofs(spark, sf_dir):
 OBJECTS = "objects AS (SELECT doc_id AS object_id, sha256(text) AS digest, strlen(text) AS size_bytes, doc_id % 5 AS team FROM documents)"
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("object_id"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"), (F.col("doc_id") % 5).alias("team"))
+def objects(spark: SparkSession, sf_dir: str, teams: int = 5) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("object_id"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"), (F.col("doc_id") % teams).alias("team"))
 
 
 @listing.add(f"WITH {OBJECTS} SELECT object_id, digest, size_bytes FROM objects ANTI JOIN (SELECT doc_id AS object_id FROM labels) USING (object_id)")
@@ -129,17 +141,26 @@ def orphan_objects(spark, sf_dir):
     return ledger.orphans(objects(spark, sf_dir), refs, "object_id").select("object_id", "digest", "size_bytes")
 
 
-@listing.add(f"""WITH {OBJECTS}, holds AS (SELECT event_id, event_id % 1000 AS object_id FROM events WHERE event_type = 'signup' AND event_id % 4 = 0 UNION ALL SELECT event_id, event_id % 1000 + 1 FROM events WHERE event_type = 'signup' AND event_id % 4 = 1)
-SELECT object_id, digest FROM objects ANTI JOIN (SELECT 'obj:' || object_id AS object_id FROM holds) h ON 'obj:' || objects.object_id = h.object_id""")
+#: Open cleanup intents by event: what they hold, spelled in one of six ways at some depth of a JSON list, in a target or in a snapshot reference.
+#: Those whose props name a number below three are cut off in writing, or no list, and so hold their whole team.
+INTENT = {"event_id": "event_id", "team": "user_id % 40", "named": "event_id % 997"}
+NAME = "CASE k % 7 WHEN 0 THEN concat(named, '') WHEN 1 THEN coalesce(digest, 'gone') WHEN 2 THEN concat('handle/', coalesce(digest, 'gone')) WHEN 3 THEN concat('stored_object:', named) WHEN 4 THEN concat('object:', named) WHEN 5 THEN concat('sha256:', coalesce(digest, 'gone')) ELSE concat('other:', named) END"
+REFS = """CASE WHEN k < 2 THEN concat('["', name) WHEN k = 2 THEN concat('{"a": "', name, '"}') WHEN k % 5 = 0 THEN concat('["', name, '"]') WHEN k % 5 = 1 THEN concat('[["x", {"a": [1, {"b": "', name, '"}]}]]') WHEN k % 5 = 2 THEN concat('[null, {"', name, '": "key only"}]') ELSE '[]' END"""
+OBJECTS_40 = OBJECTS.replace("doc_id % 5 AS team", "doc_id % 40 AS team")
+
+
+@listing.add(f"""WITH {OBJECTS_40}, intents AS (SELECT {", ".join(f"{v} AS {k}" for k, v in INTENT.items())}, json_extract_string(props, '$.k')::INT AS k FROM events WHERE event_type = 'signup'),
+spelled AS (SELECT i.team, k, {NAME} AS name FROM intents i LEFT JOIN objects o ON o.object_id = i.named),
+broken AS (SELECT DISTINCT team FROM spelled WHERE k <= 2), names AS (SELECT DISTINCT team, name FROM spelled WHERE k % 5 <> 2 AND k > 2)
+SELECT object_id, digest, CASE WHEN o.team IN (SELECT team FROM broken) THEN 'team_blocked' WHEN EXISTS (SELECT 1 FROM names n WHERE n.team = o.team AND n.name IN (o.object_id::VARCHAR, o.digest, 'handle/' || o.digest, 'stored_object:' || o.object_id, 'object:' || o.object_id, 'sha256:' || o.digest)) THEN 'held' ELSE 'free' END AS state FROM objects o""")
 def held_objects(spark, sf_dir):
-    """Objects free of holds: open intents name them plainly or inside a JSON list, in one of several spellings."""
-    e = table(spark, sf_dir, "events", "event_id", "event_type").where("event_type = 'signup'")
-    i = F.col("event_id")
-    held = e.select(F.when(i % 4 == 0, F.concat(F.lit('["'), i % 1000, F.lit('"]'))).when(i % 4 == 1, F.concat(F.lit('["x", "object:'), i % 1000 + 1, F.lit('"]'))).alias("refs")).where("refs is not null")
-    names = held.select(F.explode(F.from_json("refs", "array<string>")).alias("name")).distinct()
-    o = objects(spark, sf_dir)
-    spelled = o.select("object_id", F.explode(F.array(F.col("object_id").cast("string"), F.concat(F.lit("object:"), "object_id"), F.col("digest"), F.concat(F.lit("sha256:"), "digest"))).alias("name"))
-    return ledger.orphans(o, spelled.join(names, "name", "left_semi"), "object_id").select("object_id", "digest")
+    """Objects by whether open intents hold them: named in a list of any depth, a target or a snapshot, in one of six spellings; a list that can't be read, or isn't one, blocks its whole team."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").where("event_type = 'signup'")
+    e = e.selectExpr(*[f"{v} AS {k}" for k, v in INTENT.items()], "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    o = objects(spark, sf_dir, 40)
+    named = e.join(o.select(F.col("object_id").alias("named"), "digest"), "named", "left").withColumn("name", F.expr(NAME))
+    intents = named.select("team", F.expr(REFS).alias("refs"), F.when(F.col("k") % 5 == 3, F.col("name")).alias("target"), F.when(F.col("k") % 5 == 4, F.col("name")).alias("snapshot"))
+    return publish.holds(o, intents).select("object_id", "digest", "state")
 
 
 @listing.add(f"WITH {OBJECTS} SELECT team, digest, count(*) AS n, min(object_id) AS first_object FROM objects GROUP BY team, digest HAVING count(*) > 1")

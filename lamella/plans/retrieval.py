@@ -11,6 +11,7 @@ from lamella.operators import retrieve
 from lamella.operators.search import search
 from lamella.plans.base import Listing
 from lamella.sources import ledgers
+from lamella.sources.shared import settled
 from lamella.sources.tables import table
 
 listing = Listing()
@@ -36,7 +37,7 @@ MODEL = ("model", "model_key", "model_version", "adapter", "dimension")
 SAME = " AND ".join(f"c.{c} = f.{c}" for c in ("team", "item", "revision", "namespace", "artifact", "artifact_type", *MODEL, "generation"))
 FENCE = ledgers.CTE + """,
 fence AS (
-  SELECT r.vec_id, r.team, r.item, r.namespace, r.generation, r.unit, r.granularity, r.channel, s.source_kind, n.metric, f.proof, g.handle, r.embedding
+  SELECT r.vec_id, r.team, r.item, r.namespace, r.generation, r.unit, r.granularity, r.channel, s.source_kind, n.metric, f.proof, g.handle
   FROM records r JOIN namespaces n ON r.namespace = n.namespace JOIN pointers p ON r.team = p.team AND r.item = p.item AND r.namespace = p.namespace
   JOIN proofs f ON f.proof = p.last_proof JOIN items i ON r.team = i.team AND r.item = i.item
   LEFT JOIN sources s ON i.team = s.team AND i.source = s.source JOIN generations g ON r.team = g.team AND r.artifact = g.artifact
@@ -218,7 +219,7 @@ def fence_revalidate(spark, sf_dir):
 @listing.add(f"WITH {FENCE_ALL} SELECT vec_id, item, channel, round(1.0 / (1 + vec_id % 10), 6) AS score FROM fence WHERE vec_id % 3 <> 0")
 def delegated_scores(spark, sf_dir):
     """Hits by the scores of another scorer, which leaves some ids out."""
-    given = table(spark, sf_dir, "embeddings", "vec_id").where("vec_id % 3 <> 0").withColumn("score", F.round(1.0 / (1 + F.col("vec_id") % 10), 6))
+    given = ledgers.records(spark, sf_dir).select("vec_id").where("vec_id % 3 <> 0").withColumn("score", F.round(1.0 / (1 + F.col("vec_id") % 10), 6))
     return retrieve.delegated(built_fence(spark, sf_dir), given).select("vec_id", "item", "channel", "score")
 
 
@@ -229,15 +230,21 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(embedded, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"), F.expr("doc_id div 50 % 3").alias("namespace"), "query_embedding")
 
 
+def found(spark: SparkSession, sf_dir: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, fence, hits): queries and the narrow fence are settled once, since each is read several times; vectors are joined to what the fence holds."""
+    asks, fence = settled(asked(spark, sf_dir), "asked"), settled(built_fence(spark, sf_dir), "fence")
+    held = settled(ledgers.vectors(spark, sf_dir, fence.select("vec_id", "namespace")), "vectors")
+    return asks, fence, search(asks, held, ledgers.namespaces(spark), retrieve.RECALL_K, threshold).join(fence, "vec_id")
+
+
 def recalled(spark: SparkSession, sf_dir: str, threshold: float = 0.0) -> DataFrame:
-    fence = built_fence(spark, sf_dir)
-    return search(asked(spark, sf_dir), fence, ledgers.namespaces(spark), retrieve.RECALL_K, threshold).join(fence.drop("embedding"), "vec_id")
+    return found(spark, sf_dir, threshold)[2]
 
 
 ASKED = EMBEDDED + f""",
 {FENCE_ALL},
 asked AS (SELECT d.doc_id AS query_id, d.text AS query_text, d.doc_id // 50 % 3 AS namespace, e.v FROM documents d JOIN embedded e USING (doc_id) WHERE d.doc_id % 50 = 0),
-vectors AS (SELECT * EXCLUDE (embedding), embedding::DOUBLE[] AS v FROM fence),
+vectors AS (SELECT f.*, e.embedding::DOUBLE[] AS v FROM fence f JOIN embeddings e ON e.vec_id = f.vec_id % (SELECT count(*) FROM embeddings)),
 scored AS (
   SELECT query_id, r.* EXCLUDE (v), round(CASE metric WHEN 'cosine' THEN {SCORE["cosine"]} WHEN 'l2' THEN {SCORE["l2"]} ELSE {SCORE["inner_product"]} END, 6) AS score
   FROM asked q JOIN vectors r USING (namespace)
@@ -335,10 +342,8 @@ def pack_context(spark, sf_dir):
 
 
 def _disposed(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    fence = built_fence(spark, sf_dir)
-    asks = asked(spark, sf_dir)
+    asks, fence, hits = found(spark, sf_dir, threshold)
     sizes = fence.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_scored"))
-    hits = search(asks, fence, ledgers.namespaces(spark), retrieve.RECALL_K, threshold).join(fence.drop("embedding"), "vec_id")
     kept = hits.where("channel = 'original'")
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     out = asks.select("query_id", "query_text", "namespace").join(sizes, "namespace", "left").join(count(hits, "n_recalled"), "query_id", "left").join(count(kept, "n_kept"), "query_id", "left")

@@ -272,14 +272,6 @@ def rfc3339(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "ts").select("event_id", workflow.rfc3339(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)).alias("utc"))
 
 
-@listing.add("SELECT count(*) AS n, count(*) AS distinct_ids, true AS shaped, true AS ordered FROM events")
-def uuid7(spark, sf_dir):
-    """Time-ordered identifiers of events: all distinct, well formed, and in the order of their milliseconds."""
-    e = workflow.uuid7(table(spark, sf_dir, "events", "event_id", "ts").withColumn("ts", F.col("ts").cast("timestamp")), F.unix_millis("ts"))
-    back = F.conv(F.replace(F.substring("uuid", 1, 13), F.lit("-"), F.lit("")), 16, 10).cast("long")
-    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").alias("distinct_ids"), F.bool_and(F.regexp_like("uuid", F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))).alias("shaped"), F.bool_and(back == F.unix_millis("ts")).alias("ordered"))
-
-
 @listing.add("SELECT event_id, sha256(user_id::VARCHAR) AS fingerprint FROM events")
 def token_fingerprint(spark, sf_dir):
     """Fingerprints that stand for tokens and addresses."""

@@ -1,13 +1,14 @@
 """Ledger tables derived from the driver's tables, as DataFrames and as the same CTEs for DuckDB.
 
-Items stand for documents, vector records for embeddings: eight records an item, so items grow with the
-table and an item stays small. An item's number ``d`` names the one field in which it deviates, so
+Items stand for documents: every document has eight records, two generations of four, each with a vector of the
+table of embeddings, which are dealt out in turn. An item's number ``d`` names the one field in which it deviates, so
 that each condition of the serving fence has items that it alone keeps out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamella.sources.tables import table
 
@@ -16,8 +17,8 @@ METRICS = ("cosine", "l2", "inner_product")
 DIMENSION = 64
 #: Members that a generation must have, all of them fully valid.
 MEMBERS = ("clean", "structure", "projection", "construction", "index", "proof")
-#: Letters of a block below the root.
-BLOCK = 600
+#: Records of an item.
+RECORDS = 8
 
 
 def _if(d: int, odd: str, usual: str) -> str:
@@ -28,7 +29,7 @@ def _list(columns: dict[str, str]) -> str:
     return ", ".join(f"{v} AS {k}" if k != v else k for k, v in columns.items())
 
 
-BASE = "SELECT vec_id, CAST(floor(vec_id / 8) AS BIGINT) AS item, CAST(floor(vec_id / 4) AS BIGINT) % 2 + 1 AS generation, vec_id % 4 AS slot, embedding FROM embeddings"
+BASE = f"SELECT doc_id * {RECORDS} + k AS vec_id, doc_id AS item, k // 4 + 1 AS generation, k % 4 AS slot FROM documents, range({RECORDS}) t(k)"
 RECORD = {
     "vec_id": "vec_id", "item": "item", "d": "d", "team": "1 + item % 2", "generation": "generation", "deleted_at": "CASE WHEN d = 0 AND slot = 3 THEN 1 END",
     "namespace": "CASE WHEN d = 2 THEN 10 WHEN d = 3 THEN 11 ELSE item % 3 END", "state": "CASE WHEN vec_id % 13 = 0 THEN 'withdrawn' ELSE 'indexed' END",
@@ -73,8 +74,17 @@ def sources(spark: SparkSession) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "embeddings", "vec_id", "embedding").selectExpr("vec_id", "CAST(floor(vec_id / 8) AS BIGINT) AS item", "CAST(floor(vec_id / 4) AS BIGINT) % 2 + 1 AS generation", "vec_id % 4 AS slot", "embedding")
-    return _rows(base.selectExpr("*", "(item * 7) % 64 AS d"), RECORD | {"embedding": "embedding"})
+    """The records without their vectors."""
+    base = table(spark, sf_dir, "documents", "doc_id").selectExpr("doc_id AS item", f"explode(sequence(0L, {RECORDS - 1}L)) AS k")
+    base = base.selectExpr("item", f"item * {RECORDS} + k AS vec_id", "k div 4 + 1 AS generation", "k % 4 AS slot", "(item * 7) % 64 AS d")
+    return _rows(base, RECORD)
+
+
+def vectors(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    """Records with their vectors; the number of vectors is one row."""
+    held = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("_e"), "embedding")
+    n = held.agg(F.count(F.lit(1)).alias("_n"))
+    return records.crossJoin(F.broadcast(n)).withColumn("_e", F.expr("vec_id % _n")).drop("_n").join(held, "_e").drop("_e")
 
 
 def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,20 +114,25 @@ def namespaces(spark: SparkSession) -> DataFrame:
     return base.selectExpr("*", "'m' AS ns_model", "'k' AS ns_model_key", "'1' AS ns_model_version", "'local' AS ns_adapter", f"{DIMENSION} AS ns_dimension")
 
 
+HALF = "((length(text) + 1) {div} 2)"
+UNIT = {
+    "summary": f"concat('unit ', unit, ': ', CASE WHEN unit = 0 THEN substr(text, 1, 400) ELSE substr(text, CAST(1 + {HALF} * (unit - 1) AS INT), 400) END)",
+    "original": f"CASE WHEN (item + unit) % 3 <> 2 THEN CASE WHEN unit = 0 THEN text ELSE substr(text, CAST(1 + {HALF} * (unit - 1) AS INT), CAST({HALF} AS INT)) END END",
+}
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored bodies of units: (item, generation, unit, granularity, summary, original). The root holds the whole text, other units a block; every third unit lacks its original."""
+    """Stored bodies of units: (item, generation, unit, granularity, summary, original). The root holds the whole text, the two others a half each; every third unit lacks its original."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     keys = records(spark, sf_dir).select("item", "generation", "unit", "granularity").distinct()
-    return keys.join(docs, keys["item"] == docs["doc_id"]).selectExpr(
-        "item", "generation", "unit", "granularity", f"concat('unit ', unit, ': ', substr(text, 1 + {BLOCK} * (unit - 1) * least(unit, 1), 400)) AS summary",
-        f"CASE WHEN (item + unit) % 3 <> 2 THEN CASE WHEN unit = 0 THEN text ELSE substr(text, 1 + {BLOCK} * (unit - 1), {BLOCK}) END END AS original",
-    )
+    bodies = [f"{v.format(div='div')} AS {k}" for k, v in UNIT.items()]
+    return keys.join(docs, keys["item"] == docs["doc_id"]).selectExpr("item", "generation", "unit", "granularity", *bodies)
 
 
 CTE = f"""
 items AS (SELECT {_list(ITEM)} FROM (SELECT doc_id AS item, (doc_id * 7) % 64 AS d FROM documents)),
 sources AS (SELECT * FROM (VALUES {", ".join(f"({t}, {s}, '{k}')" for t in (1, 2) for s, k in enumerate(KINDS))}) t(team, source, source_kind)),
-records AS (SELECT {_list(RECORD)}, embedding FROM (SELECT *, (item * 7) % 64 AS d FROM ({BASE}))),
+records AS (SELECT {_list(RECORD)} FROM (SELECT *, (item * 7) % 64 AS d FROM ({BASE}))),
 pointers AS (SELECT {_list(POINTER)} FROM (SELECT item, team, namespace, max(generation) AS g, min(d) AS d FROM records GROUP BY item, team, namespace)),
 proofs AS (SELECT {_list(PROOF)} FROM (SELECT {", ".join(GROUPED)}, (count(*) FILTER (WHERE state = 'indexed' AND deleted_at IS NULL))::BIGINT AS n FROM records GROUP BY ALL)),
 generations AS (SELECT {_list(GENERATION)} FROM (SELECT DISTINCT item, team, generation, d FROM records)),
@@ -126,8 +141,7 @@ members AS (SELECT artifact, member, CASE WHEN d = 38 AND member = 'projection'
 namespaces AS (SELECT *, 'm' AS ns_model, 'k' AS ns_model_key, '1' AS ns_model_version, 'local' AS ns_adapter, {DIMENSION} AS ns_dimension
   FROM (VALUES {", ".join(f"({k}, '{m}', '{s}', {'NULL' if x is None else x})" for k, m, s, x in NAMESPACE_ROWS)}) t(namespace, metric, status, ns_deleted_at)),
 units AS (
-  SELECT k.*, concat('unit ', unit, ': ', substr(text, 1 + {BLOCK} * (unit - 1) * least(unit, 1), 400)) AS summary,
-    CASE WHEN (item + unit) % 3 <> 2 THEN CASE WHEN unit = 0 THEN text ELSE substr(text, 1 + {BLOCK} * (unit - 1), {BLOCK}) END END AS original
+  SELECT k.*, {", ".join(f"{v.format(div='//')} AS {k}" for k, v in UNIT.items())}
   FROM (SELECT DISTINCT item, generation, unit, granularity FROM records) k JOIN documents ON item = doc_id
 )
 """
