@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lamella.functions.arrow import canonical_text
 from lamella.functions.text import content_full, json_text, text_digest
+from lamella.operators.folds import fold
 
-#: Letters of a text that is embedded, at most.
-MOST = 12_000
+#: Bytes of a text that is embedded, at most; a longer one is an error and is never cut.
+MOST = 8 * 1024 * 1024
 #: The closed keys of a layered document and of its blocks.
 DOCUMENT, BLOCK, ORIGINAL = {"layered_content"}, {"block_id", "granularity", "original_content", "summary"}, {"title", "body"}
 
@@ -90,12 +91,71 @@ def refreshed(payloads: DataFrame, header: Column) -> DataFrame:
     return constructed(u.select("doc_id", "granularity", "block_id", "body"), u.select("doc_id", "granularity", "block_id", "summary"), header)
 
 
-def planned(units: DataFrame) -> DataFrame:
-    """What to embed: every unit's summary, and every original but the root's, under its header, cut to MOST letters; blank bodies aren't. A root without summary is an error."""
-    lacking = units.where("granularity = 0").where(F.trim(F.coalesce("summary", F.lit(""))) == "").select("doc_id").distinct().withColumn("_bad", F.lit(True))
-    pair = F.array(*[F.struct(F.lit(c).alias("channel"), F.when(keep & (F.trim(F.coalesce(b, F.lit(""))) != ""), F.substring(f"{c}_full", 1, MOST)).alias("text")) for c, b, keep in (("original", "body", F.col("granularity") != 0), ("summary", "summary", F.lit(True)))])
-    p = units.select("doc_id", "granularity", "block_id", "coordinate", F.explode(pair).alias("p")).select("doc_id", "granularity", "block_id", "coordinate", "p.*").where("text is not null")
-    return p.join(lacking, "doc_id", "left").select("doc_id", "granularity", "block_id", "coordinate", "channel", "text", F.when(F.col("_bad"), "root_summary_missing").otherwise("planned").alias("state"))
+def planned(units: DataFrame, most: int = MOST) -> DataFrame:
+    """What to embed, whole: every unit's summary, and every original but the root's, under its header, with its ``place`` in the document.
+
+    ``state`` names what stands against a document's plan, the first that holds: root_summary_missing, root_original_missing,
+    over_budget (one of its texts has more than ``most`` bytes); then for a channel: skipped (its body is blank; it has no place) or planned.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    root = F.col("granularity") == 0
+    pair = F.array(*[F.struct(F.lit(c).alias("channel"), keep.alias("keep"), F.when(~blank(F.col(b)), F.col(f"{c}_full")).alias("text")) for c, b, keep in (("original", "body", ~root), ("summary", "summary", F.lit(True)))])
+    p = units.select("doc_id", "granularity", "block_id", "coordinate", F.explode(pair).alias("p")).select("doc_id", "granularity", "block_id", "coordinate", "p.*")
+    bare = root & F.col("text").isNull()
+    facts = p.groupBy("doc_id").agg(
+        F.bool_or(bare & (F.col("channel") == "summary")).alias("_s"), F.bool_or(bare & (F.col("channel") == "original")).alias("_o"), F.coalesce(F.bool_or(F.col("keep") & (F.octet_length("text") > most)), F.lit(False)).alias("_b"),
+    )
+    state = F.when(F.col("_s"), "root_summary_missing").when(F.col("_o"), "root_original_missing").when(F.col("_b"), "over_budget").when(F.col("text").isNull(), "skipped").otherwise("planned")
+    order = Window.partitionBy("doc_id", F.col("text").isNull()).orderBy("granularity", "block_id", "channel")
+    out = p.where("keep").join(facts, "doc_id").withColumn("state", state)
+    return out.withColumn("place", F.when(F.col("text").isNotNull(), F.row_number().over(order) - 1)).select("doc_id", "granularity", "block_id", "coordinate", "channel", "text", "state", "place")
+
+
+def swept(nodes: DataFrame) -> DataFrame:
+    """Nodes (doc_id, granularity, block_id, start_byte, end_byte) with parent, depth, sibling, reading order and ``state``, for any nesting, in one sweep.
+
+    Nodes of a document stream by start, the longer first, then by layer; those still open are held in a stack, as deep as the nesting. A node's parent is the innermost open
+    one; ``state`` is crossing if it ends behind it, outside if none is open but for the first, else nested.
+    """
+    columns = ["doc_id", "granularity", "block_id", "start_byte", "end_byte"]
+    rows = nodes.select(*columns, (-F.col("end_byte")).alias("_neg"))
+
+    def step(state: dict, r: dict) -> dict:
+        stack = state["stack"]
+        while stack and stack[-1][1] <= r["start_byte"] and not (r["start_byte"] == r["end_byte"] == stack[-1][1]):
+            stack.pop()
+        parent = stack[-1] if stack else None
+        verdict = "nested" if parent is None and state["reading"] == 0 else "outside" if parent is None else "crossing" if r["end_byte"] > parent[1] else "nested"
+        sibling = parent[2] if parent else state["roots"]
+        if parent:
+            parent[2] += 1
+        else:
+            state["roots"] += 1
+        out = {**{c: r[c] for c in columns}, "parent": parent[0] if parent else None, "depth": len(stack), "sibling": sibling, "reading": state["reading"], "state": verdict}
+        stack.append([f"g{r['granularity']}b{r['block_id']}", r["end_byte"], 0])
+        state["reading"] += 1
+        return out
+
+    kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in columns)
+    return fold(rows, ["doc_id"], ["start_byte", "_neg", "granularity", "block_id"], lambda: {"stack": [], "reading": 0, "roots": 0}, step, f"{kinds}, parent string, depth int, sibling int, reading int, state string")
+
+
+def structure_verdict(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, verdict, leaves): the first rule that a document's nodes break: root, crossing, coverage, or valid.
+
+    There is one root and every node lies in its parent; the leaves, in reading order, are a partition of the bytes of the text (doc_id, text): ordered,
+    not empty, without gap or overlap from the first byte to the last.
+    """
+    own = Window.partitionBy("doc_id").orderBy("reading")
+    leaf = swept(nodes).withColumn("leaf", F.coalesce(F.lead("depth").over(own) <= F.col("depth"), F.lit(True)))
+    before = F.coalesce(F.last(F.when(F.col("leaf"), F.col("end_byte")), True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    facts = leaf.withColumn("_tiled", ~F.col("leaf") | ((F.col("start_byte") == before) & (F.col("end_byte") > F.col("start_byte")))).groupBy("doc_id").agg(
+        F.bool_or(F.col("state") == "outside").alias("_roots"), F.bool_or(F.col("state") == "crossing").alias("_cross"), F.bool_and("_tiled").alias("_tiled"),
+        F.max(F.when(F.col("leaf"), F.col("end_byte"))).alias("_end"), F.count_if("leaf").alias("leaves"),
+    )
+    whole = facts.join(texts.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_size")), "doc_id")
+    verdict = F.when(F.col("_roots"), "root").when(F.col("_cross"), "crossing").when(~F.col("_tiled") | (F.col("_end") != F.col("_size")), "coverage").otherwise("valid")
+    return whole.select("doc_id", verdict.alias("verdict"), "leaves")
 
 
 def structured(blocks: DataFrame, kinds: dict[int, str]) -> DataFrame:
@@ -103,8 +163,6 @@ def structured(blocks: DataFrame, kinds: dict[int, str]) -> DataFrame:
 
     Blocks nest by their byte spans; parents are found per layer by the last start at or before, so no pairs of blocks are made.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("start_byte", "granularity", "block_id").rowsBetween(Window.unboundedPreceding, -1)
     out, layers = blocks, sorted(kinds)
     for g in layers[:-1]:

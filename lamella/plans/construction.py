@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.workers import workers_import
@@ -85,12 +85,54 @@ def metadata_refresh(spark, sf_dir):
     return construct.refreshed(construct.stored(units(spark, sf_dir)), F.create_map(F.lit("revision"), F.lit("2"))).select("doc_id", "granularity", "block_id", "original_digest")
 
 
-@listing.add(f"""WITH {UNITS}, p AS (SELECT doc_id, granularity, block_id, 'original' AS channel, substr(original_full, 1, 12000) AS t FROM units WHERE granularity <> 0 AND trim(body) <> '' UNION ALL SELECT doc_id, granularity, block_id, 'summary', substr(summary_full, 1, 12000) FROM units WHERE trim(coalesce(summary, '')) <> '')
-SELECT p.doc_id, p.granularity, p.block_id, channel, length(t)::INTEGER AS chars, sha256(t) AS digest, CASE WHEN r.doc_id IS NOT NULL THEN 'root_summary_missing' ELSE 'planned' END AS state FROM p LEFT JOIN (SELECT doc_id FROM units WHERE granularity = 0 AND trim(coalesce(summary, '')) = '') r ON p.doc_id = r.doc_id""")
+#: A small budget of bytes, so that long texts meet it.
+BUDGET = 20_000
+
+
+@listing.add(f"""WITH {UNITS}, p AS (SELECT doc_id, granularity, block_id, 'original' AS channel, CASE WHEN trim(coalesce(body, '')) <> '' THEN original_full END AS t FROM units UNION ALL SELECT doc_id, granularity, block_id, 'summary', CASE WHEN trim(coalesce(summary, '')) <> '' THEN summary_full END FROM units),
+f AS (SELECT doc_id, bool_or(granularity = 0 AND t IS NULL AND channel = 'summary') AS s, bool_or(granularity = 0 AND t IS NULL AND channel = 'original') AS o, coalesce(bool_or(strlen(t) > {BUDGET} AND (granularity <> 0 OR channel = 'summary')), false) AS b FROM p GROUP BY doc_id)
+SELECT doc_id, granularity, block_id, channel, length(t)::INTEGER AS chars, sha256(t) AS digest, CASE WHEN s THEN 'root_summary_missing' WHEN o THEN 'root_original_missing' WHEN b THEN 'over_budget' WHEN t IS NULL THEN 'skipped' ELSE 'planned' END AS state,
+  CASE WHEN t IS NOT NULL THEN (row_number() OVER (PARTITION BY doc_id, t IS NULL ORDER BY granularity, block_id, channel) - 1)::INTEGER END AS place
+FROM p JOIN f USING (doc_id) WHERE granularity <> 0 OR channel = 'summary'""")
 def vectorization_plan(spark, sf_dir):
-    """The (unit, channel) pairs to embed, with the texts under their headers."""
-    p = construct.planned(units(spark, sf_dir))
-    return p.select("doc_id", "granularity", "block_id", "channel", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"), "state")
+    """The (unit, channel) pairs to embed, with the whole texts under their headers, in their order; longer ones than the budget stop their document's plan."""
+    p = construct.planned(units(spark, sf_dir), BUDGET)
+    return p.select("doc_id", "granularity", "block_id", "channel", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"), "state", "place")
+
+
+PIECES = r"""pieces AS (SELECT doc_id, l, line, unnest(string_split(regexp_replace(line, '([.!?。！？]\s+)(\S)', '\1' || chr(1) || '\2', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(line, '([.!?。！？]\s+)(\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS s
+  FROM (SELECT doc_id, i AS l, string_split(text, chr(10))[i] || CASE WHEN i < len(string_split(text, chr(10))) THEN chr(10) ELSE '' END AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)) WHERE line <> '')"""
+LEAVES = f"""{PIECES},
+leaves AS (SELECT doc_id, l, s, coalesce(sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY l, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, strlen(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY l, s) AS r, count(*) OVER (PARTITION BY doc_id) AS every FROM pieces)"""
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their line feed, and in them sentences with the space behind them: (doc_id, l, s, start_byte, size), both tiling their text's bytes."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    parts = F.split("text", "\n", -1)
+    lines = d.select("doc_id", F.size(parts).alias("m"), F.posexplode(parts).alias("l", "line")).withColumn("line", F.concat("line", F.when(F.col("l") < F.col("m") - 1, "\n").otherwise(""))).where("line <> ''")
+    cut = F.split(F.regexp_replace("line", r"([.!?。！？]\s+)(\S)", "$1\u0001$2"), "\u0001", -1)
+    pieces = lines.select("doc_id", (F.col("l") + 1).alias("l"), F.posexplode(cut).alias("s", "piece")).withColumn("size", F.octet_length("piece").cast("long"))
+    w = Window.partitionBy("doc_id").orderBy("l", "s").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select("doc_id", "l", "s", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start_byte"), "size")
+
+
+@listing.add(f"""WITH {LEAVES}, x AS (SELECT l.*, n_chars % 9 AS k, count(*) OVER (PARTITION BY doc_id, l) AS inside FROM leaves l JOIN documents d USING (doc_id)),
+v AS (SELECT doc_id, max(k) AS k, max(every) AS every, max(CASE WHEN r = 2 THEN inside END) AS two FROM x GROUP BY doc_id)
+SELECT doc_id, CASE WHEN k = 2 THEN 'crossing' WHEN k = 3 AND every > 1 THEN 'coverage' WHEN k = 1 AND two > 1 THEN 'coverage' ELSE 'valid' END AS verdict, CASE WHEN k = 1 AND every > 1 THEN NULL ELSE every END AS leaves FROM v""")
+def structure_verdict(spark, sf_dir):
+    """Whether every document's tree of lines and sentences is sound: one leaf is left out, lengthened or shortened in some."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    x = leaves(spark, sf_dir)
+    root = d.where("text <> ''").select("doc_id", F.lit(0).alias("granularity"), F.lit(0).cast("long").alias("block_id"), F.lit(0).cast("long").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"))
+    lines = x.groupBy("doc_id", F.col("l").cast("long").alias("block_id")).agg(F.min("start_byte").alias("start_byte"), F.max(F.col("start_byte") + F.col("size")).alias("end_byte")).select("doc_id", F.lit(1).alias("granularity"), "block_id", "start_byte", "end_byte")
+    r = F.row_number().over(Window.partitionBy("doc_id").orderBy("l", "s"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    marked = x.withColumn("r", r).withColumn("every", n).join(d.select("doc_id", (F.col("n_chars") % 9).alias("k")), "doc_id").where("not (k = 1 and r = 2)")
+    end = F.col("start_byte") + F.col("size") + F.when((F.col("k") == 2) & (F.col("r") == F.col("every")), 1).when((F.col("k") == 3) & (F.col("r") == 1) & (F.col("every") > 1), -1).otherwise(0)
+    sentences = marked.select("doc_id", F.lit(2).alias("granularity"), F.col("r").cast("long").alias("block_id"), "start_byte", end.alias("end_byte"))
+    out = construct.structure_verdict(root.unionByName(lines).unionByName(sentences), d)
+    return out.join(d.select("doc_id", "n_chars"), "doc_id").join(marked.groupBy("doc_id").agg(F.max("every").alias("every")), "doc_id").select("doc_id", "verdict", F.when(~((F.col("n_chars") % 9 == 1) & (F.col("every") > 1)), F.col("leaves")).alias("leaves"))
 
 
 @listing.add(f"WITH {SENTENCES} SELECT doc_id, 0 AS granularity, 0 AS block_id, 'document' AS kind, NULL AS parent, 0 AS depth FROM documents UNION ALL SELECT doc_id, 2, ordinal, 'line', 'g0b0', 1 FROM spans")
