@@ -39,7 +39,7 @@ ALL, OUT = -2, -3
 FILLED, MARKED = 3, 0.9
 #: Pairs of children up to which plain lists are faster than arrays.
 FEW = 400
-#: Levels of a tree; what is nested deeper becomes part of the last one, as in browsers.
+#: Levels of a tree; what is nested deeper becomes part of the last one, as in browsers, but for furniture, which is left out at any depth.
 DEPTH = 160
 #: A page is a copy of a pivot, and isn't counted, if they share at least this part of all their words,
 COPY = 0.9
@@ -125,6 +125,7 @@ def parse(source: str | None) -> Node:
     stack, run = [root], []
     link, linked, skip, skipped = 0, 0, "", 0
     deep: Counter = Counter()  # open elements beyond DEPTH, which have no node
+    buried, within = "", Counter()  # an element of furniture beyond DEPTH, and what is open in it
     at, last = 0, source.rfind(">")
 
     def flush():
@@ -147,7 +148,7 @@ def parse(source: str | None) -> Node:
                 return
 
     while at <= last and (m := _TOKEN.search(source, at)):
-        if m.start() > at and not skip:
+        if m.start() > at and not skip and not buried:
             run.append(piece := source[at : m.start()])
             if link:
                 linked += len(piece)
@@ -156,6 +157,19 @@ def parse(source: str | None) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if buried and tag not in RAW:
+            if not end:
+                within[tag] += tag not in VOID
+                continue
+            if within[tag]:
+                within[tag] -= 1
+                continue
+            if tag == buried:
+                buried = ""
+                continue
+            if not deep[tag] and not any(n.tag == tag for n in stack):
+                continue
+            buried = ""  # an element around it ends
         if end:
             if skip:
                 if tag == skip:
@@ -208,13 +222,18 @@ def parse(source: str | None) -> Node:
             flush()
             link = 0
             if len(stack) > DEPTH:
-                deep[tag] += 1
+                inside = deep["article"] or deep["main"] or any(n.tag in ("article", "main") or "main" in n.cue for n in stack)
+                found = cues(attributes) - {"main"} - (LOOSE if inside else frozenset()) if attributes else frozenset()
+                if tag not in ("article", "main") and (found or tag in FURNITURE and not (inside and tag == "header")):
+                    buried, within = tag, Counter()
+                else:
+                    deep[tag] += 1
                 continue
             node = Node(tag, cue=cues(attributes) if attributes else frozenset())
             stack[-1].children.append(node)
             if not attributes.endswith("/") or tag not in ("svg", "path", "use", "object"):
                 stack.append(node)
-    if at < len(source) and not skip:  # a tag that never ends is dropped
+    if at < len(source) and not skip and not buried:  # a tag that never ends is dropped
         run.append(re.split(r"<[a-zA-Z/!?]", source[at:], maxsplit=1)[0])
     flush()
     return root
