@@ -115,7 +115,7 @@ def swept(nodes: DataFrame) -> DataFrame:
     """Nodes (doc_id, granularity, block_id, start_byte, end_byte) with parent, depth, sibling, reading order and ``state``, for any nesting, in one sweep.
 
     Nodes of a document stream by start, the longer first, then by layer; those still open are held in a stack, as deep as the nesting. A node's parent is the innermost open
-    one; ``state`` is crossing if it ends behind it, outside if none is open but for the first, else nested.
+    one; ``state`` is crossing if it ends behind that or isn't of a deeper layer, outside if none is open but for the first, else nested.
     """
     columns = ["doc_id", "granularity", "block_id", "start_byte", "end_byte"]
     rows = nodes.select(*columns, (-F.col("end_byte")).alias("_neg"))
@@ -125,14 +125,14 @@ def swept(nodes: DataFrame) -> DataFrame:
         while stack and stack[-1][1] <= r["start_byte"] and not (r["start_byte"] == r["end_byte"] == stack[-1][1]):
             stack.pop()
         parent = stack[-1] if stack else None
-        verdict = "nested" if parent is None and state["reading"] == 0 else "outside" if parent is None else "crossing" if r["end_byte"] > parent[1] else "nested"
+        verdict = "nested" if parent is None and state["reading"] == 0 else "outside" if parent is None else "crossing" if r["end_byte"] > parent[1] or r["granularity"] <= parent[3] else "nested"
         sibling = parent[2] if parent else state["roots"]
         if parent:
             parent[2] += 1
         else:
             state["roots"] += 1
         out = {**{c: r[c] for c in columns}, "parent": parent[0] if parent else None, "depth": len(stack), "sibling": sibling, "reading": state["reading"], "state": verdict}
-        stack.append([f"g{r['granularity']}b{r['block_id']}", r["end_byte"], 0])
+        stack.append([f"g{r['granularity']}b{r['block_id']}", r["end_byte"], 0, r["granularity"]])
         state["reading"] += 1
         return out
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions.arrow import stable_digest
 from lamella.functions.text import external_key
+from lamella.functions.workers import workers_import
 
 #: Schemas, defaults, the status under which a tax article is in force, agencies by number, marks of closed listings, and tag labels.
 TAX = "struct<id: string, label: string, column: string, title: string, content: string, url: string, pubName: string, siteName: string, pubDate: string, cwrq: string, xxgk_aging: string, xxgk_description: string>"
@@ -83,15 +85,17 @@ def _fields(provider: str) -> dict[str, Column]:
 def mapped(records: DataFrame, provider: str) -> DataFrame:
     """Flat members: key, title, body, is_active, facets, tags, semantic tuples, clean_text, and separate digests of content and metadata.
 
-    ``clean_text`` is title and body with a blank line between; what is missing is left out.
+    ``clean_text`` is title and body with a blank line between; what is missing is left out. Digests are those of canonical JSON: keys
+    sorted, a missing field as null.
     """
+    workers_import(records.sparkSession)
     f = _fields(provider)
     facets = ("realm", "type", "channel", "source_name")
-    out = records.select("envelope_id", "ordinal", external_key(f["key"]).alias("key"), *[f[c].alias(c) for c in ("title", "body", "is_active", *facets, "untitled")], F.array_compact(f["tags"]).alias("tags"), F.to_json(f["content"]).alias("_content"), F.to_json(f["meta"]).alias("_meta"))
+    out = records.select("envelope_id", "ordinal", external_key(f["key"]).alias("key"), *[f[c].alias(c) for c in ("title", "body", "is_active", *facets, "untitled")], F.array_compact(f["tags"]).alias("tags"), *[F.to_json(f[c], {"ignoreNullFields": "false"}).alias(f"_{c}") for c in ("content", "meta")])
     tuples = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in facets], F.struct(F.lit("title").alias("name"), F.coalesce("title", "untitled").alias("value")), F.struct(F.lit("tags").alias("name"), F.array_join("tags", "|").alias("value")))
     return out.select(
         "envelope_id", "ordinal", "key", "title", "body", "is_active", F.array_join(F.array(*[F.concat(F.lit(f"{c}="), c) for c in facets]), ";").alias("facets"), "tags", tuples.alias("semantic_tuples"),
-        F.concat_ws("\n\n", "title", "body").alias("clean_text"), F.sha2("_content", 256).alias("content_digest"), F.sha2("_meta", 256).alias("meta_digest"),
+        F.concat_ws("\n\n", "title", "body").alias("clean_text"), stable_digest(F.col("_content")).alias("content_digest"), stable_digest(F.col("_meta")).alias("meta_digest"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.folds import numbered
@@ -199,6 +199,67 @@ def layer_counts_valid(counts: Column) -> Column:
     return F.coalesce(F.forall(F.map_entries(counts), lambda e: F.regexp_like(e["key"], F.lit(r"^[0-9]+$")) & F.coalesce(e["value"] >= 0, F.lit(False))), F.lit(False))
 
 
+ENDED, ACTIVE = ("succeeded", "failed", "cancelled"), RUNNING
+
+
+def repair_actions(executions: DataFrame, processes: DataFrame, gates: DataFrame, decisions: DataFrame, outbox: DataFrame, now: Column) -> DataFrame:
+    """(team, action, id, dedupe_key): what a repair sweep has to do, from the ledgers as they stand.
+
+    executions (team, execution, status, manifest), processes (team, execution, process, ordinal, status, fence, lease_until, available_at, attempts, most),
+    gates (gate, execution, gate_status), decisions (team, gate, decision, verdict), outbox (team, dedupe_key, status). Actions: redeliver_decision
+    (decided as the gate stands, no open message), cancel_tree, wake_process (ready, its execution alive), wake_execution (created or ready
+    without an active process), repair_transition (its last process ended and no decision explains it), promote_retry, recover_lease or fail_lease.
+    Waking messages are sent once for good: any message under their key counts. Ledgers of an execution meet in one shuffle by it; messages in one by their key.
+    """
+    at = ["team", "execution"]
+    last = processes.groupBy(*at).agg(F.bool_or(F.col("status").isin(*ACTIVE)).alias("_active"), F.max_by("status", F.struct("ordinal", "process", "status")).alias("_last"))
+    decided = decisions.join(gates, "gate")
+    settled_ = decided.select("execution").distinct().withColumn("_decided", F.lit(True))
+    alive = ~F.col("status").isin(*ENDED, "cancelling")
+    e = executions.join(last, at, "left").join(settled_, "execution", "left")
+
+    def asked(df: DataFrame, where: Column, action: str | Column, id_: str, key: Column | None = None) -> DataFrame:
+        return df.where(where).select("team", (F.lit(action) if isinstance(action, str) else action).alias("action"), F.col(id_).cast("long").alias("id"), (F.lit(None).cast("string") if key is None else key).alias("dedupe_key"))
+
+    key = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *[F.col(p).cast("string") for p in parts])
+    p = processes.join(executions.select(*at, F.col("status").alias("_execution")), at)
+    over = (F.col("status") == "running") & (F.col("lease_until") < now)
+    agreed = ((F.col("verdict") == "approve") & (F.col("gate_status") == "released")) | ((F.col("verdict") == "reject") & (F.col("gate_status") == "rejected"))
+    waking = asked(p, (F.col("status") == "ready") & ~F.col("_execution").isin(*ENDED, "cancelling"), "wake_process", "process", key("repair-wake-process", "process", "fence")).unionByName(
+        asked(e, F.col("status").isin("created", "ready") & ~F.coalesce("_active", F.lit(False)), "wake_execution", "execution", key("repair-wake-execution", "execution", "manifest"))
+    )
+    waking = waking.join(outbox.select("team", "dedupe_key").distinct(), ["team", "dedupe_key"], "left_anti")
+    open_ = outbox.where("status in ('pending', 'in_flight')").select("team", F.regexp_replace("dedupe_key", "^repair-", "").alias("_k")).distinct()
+    again = asked(decided, agreed, "redeliver_decision", "decision", key("repair-gate-decision", "decision")).withColumn("_k", F.regexp_replace("dedupe_key", "^repair-", "")).join(open_, ["team", "_k"], "left_anti").drop("_k")
+    rest = asked(e, F.col("status") == "cancelling", "cancel_tree", "execution").unionByName(
+        asked(e, alive & (F.col("status") != "waiting") & F.col("_last").isin(*ENDED) & F.col("_decided").isNull(), "repair_transition", "execution")
+    ).unionByName(asked(processes, (F.col("status") == "retry_wait") & (F.col("available_at") <= now), "promote_retry", "process")).unionByName(
+        asked(processes, over, F.when(F.col("attempts") < F.col("most"), "recover_lease").otherwise("fail_lease"), "process")
+    )
+    columns = ("team", "action", "id", "dedupe_key")
+    return rest.select(*columns).unionByName(waking.select(*columns)).unionByName(again.select(*columns))
+
+
+def claimable(processes: DataFrame, executions: DataFrame, now: Column, free: dict[str, bool]) -> DataFrame:
+    """The next process that each team may claim: admitted, ready and available, of an execution that is ready or running.
+
+    Embeddings are a lane of their own, first come first served; the other lane goes by rank (high first), then time, deadline (none last) and id, and
+    leaves out pools without a free slot. Of the two lanes' firsts the earlier one is taken, the embedding on a tie.
+    """
+    live = executions.where(F.col("status").isin("ready", "running")).select("team", "execution")
+    ready = processes.where((F.col("status") == "ready") & F.col("admitted") & (F.col("available_at") <= now)).join(live, ["team", "execution"], "left_semi")
+    runs = F.col("pool").isNull() | (F.col("pool") == "embed")
+    for pool, slot in free.items():
+        runs = runs | ((F.col("pool") == pool) & F.lit(slot))
+    lane = F.coalesce(F.col("pool") == "embed", F.lit(False))
+    time = ["available_at", "created_at", "process"]
+    w = Window.partitionBy("team", lane)
+    embed = F.row_number().over(w.orderBy(*time))
+    other = F.row_number().over(w.orderBy(F.desc("rank"), "available_at", F.asc_nulls_last("deadline_at"), "created_at", "process"))
+    firsts = ready.where(runs).withColumn("_n", F.when(lane, embed).otherwise(other)).where("_n = 1")
+    return latest(firsts, ["team"], [F.asc(c) for c in time]).select("team", "process", "pool")
+
+
 def rfc3339(value: Column) -> Column:
     """A timestamp with a time zone in UTC with microseconds; null if it has none or can't be read."""
     zoned = F.regexp_like(value, F.lit(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?(?:Z|[+-]\d\d:\d\d)$"))

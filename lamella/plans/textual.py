@@ -291,6 +291,14 @@ def envelopes(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("envelope_id"), body.alias("payload"))
 
 
+Q = "CASE WHEN {0} IS NULL THEN 'null' ELSE to_json({0})::VARCHAR END"
+TRIMMED = r"nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')"
+#: Per provider: the canonical JSON of its content and of its metadata, in SQL.
+FACTS = {
+    "tax": (f"'{{\"description\":' || {Q.format(TRIMMED)} || ',\"publish_date\":null,\"publisher\":\"发布\",\"title\":' || {Q.format('source')} || '}}'", "'{\"effective_description\":null,\"effective_status\":' || CASE WHEN doc_id % 5 = 0 THEN '\"全文失效\"' WHEN doc_id % 5 < 4 THEN '\"全文有效\"' ELSE 'null' END || '}'"),
+    "agency": (f"'{{\"description\":' || {Q.format('text')} || ',\"features\":\"' || CASE WHEN doc_id % 2 = 0 THEN '3.0' ELSE '' END || '\",\"headline\":' || {Q.format('source')} || '}}'", f"'{{\"price\":null,\"sale_mode\":' || {Q.format('lang')} || ',\"status\":\"' || CASE WHEN doc_id % 3 = 0 THEN 'live' ELSE 'sold' END || '\"}}'"),
+    "listing": (f"'{{\"description\":' || {Q.format('text')} || ',\"title\":' || {Q.format('source')} || '}}'", "'{\"price\":null,\"status\":null}'"),
+}
 #: Per provider: rows of the envelopes, key, whether active, facets and tags, in SQL.
 MEMBERS = {
     "tax": ("(SELECT *, 0 AS ordinal FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT *, 1 FROM documents WHERE doc_id % 7 = 1)", "'k' || doc_id || CASE WHEN ordinal = 1 THEN 'b' ELSE '' END", "doc_id % 5 BETWEEN 1 AND 3",
@@ -304,7 +312,7 @@ MEMBERS = {
 def _provider(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat = providers.mapped(providers.members(envelopes(spark, sf_dir, name), name), name)
-        return flat.select("envelope_id", "ordinal", "key", "title", "is_active", "facets", F.array_join("tags", "|").alias("tags"), F.sha2("clean_text", 256).alias("clean_digest"))
+        return flat.select("envelope_id", "ordinal", "key", "title", "is_active", "facets", F.array_join("tags", "|").alias("tags"), F.sha2("clean_text", 256).alias("clean_digest"), "content_digest", "meta_digest", F.array_join(F.transform("semantic_tuples", lambda t: F.concat(t["name"], F.lit("="), t["value"])), ";").alias("tuples"))
 
     run.__doc__ = f"Members of {name} envelopes."
     return run
@@ -312,7 +320,7 @@ def _provider(name: str):
 
 for _name, (_rows, _key, _active, _facets, _tags) in MEMBERS.items():
     _body = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-    listing.add(f"SELECT doc_id AS envelope_id, ordinal, {_key} AS key, source AS title, {_active} AS is_active, {_facets} AS facets, {_tags} AS tags, sha256(CASE WHEN {_body} <> '' THEN source || chr(10) || chr(10) || {_body} ELSE source END) AS clean_digest FROM {_rows}", f"provider_map_{_name}")(_provider(_name))
+    listing.add(f"SELECT doc_id AS envelope_id, ordinal, {_key} AS key, source AS title, {_active} AS is_active, {_facets} AS facets, {_tags} AS tags, sha256(CASE WHEN {_body} <> '' THEN source || chr(10) || chr(10) || {_body} ELSE source END) AS clean_digest, sha256({FACTS[_name][0]}) AS content_digest, sha256({FACTS[_name][1]}) AS meta_digest, {_facets} || ';title=' || source || ';tags=' || {_tags} AS tuples FROM {_rows}", f"provider_map_{_name}")(_provider(_name))
 
 
 @listing.add("SELECT doc_id AS envelope_id, 'k' || doc_id % 10 AS key, count(*) AS n FROM (SELECT doc_id % 50 AS doc_id, doc_id % 4 AS k FROM documents) GROUP BY ALL HAVING count(*) > 1")

@@ -122,3 +122,74 @@ def secret_json(spark, sf_dir):
     workers_import(spark)
     d = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
     return d.select("doc_id", redacted_json(F.expr(NESTED.replace("{close}", CLOSE))).alias("safe"))
+
+
+EXECUTION = {
+    "team": "o_custkey", "execution": "o_orderkey", "manifest": "CAST(floor(o_totalprice) AS BIGINT) % 3",
+    "status": "CASE WHEN o_orderstatus = 'F' THEN 'succeeded' WHEN o_orderstatus = 'P' THEN 'running' ELSE CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'created' WHEN '2' THEN 'ready' WHEN '3' THEN 'running' WHEN '4' THEN 'waiting' ELSE 'cancelling' END END",
+}
+PROCESS = {
+    "execution": "l_orderkey", "process": "l_orderkey * 10 + l_linenumber", "ordinal": "l_linenumber", "fence": "CAST(l_quantity AS BIGINT) % 4", "available_at": "l_shipdate", "attempts": "CAST(round(l_tax * 100) AS BIGINT)", "most": "4",
+    "status": "CASE concat(l_returnflag, l_linestatus) WHEN 'NO' THEN 'ready' WHEN 'NF' THEN 'retry_wait' WHEN 'AO' THEN 'running' WHEN 'AF' THEN 'succeeded' WHEN 'RO' THEN 'ready' ELSE 'failed' END",
+    "pool": "CASE WHEN l_suppkey % 4 = 0 THEN 'embed' WHEN l_suppkey % 4 = 1 THEN 'local-inference' WHEN l_suppkey % 4 = 2 THEN 'non-interactive' END", "admitted": "l_discount < 0.09", "rank": "CAST(l_quantity AS BIGINT) % 3", "created_at": "l_partkey", "deadline_at": "CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate END",
+}
+GATE = {"gate": "o_orderkey", "execution": "o_orderkey", "gate_status": "CASE WHEN floor(o_totalprice) % 5 < 2 THEN 'released' WHEN floor(o_totalprice) % 5 < 4 THEN 'rejected' ELSE 'open' END"}
+DECISION = {"team": "o_custkey", "gate": "o_orderkey", "decision": "o_orderkey * 3 + 1", "verdict": "CASE WHEN floor(o_totalprice) % 2 = 0 THEN 'approve' ELSE 'reject' END"}
+SENT = (
+    ("SELECT o_custkey AS team, concat('repair-wake-process:', l_orderkey * 10 + l_linenumber, ':', CAST(l_quantity AS BIGINT) % 4) AS dedupe_key, 'delivered' AS status FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey WHERE l_discount >= 0.05"),
+    ("SELECT o_custkey, concat('repair-wake-execution:', o_orderkey, ':', CAST(floor(o_totalprice) AS BIGINT) % 4), 'pending' FROM {orders}"),
+    ("SELECT o_custkey, concat(CASE WHEN floor(o_totalprice) % 7 = 1 THEN 'repair-' ELSE '' END, 'gate-decision:', o_orderkey * 3 + 1), CASE WHEN floor(o_totalprice) % 7 < 2 THEN 'in_flight' ELSE 'delivered' END FROM {orders} WHERE floor(o_totalprice) % 7 < 4"),
+)
+_listed = lambda columns: ", ".join(f"{v} AS {k}" for k, v in columns.items())
+FLOW = f"""executions AS (SELECT {_listed(EXECUTION)} FROM orders),
+processes AS (SELECT e.team, p.*, CASE WHEN p.status = 'running' THEN p.available_at + INTERVAL 30 DAY END AS lease_until FROM (SELECT {_listed(PROCESS)} FROM lineitem) p JOIN executions e USING (execution)),
+gates AS (SELECT {_listed(GATE)} FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority LIKE '3%'), decisions AS (SELECT {_listed(DECISION)} FROM orders WHERE floor(o_totalprice) % 3 <> 0),
+outbox AS ({" UNION ALL ".join(SENT).format(lineitem="lineitem", orders="orders")}), clock AS (SELECT max(l_shipdate) - INTERVAL 400 DAY AS now FROM lineitem)"""
+
+
+def flow(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    pick = lambda df, columns: df.selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
+    executions = pick(o, EXECUTION)
+    clock = l.agg((F.max("l_shipdate") - F.expr("INTERVAL 400 DAY")).alias("now"))
+    own = pick(l, PROCESS).join(executions.select("team", "execution"), "execution").withColumn("lease_until", F.when(F.col("status") == "running", F.col("available_at") + F.expr("INTERVAL 30 DAY")))
+    both = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    floor = F.floor("o_totalprice").cast("long")
+    sent = both.where("l_discount >= 0.05").selectExpr("o_custkey AS team", "concat('repair-wake-process:', l_orderkey * 10 + l_linenumber, ':', CAST(l_quantity AS BIGINT) % 4) AS dedupe_key", "'delivered' AS status")
+    sent = sent.unionAll(o.select("o_custkey", F.concat(F.lit("repair-wake-execution:"), "o_orderkey", F.lit(":"), floor % 4), F.lit("pending")))
+    sent = sent.unionAll(o.where(floor % 7 < 4).select("o_custkey", F.concat(F.when(floor % 7 == 1, "repair-").otherwise(""), F.lit("gate-decision:"), F.col("o_orderkey") * 3 + 1), F.when(floor % 7 < 2, "in_flight").otherwise("delivered")))
+    return {
+        "executions": executions, "processes": own.crossJoin(F.broadcast(clock)), "outbox": sent, "decisions": pick(o.where(floor % 3 != 0), DECISION),  # the clock is one row
+        "gates": pick(o.where("o_orderstatus = 'P' or o_orderpriority like '3%'"), GATE),
+    }
+
+
+@listing.add(f"""WITH {FLOW},
+last AS (SELECT execution, bool_or(status IN ('ready', 'claimed', 'running', 'retry_wait', 'cancelling')) AS active, arg_max(status, (ordinal, process, status)) AS last FROM processes GROUP BY execution),
+decided AS (SELECT d.*, g.execution, gate_status FROM decisions d JOIN gates g USING (gate)),
+e AS (SELECT e.*, active, last, EXISTS (SELECT 1 FROM decided d WHERE d.execution = e.execution) AS explained FROM executions e LEFT JOIN last USING (execution)),
+a AS (
+  SELECT team, 'cancel_tree' AS action, execution AS id, NULL AS dedupe_key FROM e WHERE status = 'cancelling'
+  UNION ALL SELECT team, 'repair_transition', execution, NULL FROM e WHERE status NOT IN ('waiting', 'cancelling', 'succeeded', 'failed', 'cancelled') AND last IN ('succeeded', 'failed', 'cancelled') AND NOT explained
+  UNION ALL SELECT team, 'promote_retry', process, NULL FROM processes, clock WHERE status = 'retry_wait' AND available_at <= now
+  UNION ALL SELECT team, CASE WHEN attempts < most THEN 'recover_lease' ELSE 'fail_lease' END, process, NULL FROM processes, clock WHERE status = 'running' AND lease_until < now
+  UNION ALL SELECT * FROM (SELECT p.team, 'wake_process', process, 'repair-wake-process:' || process || ':' || fence AS k FROM processes p JOIN executions x USING (execution) WHERE p.status = 'ready' AND x.status NOT IN ('succeeded', 'failed', 'cancelled', 'cancelling')) w WHERE NOT EXISTS (SELECT 1 FROM outbox o WHERE o.team = w.team AND o.dedupe_key = k)
+  UNION ALL SELECT * FROM (SELECT team, 'wake_execution', execution, 'repair-wake-execution:' || execution || ':' || manifest AS k FROM e WHERE status IN ('created', 'ready') AND NOT coalesce(active, false)) w WHERE NOT EXISTS (SELECT 1 FROM outbox o WHERE o.team = w.team AND o.dedupe_key = k)
+  UNION ALL SELECT team, 'redeliver_decision', decision, 'repair-gate-decision:' || decision FROM decided d WHERE ((verdict = 'approve' AND gate_status = 'released') OR (verdict = 'reject' AND gate_status = 'rejected'))
+    AND NOT EXISTS (SELECT 1 FROM outbox o WHERE o.team = d.team AND o.dedupe_key IN ('gate-decision:' || decision, 'repair-gate-decision:' || decision) AND o.status IN ('pending', 'in_flight'))
+) SELECT team, action, id, dedupe_key FROM a""")
+def repair_sweep(spark, sf_dir):
+    """What a repair has to do about executions, processes, gates and leases, without repeating a message."""
+    f = flow(spark, sf_dir)
+    return workflow.repair_actions(f["executions"], f["processes"], f["gates"], f["decisions"], f["outbox"], F.col("now"))
+
+
+@listing.add(f"""WITH {FLOW}, r AS (SELECT p.* FROM processes p JOIN executions e USING (execution), clock WHERE p.status = 'ready' AND admitted AND available_at <= now AND e.status IN ('ready', 'running')),
+em AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY available_at, created_at, process) AS n FROM r WHERE pool = 'embed'),
+ot AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY rank DESC, available_at, deadline_at NULLS LAST, created_at, process) AS n FROM r WHERE pool IS NULL OR pool = 'local-inference'),
+b AS (SELECT * FROM em WHERE n = 1 UNION ALL SELECT * FROM ot WHERE n = 1)
+SELECT team, process, pool FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY available_at, created_at, process) AS m FROM b) WHERE m = 1""")
+def claim_lanes(spark, sf_dir):
+    """The next process that each team may claim, from two lanes, while the remote pool is full."""
+    f = flow(spark, sf_dir)
+    return workflow.claimable(f["processes"], f["executions"], F.col("now"), {"local-inference": True, "non-interactive": False})

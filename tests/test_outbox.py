@@ -102,6 +102,7 @@ NODE = "doc_id long, granularity int, block_id long, start_byte long, end_byte l
     ([(0, 0, 0, 10), (1, 0, 0, 5), (1, 1, 5, 11)], "crossing"),
     ([(0, 0, 0, 10), (1, 0, 0, 10), (0, 1, 10, 12)], "root"),
     ([(0, 0, 0, 9)], "coverage"),
+    ([(0, 0, 0, 10), (1, 0, 0, 10), (2, 0, 0, 11)], "crossing"),
 ])
 def test_structure_verdicts(spark, nodes, verdict):
     df = spark.createDataFrame([(1, *n) for n in nodes], NODE).repartition(3)
