@@ -133,6 +133,30 @@ def admitted(waiting: DataFrame, free: dict[str, int], order: list[str]) -> Data
     return waiting.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(free.values(), default=0)).where(F.col("place") <= slots)
 
 
+def sampled(df: DataFrame, keys: list[str], order: list[str], key: str, first: int) -> DataFrame:
+    """The first rows of each class in detail (keys, kind, ``key``, n), and one summary of how many more there were.
+
+    Each task keeps ``first`` rows a class before the shuffle, and the summary is a plain count, so that a class of any number of rows costs no task its rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    detail = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first).select(*keys, F.lit("detail").alias("kind"), key, F.lit(1).cast("long").alias("n"))
+    more = df.groupBy(*keys).agg((F.count(F.lit(1)) - first).alias("n")).where("n > 0")
+    return detail.unionByName(more.select(*keys, F.lit("summary").alias("kind"), F.lit(None).cast(df.schema[key].dataType).alias(key), "n"))
+
+
+def evidence(entries: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """Entries (key, event_id, ts) with the reports (key, report, ts) under them, one row each with its ``place``; an entry without reports stays with nulls.
+
+    A report belongs to the key's last entry at or before it, one before all entries to none. Both are sorted together by time and the last entry is carried
+    along, so that neither pairs are made nor lists gathered.
+    """
+    both = entries.select(key, "ts", "event_id", F.lit(None).cast("long").alias("report")).unionByName(reports.select(key, "ts", F.lit(None).cast("long").alias("event_id"), "report"))
+    w = Window.partitionBy(key).orderBy("ts", F.asc_nulls_first("report"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    tied = both.withColumn("_e", F.last("event_id", True).over(w)).where("report is not null and _e is not null").select(F.col("_e").alias("event_id"), "report", F.col("ts").alias("_ts"))
+    placed = tied.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy("_ts", "report"))).drop("_ts")
+    return entries.select("event_id", "ts").join(placed, "event_id", "left").select("event_id", "ts", "report", "place")
+
+
 def terminal_outcome(status: Column) -> Column:
     """Outcome of a group: any failed, else any cancelled, else succeeded if all are, else running."""
     return F.when(F.max(status == "failed"), "failed").when(F.max(status == "cancelled"), "cancelled").when(F.min(status == "succeeded"), "succeeded").otherwise("running")

@@ -280,6 +280,19 @@ def uuid7(df: DataFrame, millis: str, *order: str, name: str = "uuid") -> DataFr
     return rows.withColumn(name, F.regexp_replace(hexed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).drop("_n", "_seed")
 
 
+def advanced(held: DataFrame, seen: DataFrame) -> DataFrame:
+    """(team, high_water, advanced): stored marks (team, mark) moved up to the highest sequence seen (team, sequence), never down; teams of either side."""
+    last = seen.groupBy("team").agg(F.max("sequence").alias("_last"))
+    both = held.join(last, "team", "full_outer")
+    mark, new = F.coalesce("mark", F.lit(0).cast("long")), F.coalesce("_last", F.lit(0).cast("long"))
+    return both.select("team", F.greatest(mark, new).alias("high_water"), (new > mark).alias("advanced"))
+
+
+def fingerprint(secret: Column) -> Column:
+    """What stands for a secret where it must not be shown; none for an empty one."""
+    return F.when(secret != "", F.sha2(secret, 256))
+
+
 def pattern_checks(df: DataFrame) -> DataFrame:
     """Rows (digest, path) with whether the digest is 64 lower-case hex digits and the path is relative without parent steps."""
     path = F.col("path")

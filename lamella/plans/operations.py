@@ -280,10 +280,7 @@ SELECT event_type, h, 'detail' AS kind, event_id, 1::BIGINT AS n FROM r WHERE n
 def denial_sampling(spark, sf_dir):
     """The first three denials of each class and hour in detail, and one summary of the others."""
     e = table(spark, sf_dir, "events", "event_id", "event_type", "ts").where("event_type in ('error', 'signup')").withColumn("h", F.date_trunc("hour", "ts"))
-    r = e.withColumn("rn", F.row_number().over(Window.partitionBy("event_type", "h").orderBy("ts", "event_id")))
-    detail = r.where("rn <= 3").select("event_type", "h", F.lit("detail").alias("kind"), "event_id", F.lit(1).cast("long").alias("n"))
-    rest = r.where("rn > 3").groupBy("event_type", "h").agg(F.count(F.lit(1)).alias("n")).select("event_type", "h", F.lit("summary").alias("kind"), F.lit(None).cast("long").alias("event_id"), "n")
-    return detail.unionByName(rest)
+    return ledger.sampled(e, ["event_type", "h"], ["ts", "event_id"], "event_id", 3)
 
 
 @listing.add("""SELECT o_custkey, o_orderkey, row_number() OVER w::INTEGER AS ordinal, lag(o_orderkey) OVER w AS predecessor FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
@@ -355,12 +352,10 @@ def insert_or_ignore(spark, sf_dir):
     return ledger.appended_once(e.where("user_id % 4 = 0").select("user_id", "event_type").distinct(), first, ["user_id", "event_type"]).select("event_id")
 
 
-@listing.add("""SELECT e.event_id, e.ts, coalesce(r.n, 0) AS reports, r.types FROM events e LEFT JOIN (
-  SELECT user_id, count(*) AS n, string_agg(event_type || ':' || event_id, ',' ORDER BY event_id) AS types FROM events WHERE event_type = 'error' AND value > 30 GROUP BY user_id) r
-ON e.user_id = r.user_id WHERE e.event_type = 'signup'""")
+@listing.add("""WITH entries AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'signup'), r AS (SELECT event_id AS report, ts, user_id FROM events WHERE event_type = 'error' AND value > 10),
+tied AS (SELECT e.event_id, r.report, r.ts FROM r ASOF JOIN entries e ON r.user_id = e.user_id AND r.ts >= e.ts)
+SELECT e.event_id, e.ts, t.report, CASE WHEN t.report IS NOT NULL THEN row_number() OVER (PARTITION BY e.event_id ORDER BY t.ts, t.report)::INTEGER END AS place FROM entries e LEFT JOIN tied t USING (event_id)""")
 def timeline_evidence(spark, sf_dir):
-    """Timeline entries with the reports nested under them."""
+    """Timeline entries with the reports under them, a row each: a report belongs to its user's last entry before it."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    reports = e.where("event_type = 'error' and value > 30").groupBy("user_id").agg(F.count(F.lit(1)).alias("reports"), F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("l"))
-    reports = reports.select("user_id", "reports", F.array_join(F.transform("l", lambda x: F.concat(x["event_type"], F.lit(":"), x["event_id"].cast("string"))), ",").alias("types"))
-    return e.where("event_type = 'signup'").join(reports, "user_id", "left").select("event_id", "ts", F.coalesce("reports", F.lit(0).cast("long")).alias("reports"), "types")
+    return ledger.evidence(e.where("event_type = 'signup'").select("user_id", "event_id", "ts"), e.where("event_type = 'error' and value > 10").select("user_id", F.col("event_id").alias("report"), "ts"), "user_id")

@@ -257,12 +257,15 @@ def steps_match(spark, sf_dir):
     return workflow.steps_match(_df(spark, sf_dir, DECLARED, "lineitem"), _df(spark, sf_dir, PERSISTED, "lineitem", "l_partkey % 37 > 0"))
 
 
-@listing.add("""SELECT o_orderkey, o_orderkey % 5 NOT IN (1, 2) AS valid, sha256('0=' || (o_orderkey % 9) || CASE o_orderkey % 5 WHEN 1 THEN ';x=1' WHEN 2 THEN ';2=-1' ELSE ';2=3' END) AS digest FROM orders""")
+@listing.add("""WITH t AS (SELECT doc_id, 1 AS a, len(string_split(text, chr(10) || chr(10))) AS b, len(string_split(text, chr(10))) - CASE WHEN starts_with(text, 'T') THEN 1000000 ELSE 0 END AS c, regexp_matches(text, '[#$%&]') AS odd FROM documents)
+SELECT doc_id, c >= 0 AND NOT odd AS valid, sha256('0=1;1=' || b || ';' || CASE WHEN odd THEN 'x' ELSE '2' END || '=' || c) AS digest FROM t""")
 def layer_counts(spark, sf_dir):
-    """Layer counts that are well formed, with the digest of their sorted entries."""
-    m = F.create_map(F.lit("0"), F.col("o_orderkey") % 9, F.when(F.col("o_orderkey") % 5 == 1, "x").otherwise("2"), F.when(F.col("o_orderkey") % 5 == 1, 1).when(F.col("o_orderkey") % 5 == 2, -1).otherwise(3).cast("long"))
+    """Blocks of each layer of every text, whether the counts are well formed, and the digest of their sorted entries; texts with odd marks name a layer that isn't a number, others have a count below zero."""
+    size = lambda by: F.size(F.split("text", by, -1)).cast("long")
+    last = F.when(F.regexp_like("text", F.lit("[#$%&]")), "x").otherwise("2")
+    m = F.create_map(F.lit("0"), F.lit(1).cast("long"), F.lit("1"), size("\n\n"), last, size("\n") - F.when(F.startswith("text", F.lit("T")), 1_000_000).otherwise(0))
     entries = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", workflow.layer_counts_valid(m).alias("valid"), F.sha2(F.array_join(entries, ";"), 256).alias("digest"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", workflow.layer_counts_valid(m).alias("valid"), F.sha2(F.array_join(entries, ";"), 256).alias("digest"))
 
 
 @listing.add("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(ts - CASE event_id % 4 WHEN 1 THEN INTERVAL 120 MINUTE WHEN 2 THEN INTERVAL (-330) MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%S.%fZ') END AS utc FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
@@ -272,22 +275,25 @@ def rfc3339(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "ts").select("event_id", workflow.rfc3339(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)).alias("utc"))
 
 
-@listing.add("SELECT event_id, sha256(user_id::VARCHAR) AS fingerprint FROM events")
+@listing.add("""SELECT doc_id, sha256(token) AS fingerprint, ip AS address, CASE WHEN ip <> '' THEN sha256(ip) END AS address_fingerprint FROM (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]+)"', 1) AS token, regexp_extract(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}') AS ip FROM documents) WHERE token <> '' OR ip <> ''""".replace("sha256(token) AS", "CASE WHEN token <> '' THEN sha256(token) END AS").replace(" ip AS address,", ""))
 def token_fingerprint(spark, sf_dir):
-    """Fingerprints that stand for tokens and addresses."""
-    return table(spark, sf_dir, "events", "event_id", "user_id").select("event_id", F.sha2(F.col("user_id").cast("string"), 256).alias("fingerprint"))
+    """Fingerprints that stand for the tokens and addresses that texts hold; what a text lacks has none."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    token, ip = F.regexp_extract("text", 'token = "([0-9a-f]+)"', 1), F.regexp_extract("text", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0)
+    out = d.select("doc_id", workflow.fingerprint(token).alias("fingerprint"), workflow.fingerprint(ip).alias("address_fingerprint"))
+    return out.where("fingerprint is not null or address_fingerprint is not null")
 
 
-PATHS = "CASE doc_id % 5 WHEN 0 THEN concat('a/', doc_id) WHEN 1 THEN concat('/a/', doc_id) WHEN 2 THEN concat('a/../', doc_id) WHEN 3 THEN '' ELSE 'a..b/c' END"
-
-
-@listing.add(f"SELECT doc_id, doc_id % 3 > 0 AS digest_ok, doc_id % 5 IN (0, 4) AS path_ok FROM documents")
+@listing.add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS path, substr(regexp_extract(url, '^https?://[^/]+(.*)$', 1), 2) AS below, sha256(html) AS h FROM pages),
+x AS (SELECT page_id, CASE WHEN contains(path, '?') THEN path WHEN contains(path, '#') THEN replace(below, '#', '/../') ELSE below END AS path, CASE WHEN path LIKE '%.html' THEN upper(h) WHEN path LIKE '%/' THEN substr(h, 1, 63) ELSE h END AS digest FROM p)
+SELECT page_id, regexp_full_match(digest, '[0-9a-f]{64}') AS digest_ok, path <> '' AND substr(path, 1, 1) <> '/' AND NOT list_contains(string_split(path, '/'), '..') AS path_ok FROM x""")
 def pattern_checks(spark, sf_dir):
-    """Digests and relative paths by their patterns."""
-    d = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.sha2(F.col("doc_id").cast("string"), 256)).otherwise(F.upper(F.sha2(F.lit("a"), 256))).alias("digest"), F.expr(PATHS).alias("path"))
-    return workflow.pattern_checks(d).select("doc_id", "digest_ok", "path_ok")
-
-
+    """Digests of pages and paths of their URLs by their patterns: absolute ones, and ones with a step to a parent, aren't relative paths."""
+    path = F.regexp_extract("url", "^https?://[^/]+(.*)$", 1)
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", path.alias("p"), F.substring(path, 2, 1 << 20).alias("below"), F.sha2("html", 256).alias("h"))
+    made = F.when(F.contains("p", F.lit("?")), F.col("p")).when(F.contains("p", F.lit("#")), F.replace("below", F.lit("#"), F.lit("/../"))).otherwise(F.col("below"))
+    digest = F.when(F.endswith("p", F.lit(".html")), F.upper("h")).when(F.endswith("p", F.lit("/")), F.substring("h", 1, 63)).otherwise(F.col("h"))
+    return workflow.pattern_checks(p.select("page_id", made.alias("path"), digest.alias("digest"))).select("page_id", "digest_ok", "path_ok")
 
 
 @listing.add("SELECT event_id, date_diff('minute', ts, m) < CASE event_id % 3 WHEN 0 THEN 1440 WHEN 1 THEN 60 ELSE 1 END AS kept FROM events, (SELECT max(ts) AS m FROM events)")
@@ -299,14 +305,19 @@ def cleanup_grace(spark, sf_dir):
     return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("m")))).select("event_id", workflow.within_grace(minutes, kind).alias("kept"))  # one row
 
 
-HANDLERS = {"a": "h0", "a.b": "h1", "c.d.e": "h2"}
-KEYS = "CASE event_id % 5 WHEN 0 THEN 'a.b.c' WHEN 1 THEN 'a.bc' WHEN 2 THEN 'c.d' WHEN 3 THEN 'c.d.e' ELSE 'x' END"
+#: Handlers by dotted prefix; keys are the labels of a page's host from the top, then the first step of its path.
+HANDLERS = {"com": "shop", "com.example": "sample", "com.example.blog": "never", "net.example": "sample_net", "org": "public", "com.example.therin": "therin", "net.example.thther": "thther"}
+HOST = r"^https?://([^/:?#]+)[^/]*/?([a-z]*)"
 
 
-@listing.add("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'h1' WHEN 1 THEN 'h0' WHEN 3 THEN 'h2' END AS handler FROM events")
+@listing.add(rf"""WITH h AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in HANDLERS.items())}) t(prefix, handler)),
+k AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_extract(url, '{HOST}', 1), '.')), '.') || '.' || regexp_extract(url, '{HOST}', 2) AS key FROM pages)
+SELECT page_id, arg_max(handler, length(prefix)) AS handler FROM k LEFT JOIN h ON starts_with(key || '.', prefix || '.') GROUP BY page_id""")
 def handler_registry(spark, sf_dir):
-    """Handlers by the longest registered prefix of a key."""
-    return workflow.handler_for(table(spark, sf_dir, "events", "event_id").withColumn("key", F.expr(KEYS)), "key", HANDLERS).select("event_id", "handler")
+    """Handlers of pages by the longest registered prefix of their host, read from the top, and path."""
+    host = F.array_join(F.reverse(F.split(F.regexp_extract("url", HOST, 1), "[.]")), ".")
+    p = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.concat(host, F.lit("."), F.regexp_extract("url", HOST, 2)).alias("key"))
+    return workflow.handler_for(p, "key", HANDLERS).select("page_id", "handler")
 
 
 @listing.add("SELECT event_id, ts, event_type, '/srv/' || event_id AS raw, '[REDACTED_PATH] Bearer [REDACTED]' AS summary FROM events WHERE user_id % 3 = 1 ORDER BY ts DESC, event_id DESC LIMIT 51")
@@ -329,7 +340,10 @@ def generation_page(spark, sf_dir):
     return ledger.keyset_page(o, "o_orderdate", "o_orderkey", 20, (datetime.date(1997, 1, 1), 100))
 
 
-@listing.add(f"WITH {PROCESSES} SELECT process, greatest(k, priority, 7)::INTEGER AS high_water FROM processes")
+@listing.add("""WITH seen AS (SELECT user_id AS team, max(event_id) AS last, count(*) AS n FROM events GROUP BY user_id), held AS (SELECT o_custkey AS team, max(o_orderkey) AS mark FROM orders GROUP BY o_custkey)
+SELECT coalesce(s.team, h.team) AS team, greatest(coalesce(mark, 0), coalesce(last, 0)) AS high_water, coalesce(last, 0) > coalesce(mark, 0) AS advanced FROM seen s FULL JOIN held h ON s.team = h.team""")
 def high_water(spark, sf_dir):
-    """The highest of several counters, for a mark that only moves up."""
-    return processes(spark, sf_dir).select("process", F.greatest("k", "priority", F.lit(7)).alias("high_water"))
+    """Each team's mark of the highest sequence number seen, which only moves up: the stored one, or that of a later event."""
+    seen = table(spark, sf_dir, "events", "user_id", "event_id").select(F.col("user_id").alias("team"), F.col("event_id").alias("sequence"))
+    held = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").groupBy(F.col("o_custkey").alias("team")).agg(F.max("o_orderkey").alias("mark"))
+    return workflow.advanced(held, seen)
