@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import construction, extensions, lifecycle, operations, retrieval, textual, versioned, workflow
+from lamella.plans import construction, decisions, extensions, lifecycle, operations, retrieval, textual, versioned, workflow
 
-MODULES = (retrieval, lifecycle, operations, workflow, textual, construction, extensions, versioned)
+MODULES = (retrieval, lifecycle, operations, workflow, textual, construction, extensions, versioned, decisions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
