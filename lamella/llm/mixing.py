@@ -30,14 +30,14 @@ def uniform(*parts: Column | str) -> Column:
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, epochs: float = EPOCHS) -> DataFrame:
     """Per source the mean number of repetitions and the distribution function of one draw.
 
-    ``weights`` (source, weight) gives target shares; sources it lacks, or with a null or negative
-    weight, get none. Without it the weight of a source is its row count to the power ``alpha``.
+    ``weights`` (source, weight) gives target shares; sources it lacks, or with a null, negative, NaN or
+    infinite weight, get none. Without it the weight of a source is its row count to the power ``alpha``.
     """
     counts = docs.groupBy(F.col("source").alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
     if weights is None:
         weighed = counts.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(alpha)))
     else:
-        given = weights.groupBy(F.col("source").alias("__given")).agg(F.sum("weight").alias("__w"))
+        given = weights.groupBy(F.col("source").alias("__given")).agg(F.sum(F.when(~F.isnan(F.col("weight").cast("double")) & (F.abs(F.col("weight").cast("double")) < float("inf")), F.col("weight"))).alias("__w"))
         weighed = counts.join(given, F.col("__source").eqNullSafe(F.col("__given")), "left").select("__source", "__n", F.greatest(F.coalesce(F.col("__w").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__w"))
     totals = weighed.agg(F.sum("__w").alias("__all_w"), F.sum("__n").alias("__all_n"))
     rated = weighed.crossJoin(F.broadcast(totals))  # totals is one row

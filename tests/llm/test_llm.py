@@ -567,7 +567,15 @@ def test_pipeline_equals_its_parts(spark):
 
 
 def test_stages_of_odd_rows(spark, odd):
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, odd.limit(0), SF).count() == 0
-        assert stage(spark, odd, SF).count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        assert stage(spark, odd, SF).count() > 0, name
         assert name == "encoding" or tuple(stage(spark, odd, SF).columns) == corpus_pipeline.COLUMNS
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), -1.0, None])
+def test_weights_that_are_no_numbers_count_for_nothing(spark, bad):
+    docs = spark.range(200).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    weights = spark.createDataFrame([("a", 1.0), ("b", bad)], "source string, weight double")
+    assert {r.source for r in mixing.replicate(docs, weights).select("source").distinct().collect()} == {"a"}
+    assert mixing.replicate(docs, weights.where("source = 'b'")).count() == 0
