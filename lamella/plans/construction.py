@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.text import json_text
 from lamella.functions.workers import workers_import
 from lamella.operators import construct
 from lamella.plans.base import Listing
@@ -143,24 +144,58 @@ def structure_nodes(spark, sf_dir):
     return construct.structured(root.unionByName(lines), {0: "document", 2: "line"})
 
 
-SHAPES = "CASE doc_id % 6 WHEN 0 THEN {good} WHEN 1 THEN '{{\"layered_content\": 1}}' WHEN 2 THEN '{{\"layered_content\": [], \"layered_content\": []}}' WHEN 3 THEN replace({good}, '\"summary\"', '\"extra\": 1, \"summary\"') WHEN 4 THEN replace({good}, '\"granularity\": 0', '\"granularity\": 7') ELSE replace({good}, 'null}}', '\"s\"}}') END"
-GOOD = "concat('{\"layered_content\": [{\"block_id\": ', doc_id, ', \"granularity\": 0, \"original_content\": {\"title\": \"t\", \"body\": \"b\"}, \"summary\": null}]}')"
+#: Layered documents written from texts: a root with the whole text and a block of its first letters; the text's digest decides what is wrong with the second.
+SECOND = """CASE substr(h, 1, 1) WHEN '0' THEN concat('{"block_id":1,"granularity":3,', body, ',"summary":', summary, '}') WHEN '1' THEN concat('{"block_id":1,"granularity":1,', body, ',"summary":', summary, ',"extra":null}') WHEN '2' THEN concat('{"block_id":1,"granularity":1,', body, '}')
+  WHEN '3' THEN concat('{"block_id":true,"granularity":1,', body, ',"summary":', summary, '}') WHEN '4' THEN concat('{"block_id":1,"block_id":1,"granularity":1,', body, ',"summary":', summary, '}') WHEN '5' THEN concat('{"block_id":1,"granularity":1,', body, ',"summary":" "}')
+  WHEN '6' THEN concat('{"block_id":1.0,"granularity":1,', body, ',"summary":', summary, '}') WHEN '7' THEN 'null' WHEN '8' THEN concat('{"block_id":1,"granularity":1,"original_content":{"title":null,"body":["x"]},"summary":', summary, '}') ELSE concat('{"summary":', summary, ',"granularity":1,"block_id":1,', body, '}') END"""
+LAYERED = """CASE substr(h, 3, 1) WHEN '0' THEN concat('{"layered_content":[', root, ',', second) WHEN '1' THEN concat('{"layered_content":', root, '}') WHEN '2' THEN concat('{"layered_content":[],"other":[', root, ']}') WHEN '3' THEN concat('[', root, ']') WHEN '4' THEN '{"layered_content":[]}' ELSE concat('{"layered_content":[', root, ',', second, ']}') END"""
+PARTS = {
+    "summary": "CASE WHEN substr(h, 2, 1) < '8' THEN 'null' ELSE concat('\"', substr(h, 1, 16), '\"') END", "body": "concat('\"original_content\":{\"title\":\"', source, '\",\"body\":', first, '}')",
+    "root": "concat('{\"block_id\":', doc_id, ',\"granularity\":0,\"original_content\":{\"title\":null,\"body\":', q, '},\"summary\":', CASE WHEN substr(h, 2, 1) < '8' THEN 'null' ELSE q END, '}')",
+}
 
 
-@listing.add("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'valid' WHEN 2 THEN 'json' WHEN 1 THEN 'keys' WHEN 3 THEN 'keys' WHEN 4 THEN 'block' ELSE 'summary' END AS without, CASE doc_id % 6 WHEN 0 THEN 'summary' WHEN 2 THEN 'json' WHEN 1 THEN 'keys' WHEN 3 THEN 'keys' WHEN 4 THEN 'block' ELSE 'valid' END AS with FROM documents".replace("AS without", 'AS "without"').replace("AS with FROM", 'AS "with" FROM'))
+def _layered_sql(summaries: bool) -> str:
+    """What DuckDB's own JSON functions find wrong with ``p``: its first block that isn't valid decides."""
+    filled = "json_type(b, '$.summary') IS NOT DISTINCT FROM 'VARCHAR' AND trim(json_extract_string(b, '$.summary')) <> ''"
+    summary = f"NOT ({filled})" if summaries else "json_type(b, '$.summary') <> 'NULL'"
+    whole = lambda k: f"json_type(b, '$.{k}') NOT IN ('UBIGINT', 'BIGINT')"
+    block = f"""CASE WHEN json_type(b) <> 'OBJECT' OR list_sort(json_keys(b)) <> ['block_id', 'granularity', 'original_content', 'summary'] OR list_sort(json_keys(b, '$.original_content')) <> ['body', 'title'] THEN 'keys'
+      WHEN {whole('block_id')} OR {whole('granularity')} OR json_extract_string(b, '$.granularity') NOT IN ('0', '1', '2') OR json_type(b, '$.original_content.title') NOT IN ('VARCHAR', 'NULL') OR json_type(b, '$.original_content.body') NOT IN ('VARCHAR', 'NULL') THEN 'block' WHEN {summary} THEN 'summary' END"""
+    return f"""CASE WHEN NOT json_valid(t) OR list_bool_or(list_transform(bs, lambda b: len(json_keys(b)) <> len(list_distinct(json_keys(b))))) THEN 'json' WHEN json_type(p) <> 'OBJECT' OR json_keys(p) <> ['layered_content'] OR json_type(p, '$.layered_content') <> 'ARRAY' THEN 'keys'
+      ELSE coalesce(list_filter(list_transform(bs, lambda b: {block}), lambda x: x IS NOT NULL)[1], 'valid') END"""
+
+
+_PARTS = ", ".join(f"{v} AS {k}" for k, v in PARTS.items())
+
+
+@listing.add(f"""WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS h, to_json(coalesce(text, ''))::VARCHAR AS q, to_json(substr(coalesce(text, ''), 1, 80))::VARCHAR AS first FROM documents),
+w AS (SELECT doc_id, {LAYERED} AS t FROM (SELECT *, {SECOND} AS second FROM (SELECT *, {_PARTS} FROM d))), j AS (SELECT doc_id, t, CASE WHEN json_valid(t) THEN t ELSE 'null' END::JSON AS p FROM w), k AS (SELECT *, json_extract(p, '$.layered_content[*]') AS bs FROM j)
+SELECT doc_id, {_layered_sql(False)} AS "without", {_layered_sql(True)} AS "with" FROM k""")
 def layered_schema(spark, sf_dir):
-    """Layered documents against their closed schema, before and after summaries."""
+    """Layered documents of whole texts against their closed schema, before and after summaries."""
     workers_import(spark)
-    d = table(spark, sf_dir, "documents", "doc_id").withColumn("payload", F.expr(SHAPES.format(good=GOOD)))
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("text", F.coalesce("text", F.lit("")))
+    d = d.select("doc_id", "source", F.sha2("text", 256).alias("h"), json_text(F.col("text")).alias("q"), json_text(F.substring("text", 1, 80)).alias("first"))
+    d = d.selectExpr("*", *[f"{v} AS {k}" for k, v in PARTS.items()]).selectExpr("*", f"{SECOND} AS second").selectExpr("doc_id", f"{LAYERED} AS payload")
     return d.select("doc_id", construct.layered_without_summaries("payload").alias("without"), construct.layered_with_summaries("payload").alias("with"))
 
 
-@listing.add("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'parsed' WHEN 1 THEN 'parsed' WHEN 2 THEN 'mismatch' ELSE 'invalid' END AS state FROM documents")
+OWN_BLOCKS = "concat('[ {\"id\":', doc_id, ', \"text\":', q, ',\"g\" : 0} ]')"
+PROJECTED = """CASE substr(h, 1, 1) WHEN '0' THEN concat('{"projection": {"blocks": ', blocks, '}}') WHEN '1' THEN concat('{"blocks":', blocks, ',"blocks":', blocks, '}') WHEN '2' THEN concat('{"nodes":', blocks, '}') WHEN '3' THEN concat('{"blocks":', blocks, ',"more":1}') WHEN '4' THEN blocks
+  WHEN '5' THEN concat('{"blocks":', blocks) WHEN '6' THEN '{"blocks":{}}' WHEN '7' THEN concat('{"projection":{"projection":{"blocks":', blocks, '}}}') ELSE concat('{"blocks":', blocks, '}') END"""
+
+
+@listing.add(f"""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, to_json(coalesce(text, ''))::VARCHAR AS q, n_chars FROM documents), w AS (SELECT *, {PROJECTED} AS t FROM (SELECT *, {OWN_BLOCKS} AS blocks FROM d)),
+j AS (SELECT *, CASE WHEN json_valid(t) THEN t ELSE 'null' END::JSON AS p FROM w), i AS (SELECT *, CASE WHEN json_type(p) = 'OBJECT' AND json_keys(p) = ['projection'] THEN json_extract(p, '$.projection') ELSE p END AS body FROM j),
+s AS (SELECT *, json_type(body) = 'OBJECT' AND json_keys(body) = ['blocks'] AND json_type(body, '$.blocks') = 'ARRAY' AS fits FROM i)
+SELECT doc_id, CASE WHEN fits THEN sha256('[{{"g":' || json_extract(body, '$.blocks[0].g') || ',"id":' || json_extract(body, '$.blocks[0].id') || ',"text":' || to_json(json_extract_string(body, '$.blocks[0].text')) || '}}]') END AS digest,
+  CASE WHEN NOT coalesce(fits, false) THEN 'invalid' WHEN n_chars % 2 = 0 THEN 'parsed' ELSE 'mismatch' END AS state FROM s""")
 def projection_parse(spark, sf_dir):
-    """Projections in either shape, with repeated keys and other digests found out."""
+    """Projections of whole texts in either shape: repeated keys, other shapes and other digests are found out."""
     workers_import(spark)
-    i = F.col("doc_id")
-    own = F.concat(F.lit('[{"g":0,"id":'), i, F.lit("}]"))
-    given = F.when(i % 5 == 1, F.concat(F.lit('{"projection": {"blocks": '), own, F.lit("}}"))).when(i % 5 == 3, F.lit('{"blocks": [{"id": 1, "id": 2}]}')).when(i % 5 == 4, F.lit('{"nodes": []}')).otherwise(F.concat(F.lit('{"blocks": '), own, F.lit("}")))
-    d = table(spark, sf_dir, "documents", "doc_id").withColumn("payload", given).withColumn("digest", F.when(i % 5 == 2, "x").otherwise(F.sha2(own, 256)))
-    return construct.projection_parsed(d).select("doc_id", "state")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").withColumn("text", F.coalesce("text", F.lit("")))
+    d = d.select("doc_id", "n_chars", F.sha2("text", 256).alias("h"), json_text(F.col("text")).alias("q")).selectExpr("*", f"{OWN_BLOCKS} AS blocks").selectExpr("*", f"{PROJECTED} AS payload")
+    own = F.concat(F.lit('[{"g":0,"id":'), F.col("doc_id"), F.lit(',"text":'), F.col("q"), F.lit("}]"))
+    given = F.when(F.col("n_chars") % 2 == 0, F.sha2(own, 256)).otherwise(F.sha2(F.concat(own, F.lit(" ")), 256))
+    return construct.projection_parsed(d.select("doc_id", "payload", given.alias("digest"))).select("doc_id", F.sha2("blocks", 256).alias("digest"), "state")

@@ -330,14 +330,21 @@ def repeated_keys(spark, sf_dir):
     return providers.repeated_keys(d.withColumn("key", F.concat(F.lit("k"), F.col("envelope_id") % 10)))
 
 
-REPLY = "CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || '{\"id\": ' || doc_id || '}' || chr(10) || '```' WHEN 1 THEN 'Here: {\"id\":' || doc_id || '} done' WHEN 2 THEN 'nothing' ELSE '{\"id\":1} {\"id\":2}' END"
+#: Replies written around turns: fenced, within prose, twice, cut short, or prose alone, as the text's digest has it.
+REPLY = """CASE substr(h, 1, 1) WHEN '0' THEN concat('```json', chr(10), o, chr(10), '```') WHEN '1' THEN concat('```', chr(10), o, '```', chr(10)) WHEN '2' THEN concat('Here it is: ', o, ' as asked') WHEN '3' THEN concat(o, ' ', o) WHEN '4' THEN substr(o, 1, length(o) - 2)
+  WHEN '5' THEN text WHEN '6' THEN '' WHEN '7' THEN concat('"', text, '"') ELSE concat('  ', o, chr(10)) END"""
+OBJECT = "concat('{\"turn\":', turn, ', \"text\" : ', q, ',\"role\": \"', role, '\"}')"
 
 
-@listing.add("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{\"id\": ' || doc_id || '}' END AS object FROM documents")
+@listing.add(f"""WITH r AS (SELECT *, {REPLY} AS reply FROM (SELECT *, {OBJECT} AS o FROM (SELECT conv_id, turn, role, text, sha256(text) AS h, to_json(text)::VARCHAR AS q FROM conversations))),
+b AS (SELECT conv_id, turn, substr(reply, strpos(reply, '{{'), length(reply) - strpos(reverse(reply), '}}') - strpos(reply, '{{') + 2) AS body, contains(reply, '{{') AND contains(reply, '}}') AS found FROM r),
+v AS (SELECT *, CASE WHEN found AND json_valid(body) THEN body END::JSON AS j FROM b)
+SELECT conv_id, turn, CASE WHEN j IS NOT NULL THEN '{{"role": ' || to_json(json_extract_string(j, '$.role')) || ', "text": ' || to_json(json_extract_string(j, '$.text')) || ', "turn": ' || json_extract_string(j, '$.turn') || '}}' END AS object FROM v""")
 def fenced_json(spark, sf_dir):
-    """The one JSON object of replies with and without code fences."""
+    """The one JSON object of replies with and without code fences and prose; two objects or half of one are none."""
     workers_import(spark)
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", arrow.fenced_json(F.expr(REPLY)).alias("object"))
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("h", F.sha2("text", 256)).withColumn("q", text.json_text(F.col("text")))
+    return c.withColumn("o", F.expr(OBJECT)).select("conv_id", "turn", arrow.fenced_json(F.expr(REPLY)).alias("object"))
 
 
 DECODED = """CASE media WHEN 'application/json' THEN '{"a":' || doc_id || ',"b":"x"}' WHEN 'image/png' THEN '' WHEN 'application/zip' THEN NULL ELSE nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END"""

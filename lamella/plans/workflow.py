@@ -151,11 +151,16 @@ def member_outcomes(spark, sf_dir):
     return m.select("l_orderkey", "l_linenumber", workflow.member_outcome(F.col("l_quantity") > 10, F.expr(CHILD)).alias("outcome"))
 
 
-@listing.add("SELECT event_id, CASE WHEN event_type IN ('view', 'signup') THEN 'retryable' ELSE 'failed' END AS class FROM events")
+#: Codes of failed attempts by the number in an event's properties: those that are tried again, near misses, and others.
+CODES = (*workflow.RECOVERABLE, "inference_backpressure", "not-ready ", "NOT-READY", "OCR_MISSING", "", None)
+CODE = "CASE CAST({k} AS INT) % " + str(len(CODES)) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES) if c is not None) + " END"
+
+
+@listing.add(f"""SELECT event_id, coalesce(code, 'none') AS code, CASE WHEN list_contains({list(workflow.RECOVERABLE)!r}, code) THEN 'retryable' ELSE 'failed' END AS class FROM (SELECT event_id, {CODE.format(k="json_extract_string(props, '$.k')")} AS code FROM events)""")
 def retry_classes(spark, sf_dir):
-    """Errors that are tried again and those that aren't."""
-    code = F.when(F.col("event_type") == "view", "INFERENCE_BACKPRESSURE").when(F.col("event_type") == "signup", "not-ready").when(F.col("event_type") == "click", "OCR_MISSING")
-    return table(spark, sf_dir, "events", "event_id", "event_type").select("event_id", workflow.retry_class(code).alias("class"))
+    """Errors that are tried again and those that aren't: the code must be one of the list to the letter."""
+    e = table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.expr(CODE.format(k="get_json_object(props, '$.k')")).alias("code"))
+    return e.select("event_id", F.coalesce("code", F.lit("none")).alias("code"), workflow.retry_class(F.col("code")).alias("class"))
 
 
 TEAM = {"team": "c_custkey", "status": "CASE c_custkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'deleted' END", "action": "CASE c_custkey % 4 WHEN 0 THEN 'deactivate' WHEN 1 THEN 'activate' WHEN 2 THEN 'delete' ELSE 'restore' END", "row_revision": "c_custkey % 5", "expected_revision": "c_custkey % 7 % 5"}
