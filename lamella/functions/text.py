@@ -81,6 +81,16 @@ def content_full(header: Column, body: Column) -> Column:
     return F.when(F.coalesce(F.size(header), F.lit(0)) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), body)).otherwise(body)
 
 
+#: Fixed value: what a header's key looks like.
+HEADER_KEY = r"\A[a-z][a-z0-9_.-]{0,63}\z"
+
+
+def header_valid(header: Column) -> Column:
+    """Whether every key of a map is of the closed form and every value a text of one line; a map without keys is."""
+    entries = F.map_entries(F.coalesce(header, F.create_map().cast("map<string,string>")))
+    return F.forall(entries, lambda e: F.regexp_like(e["key"], F.lit(HEADER_KEY)) & F.coalesce(~F.regexp_like(e["value"], F.lit(r"[\x00\n\r]")), F.lit(False)))
+
+
 def without_header(text: Column, header: Column) -> Column:
     """The text after an exact prefix, if it has it."""
     return F.when(F.startswith(text, header), F.substr(text, F.length(header) + 1)).otherwise(text)
@@ -106,6 +116,27 @@ def headed_sections(text: Column) -> Column:
     return F.when(F.size(by_heading) > 1, by_heading).when(F.size(by_blank) > 1, by_blank).otherwise(halves)
 
 
+def pieces(text: Column, delimiter: str) -> Column:
+    """A text cut before each place of a delimiter, from left to right without overlaps; joined, the pieces are the text again."""
+    cut = F.split(text, rf"\Q{delimiter}\E", -1)
+    return F.filter(F.transform(cut, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(delimiter), x))), lambda x: x != "")
+
+
+#: Where a text is cut for each level of detail, the first that cuts it counts.
+CUTS = {1: ("\n## ", "## "), 2: ("\n\n", "\n")}
+
+
+def level_parts(text: Column, granularity: Column) -> Column:
+    """Parts of a text at a level: itself at level 0; cut before headings at level 1, at blank or new lines at level 2; in the middle where nothing cuts it."""
+    half = F.greatest(F.floor(F.length(text) / 2), F.lit(1)).cast("int")
+    halves = F.filter(F.array(F.substr(text, F.lit(1), half), F.substr(text, half + 1)), lambda x: x != "")
+    out = F.when((granularity == 0) | (text == ""), F.array(text))
+    for level, delimiters in CUTS.items():
+        for d in delimiters:
+            out = out.when((granularity == level) & (F.size(pieces(text, d)) > 1), pieces(text, d))
+    return out.otherwise(halves)
+
+
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """The text of bytes [start, end) of its UTF-8 form."""
     raw = F.encode(text, "UTF-8")

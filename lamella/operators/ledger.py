@@ -75,6 +75,21 @@ def retries(failed: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("class", F.when(F.col("retries") >= RETRIES, "exhausted").when(F.col("due_at") <= now, "due").otherwise("waiting"))
 
 
+#: Longest ceiling of a delay in seconds.
+MOST_DELAY = 60.0
+
+
+def delayed(failed: DataFrame, seed: str, first: float = BACK_OFF, most: float = MOST_DELAY) -> DataFrame:
+    """Failed rows (id, attempt, created_at) with ``delay_us``, spread evenly below a ceiling that doubles with each attempt up to ``most`` seconds, and ``due_at``.
+
+    The spread is drawn from the digest of seed, id and attempt, so a lost task draws it again.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("attempt").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    ceiling = F.least(F.lit(float(first)) * F.pow(F.lit(2.0), F.col("attempt")), F.lit(float(most)))
+    out = failed.withColumn("delay_us", F.floor(u * ceiling * 1_000_000).cast("long"))
+    return out.withColumn("due_at", F.col("created_at") + F.make_dt_interval(secs=(F.col("delay_us").cast("decimal(18,6)") / 1_000_000).cast("decimal(18,6)")))
+
+
 def appended_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` to append so that every key stands once: insert-or-ignore."""
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")

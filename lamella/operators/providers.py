@@ -102,3 +102,17 @@ def mapped(records: DataFrame, provider: str) -> DataFrame:
 def repeated_keys(flat: DataFrame) -> DataFrame:
     """Keys that an envelope holds more than once: an error of the intake."""
     return flat.where("key is not null").groupBy("envelope_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+#: Records that an envelope may hold.
+MOST_RECORDS = 10_000
+
+
+def envelope_states(flat: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
+    """(envelope_id, n, state) of envelopes of records (envelope_id, key): too_many, invalid_record (a key is missing), repeated (keys that differ in case or outer space alone are one), or ok.
+
+    Nothing is cut: an envelope beyond the bound is an error. Records are counted by key before they meet their envelope.
+    """
+    each = flat.groupBy("envelope_id", external_key(F.col("key")).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    out = each.groupBy("envelope_id").agg(F.sum("_n").alias("n"), F.max(F.when(F.col("_key").isNotNull(), F.col("_n"))).alias("_most"), F.count_if(F.col("_key").isNull()).alias("_bare"))
+    return out.select("envelope_id", "n", F.when(F.col("n") > most, "too_many").when(F.col("_bare") > 0, "invalid_record").when(F.col("_most") > 1, "repeated").otherwise("ok").alias("state"))

@@ -251,6 +251,15 @@ def retry_due(spark, sf_dir):
     return ledger.retries(p.withColumn("retries", F.col("k") % 4), F.col("now") - F.expr("interval 1 day")).select("process", "retries", "ceiling_s", "due_at", "class")
 
 
+@listing.add(f"""WITH {PROCESSES}, f AS (SELECT process AS id, k % 7 AS attempt, created_at FROM processes WHERE status = 'failed'),
+d AS (SELECT *, floor(('0x' || substr(md5('retry:' || id || ':' || attempt), 1, 13))::BIGINT / {float(2**52)} * least(5 * pow(2, attempt), 60.0)::DOUBLE * 1000000)::BIGINT AS delay_us FROM f)
+SELECT id, attempt, delay_us, created_at + to_microseconds(delay_us) AS due_at FROM d""")
+def retry_delays(spark, sf_dir):
+    """When each failed process is tried again: at a point below a ceiling that doubles up to a minute, drawn from its digest."""
+    p = processes(spark, sf_dir).where("status = 'failed'").select(F.col("process").alias("id"), (F.col("k") % 7).alias("attempt"), "created_at")
+    return ledger.delayed(p, "retry").select("id", "attempt", "delay_us", "due_at")
+
+
 @listing.add(f"""WITH {PROCESSES}, teams AS (SELECT DISTINCT team FROM processes)
 SELECT team FROM teams t WHERE NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND status = 'running' AND created_at > {NOW} - INTERVAL 3 DAY)
 AND NOT EXISTS (SELECT 1 FROM processes p WHERE p.team = t.team AND available_at > {NOW}) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = t.team AND o_orderstatus = 'P')""")

@@ -96,6 +96,37 @@ def heading_split(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(text.headed_sections(F.col("text"))).alias("ordinal", "section"))
 
 
+#: Every third text gets headings at its lines.
+LEVELLED = "CASE WHEN n_chars % 3 = 0 THEN replace(coalesce(text, ''), chr(10), concat(chr(10), '## ')) ELSE coalesce(text, '') END"
+_CUT = "list_filter(list_transform(string_split(t, {0}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {0} || x END), lambda x: x <> '')"
+_LEVELS = {1: ("chr(10) || '## '", "'## '"), 2: ("chr(10) || chr(10)", "chr(10)")}
+
+
+@listing.add(f"""WITH d AS (SELECT doc_id, {LEVELLED} AS t FROM documents), g AS (SELECT *, unnest([0, 1, 2]) AS granularity FROM d),
+p AS (SELECT doc_id, granularity, CASE WHEN granularity = 0 OR t = '' THEN [t] {" ".join(f"WHEN granularity = {k} AND contains(t, {x}) AND len({_CUT.format(x)}) > 1 THEN {_CUT.format(x)}" for k, v in _LEVELS.items() for x in v)}
+  ELSE list_filter([substr(t, 1, greatest(length(t) // 2, 1)), substr(t, greatest(length(t) // 2, 1) + 1)], lambda x: x <> '') END AS p FROM g)
+SELECT doc_id, granularity, generate_subscripts(p, 1)::INTEGER - 1 AS ordinal, sha256(unnest(p)) AS digest FROM p""")
+def level_parts(spark, sf_dir):
+    """Parts of every whole text at its three levels of detail; joined, they are the text again."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").select("doc_id", F.expr(LEVELLED).alias("t"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("granularity"))
+    return d.select("doc_id", "granularity", F.posexplode(text.level_parts(F.col("t"), F.col("granularity"))).alias("ordinal", "part")).select("doc_id", "granularity", "ordinal", F.sha2("part", 256).alias("digest"))
+
+
+#: A key and a value as the text has them: its first word, and its first letters, which may run over a line.
+HEADED = {"k": "CASE WHEN n_chars % 2 = 0 THEN lower(split_part(coalesce(text, ''), ' ', 1)) ELSE split_part(coalesce(text, ''), ' ', 1) END", "v": "substr(text, 1, 40)"}
+
+
+@listing.add(f"""WITH d AS (SELECT doc_id, lang, source, text, {HEADED["k"]} AS k, {HEADED["v"]} AS v FROM documents), l AS (SELECT *, list_sort([{{'k': 'lang', 'v': lang}}, {{'k': 'source', 'v': source}}, {{'k': k, 'v': v}}]) AS h FROM d),
+s AS (SELECT *, len(list_filter(h, lambda e: regexp_full_match(e.k, '[a-z][a-z0-9_.-]{{0,63}}') AND e.v IS NOT NULL AND NOT contains(e.v, chr(10)) AND NOT contains(e.v, chr(13)) AND NOT contains(e.v, chr(0)))) = 3 AS fits FROM l)
+SELECT doc_id, CASE WHEN fits THEN 'valid' ELSE 'invalid' END AS state, CASE WHEN fits THEN sha256(array_to_string(list_transform(h, lambda e: e.k || ': ' || e.v), chr(10)) || chr(10) || chr(10) || coalesce(text, '')) END AS digest FROM s""")
+def content_headers(spark, sf_dir):
+    """Whole texts under headers whose keys are of the closed form and whose values stay on their line; others are refused."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"{x} AS {k}" for k, x in HEADED.items()])
+    header = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.col("k"), F.col("v"))
+    d = d.select("doc_id", text.header_valid(header).alias("fits"), text.content_full(header, F.coalesce("text", F.lit(""))).alias("content"))
+    return d.select("doc_id", F.when(F.col("fits"), "valid").otherwise("invalid").alias("state"), F.when(F.col("fits"), F.sha2("content", 256)).alias("digest"))
+
+
 @listing.add()
 def sentence_split(spark, sf_dir):
     """Sentences of every text, in order; tested against Python's regex."""
@@ -330,6 +361,17 @@ def repeated_keys(spark, sf_dir):
     return providers.repeated_keys(d.withColumn("key", F.concat(F.lit("k"), F.col("envelope_id") % 10)))
 
 
+ENVELOPED = {"envelope_id": "CASE WHEN l_linenumber <= 2 THEN -1 ELSE l_suppkey * 10 + l_linenumber END", "key": "CASE WHEN l_quantity = 50 THEN NULL WHEN l_tax > 0.04 THEN concat(' K', l_partkey) ELSE concat('k', l_partkey) END"}
+
+
+@listing.add(f"""WITH e AS (SELECT {", ".join(f"{v} AS {k}" for k, v in ENVELOPED.items())} FROM lineitem)
+SELECT envelope_id, count(*) AS n, CASE WHEN count(*) > 10000 THEN 'too_many' WHEN count(key) < count(*) THEN 'invalid_record' WHEN count(DISTINCT lower(trim(key))) < count(*) THEN 'repeated' ELSE 'ok' END AS state FROM e GROUP BY envelope_id""")
+def envelope_states(spark, sf_dir):
+    """Envelopes that may be taken in: not too many records, all with keys, no key twice."""
+    e = table(spark, sf_dir, "lineitem", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_partkey")
+    return providers.envelope_states(e.selectExpr(*[f"{v} AS {k}" for k, v in ENVELOPED.items()]))
+
+
 #: Replies written around turns: fenced, within prose, twice, cut short, or prose alone, as the text's digest has it.
 REPLY = """CASE substr(h, 1, 1) WHEN '0' THEN concat('```json', chr(10), o, chr(10), '```') WHEN '1' THEN concat('```', chr(10), o, '```', chr(10)) WHEN '2' THEN concat('Here it is: ', o, ' as asked') WHEN '3' THEN concat(o, ' ', o) WHEN '4' THEN substr(o, 1, length(o) - 2)
   WHEN '5' THEN text WHEN '6' THEN '' WHEN '7' THEN concat('"', text, '"') ELSE concat('  ', o, chr(10)) END"""
