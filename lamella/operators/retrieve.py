@@ -137,3 +137,21 @@ def empty_reason() -> Column:
         F.when(F.trim(F.coalesce("query_text", F.lit(""))) == "", "blank_query").when(F.col("n_scored") == 0, "no_hit")
         .when(F.col("n_recalled") == 0, "below_threshold").when(F.col("n_kept") == 0, "all_filtered").otherwise("ok")
     )
+
+
+def diagnostics(asks: DataFrame, scored: DataFrame, hits: DataFrame, eligible: DataFrame, returned: DataFrame, packed: DataFrame, threshold: float, filters: dict[str, str], recall_k: int = RECALL_K, return_k: int = RETURN_K) -> DataFrame:
+    """What each query asked for and what became of it: bounds, threshold, counts by stage, rerank status, what was cut, why it is empty (else null), and its filters.
+
+    ``asks`` (query_id, query_text, namespace) all stay; ``scored`` is (namespace, n_scored); ``hits`` are what was recalled, ``eligible`` those that filters left,
+    ``returned`` hits with rerank_status and inflation, ``packed`` contexts. Each side is a row a query before it is joined.
+    """
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    seen = returned.groupBy("query_id").agg(F.max("rerank_status").alias("rerank_status"), F.bool_or(F.col("inflation") == "truncated").alias("inflation_truncated"))
+    out = asks.select("query_id", "query_text", "namespace").join(scored, "namespace", "left").join(count(hits, "n_recalled"), "query_id", "left").join(count(eligible, "n_kept"), "query_id", "left")
+    out = out.join(seen, "query_id", "left").join(packed.select("query_id", F.col("truncated").alias("pack_truncated")), "query_id", "left").na.fill(0, ["n_scored", "n_recalled", "n_kept"])
+    empty = empty_reason()
+    return out.select(
+        "query_id", F.lit(recall_k).alias("recall_k"), F.lit(return_k).alias("return_k"), F.lit(float(threshold)).alias("threshold_applied"), F.col("n_recalled").alias("ann_hit_count"), F.col("n_kept").alias("eligible_count"),
+        (F.col("n_recalled") - F.col("n_kept")).alias("filtered_count"), F.coalesce("rerank_status", F.lit("not_requested")).alias("rerank_status"), F.coalesce("pack_truncated", F.lit(False)).alias("pack_truncated"),
+        F.coalesce("inflation_truncated", F.lit(False)).alias("inflation_truncated"), F.when(empty != "ok", empty).alias("empty_reason"), F.lit(";".join(f"{k}={v}" for k, v in sorted(filters.items()))).alias("filters_echo"),
+    )

@@ -369,6 +369,22 @@ def empty_disposition(spark, sf_dir):
     return _disposed(spark, sf_dir, 0.2)
 
 
+@listing.add(f"""WITH {ASKED.replace("FROM recalled r LEFT JOIN units", "FROM (SELECT * FROM recalled WHERE channel = 'original') r LEFT JOIN units").replace("score >= 0)", "score >= 0.1)")},
+disposed AS ({DISPOSED}), cut AS (SELECT query_id, bool_or(inflation = 'truncated') AS inflation_truncated FROM inflated GROUP BY query_id)
+SELECT query_id, {retrieve.RECALL_K} AS recall_k, {retrieve.RETURN_K} AS return_k, 0.1::DOUBLE AS threshold_applied, n_recalled AS ann_hit_count, n_kept AS eligible_count, n_recalled - n_kept AS filtered_count, 'not_requested' AS rerank_status,
+  coalesce(truncated, false) AS pack_truncated, coalesce(inflation_truncated, false) AS inflation_truncated, nullif(disposition, 'ok') AS empty_reason, 'channel=original' AS filters_echo
+FROM disposed LEFT JOIN packed USING (query_id) LEFT JOIN cut USING (query_id)""")
+def request_diagnostics(spark, sf_dir):
+    """The report of each query whose hits must be originals: bounds, counts of each stage, what was cut, why it is empty."""
+    asks, fence, hits = found(spark, sf_dir, 0.1)
+    hits = settled(hits, "hits")
+    kept = hits.where("channel = 'original'")
+    units = ledgers.units(spark, sf_dir)
+    back = retrieve.inflate(retrieve.rerank(retrieve.deduped(retrieve.traceback(kept, units, ledgers.records(spark, sf_dir)))), units)
+    sizes = fence.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_scored"))
+    return retrieve.diagnostics(asks, sizes, hits, kept, back, retrieve.pack(back), 0.1, {"channel": "original"})
+
+
 @listing.add(f"WITH {ASKED} SELECT query_id, context, n_segments, n_chars, truncated FROM packed")
 def retrieval_end_to_end(spark, sf_dir):
     """Fence, rank, trace back, dedupe, inflate and pack, for every query at once."""
