@@ -90,6 +90,15 @@ def delayed(failed: DataFrame, seed: str, first: float = BACK_OFF, most: float =
     return out.withColumn("due_at", F.col("created_at") + F.make_dt_interval(secs=(F.col("delay_us").cast("decimal(18,6)") / 1_000_000).cast("decimal(18,6)")))
 
 
+#: Rows that a worker takes from a due queue at once.
+TAKEN = 32
+
+
+def due_queue(rows: DataFrame, at: str, key: str, now: Column, most: int = TAKEN) -> DataFrame:
+    """The rows whose time ``at`` has come, oldest first, ties by ``key``, at most ``most``; those without a time aren't due. Each partition keeps its own first rows, so the queue is never sorted whole."""
+    return rows.where(F.col(at) <= now).orderBy(F.asc(at), F.asc(key)).limit(most)
+
+
 def appended_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` to append so that every key stands once: insert-or-ignore."""
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")

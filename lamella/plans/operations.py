@@ -32,7 +32,7 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("process"), F.col("user_id").alias("team"), F.col("ts").alias("created_at"),
-        (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, cast(cast(value * 1000000 as bigint) / 1000000 as decimal(18, 6)))")).alias("available_at"),
+        (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, cast(cast(round(value * 1000000) as bigint) / 1000000 as decimal(18, 6)))")).alias("available_at"),
         status.alias("status"),
         F.when(F.col("event_id") % 3 == 0, "local").when(F.col("event_id") % 3 == 1, "remote").otherwise("embed").alias("pool"),
         (k % 5).alias("priority"), k.alias("k"), "value",
@@ -251,6 +251,13 @@ def retry_due(spark, sf_dir):
     return ledger.retries(p.withColumn("retries", F.col("k") % 4), F.col("now") - F.expr("interval 1 day")).select("process", "retries", "ceiling_s", "due_at", "class")
 
 
+@listing.add(f"WITH {PROCESSES} SELECT process, team, available_at FROM processes WHERE status IN ('waiting', 'failed') AND available_at <= {NOW} - INTERVAL 5 DAY ORDER BY available_at, process LIMIT 32")
+def due_queue(spark, sf_dir):
+    """What a worker takes next: the 32 waiting or failed processes that have been due longest, five days before the last event."""
+    p = timed(processes(spark, sf_dir).where("status in ('waiting', 'failed')"), spark, sf_dir)
+    return ledger.due_queue(p, "available_at", "process", F.col("now") - F.expr("interval 5 days")).select("process", "team", "available_at")
+
+
 @listing.add(f"""WITH {PROCESSES}, f AS (SELECT process AS id, k % 7 AS attempt, created_at FROM processes WHERE status = 'failed'),
 d AS (SELECT *, floor(('0x' || substr(md5('retry:' || id || ':' || attempt), 1, 13))::BIGINT / {float(2**52)} * least(5 * pow(2, attempt), 60.0)::DOUBLE * 1000000)::BIGINT AS delay_us FROM f)
 SELECT id, attempt, delay_us, created_at + to_microseconds(delay_us) AS due_at FROM d""")

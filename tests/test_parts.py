@@ -55,3 +55,11 @@ def test_delays_stay_below_their_ceiling_and_are_drawn_alike_again(spark):
     spread = {r.attempt: r.m for r in out.groupBy("attempt").agg((F.avg("delay_us") / 1_000_000).alias("m")).collect()}
     assert all(abs(m / min(5 * 2**a, 60) - 0.5) < 0.06 for a, m in spread.items())
     assert ledger.delayed(rows.repartition(3), "s").exceptAll(out.drop("us")).count() == 0
+
+
+def test_due_rows_come_oldest_first(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 3), (3, 3), (4, None), (5, 9), (6, 8)], "id long, at long")
+    due = lambda n: [r.id for r in ledger.due_queue(rows, "at", "id", F.lit(8), n).collect()]
+    assert due(10) == [2, 3, 1, 6] and due(2) == [2, 3]
+    plan = ledger.due_queue(rows, "at", "id", F.lit(8))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
