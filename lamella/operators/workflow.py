@@ -31,8 +31,12 @@ def open_gates(gates: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def gate_states(gates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(gate, state): cancelled, else the first decision on the gate's current revision, else stale if all decisions were on others, else open."""
-    first = decisions.groupBy("gate", "revision").agg(F.min_by("decision", F.struct("decided_at", "id")).alias("_decision"))
+    """(gate, state): cancelled, else the first decision on the gate's current revision, else stale if all decisions were on others, else open.
+
+    Decisions come in the order of decided_at, id and, if there is one, ``place``, the row's place in its ledger: times and ids may repeat.
+    """
+    order = [c for c in ("decided_at", "id", "place") if c in decisions.columns]
+    first = decisions.groupBy("gate", "revision").agg(F.min_by("decision", F.struct(*order)).alias("_decision"))
     any_ = decisions.select("gate").distinct().withColumn("_any", F.lit(True))
     out = gates.join(first, ["gate", "revision"], "left").join(any_, "gate", "left")
     return out.select("gate", F.when(F.col("cancelled"), "cancelled").when(F.col("_decision").isNotNull(), F.col("_decision")).when(F.col("_any"), "stale").otherwise("open").alias("state"))

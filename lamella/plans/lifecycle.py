@@ -248,7 +248,7 @@ d AS (SELECT l_orderkey AS gate, l_linenumber % 3 AS revision, CASE l_returnflag
 f AS (SELECT gate, revision, arg_min(decision, (decided_at, id)) AS decision FROM d GROUP BY gate, revision), s AS (SELECT gate, count(*) AS n FROM d GROUP BY gate)
 SELECT g.gate, CASE WHEN cancelled THEN 'cancelled' WHEN f.decision IS NOT NULL THEN f.decision WHEN s.n IS NOT NULL THEN 'stale' ELSE 'open' END AS state FROM g LEFT JOIN f ON g.gate = f.gate AND g.revision = f.revision LEFT JOIN s ON g.gate = s.gate""")
 def gate_decisions(spark, sf_dir):
-    """Gates by the first decision on their current revision: one on another revision is stale, and a cancellation wins."""
+    """Gates by the first decision on their current revision: one on another revision is stale, and a cancellation wins. Of decisions alike in time and number, the one that stands first in the table counts."""
     gates = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").selectExpr("o_orderkey AS gate", "o_orderkey % 3 AS revision", "o_orderstatus = 'P' AS cancelled")
-    decisions = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate").selectExpr("l_orderkey AS gate", "l_linenumber % 3 AS revision", "CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision", "l_shipdate AS decided_at", "l_linenumber AS id")
+    decisions = table(spark, sf_dir, "lineitem").selectExpr("struct(_metadata.file_path, _metadata.row_index) AS place", "l_orderkey AS gate", "l_linenumber % 3 AS revision", "CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision", "l_shipdate AS decided_at", "l_linenumber AS id")
     return workflow.gate_states(gates, decisions)
