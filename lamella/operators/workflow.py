@@ -82,9 +82,14 @@ def scatter_facts(memberships: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def resolved(requests: DataFrame, registry: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Requests (request, key) with the active revision of their workflow, if there is exactly one; else ``state`` says missing or ambiguous."""
-    active = registry.join(revisions, (registry["workflow"] == revisions["of"]) & (registry["active_revision"] == revisions["revision"])).select("key", "revision", "digest")
-    found = requests.join(active, "key", "left").groupBy("request", "key").agg(F.count("revision").alias("n"), F.min("revision").alias("revision"), F.min("digest").alias("digest"))
+    """Requests (request, key) with the active revision of their workflow, if there is exactly one; else ``state`` says missing or ambiguous.
+
+    Active revisions are counted by key, and equal requests too, before they meet: a request never meets the workflows of a shared key one by one.
+    """
+    active = registry.join(revisions, (registry["workflow"] == revisions["of"]) & (registry["active_revision"] == revisions["revision"]))
+    active = active.groupBy("key").agg(F.count("revision").alias("_n"), F.min("revision").alias("revision"), F.min("digest").alias("digest"))
+    asked = requests.groupBy("request", "key").agg(F.count(F.lit(1)).alias("_times"))
+    found = asked.join(active, "key", "left").withColumn("n", F.coalesce(F.col("_times") * F.col("_n"), F.lit(0)))
     one = F.col("n") == 1
     return found.select("request", "key", F.when(one, F.col("revision")).alias("revision"), F.when(one, F.col("digest")).alias("digest"), F.when(one, "resolved").when(F.col("n") == 0, "missing").otherwise("ambiguous").alias("state"))
 

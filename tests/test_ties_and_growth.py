@@ -28,3 +28,15 @@ def test_decisions_alike_in_time_and_number_come_in_the_order_of_their_table(spa
     )
     out = {r.gate: r.state for r in catalogue.queries()["gate_decisions"](spark, sf).collect()}
     assert out == {1: "rejected", 4: "approved", 7: "rejected", 10: "approved"}
+
+
+def test_requests_never_meet_the_workflows_of_a_key_one_by_one(spark):
+    from lamella.operators import workflow
+
+    requests = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "d")], "request long, key string")
+    registry = spark.createDataFrame([(i, "b", 0) for i in range(50)] + [(100, "a", 1), (101, "c", 0)], "workflow long, key string, active_revision int")
+    revisions = spark.createDataFrame([(i, r, f"d{i}-{r}") for i in (*range(50), 100, 101) for r in (0, 1)], "of long, revision int, digest string")
+    df = workflow.resolved(requests, registry, revisions)
+    assert {tuple(r) for r in df.collect()} == {(1, "a", None, None, "ambiguous"), (2, "b", None, None, "ambiguous"), (3, "c", 0, "d101-0", "resolved"), (4, "d", None, None, "missing")}
+    last = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert last.count("Aggregate") >= 2  # both sides of the last join are counted first
