@@ -17,22 +17,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
-def _word(token: Column, at: int, dimension: int) -> Column:
-    """Four bytes of a token's SHA-256, big-endian, modulo the dimension."""
-    return (F.conv(F.substring(F.sha2(token, 256), at, 8), 16, 10).cast("long") % dimension).cast("int")
+def _word(digest: Column, at: int, dimension: int) -> Column:
+    """Four bytes of a token's SHA-256 in hex, big-endian, modulo the dimension."""
+    return (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % dimension).cast("int")
 
 
 def hash_buckets(docs: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
     """(key, bucket, weight): every token adds 1 to one bucket and takes a quarter from another.
 
-    Tokens are counted per document before the hash, so equal tokens are hashed once.
+    Tokens are hashed where their text is and summed by bucket, so at most ``dimension`` rows a document are shuffled, not its tokens.
     """
-    counted = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    hashed = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, F.sha2("token", 256).alias("h"))
     pair = F.array(
-        F.struct(_word(F.col("token"), 1, dimension).alias("bucket"), F.col("n").cast("double").alias("w")),
-        F.struct(_word(F.col("token"), 9, dimension).alias("bucket"), (F.col("n") * F.lit(-0.25)).alias("w")),
+        F.struct(_word(F.col("h"), 1, dimension).alias("bucket"), F.lit(1.0).alias("w")),
+        F.struct(_word(F.col("h"), 9, dimension).alias("bucket"), F.lit(-0.25).alias("w")),
     )
-    return counted.select(key, F.explode(pair).alias("p")).groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum("p.w").alias("weight"))
+    return hashed.select(key, F.explode(pair).alias("p")).groupBy(key, F.col("p.bucket").alias("bucket")).agg(F.sum("p.w").alias("weight"))
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:

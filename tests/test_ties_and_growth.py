@@ -40,3 +40,11 @@ def test_requests_never_meet_the_workflows_of_a_key_one_by_one(spark):
     assert {tuple(r) for r in df.collect()} == {(1, "a", None, None, "ambiguous"), (2, "b", None, None, "ambiguous"), (3, "c", 0, "d101-0", "resolved"), (4, "d", None, None, "missing")}
     last = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
     assert last.count("Aggregate") >= 2  # both sides of the last join are counted first
+
+
+def test_tokens_are_not_shuffled(spark):
+    from lamella.functions import vector
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "k long, t string")
+    plan = vector.hash_buckets(docs, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
