@@ -40,7 +40,12 @@ def constructed(blocks: DataFrame, summaries: DataFrame, header: Column) -> Data
     A unit has its coordinate (structure, projection, block), and for both channels the text under the metadata header and
     its digest; ``state`` says if the summary lacks.
     """
-    u = blocks.join(summaries, ["doc_id", "granularity", "block_id"], "left").withColumn("header", header)
+    return summarised(blocks.join(summaries, ["doc_id", "granularity", "block_id"], "left"), header)
+
+
+def summarised(blocks: DataFrame, header: Column) -> DataFrame:
+    """The units of blocks (doc_id, granularity, block_id, body, summary) that have their summaries with them; nothing is shuffled."""
+    u = blocks.withColumn("header", header)
     id_ = F.col("doc_id").cast("string")
     u = u.withColumn("coordinate", F.concat(F.lit("s"), id_, F.lit(":p"), id_, F.lit(":g"), F.col("granularity").cast("string"), F.lit("b"), F.col("block_id").cast("string")))
     for channel, body in (("original", "body"), ("summary", "summary")):
@@ -80,15 +85,20 @@ def stored(units: DataFrame) -> DataFrame:
 
 def proven_again(payloads: DataFrame) -> DataFrame:
     """Stored units (doc_id, payload) with whether both digests follow again from what the payload holds; one that can't be read isn't proven."""
-    u = payloads.select("doc_id", "granularity", "block_id", F.from_json("payload", UNIT).alias("u"))
+    return _opened(payloads).drop("u")
+
+
+def _opened(payloads: DataFrame) -> DataFrame:
+    """Stored units with what they hold, ``u``, and whether it is proven."""
+    # an array of one, so that what filters ``u`` isn't pushed below and doesn't read the payload again for each of its fields
+    u = payloads.select("doc_id", "granularity", "block_id", F.explode(F.array(F.from_json("payload", UNIT))).alias("u"))
     again = [text_digest(content_full(F.col("u.header"), F.col(f"u.{body}"))) == F.col(f"u.{channel}_digest") for channel, body in (("original", "body"), ("summary", "summary"))]
-    return u.select("doc_id", "granularity", "block_id", F.coalesce(again[0] & again[1], F.lit(False)).alias("proven"))
+    return u.select("doc_id", "granularity", "block_id", "u", F.coalesce(again[0] & again[1], F.lit(False)).alias("proven"))
 
 
 def refreshed(payloads: DataFrame, header: Column) -> DataFrame:
-    """Proven units under new metadata headers: bodies and summaries stay, texts and digests are new."""
-    u = proven_again(payloads).where("proven").join(payloads, ["doc_id", "granularity", "block_id"]).select("doc_id", F.from_json("payload", UNIT).alias("u")).select("doc_id", "u.*")
-    return constructed(u.select("doc_id", "granularity", "block_id", "body"), u.select("doc_id", "granularity", "block_id", "summary"), header)
+    """Proven units under new metadata headers: bodies and summaries stay, texts and digests are new. A payload is read once, where it is."""
+    return summarised(_opened(payloads).where("proven").select("doc_id", "u.granularity", "u.block_id", "u.body", "u.summary"), header)
 
 
 def planned(units: DataFrame, most: int = MOST) -> DataFrame:

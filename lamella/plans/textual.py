@@ -15,9 +15,9 @@ listing = Listing()
 queries, oracle_sql = listing.queries, listing.oracle_sql
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def docs(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     workers_import(spark)
-    return table(spark, sf_dir, "documents", "doc_id", "text")
+    return table(spark, sf_dir, "documents", "doc_id", "text", *also)
 
 
 @listing.add(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\t\x0B\f\r \x1C-\x1F\x{85}\x{A0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)
@@ -175,12 +175,12 @@ BLOCKS = f"""{SENTENCES},
 blocks AS (SELECT doc_id, 0 AS granularity, 0 AS block_id, text AS body FROM documents UNION ALL SELECT doc_id, 2, ordinal, line FROM lines WHERE trim(line) <> '')"""
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The root and the lines of every document as blocks."""
-    d = docs(spark, sf_dir)
-    root = d.select("doc_id", F.lit(0).alias("granularity"), F.lit(0).alias("block_id"), F.col("text").alias("body"))
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_id", "body")).where(F.trim("body") != "")
-    return root.unionByName(lines.select("doc_id", F.lit(2).alias("granularity"), "block_id", "body"))
+def blocks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """The root and the lines of every document as blocks, with the document's columns ``also``."""
+    d = docs(spark, sf_dir, *also)
+    root = d.select("doc_id", F.lit(0).alias("granularity"), F.lit(0).alias("block_id"), F.col("text").alias("body"), *also)
+    lines = d.select("doc_id", *also, F.posexplode(F.split("text", "\n")).alias("block_id", "body")).where(F.trim("body") != "")
+    return root.unionByName(lines.select("doc_id", F.lit(2).alias("granularity"), "block_id", "body", *also))
 
 
 @listing.add(f"WITH {BLOCKS} SELECT doc_id, count(*) FILTER (WHERE granularity = 0) AS g0, count(*) FILTER (WHERE granularity = 2) AS g2, bool_or(granularity = 0) AS has_g0, string_agg(DISTINCT granularity::VARCHAR, ',' ORDER BY granularity::VARCHAR) AS layers FROM blocks GROUP BY doc_id")

@@ -48,3 +48,14 @@ def test_tokens_are_not_shuffled(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "k long, t string")
     plan = vector.hash_buckets(docs, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_refreshing_payloads_joins_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from lamella.operators import construct
+
+    blocks = spark.createDataFrame([(1, 0, 0, "body", "s"), (1, 2, 1, "line", None)], "doc_id long, granularity int, block_id long, body string, summary string")
+    out = construct.refreshed(construct.stored(construct.summarised(blocks, F.create_map(F.lit("a"), F.lit("1")))), F.create_map(F.lit("revision"), F.lit("2")))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.granularity, r.original_full) for r in out.collect()] == [(0, "revision: 2\n\nbody")]
