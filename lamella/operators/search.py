@@ -14,6 +14,8 @@ from lamella.operators.retrieve import top_k
 
 #: Queries and records of a block.
 QUERY_BLOCK, RECORD_BLOCK = 1024, 4096
+#: Queries whose scores a worker holds at a time.
+QUERIES = 128
 #: Parts into which a namespace's record blocks are dealt, at most; query blocks are repeated for each.
 SALTS = 64
 
@@ -54,6 +56,25 @@ def scores(metric: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.divide(q @ r.T, norms, out=np.zeros_like(norms), where=norms > 0)
 
 
+def matched(b: pa.RecordBatch, k: int, threshold: float | None) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of pairs of blocks: the k best records of each query (and ties).
+
+    Blocks are views into Spark's batch and queries are taken a few at a time, so a worker holds that batch and one small matrix of scores.
+    """
+    for row in range(b.num_rows):
+        d, metric = b.column("d")[row].as_py(), b.column("metric")[row].as_py()
+        every, r = (np.frombuffer(b.column(f"{t}_vectors")[row].as_buffer(), np.float64).reshape(-1, d) for t in "qr")
+        ids, ri = (np.frombuffer(b.column(f"{t}_ids")[row].as_buffer(), "<i8") for t in "qr")
+        for at in range(0, len(every), QUERIES):
+            s, qi = scores(metric, every[at : at + QUERIES], r), ids[at : at + QUERIES]
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
+            keep = s >= least[:, None] - 2e-6
+            if threshold is not None:
+                keep &= s >= threshold - 2e-6
+            i, j = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+
+
 def search(queries: DataFrame, records: DataFrame, namespaces: DataFrame, k: int = 20, threshold: float | None = 0.0) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best records of a query's namespace, score down, then id up.
 
@@ -64,16 +85,7 @@ def search(queries: DataFrame, records: DataFrame, namespaces: DataFrame, k: int
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                q, r = (np.frombuffer(row[f"{t}_vectors"], np.float64).reshape(-1, row["d"]) for t in "qr")
-                qi, ri = (np.frombuffer(row[f"{t}_ids"], "<i8") for t in "qr")
-                s = scores(row["metric"], q, r)
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
-                keep = s >= least[:, None] - 2e-6
-                if threshold is not None:
-                    keep &= s >= threshold - 2e-6
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
+            yield from matched(b, k, threshold)
 
     workers_import(queries.sparkSession)
     # the metric joins the small query blocks; a namespace's record blocks are spread over salts, so that none is one task's work

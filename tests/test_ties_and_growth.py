@@ -59,3 +59,19 @@ def test_refreshing_payloads_joins_nothing(spark):
     out = construct.refreshed(construct.stored(construct.summarised(blocks, F.create_map(F.lit("a"), F.lit("1")))), F.create_map(F.lit("revision"), F.lit("2")))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.granularity, r.original_full) for r in out.collect()] == [(0, "revision: 2\n\nbody")]
+
+
+def test_scores_of_a_pair_of_blocks_are_taken_a_few_queries_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lamella.operators import search
+
+    shapes, real = [], search.scores
+    monkeypatch.setattr(search, "scores", lambda m, q, r: shapes.append((len(q), len(r))) or real(m, q, r))
+    rng = np.random.default_rng(1)
+    q, r = rng.normal(size=(300, 8)), rng.normal(size=(500, 8))
+    b = pa.RecordBatch.from_pylist([{"metric": "inner_product", "d": 8, "q_ids": np.arange(300).astype("<i8").tobytes(), "q_vectors": q.tobytes(), "r_ids": np.arange(500).astype("<i8").tobytes(), "r_vectors": r.tobytes()}])
+    got = {(x["query_id"], x["vec_id"]) for part in search.matched(b, 5, None) for x in part.to_pylist()}
+    assert got == {(i, int(j)) for i, row in enumerate(q @ r.T) for j in np.argsort(-row)[:5]}
+    assert max(n for n, _ in shapes) <= search.QUERIES and sum(n for n, _ in shapes) == 300
