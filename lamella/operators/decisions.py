@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.text import json_text
@@ -73,29 +73,29 @@ def gate_actions(requests: DataFrame, gates: DataFrame, targets: DataFrame, exec
 
     Gates are (gate, status, revision, execution), targets (gate, target_digest, review: JSON with allowed_actions), executions (execution, status,
     waiting_ref), recorded the decisions made before (gate, key). Only the first request that passes every check
-    decides its gate; later ones with its key repeat it, others find the gate closed. That first one is one aggregate by gate, so a gate
-    of any number of requests never comes together in one task. A reclean has no route and changes nothing.
+    decides its gate; later ones with its key repeat it, others find the gate closed. A reclean has no route and changes nothing.
+    What is known of a gate is put together before requests meet it; requests are then shuffled twice, by gate and key and by gate, and the first
+    one is a minimum over the rows where they are: they aren't read or shuffled again for it. A gate's requests pass through one task, which spills what it can't hold.
     """
-    g = gates.select("gate", F.col("status").alias("_status"), F.col("revision").alias("_revision"), "execution")
-    t = targets.select("gate", "target_digest", F.from_json("review", "allowed_actions array<string>")["allowed_actions"].alias("_allowed"), F.lit(True).alias("_target"))
+    listed = F.from_json("review", "allowed_actions array<string>")["allowed_actions"]
+    broken = F.coalesce((F.size("_listed") < 1) | (F.size(F.array_distinct("_listed")) < F.size("_listed")) | F.exists("_listed", lambda a: F.coalesce(~a.isin(*ACTIONS), F.lit(True))), F.lit(True))
+    t = targets.select("gate", "target_digest", listed.alias("_listed")).select("gate", "target_digest", F.when(~broken, F.col("_listed")).alias("_allowed"), F.lit(True).alias("_target"))
     x = executions.select("execution", F.col("status").alias("_running"), "waiting_ref")
+    g = gates.select("gate", F.col("status").alias("_status"), F.col("revision").alias("_revision"), "execution").join(x, "execution", "left").join(t, "gate", "left").drop("execution")
     known = recorded.select("gate", "key").distinct().withColumn("_recorded", F.lit(True))
-    rows = requests.join(g, "gate", "left").join(t, "gate", "left").join(x, "execution", "left").join(known, ["gate", "key"], "left")
+    rows = requests.join(known, ["gate", "key"], "left").join(g, "gate", "left")
     empty = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
-    listed = F.col("_allowed")
-    broken = F.coalesce((F.size(listed) < 1) | (F.size(F.array_distinct(listed)) < F.size(listed)) | F.exists(listed, lambda a: F.coalesce(~a.isin(*ACTIONS), F.lit(True))), F.lit(True))
     early = ((F.coalesce(~F.col("action").isin(*ACTIONS), F.lit(True)), "gate-action-invalid"), (empty("key") | empty("actor"), "gate-decision-invalid"), (F.col("_status").isNull(), "gate-not-found"), (F.col("_recorded"), "repeated"))
     late = (
-        (F.coalesce((F.col("_status") != "open") | (F.col("_revision") != F.col("revision")), F.lit(True)), "gate-revision-conflict"), (F.col("_target").isNull(), "gate-target-missing"), (broken, "gate-target-invalid"),
-        (~F.array_contains(listed, F.col("action")), "gate-action-not-allowed"), (F.coalesce((F.col("_running") != "waiting") | (F.col("waiting_ref") != F.col("gate")), F.lit(True)), "gate-execution-conflict"),
+        (F.coalesce((F.col("_status") != "open") | (F.col("_revision") != F.col("revision")), F.lit(True)), "gate-revision-conflict"), (F.col("_target").isNull(), "gate-target-missing"), (F.col("_allowed").isNull(), "gate-target-invalid"),
+        (~F.array_contains("_allowed", F.col("action")), "gate-action-not-allowed"), (F.coalesce((F.col("_running") != "waiting") | (F.col("waiting_ref") != F.col("gate")), F.lit(True)), "gate-execution-conflict"),
         (F.col("action") == "reclean", "gate-action-route-unavailable"),
     )
     rows = rows.withColumn("_state", _first(*early, *late, otherwise=F.lit("accepted"))).withColumn("_early", _first(*early, otherwise=F.lit(None).cast("string")))
     place = F.struct("at", "request")
-    first = rows.where("_state = 'accepted'").groupBy("gate").agg(F.min(place).alias("_first"), F.min_by("key", place).alias("_key"))
-    rows = rows.join(first, "gate", "left")
-    after = F.col("_first").isNotNull() & (place > F.col("_first"))
-    state = F.when(~F.coalesce(after, F.lit(False)) | F.col("_early").isNotNull(), F.col("_state")).when(F.col("key") == F.col("_key"), "repeated").otherwise("gate-revision-conflict")
+    rows = rows.withColumn("_first", F.min(F.when(F.col("_state") == "accepted", F.struct("at", "request", "key"))).over(Window.partitionBy("gate")))
+    after = F.col("_first").isNotNull() & (place > F.struct("_first.at", "_first.request"))
+    state = F.when(~F.coalesce(after, F.lit(False)) | F.col("_early").isNotNull(), F.col("_state")).when(F.col("key") == F.col("_first.key"), "repeated").otherwise("gate-revision-conflict")
     decided = F.col("state") == "accepted"
     digest = F.sha2(F.concat(F.lit('{"action":'), json_text(F.col("action")), F.lit(',"gate_revision":'), F.col("revision").cast("string"), F.lit(',"gate_uuid":'), json_text(F.col("gate").cast("string")), F.lit(',"idempotency_key":'), json_text(F.col("key")), F.lit("}")), 256)
     return rows.withColumn("state", state).select(

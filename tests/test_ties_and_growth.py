@@ -61,6 +61,25 @@ def test_refreshing_payloads_joins_nothing(spark):
     assert [(r.granularity, r.original_full) for r in out.collect()] == [(0, "revision: 2\n\nbody")]
 
 
+def test_requests_of_gates_are_shuffled_twice(spark):
+    from pyspark.sql import functions as F
+
+    from lamella.operators import decisions
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        requests = spark.range(100).select(F.concat(F.lit("r"), "id").alias("request"), (F.col("id") % 7).alias("gate"), F.lit(1).alias("revision"), F.lit("approve").alias("action"), F.lit("k").alias("key"), F.lit("a").alias("actor"), F.col("id").alias("at"))
+        gates = spark.range(7).selectExpr("id AS gate", "'open' AS status", "1 AS revision", "id AS execution")
+        targets = spark.range(7).selectExpr("id AS gate", "'t' AS target_digest", """'{"allowed_actions":["approve"]}' AS review""")
+        executions = spark.range(7).selectExpr("id AS execution", "'waiting' AS status", "id AS waiting_ref")
+        out = decisions.gate_actions(requests, gates, targets, executions, requests.where("at < 0").select("gate", "key"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (0, 100") == 2  # the requests, and those recorded before
+        assert {(r.request, r.state) for r in out.collect()} == {(f"r{i}", "accepted" if i < 7 else "repeated") for i in range(100)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scores_of_a_pair_of_blocks_are_taken_a_few_queries_at_a_time(monkeypatch):
     import numpy as np
     import pyarrow as pa
