@@ -30,6 +30,17 @@ def test_decisions_alike_in_time_and_number_come_in_the_order_of_their_table(spa
     assert out == {1: "rejected", 4: "approved", 7: "rejected", 10: "approved"}
 
 
+def test_a_part_of_a_batch_is_small_and_nothing_is_lost():
+    import pyarrow as pa
+
+    from lamella.functions.arrow import PART_BYTES, parts
+
+    a = pa.array(["x" * 1000] * 5000 + [None, "y" * (3 * PART_BYTES)] + ["z"] * 10)
+    cut = list(parts(a))
+    assert pa.concat_arrays(cut).equals(a)
+    assert all(len(p) == 1 or p.nbytes <= PART_BYTES for p in cut)
+
+
 def test_requests_never_meet_the_workflows_of_a_key_one_by_one(spark):
     from lamella.operators import workflow
 
