@@ -96,7 +96,8 @@ class Store:
         return self._union([(e["version"], e["tables"][table]) for e in held if table in e["tables"]])
 
     def _union(self, folders: list[tuple[int, str]]) -> DataFrame | None:
-        each = [self.spark.read.parquet(f"{self.root}/{folder}").withColumn(VERSION, F.lit(n).cast("long")) for n, folder in folders]
+        # claims were checked when their commit was made, and stay in its files
+        each = [self.spark.read.parquet(f"{self.root}/{folder}").drop(SEEN).withColumn(VERSION, F.lit(n).cast("long")) for n, folder in folders]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each) if each else None
 
     def _fold(self, table: str, version: int | None) -> DataFrame | None:
@@ -139,10 +140,6 @@ class Store:
                 raise ValueError(f"{table}: keys stand more than once: {twice}")
             if SEEN in mine.columns:
                 self._claims(table, mine, read_version)
-                claimed, folder = folder, f"data/{table}-{uuid.uuid4().hex}"
-                mine.drop(SEEN).write.parquet(f"{self.root}/{folder}")
-                fs, path, _ = _files(self.spark, f"{self.root}/{claimed}")
-                fs.delete(path, True)
             folders[table] = folder
         _files(self.spark, self.root)[0].mkdirs(_files(self.spark, f"{self.root}/log")[1])
         checked = read_version

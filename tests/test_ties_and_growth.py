@@ -105,3 +105,18 @@ def test_scores_of_a_pair_of_blocks_are_taken_a_few_queries_at_a_time(monkeypatc
     got = {(x["query_id"], x["vec_id"]) for part in search.matched(b, 5, None) for x in part.to_pylist()}
     assert got == {(i, int(j)) for i, row in enumerate(q @ r.T) for j in np.argsort(-row)[:5]}
     assert max(n for n, _ in shapes) <= search.QUERIES and sum(n for n, _ in shapes) == 300
+
+
+def test_changes_with_claims_are_written_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    from lamella.sources.versions import Store
+
+    written, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: written.append(path) or real(self, path, *a, **k))
+    s = Store(spark, str(tmp_path / "store"), {"t": ("k",)})
+    s.commit({"t": spark.range(3).selectExpr("id AS k", "'a' AS x").withColumn("seen", F.lit(0).cast("long"))}, 0)
+    s.commit({"t": s.snapshot("t").where("k = 1").select("k", F.lit("b").alias("x"), F.col("row_version").alias("seen"))}, 1)
+    assert len(written) == 2
+    assert sorted(tuple(r) for r in s.snapshot("t").collect()) == [(0, "a", 1), (1, "b", 2), (2, "a", 1)] and "seen" not in s.snapshot("t").columns
